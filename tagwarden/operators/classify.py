@@ -44,8 +44,8 @@ def _tag_map_items(text: Column) -> Column:
     def one(raw, pos):
         item = py_strip(raw)
         parts = F.split(item, "=", 2)
-        tag = py_strip(F.element_at(parts, 1))
-        scope = F.lower(py_strip(F.element_at(parts, 2)))
+        tag = py_strip(F.try_element_at(parts, F.lit(1)))
+        scope = F.lower(py_strip(F.try_element_at(parts, F.lit(2))))
         reason = (
             F.when(item == "", F.lit("blank"))
             .when(~item.contains("="), F.lit("missing '='"))

@@ -84,3 +84,230 @@ FROM classified c LEFT JOIN scope_role r ON c.scope = r.scope"""
 
 ORACLE["outside_root"] = with_("entities") + f"""
 SELECT entity_id, path, {under_root_sql('path', ROOT)} AS under_root FROM entities"""
+
+
+def pylist(x: str) -> str:
+    return f"'[' || array_to_string(list_transform({x}, lambda t: '''' || t || ''''), ', ') || ']'"
+
+
+CTE["inside"] = f"""inside AS (SELECT entity_id, path FROM entities WHERE {under_root_sql('path', ROOT)})"""
+CTE["inside_sync"] = f"""inside_sync AS (
+  SELECT entity_id, path FROM entities
+  WHERE entity_id IS NOT NULL AND entity_id <> '' AND {under_root_sql('path', ROOT)})"""
+
+ORACLE["violations"] = with_("entities", "entity_tags", "tag_map", "scope_role", "inside",
+                             extra=(classify_cte("classified", "inside", trim=True),)) + f"""
+SELECT entity_id, reason, {pylist('matched_tags')} AS matched_tags,
+       '[''OS_F'', ''OS_P'', ''RF_A'', ''RF_R'']' AS expected_tags,
+       {pylist('tags')} AS actual_tags,
+       CASE reason
+         WHEN 'conflict' THEN 'DAG ''' || entity_id || ''' has conflicting classification tags '
+              || {pylist('matched_tags')} || '; expected exactly one classification tag.'
+         WHEN 'missing' THEN 'DAG ''' || entity_id || ''' is missing required classification tag. Expected one of '
+              || '[''OS_F'', ''OS_P'', ''RF_A'', ''RF_R'']' || ', got tags=' || {pylist('tags')}
+         ELSE 'No trigger role mapping configured for scope ''' || scope || ''''
+       END AS message
+FROM (SELECT c.*, CASE WHEN c.status = 'valid' AND r.role IS NULL THEN 'no_role' ELSE c.status END AS reason
+      FROM classified c LEFT JOIN scope_role r ON c.scope = r.scope)
+WHERE reason <> 'valid'"""
+
+CTE["desired"] = """desired AS (
+  SELECT scope, entity_id FROM classified_sync WHERE status = 'valid' AND scope IN ('us', 'global'))"""
+
+
+def _desired_ctes() -> tuple[str, ...]:
+    return ("entities", "entity_tags", "tag_map", "inside_sync")
+
+
+DESIRED_EXTRA = (classify_cte("classified_sync", "inside_sync", trim=False), CTE["desired"])
+
+ORACLE["desired_grants"] = with_(*_desired_ctes(), extra=DESIRED_EXTRA) + "SELECT scope, entity_id FROM desired"
+
+ORACLE["source_label"] = """
+SELECT doc_id, source, tag,
+       CASE tag WHEN 'GDTET_US_DAG' THEN 'us_dag' WHEN 'GDTET_GLOBAL_DAG' THEN 'global_dag' ELSE 'illegal_dag' END AS label
+FROM (SELECT doc_id, source,
+             CASE WHEN source IS NULL THEN NULL
+                  WHEN source IN ('src0', 'src3', 'src5', 'src7') THEN 'GDTET_US_DAG'
+                  ELSE 'GDTET_GLOBAL_DAG' END AS tag
+      FROM documents)"""
+
+CTE["tag_map_texts"] = """tag_map_texts AS (
+  SELECT o_orderkey,
+         CASE WHEN o_orderkey % 7 = 0 THEN ' , =x, A= ' ELSE concat_ws(',',
+           ' OS_' || o_orderstatus || ' = ' || o_orderpriority,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'OS_' || o_orderstatus || '=late=' || CAST(o_custkey AS VARCHAR) END,
+           CASE WHEN o_orderkey % 4 = 1 THEN 'junk' ELSE '=' || o_orderstatus END,
+           ' ',
+           'P' || substr(o_orderpriority, 1, 1) || '= ' || upper(o_orderstatus) || ' ') END AS text
+  FROM orders)"""
+CTE["tag_map_items"] = f"""tag_map_items AS (
+  SELECT o_orderkey, pos - 1 AS pos, item,
+         {strip("substr(item, 1, strpos(item, '=') - 1)")} AS tag,
+         lower({strip("substr(item, strpos(item, '=') + 1)")}) AS scope
+  FROM (SELECT o_orderkey, {strip('parts[pos]')} AS item, pos
+        FROM (SELECT o_orderkey, string_split(text, ',') AS parts FROM tag_map_texts),
+             LATERAL (SELECT unnest(generate_series(1, len(parts))) AS pos)))"""
+CTE["tag_map_valid"] = """tag_map_valid AS (
+  SELECT * FROM tag_map_items WHERE item <> '' AND strpos(item, '=') > 0 AND tag <> '' AND scope <> '')"""
+
+ORACLE["tag_map_parse"] = with_("tag_map_texts", "tag_map_items", "tag_map_valid") + """
+SELECT o_orderkey, tag, arg_max(scope, pos) AS scope, 'parsed' AS origin FROM tag_map_valid GROUP BY o_orderkey, tag
+UNION ALL
+SELECT t.o_orderkey, d.tag, d.scope, 'default' AS origin
+FROM tag_map_texts t CROSS JOIN (VALUES ('GDTET_GLOBAL_DAG', 'global'), ('GDTET_US_DAG', 'us')) d(tag, scope)
+WHERE t.o_orderkey NOT IN (SELECT o_orderkey FROM tag_map_valid)"""
+
+ORACLE["tag_map_rejects"] = with_("tag_map_texts", "tag_map_items") + """
+SELECT o_orderkey, CAST(pos AS INTEGER) AS pos, item,
+       CASE WHEN strpos(item, '=') = 0 THEN 'missing ''=''' ELSE 'empty tag/scope' END AS reason
+FROM tag_map_items
+WHERE item <> '' AND NOT (strpos(item, '=') > 0 AND tag <> '' AND scope <> '')"""
+
+CTE["scope_texts"] = """scope_texts AS (
+  SELECT c_custkey, ' ' || c_mktsegment || ' , ' || lower(n_name) || ',,' ||
+         CASE WHEN c_custkey % 2 = 0 THEN ' Global ' ELSE '' END AS text
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+ORACLE["scopes_norm"] = with_("scope_texts") + f"""
+SELECT c_custkey, form, scope, 'AF_TRIGGER_SCOPE_' || upper(scope) AS role FROM (
+  SELECT DISTINCT c_custkey, 'lenient' AS form, lower({strip('x')}) AS scope
+  FROM scope_texts, LATERAL (SELECT unnest(string_split(text, ',')) AS x)
+  WHERE lower({strip('x')}) <> ''
+  UNION
+  SELECT c_custkey, 'lenient', 'global' FROM scope_texts
+  UNION
+  SELECT DISTINCT c_custkey, 'strict', x
+  FROM scope_texts, LATERAL (SELECT unnest(string_split(lower(regexp_replace(text, '\\s', '', 'g')), ',')) AS x)
+  WHERE x <> ''
+  UNION
+  SELECT c_custkey, 'strict', 'global' FROM scope_texts WHERE regexp_replace(text, '\\s', '', 'g') <> '')"""
+
+# ------------------------------------------------------------------ family C
+CTE["grants"] = """grants AS (
+  SELECT CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'AF_TRIGGER_SCOPE_US'
+              WHEN substr(o_orderpriority, 1, 1) IN ('2', '3') THEN 'AF_TRIGGER_SCOPE_GLOBAL'
+              ELSE 'Viewer' END AS role,
+         CASE WHEN o_orderkey % 5 = 0 THEN 'can_read' ELSE 'can_create' END AS action,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'DAG:' || CAST(o_orderkey AS VARCHAR)
+              ELSE 'DAG Run:' || CAST(o_orderkey AS VARCHAR) END AS resource
+  FROM orders)"""
+CTE["existing"] = """existing AS (
+  SELECT DISTINCT s.scope, substr(g.resource, 9) AS entity_id
+  FROM grants g JOIN (VALUES ('us', 'AF_TRIGGER_SCOPE_US'), ('global', 'AF_TRIGGER_SCOPE_GLOBAL')) s(scope, role)
+       ON g.role = s.role
+  WHERE g.action = 'can_create' AND starts_with(g.resource, 'DAG Run:') AND substr(g.resource, 9) <> '')"""
+CTE["diff"] = """diff AS (
+  SELECT coalesce(d.scope, e.scope) AS scope, CASE WHEN e.scope IS NULL THEN 'add' ELSE 'remove' END AS op,
+         coalesce(d.entity_id, e.entity_id) AS entity_id
+  FROM desired d FULL OUTER JOIN existing e ON d.scope = e.scope AND d.entity_id = e.entity_id
+  WHERE d.scope IS NULL OR e.scope IS NULL)"""
+
+
+def _c_with(*more: str) -> str:
+    return with_(*_desired_ctes(), extra=DESIRED_EXTRA + (CTE["grants"], CTE["existing"]) + tuple(CTE[m] for m in more))
+
+
+ORACLE["existing_grants"] = with_("grants", "existing") + "SELECT scope, entity_id FROM existing"
+ORACLE["grant_diff"] = _c_with("diff") + "SELECT scope, op, entity_id FROM diff"
+ORACLE["diff_summary"] = _c_with("diff") + """
+SELECT coalesce(scope, 'total') AS scope, count(*) FILTER (WHERE op = 'add') AS added,
+       count(*) FILTER (WHERE op = 'remove') AS removed
+FROM diff GROUP BY ROLLUP (scope)"""
+ORACLE["grant_plan"] = _c_with("diff") + """
+SELECT scope, op, entity_id,
+       '[DRY-RUN] ctl roles ' || CASE WHEN op = 'add' THEN 'add-perms' ELSE 'del-perms' END || ' '
+       || 'AF_TRIGGER_SCOPE_' || upper(scope) || ' -a can_create -r ''DAG Run:' || entity_id || '''' AS command
+FROM diff"""
+ORACLE["apply_diff"] = _c_with("diff") + """
+SELECT scope, entity_id FROM existing
+WHERE (scope, entity_id) NOT IN (SELECT scope, entity_id FROM diff WHERE op = 'remove')
+UNION
+SELECT scope, entity_id FROM diff WHERE op = 'add'"""
+
+CTE["acl"] = """acl AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS entity_id,
+         CASE WHEN o_orderkey % 3 = 0 THEN '{"AF_TRIGGER_SCOPE_US":"can_edit","Ops":["can_read","can_edit"]}'
+              WHEN o_orderkey % 3 = 1 THEN '{"Ops":{"DAG Runs":["can_read"]," ":["x"]},"AF_TRIGGER_SCOPE_MX":["can_edit"]}'
+         END AS acl_json
+  FROM orders)"""
+
+
+def _acts(v: str) -> str:
+    return (f"CASE json_type({v}) WHEN 'VARCHAR' THEN [json_extract_string({v}, '$')] "
+            f"WHEN 'ARRAY' THEN json_extract_string({v}, '$[*]') "
+            f"WHEN 'OBJECT' THEN json_keys({v}) ELSE [] END")
+
+
+CTE["acl_roles"] = """acl_roles AS (
+  SELECT entity_id, r AS role, json_extract(acl_json, '$."' || r || '"') AS pv
+  FROM acl, LATERAL (SELECT unnest(json_keys(acl_json)) AS r)
+  WHERE json_valid(acl_json) AND json_type(acl_json) = 'OBJECT')"""
+CTE["acl_rows"] = f"""acl_rows AS (
+  SELECT DISTINCT entity_id, role, 'DAGs' AS resource, a AS action
+  FROM acl_roles, LATERAL (SELECT unnest({_acts('pv')}) AS a)
+  WHERE json_type(pv) <> 'OBJECT'
+  UNION
+  SELECT DISTINCT entity_id, role, {strip('k')} AS resource, a AS action
+  FROM (SELECT entity_id, role, k, json_extract(pv, '$."' || k || '"') AS av
+        FROM acl_roles, LATERAL (SELECT unnest(json_keys(pv)) AS k) WHERE json_type(pv) = 'OBJECT'),
+       LATERAL (SELECT unnest({_acts('av')}) AS a)
+  WHERE {strip('k')} <> '')"""
+
+ORACLE["acl_normalize"] = with_("acl", "acl_roles", "acl_rows") + "SELECT entity_id, role, resource, action FROM acl_rows"
+
+ORACLE["acl_merge"] = with_("entities", "entity_tags", "tag_map", "scope_role", "acl", "acl_roles", "acl_rows",
+                            extra=(classify_cte("classified", "entities", trim=True),)) + """,
+targets AS (SELECT c.entity_id, r.role FROM classified c JOIN scope_role r ON c.scope = r.scope WHERE c.status = 'valid')
+SELECT a.entity_id, a.role, a.resource, a.action FROM acl_rows a
+WHERE a.role NOT IN ('AF_TRIGGER_SCOPE_GLOBAL', 'AF_TRIGGER_SCOPE_US', 'AF_TRIGGER_SCOPE_MX', 'AF_TRIGGER_SCOPE_CN')
+  AND a.entity_id IN (SELECT entity_id FROM targets)
+UNION ALL
+SELECT t.entity_id, t.role, p.resource, p.action
+FROM targets t CROSS JOIN (VALUES ('DAGs', 'can_edit'), ('DAG Runs', 'can_create')) p(resource, action)"""
+
+ORACLE["permission_state"] = """
+SELECT role, action, resource, CASE WHEN arg_max(op, seq) = 'grant' THEN 'grant' ELSE 'revoke' END AS last_op
+FROM (SELECT event_id AS seq, CASE WHEN value > 50 THEN 'revoke' ELSE 'grant' END AS op,
+             'ROLE_' || CAST(user_id AS VARCHAR) AS role, event_type AS action, 'DAGs' AS resource FROM events)
+GROUP BY role, action, resource"""
+
+ORACLE["bypass_guard"] = """
+WITH gg AS (
+  SELECT 'AF_TRIGGER_SCOPE_' || upper(replace(n_name, ' ', '_')) AS role,
+         CASE WHEN c_custkey % 50 = 0 THEN 'can_create' ELSE 'can_read' END AS action,
+         CASE WHEN c_custkey % 3 = 0 THEN 'DAG Runs' ELSE 'DAG Run:' || CAST(c_custkey AS VARCHAR) END AS resource
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+managed AS (
+  SELECT 'AF_TRIGGER_SCOPE_' || upper(replace(n_name, ' ', '_')) AS role
+  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AMERICA', 'ASIA'))
+SELECT role, count(*) AS grants FROM gg
+WHERE action = 'can_create' AND resource = 'DAG Runs' AND role IN (SELECT role FROM managed)
+GROUP BY role"""
+
+ORACLE["effective_access"] = """
+WITH requests AS (
+  SELECT event_id AS request_id, 'user_' || CAST(user_id AS VARCHAR) AS username,
+         json_extract_string(props, '$.k') AS entity_id FROM events),
+user_roles AS (SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role
+               FROM events WHERE value > 100),
+ag AS (
+  SELECT DISTINCT event_type AS role, 'can_create' AS action,
+         'DAG Run:' || json_extract_string(props, '$.k') AS resource FROM events WHERE value > 300
+  UNION SELECT 'signup', 'can_create', 'DAG Runs'),
+flags AS (
+  SELECT r.request_id, r.username, r.entity_id,
+         EXISTS (SELECT 1 FROM user_roles u JOIN ag g ON u.role = g.role
+                 WHERE u.username = r.username AND g.action = 'can_create'
+                   AND g.resource = 'DAG Run:' || r.entity_id) AS s,
+         EXISTS (SELECT 1 FROM user_roles u JOIN ag g ON u.role = g.role
+                 WHERE u.username = r.username AND g.action = 'can_create' AND g.resource = 'DAG Runs') AS g
+  FROM requests r)
+SELECT request_id, username, entity_id, (s OR g) AS allowed,
+       CASE WHEN s THEN 'scoped' WHEN g THEN 'global' END AS via
+FROM flags"""
+
+ORACLE["missing_roles"] = """
+SELECT DISTINCT 'ROLE_' || c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) AS role FROM customer
+EXCEPT
+SELECT 'ROLE_' || c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_acctbal < 0"""

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagwarden.functions.tags import label_from_tag, normalize_scopes, scope_role_name, tag_from_source
 from tagwarden.operators import classify as B
+from tagwarden.operators import grants as C
 from tagwarden.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +44,112 @@ def no_role(spark, sf_dir):
 def outside_root(spark, sf_dir):
     e = fx.entities(spark, sf_dir)
     return e.select("entity_id", "path", B.under_root("path", fx.ROOT).alias("under_root"))
+
+
+@query("violations")
+def violations(spark, sf_dir):
+    return B.violations(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark),
+                        B.scope_role_table(spark), fx.ROOT, trim_tags=True)
+
+
+@query("desired_grants")
+def desired_grants(spark, sf_dir):
+    return B.desired_grants(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark),
+                            fx.MANAGED_SCOPES, fx.ROOT, trim_tags=False)
+
+
+@query("source_label")
+def source_label(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "source")
+    tag = tag_from_source("source", fx.US_DOC_SOURCES)
+    return d.select("doc_id", "source", tag.alias("tag"), label_from_tag(tag).alias("label"))
+
+
+@query("tag_map_parse")
+def tag_map_parse(spark, sf_dir):
+    return B.parse_tag_map(fx.tag_map_texts(spark, sf_dir), "text", keep=["o_orderkey"])
+
+
+@query("tag_map_rejects")
+def tag_map_rejects(spark, sf_dir):
+    return B.tag_map_rejects(fx.tag_map_texts(spark, sf_dir), "text", keep=["o_orderkey"])
+
+
+@query("scopes_norm")
+def scopes_norm(spark, sf_dir):
+    t = fx.scope_texts(spark, sf_dir)
+    forms = []
+    for form, strict in (("lenient", False), ("strict", True)):
+        forms.append(t.select("c_custkey", F.lit(form).alias("form"),
+                              F.explode(normalize_scopes("text", strict=strict)).alias("scope")))
+    out = forms[0].unionByName(forms[1])
+    return out.select("c_custkey", "form", "scope", scope_role_name("scope").alias("role"))
+
+
+# ------------------------------------------------------------------ family C
+def _desired(spark, sf_dir):
+    return desired_grants(spark, sf_dir)
+
+
+def _existing(spark, sf_dir):
+    return C.existing_grants(fx.grants(spark, sf_dir), fx.MANAGED_SCOPES)
+
+
+@query("existing_grants")
+def existing_grants(spark, sf_dir):
+    return _existing(spark, sf_dir)
+
+
+@query("grant_diff")
+def grant_diff(spark, sf_dir):
+    return C.diff_grants(_desired(spark, sf_dir), _existing(spark, sf_dir))
+
+
+@query("diff_summary")
+def diff_summary(spark, sf_dir):
+    return C.diff_summary(grant_diff(spark, sf_dir))
+
+
+@query("grant_plan")
+def grant_plan(spark, sf_dir):
+    return C.render_plan(grant_diff(spark, sf_dir))
+
+
+@query("apply_diff")
+def apply_diff(spark, sf_dir):
+    return C.apply_diff(_existing(spark, sf_dir), grant_diff(spark, sf_dir))
+
+
+@query("acl_normalize")
+def acl_normalize(spark, sf_dir):
+    return C.normalize_acl(fx.acl(spark, sf_dir))
+
+
+@query("acl_merge")
+def acl_merge(spark, sf_dir):
+    c = B.classify(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark), trim_tags=True)
+    targets = B.resolve_role(c, B.scope_role_table(spark)).where(F.col("status") == "valid") \
+        .select("entity_id", "role")
+    return C.merge_acl(C.normalize_acl(fx.acl(spark, sf_dir)), targets)
+
+
+@query("permission_state")
+def permission_state(spark, sf_dir):
+    return C.permission_state(fx.permission_ops(spark, sf_dir))
+
+
+@query("bypass_guard")
+def bypass_guard(spark, sf_dir):
+    return C.bypass_violations(fx.global_grants(spark, sf_dir), fx.managed_nation_roles(spark, sf_dir))
+
+
+@query("effective_access")
+def effective_access(spark, sf_dir):
+    return C.effective_access(fx.access_requests(spark, sf_dir), fx.current_roles(spark, sf_dir),
+                              fx.access_grants(spark, sf_dir))
+
+
+@query("missing_roles")
+def missing_roles(spark, sf_dir):
+    wanted, present = fx.segment_roles(spark, sf_dir)
+    return C.missing_roles(wanted, present)

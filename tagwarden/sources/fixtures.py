@@ -141,3 +141,43 @@ def managed_nation_roles(spark, sf_dir) -> DataFrame:
     r = table(spark, sf_dir, "region").where(F.col("r_name").isin("AMERICA", "ASIA"))
     return n.join(r, n.n_regionkey == r.r_regionkey, "left_semi").select(
         F.concat(F.lit("AF_TRIGGER_SCOPE_"), F.upper(F.regexp_replace("n_name", " ", "_"))).alias("role"))
+
+
+def tag_map_texts(spark, sf_dir) -> DataFrame:
+    """(o_orderkey, text): one tag-map text per order, mixing valid, repeated, blank and bad items.
+
+    Every seventh order carries a text with nothing valid in it (so the defaults apply).
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    k = F.col("o_orderkey")
+    st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
+    items = F.concat_ws(
+        ",",
+        F.concat(F.lit(" OS_"), st, F.lit(" = "), pr),
+        F.when(k % 3 == 0, F.concat(F.lit("OS_"), st, F.lit("=late="), F.col("o_custkey").cast("string"))),
+        F.when(k % 4 == 1, F.lit("junk")).otherwise(F.concat(F.lit("="), st)),
+        F.lit(" "),
+        F.concat(F.lit("P"), F.substring(pr, 1, 1), F.lit("= "), F.upper(st), F.lit(" ")),
+    )
+    text = F.when(k % 7 == 0, F.lit(" , =x, A= ")).otherwise(items)
+    return o.select("o_orderkey", text.alias("text"))
+
+
+def scope_texts(spark, sf_dir) -> DataFrame:
+    """(c_custkey, text): a scope-list text per customer: segment, nation name, blanks, maybe 'Global'."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = c.join(n, c.c_nationkey == n.n_nationkey)
+    text = F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" , "), F.lower("n_name"), F.lit(",,"),
+                    F.when(F.col("c_custkey") % 2 == 0, F.lit(" Global ")).otherwise(F.lit("")))
+    return j.select("c_custkey", text.alias("text"))
+
+
+def segment_roles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(wanted, present) role names ``ROLE_<segment>_<nation>``: wanted from all customers,
+    present from customers with a negative balance (roles already created)."""
+    c = table(spark, sf_dir, "customer")
+    role = F.concat(F.lit("ROLE_"), F.col("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string"))
+    wanted = c.select(role.alias("role"))
+    present = c.where(F.col("c_acctbal") < 0).select(role.alias("role"))
+    return wanted, present
