@@ -311,3 +311,69 @@ ORACLE["missing_roles"] = """
 SELECT DISTINCT 'ROLE_' || c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) AS role FROM customer
 EXCEPT
 SELECT 'ROLE_' || c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_acctbal < 0"""
+
+# ------------------------------------------------------------------ family D
+CTE["cur_roles"] = """cur_roles AS (
+  SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events WHERE value > 100)"""
+CTE["des_roles"] = """des_roles AS (
+  SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events
+  WHERE ts < TIMESTAMP '2024-01-05 00:00:00' AND event_type IN ('click', 'view', 'purchase'))"""
+CTE["role_changes"] = """role_changes AS (
+  SELECT username, 'add' AS op, role FROM (SELECT username, role FROM des_roles EXCEPT SELECT username, role FROM cur_roles)
+  UNION ALL
+  SELECT username, 'remove' AS op, role FROM (
+    SELECT username, role FROM cur_roles
+    WHERE role IN ('click', 'view', 'purchase') AND username IN (SELECT username FROM des_roles)
+    EXCEPT SELECT username, role FROM des_roles))"""
+
+ORACLE["reconcile_roles"] = with_("cur_roles", "des_roles", "role_changes") + "SELECT username, op, role FROM role_changes"
+ORACLE["aligned_users"] = with_("cur_roles", "des_roles", "role_changes") + """
+SELECT DISTINCT username FROM des_roles WHERE username NOT IN (SELECT username FROM role_changes)"""
+
+ORACLE["role_matrix"] = """
+WITH matrix(profile, strict, role) AS (VALUES
+  ('normal', false, 'Viewer'), ('normal', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('normal', true, 'Viewer'), ('normal', true, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('us_user', false, 'Viewer'), ('us_user', false, 'AF_TRIGGER_SCOPE_US'), ('us_user', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('us_user', true, 'Viewer'), ('us_user', true, 'AF_TRIGGER_SCOPE_US'),
+  ('nonus_priv', false, 'Viewer'), ('nonus_priv', false, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('nonus_priv', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('nonus_priv', true, 'Viewer'), ('nonus_priv', true, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('us_priv', false, 'Viewer'), ('us_priv', false, 'AF_TRIGGER_SCOPE_US'), ('us_priv', false, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('us_priv', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('us_priv', true, 'Viewer'), ('us_priv', true, 'AF_TRIGGER_SCOPE_US'), ('us_priv', true, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('admin_observer', false, 'AF_ADMIN_OBSERVER_NO_DAG'), ('admin_observer', true, 'AF_ADMIN_OBSERVER_NO_DAG')),
+prof AS (
+  SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS username,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'normal' WHEN 'BUILDING' THEN 'us_user'
+              WHEN 'FURNITURE' THEN 'nonus_priv' WHEN 'HOUSEHOLD' THEN 'us_priv' WHEN 'MACHINERY' THEN 'admin_observer' END
+           AS profile,
+         c_acctbal < 0 AS strict
+  FROM customer)
+SELECT p.username, m.role FROM prof p JOIN matrix m ON p.profile = m.profile AND p.strict = m.strict"""
+
+ORACLE["users_to_create"] = """
+SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, 'Viewer' AS role FROM events
+WHERE 'user_' || CAST(user_id AS VARCHAR) NOT IN (SELECT 'user_' || CAST(user_id AS VARCHAR) FROM events WHERE value < 0.5)"""
+
+ORACLE["teardown_plan"] = """
+WITH targets AS (
+  SELECT 'user' AS kind, 'supp_' || CAST(s_suppkey AS VARCHAR) AS name FROM supplier
+  UNION ALL SELECT 'role', 'ROLE_' || replace(n_name, ' ', '_') FROM nation),
+present AS (
+  SELECT 'user' AS kind, 'supp_' || CAST(s_suppkey AS VARCHAR) AS name FROM supplier WHERE s_acctbal > 0
+  UNION SELECT 'role', 'ROLE_' || replace(n_name, ' ', '_') FROM nation
+        WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0))
+SELECT t.kind, t.name, CASE WHEN p.name IS NULL THEN 'skip' ELSE 'delete' END AS action
+FROM targets t LEFT JOIN present p ON t.kind = p.kind AND t.name = p.name"""
+
+ORACLE["group_roles"] = """
+SELECT DISTINCT 'cust_' || CAST(o_custkey AS VARCHAR) AS username, m.role
+FROM orders JOIN (VALUES ('1-URGENT', 'Viewer'), ('2-HIGH', 'Viewer'), ('3-MEDIUM', 'AF_RERUN_ALL_NO_TRIGGER')) m(grp, role)
+  ON o_orderpriority = m.grp"""
+
+# The listing and role-list texts are rendered from events and parsed back: the parse
+# must give back exactly the source pairs.
+ORACLE["user_listing"] = """
+SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events"""
+ORACLE["role_list_parse"] = ORACLE["user_listing"]

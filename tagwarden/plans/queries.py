@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tagwarden.functions.tags import label_from_tag, normalize_scopes, scope_role_name, tag_from_source
 from tagwarden.operators import classify as B
 from tagwarden.operators import grants as C
+from tagwarden.operators import members as D
 from tagwarden.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +154,48 @@ def effective_access(spark, sf_dir):
 def missing_roles(spark, sf_dir):
     wanted, present = fx.segment_roles(spark, sf_dir)
     return C.missing_roles(wanted, present)
+
+
+# ------------------------------------------------------------------ family D
+@query("reconcile_roles")
+def reconcile_roles(spark, sf_dir):
+    return D.reconcile_roles(fx.current_roles(spark, sf_dir), fx.desired_roles(spark, sf_dir), fx.MANAGED_EVENT_ROLES)
+
+
+@query("aligned_users")
+def aligned_users(spark, sf_dir):
+    return D.aligned_users(fx.current_roles(spark, sf_dir), fx.desired_roles(spark, sf_dir), fx.MANAGED_EVENT_ROLES)
+
+
+@query("role_matrix")
+def role_matrix(spark, sf_dir):
+    return D.desired_roles(fx.customer_profiles(spark, sf_dir))
+
+
+@query("users_to_create")
+def users_to_create(spark, sf_dir):
+    wanted, present = fx.event_users(spark, sf_dir)
+    return D.users_to_create(wanted, present)
+
+
+@query("teardown_plan")
+def teardown_plan(spark, sf_dir):
+    targets, present = fx.teardown_targets(spark, sf_dir)
+    return D.teardown_plan(targets, present).select("kind", "name", "action")
+
+
+@query("group_roles")
+def group_roles(spark, sf_dir):
+    ug, mapping = fx.order_groups(spark, sf_dir)
+    return D.roles_from_groups(ug, mapping)
+
+
+@query("user_listing")
+def user_listing(spark, sf_dir):
+    parsed = D.parse_user_listing(fx.user_listing_lines(spark, sf_dir), "value", pos_col="pos")
+    return D.parse_role_list(parsed, "line", keep=["username"])
+
+
+@query("role_list_parse")
+def role_list_parse(spark, sf_dir):
+    return D.parse_role_list(fx.role_list_texts(spark, sf_dir), "text", keep=["username"])

@@ -181,3 +181,74 @@ def segment_roles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     wanted = c.select(role.alias("role"))
     present = c.where(F.col("c_acctbal") < 0).select(role.alias("role"))
     return wanted, present
+
+
+SEGMENT_PROFILE = (("AUTOMOBILE", "normal"), ("BUILDING", "us_user"), ("FURNITURE", "nonus_priv"),
+                   ("HOUSEHOLD", "us_priv"), ("MACHINERY", "admin_observer"))
+GROUP_ROLES = (("1-URGENT", "Viewer"), ("2-HIGH", "Viewer"), ("3-MEDIUM", "AF_RERUN_ALL_NO_TRIGGER"))
+
+
+def customer_profiles(spark, sf_dir) -> DataFrame:
+    """(username, profile, strict): every customer gets the profile of its segment; negative balance = strict."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    prof = F.create_map(*[x for s, p in SEGMENT_PROFILE for x in (F.lit(s), F.lit(p))])
+    return c.select(F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("username"),
+                    F.element_at(prof, F.col("c_mktsegment")).alias("profile"),
+                    (F.col("c_acctbal") < 0).alias("strict"))
+
+
+def event_users(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(wanted, present) usernames: all event users / those with an event value below 0.5."""
+    e = table(spark, sf_dir, "events")
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username")
+    return e.select(name), e.where(F.col("value") < 0.5).select(name)
+
+
+def teardown_targets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(targets, present): suppliers as users and nations as roles; present users have a
+    positive balance, present roles are the nations of suppliers in debt."""
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    uname = F.concat(F.lit("supp_"), F.col("s_suppkey").cast("string"))
+    rname = F.concat(F.lit("ROLE_"), F.regexp_replace("n_name", " ", "_"))
+    targets = s.select(F.lit("user").alias("kind"), uname.alias("name")).unionByName(
+        n.select(F.lit("role").alias("kind"), rname.alias("name")))
+    debt = s.where(F.col("s_acctbal") < 0).select(F.col("s_nationkey").alias("n_nationkey"))
+    present = s.where(F.col("s_acctbal") > 0).select(F.lit("user").alias("kind"), uname.alias("name")).unionByName(
+        n.join(debt, "n_nationkey", "left_semi").select(F.lit("role").alias("kind"), rname.alias("name")))
+    return targets, present
+
+
+def order_groups(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(user_groups, mapping): each customer is in the group of every priority it ordered with."""
+    o = table(spark, sf_dir, "orders")
+    ug = o.select(F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("username"),
+                  F.col("o_orderpriority").alias("group"))
+    mapping = spark.createDataFrame(list(GROUP_ROLES), "group string, role string")
+    return ug, mapping
+
+
+def role_list_texts(spark, sf_dir) -> DataFrame:
+    """(user_id, username, text): each user's sorted event types as a list literal;
+    odd users use double quotes and loose spacing."""
+    e = table(spark, sf_dir, "events")
+    per = e.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("types"))
+    odd = F.col("user_id") % 2 == 1
+    sq = F.concat(F.lit("["), F.array_join(F.transform("types", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
+                  F.lit("]"))
+    dq = F.concat(F.lit("[ "), F.array_join(F.transform("types", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " , "),
+                  F.lit(" ]"))
+    return per.select("user_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"),
+                      F.when(odd, dq).otherwise(sq).alias("text"))
+
+
+def user_listing_lines(spark, sf_dir) -> DataFrame:
+    """(pos, value): a user listing rendered from events - a header, then one line per user;
+    even users have a leading numeric id column, odd users do not."""
+    r = role_list_texts(spark, sf_dir)
+    uname = F.col("username")
+    body = F.concat_ws(" ", F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")), uname,
+                       F.concat(uname, F.lit("@example.local")), F.lit("First"), F.lit("Last"), F.col("text"))
+    lines = r.select((F.col("user_id") + 1).alias("pos"), body.alias("value"))
+    header = spark.createDataFrame([(0, "id username email first_name last_name roles")], "pos bigint, value string")
+    return header.unionByName(lines)
