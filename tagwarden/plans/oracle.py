@@ -377,3 +377,62 @@ FROM orders JOIN (VALUES ('1-URGENT', 'Viewer'), ('2-HIGH', 'Viewer'), ('3-MEDIU
 ORACLE["user_listing"] = """
 SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events"""
 ORACLE["role_list_parse"] = ORACLE["user_listing"]
+
+# ------------------------------------------------------------------ family E
+LINE_RE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] (?:\[(INFO|WARN|ERROR|DEBUG|DRYRUN)\] )?(.*)$"
+
+ORACLE["log_parse"] = f"""
+WITH lines AS (
+  SELECT event_id,
+         CASE WHEN event_type = 'error' THEN '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [ERROR] ' || event_type || ' user=' || CAST(user_id AS VARCHAR)
+              WHEN event_type = 'view' THEN '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || event_type || ' user=' || CAST(user_id AS VARCHAR)
+              WHEN event_type = 'click' THEN '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [INFO] [k=' || json_extract_string(props, '$.k') || '] ' || event_type || ' user=' || CAST(user_id AS VARCHAR)
+              WHEN event_type = 'purchase' AND value > 400 THEN '  at job.step(' || CAST(event_id AS VARCHAR) || ')'
+              ELSE '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [INFO] ' || event_type || ' user=' || CAST(user_id AS VARCHAR) END AS value
+  FROM events)
+SELECT event_id,
+       CASE WHEN regexp_matches(value, '{LINE_RE}')
+            THEN strftime(try_strptime(regexp_extract(value, '{LINE_RE}', 1), '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') END AS ts,
+       CASE WHEN regexp_matches(value, '{LINE_RE}') AND regexp_extract(value, '{LINE_RE}', 2) <> ''
+            THEN regexp_extract(value, '{LINE_RE}', 2) END AS level,
+       CASE WHEN regexp_matches(value, '{LINE_RE}') THEN regexp_extract(value, '{LINE_RE}', 3) ELSE value END AS message
+FROM lines"""
+
+ORACLE["tail_30"] = """
+SELECT user_id, event_id, CAST(rn AS INTEGER) AS rn FROM (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn <= 30"""
+
+ORACLE["retention"] = """
+SELECT o_orderkey, age_days, age_days > 90 AS expired FROM (
+  SELECT o_orderkey, CAST(floor(date_diff('second', o_orderdate, TIMESTAMP '1999-01-01 00:00:00') / 86400) AS BIGINT) AS age_days
+  FROM orders)"""
+
+ORACLE["run_outcome"] = """
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS rc
+FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')"""
+
+ORACLE["auth_failures"] = """
+SELECT page_id,
+       coalesce((contains(lower(html), 'sasl negotiation failure') OR contains(lower(html), 'gss initiate failed'))
+                AND NOT contains(lower(url), 'principal='), false) AS auth_failure
+FROM pages"""
+
+ORACLE["status_rollup"] = """
+WITH obs AS (
+  SELECT user_id AS service, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS source,
+         event_id AS ord, event_id AS pid, value >= 1 AS live
+  FROM events WHERE value < 5 AND event_type IN ('signup', 'view', 'click')),
+agg AS (
+  SELECT service,
+         arg_min(pid, ord) FILTER (WHERE live AND source = 1) AS p1,
+         arg_min(pid, ord) FILTER (WHERE live AND source = 2) AS p2,
+         arg_min(pid, ord) FILTER (WHERE source = 3) AS p3,
+         arg_min(live, ord) FILTER (WHERE source = 3) AS l3
+  FROM obs GROUP BY service),
+services AS (SELECT user_id AS service, bool_or(event_type = 'purchase') AS managed FROM events GROUP BY user_id),
+picked AS (SELECT service, coalesce(p1, p2, CASE WHEN l3 THEN p3 END) AS pid FROM agg)
+SELECT s.service,
+       CASE WHEN NOT s.managed THEN 'disabled' WHEN p.pid IS NULL THEN 'stopped' ELSE 'running' END AS status,
+       CASE WHEN s.managed AND p.pid IS NOT NULL THEN CAST(p.pid AS VARCHAR) ELSE '-' END AS pid
+FROM services s LEFT JOIN picked p ON s.service = p.service"""

@@ -15,6 +15,7 @@ from tagwarden.functions.tags import label_from_tag, normalize_scopes, scope_rol
 from tagwarden.operators import classify as B
 from tagwarden.operators import grants as C
 from tagwarden.operators import members as D
+from tagwarden.operators import logs as E
 from tagwarden.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +200,42 @@ def user_listing(spark, sf_dir):
 @query("role_list_parse")
 def role_list_parse(spark, sf_dir):
     return D.parse_role_list(fx.role_list_texts(spark, sf_dir), "text", keep=["username"])
+
+
+# ------------------------------------------------------------------ family E
+@query("log_parse")
+def log_parse(spark, sf_dir):
+    p = E.parse_log_lines(fx.log_lines(spark, sf_dir), "value")
+    return p.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "level", "message")
+
+
+@query("tail_30")
+def tail_30(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    t = E.tail_per_key(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], n=30)
+    return t.select("user_id", "event_id", F.col("rn").cast("int").alias("rn"))
+
+
+@query("retention")
+def retention(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return E.retention(o, "o_orderdate", fx.AS_OF).select("o_orderkey", "age_days", "expired")
+
+
+@query("run_outcome")
+def run_outcome(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").select(
+        "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    return E.run_outcome(e, ["user_id", "day"], F.col("event_type") == "error")
+
+
+@query("auth_failures")
+def auth_failures(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return p.select("page_id", E.auth_failure("html", "url").alias("auth_failure"))
+
+
+@query("status_rollup")
+def status_rollup(spark, sf_dir):
+    obs, services = fx.observations(spark, sf_dir)
+    return E.status_rollup(obs, services)

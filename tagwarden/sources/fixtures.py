@@ -252,3 +252,38 @@ def user_listing_lines(spark, sf_dir) -> DataFrame:
     lines = r.select((F.col("user_id") + 1).alias("pos"), body.alias("value"))
     header = spark.createDataFrame([(0, "id username email first_name last_name roles")], "pos bigint, value string")
     return header.unionByName(lines)
+
+
+def log_lines(spark, sf_dir) -> DataFrame:
+    """(event_id, value): every event rendered as a manager log line.
+
+    error -> ``[ts] [ERROR] ...``; view -> no level; click -> bracketed text after the
+    level; big purchases -> a stack-trace line with no time stamp; others ``[ts] [INFO] ...``.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    ts = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "))
+    msg = F.concat(F.col("event_type"), F.lit(" user="), F.col("user_id").cast("string"))
+    t = F.col("event_type")
+    line = (F.when(t == "error", F.concat(ts, F.lit("[ERROR] "), msg))
+            .when(t == "view", F.concat(ts, msg))
+            .when(t == "click", F.concat(ts, F.lit("[INFO] [k="), F.get_json_object("props", "$.k"), F.lit("] "), msg))
+            .when((t == "purchase") & (F.col("value") > 400),
+                  F.concat(F.lit("  at job.step("), F.col("event_id").cast("string"), F.lit(")")))
+            .otherwise(F.concat(ts, F.lit("[INFO] "), msg)))
+    return e.select("event_id", line.alias("value"))
+
+
+def observations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(obs, services): small-value events are process observations of the user's service.
+
+    signup = control tool (1), view = pid file (2), click = process match (3); live when
+    value >= 1. A service is managed when its user ever purchased.
+    """
+    e = table(spark, sf_dir, "events")
+    src = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", 2).otherwise(3)
+    obs = e.where((F.col("value") < 5) & F.col("event_type").isin("signup", "view", "click")).select(
+        F.col("user_id").alias("service"), src.alias("source"), F.col("event_id").alias("ord"),
+        F.col("event_id").alias("pid"), (F.col("value") >= 1).alias("live"))
+    services = e.groupBy(F.col("user_id").alias("service")).agg(
+        F.max(F.col("event_type") == "purchase").alias("managed"))
+    return obs, services
