@@ -436,3 +436,13 @@ SELECT s.service,
        CASE WHEN NOT s.managed THEN 'disabled' WHEN p.pid IS NULL THEN 'stopped' ELSE 'running' END AS status,
        CASE WHEN s.managed AND p.pid IS NOT NULL THEN CAST(p.pid AS VARCHAR) ELSE '-' END AS pid
 FROM services s LEFT JOIN picked p ON s.service = p.service"""
+
+# ------------------------------------------------------------------ family A
+ORACLE["reload_twice"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+ORACLE["ordered_read"] = "SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey"
+ORACLE["table_count"] = "SELECT count(*) AS cnt FROM customer"
+ORACLE["table_smoke"] = """
+SELECT * FROM (VALUES ('create', true, CAST(NULL AS BIGINT))) t(step, ok, rows)
+UNION ALL SELECT 'insert', true, count(*) FROM supplier
+UNION ALL SELECT 'count', true, count(*) FROM supplier
+UNION ALL SELECT 'query', true, count(*) FROM supplier"""

@@ -17,6 +17,7 @@ from tagwarden.operators import grants as C
 from tagwarden.operators import members as D
 from tagwarden.operators import logs as E
 from tagwarden.sources import fixtures as fx
+from tagwarden.sources import tables as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -239,3 +240,47 @@ def auth_failures(spark, sf_dir):
 def status_rollup(spark, sf_dir):
     obs, services = fx.observations(spark, sf_dir)
     return E.status_rollup(obs, services)
+
+
+# ------------------------------------------------------------------ family A
+def _table_name(base: str, sf_dir: str) -> str:
+    import hashlib
+
+    return f"tw_{base}_{hashlib.sha1(sf_dir.encode()).hexdigest()[:8]}"
+
+
+def _load_copy(spark, sf_dir, source: str) -> str:
+    """Ensure a Parquet copy of a driver table in the warehouse and reload it (A1, A2)."""
+    src = fx.table(spark, sf_dir, source)
+    name = _table_name(source, sf_dir)
+    A.ensure_table(spark, name, src.schema, schema_name="default",
+                   location=A.warehouse_location(spark, name))
+    A.reload_rows(spark, name, src, schema_name="default")
+    return name
+
+
+@query("reload_twice")
+def reload_twice(spark, sf_dir):
+    name = _load_copy(spark, sf_dir, "nation")
+    A.reload_rows(spark, name, fx.table(spark, sf_dir, "nation"), schema_name="default")
+    return spark.table(f"default.{name}")
+
+
+@query("ordered_read")
+def ordered_read(spark, sf_dir):
+    name = _load_copy(spark, sf_dir, "region")
+    return A.ordered_select(spark, name, ["r_regionkey", "r_name"], ["r_regionkey"], schema_name="default")
+
+
+@query("table_count")
+def table_count(spark, sf_dir):
+    name = _load_copy(spark, sf_dir, "customer")
+    return A.row_count(spark, name, schema_name="default")
+
+
+@query("table_smoke")
+def table_smoke(spark, sf_dir):
+    src = fx.table(spark, sf_dir, "supplier")
+    name = _table_name("supplier", sf_dir)
+    return A.smoke(spark, name, src.schema, src, key=["s_suppkey"], schema_name="default",
+                   location=A.warehouse_location(spark, name))
