@@ -57,7 +57,7 @@ def read_logs(spark, path: str) -> DataFrame:
         "value", "file_name",
         F.regexp_extract(fn, FILE_RE, 1).alias("script"),
         F.regexp_extract(fn, FILE_RE, 2).alias("env"),
-        F.try_to_date(F.regexp_extract(fn, FILE_RE, 3), F.lit("yyyy-MM-dd")).alias("log_date"),
+        F.try_to_timestamp(F.regexp_extract(fn, FILE_RE, 3), F.lit("yyyy-MM-dd")).cast("date").alias("log_date"),
     )
     return parse_log_lines(raw, "value")
 
