@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS_EDGES = r"^\s+|\s+$"
+# Every character Python's str.strip() removes (generated from str.isspace, not listed by hand).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 # Characters that shell quoting leaves bare (everything else forces single quotes).
 _SHELL_SAFE = r"^[A-Za-z0-9_@%+=:,./-]+$"
 
@@ -14,9 +15,24 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def explode_rows(df, array_col, alias: str, *keep):
+    """``explode`` without the inferred ``size(array) > 0`` pre-filter.
+
+    For a plain ``explode`` the optimizer adds ``size(arr) > 0`` and pushes it down by
+    substituting the array's defining expression, so an expensive array (a parse, a
+    variant unpack) would be computed twice per row. ``explode_outer`` infers no such
+    filter; the null rows it emits for empty arrays are dropped after the generator.
+    """
+    return df.select(*keep, F.explode_outer(array_col).alias(alias)).where(F.col(alias).isNotNull())
+
+
 def py_strip(col) -> Column:
-    """Strip leading/trailing whitespace of every kind (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_c(col), _WS_EDGES, "")
+    """Strip leading/trailing whitespace of every kind, like Python's ``str.strip()``.
+
+    Spark's ``trim`` only strips spaces; ``btrim`` with the full whitespace set is exact
+    and needs no regex.
+    """
+    return F.btrim(_c(col), F.lit(WHITESPACE))
 
 
 def first_non_empty(*cols) -> Column:
@@ -41,11 +57,17 @@ def shell_quote(col) -> Column:
     )
 
 
+# A path needs the slow (segment-folding) normalisation only when it holds an empty,
+# ``.`` or ``..`` segment, a trailing slash, or does not start with ``/``.
+_NEEDS_NORMALISING = r"(^|/)\.{1,2}(/|$)|//|/$"
+
+
 def normalize_path(col) -> Column:
     """Lexically normalise an absolute path: drop empty and ``.`` segments, fold ``..``.
 
     Symbolic links are not resolved (a table of paths has no file system behind it).
-    Null or empty input gives null.
+    Null or empty input gives null. Paths that are already clean take a fast path
+    (one regex test) and skip the higher-order functions.
     """
     c = _c(col)
     parts = F.filter(F.split(c, "/"), lambda s: (s != "") & (s != "."))
@@ -56,6 +78,21 @@ def normalize_path(col) -> Column:
         .when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
         .otherwise(acc),
     )
-    return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("/"), F.array_join(folded, "/"))
-    )
+    clean = c.startswith("/") & ~c.rlike(_NEEDS_NORMALISING)
+    return (F.when(c.isNull() | (c == ""), F.lit(None).cast("string"))
+            .when(clean, c)
+            .otherwise(F.concat(F.lit("/"), F.array_join(folded, "/"))))
+
+
+def normalize_path_text(path: str) -> str:
+    """The same normalisation for a Python string (used for literal roots)."""
+    out: list[str] = []
+    for seg in path.split("/"):
+        if seg in ("", "."):
+            continue
+        if seg == "..":
+            if out:
+                out.pop()
+            continue
+        out.append(seg)
+    return "/" + "/".join(out)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwarden.functions.tags import scope_role_name
-from tagwarden.functions.text import normalize_path, py_list_repr, py_strip
+from tagwarden.functions.text import explode_rows, normalize_path, normalize_path_text, py_list_repr, py_strip
 from tagwarden.plans.broadcast import bounded_broadcast
 
 # Fixed values (the reference's defaults):
@@ -37,24 +37,29 @@ _PAIR = "struct<tag:string,scope:string>"
 
 
 # --------------------------------------------------------------------------- B1
-def _tag_map_items(text: Column) -> Column:
-    """Array of structs (pos, raw, item, tag, scope, reason) for one tag-map text."""
-    items = F.split(F.coalesce(text, F.lit("")), ",")
-
-    def one(raw, pos):
-        item = py_strip(raw)
-        parts = F.split(item, "=", 2)
-        tag = py_strip(F.try_element_at(parts, F.lit(1)))
-        scope = F.lower(py_strip(F.try_element_at(parts, F.lit(2))))
-        reason = (
-            F.when(item == "", F.lit("blank"))
-            .when(~item.contains("="), F.lit("missing '='"))
-            .when((tag == "") | (scope == ""), F.lit("empty tag/scope"))
-        )
-        return F.struct(pos.alias("pos"), item.alias("item"), tag.alias("tag"), scope.alias("scope"),
+def _tag_map_items(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``(*keep, _parsed)``: per text an array of (pos, item, tag, scope, reason) structs.
+
+    Built in stages so that each item is stripped once and split once: lambda bodies get
+    no common-subexpression elimination, and a separate projection per stage keeps
+    Spark from inlining (and so repeating) the earlier arrays.
+    """
+    s1 = df.select(*keep, F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), ","),
+                                      lambda x: py_strip(x)).alias("_items"))
+    s2 = s1.select(*keep, "_items",
+                   F.transform("_items", lambda x: py_strip(F.substring_index(x, "=", 1))).alias("_tags"),
+                   F.transform("_items", lambda x: F.lower(py_strip(
+                       F.substr(x, F.instr(x, "=") + 1)))).alias("_scopes"))
+
+    def one(x, i):
+        tag, scope = F.element_at("_tags", i + 1), F.element_at("_scopes", i + 1)
+        reason = (F.when(x == "", F.lit("blank"))
+                  .when(~x.contains("="), F.lit("missing '='"))
+                  .when((tag == "") | (scope == ""), F.lit("empty tag/scope")))
+        return F.struct(i.alias("pos"), x.alias("item"), tag.alias("tag"), scope.alias("scope"),
                         reason.alias("reason"))
 
-    return F.transform(items, one)
+    return s2.select(*keep, F.transform("_items", one).alias("_parsed"))
 
 
 def parse_tag_map(df: DataFrame, text_col: str, keep: Iterable[str] = (),
@@ -71,28 +76,27 @@ def parse_tag_map(df: DataFrame, text_col: str, keep: Iterable[str] = (),
     """
     keep = list(keep)
     defaults_arr = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(s).alias("scope")) for t, s in defaults])
-    parsed = _tag_map_items(F.col(text_col))
-    valid = F.transform(F.filter(parsed, lambda x: x["reason"].isNull()),
-                        lambda x: F.struct(x["tag"].alias("tag"), x["scope"].alias("scope")))
-    # last wins: walk the items backwards and keep the first occurrence of each tag
-    rev = F.reverse(valid)
-    last_wins = F.transform(
-        F.array_distinct(F.transform(rev, lambda x: x["tag"])),
-        lambda t: F.element_at(F.filter(rev, lambda x: x["tag"] == t), 1),
-    )
-    chosen = F.when(F.size(valid) > 0, F.struct(last_wins.alias("pairs"), F.lit("parsed").alias("origin"))) \
-        .otherwise(F.struct(defaults_arr.alias("pairs"), F.lit("default").alias("origin")))
-    out = df.select(*keep, chosen.alias("_c"))
-    return out.select(*keep, F.explode("_c.pairs").alias("_p"), F.col("_c.origin").alias("origin")) \
+    valid = _tag_map_items(df, text_col, keep).select(*keep, F.transform(
+        F.filter("_parsed", lambda x: x["reason"].isNull()),
+        lambda x: F.struct(x["tag"].alias("tag"), x["scope"].alias("scope"), x["pos"].alias("pos"))).alias("_v"))
+    # last wins: sort by (tag, pos descending) and keep the first item of each tag run
+    ordered = valid.select(*keep, F.array_sort(
+        "_v", lambda a, b: F.when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1)
+        .when(a["pos"] > b["pos"], -1).when(a["pos"] < b["pos"], 1).otherwise(0)).alias("_s"))
+    firsts = F.filter("_s", lambda x, i: (i == 0) | (F.element_at("_s", i)["tag"] != x["tag"]))
+    pairs = F.transform(firsts, lambda x: F.struct(x["tag"].alias("tag"), x["scope"].alias("scope")))
+    chosen = ordered.select(*keep, F.when(F.size("_s") > 0, pairs).otherwise(defaults_arr).alias("_pairs"),
+                            F.when(F.size("_s") > 0, F.lit("parsed")).otherwise(F.lit("default")).alias("origin"))
+    return explode_rows(chosen, "_pairs", "_p", *keep, "origin") \
         .select(*keep, F.col("_p.tag").alias("tag"), F.col("_p.scope").alias("scope"), "origin")
 
 
 def tag_map_rejects(df: DataFrame, text_col: str, keep: Iterable[str] = ()) -> DataFrame:
     """The items B1 dropped with a warning: ``(*keep, pos, item, reason)`` (blank items are skipped silently)."""
     keep = list(keep)
-    parsed = _tag_map_items(F.col(text_col))
-    bad = F.filter(parsed, lambda x: x["reason"].isNotNull() & (x["reason"] != "blank"))
-    return df.select(*keep, F.explode(bad).alias("_r")).select(
+    bad = _tag_map_items(df, text_col, keep).select(
+        *keep, F.filter("_parsed", lambda x: x["reason"].isNotNull() & (x["reason"] != "blank")).alias("_bad"))
+    return explode_rows(bad, "_bad", "_r", *keep).select(
         *keep, F.col("_r.pos").alias("pos"), F.col("_r.item").alias("item"), F.col("_r.reason").alias("reason"))
 
 
@@ -104,46 +108,96 @@ def under_root(path_col, root: str | Column) -> Column:
     ``/dags2/x`` is not under ``/dags``; null or empty paths are not under anything.
     """
     p = normalize_path(path_col)
-    r = normalize_path(F.lit(root) if isinstance(root, str) else root)
+    if isinstance(root, str):
+        r_txt = normalize_path_text(root)
+        if r_txt == "/":
+            return F.coalesce(p.isNotNull(), F.lit(False))
+        return F.coalesce((p == r_txt) | p.startswith(r_txt + "/"), F.lit(False))
+    r = normalize_path(root)
     below = F.when(r == "/", F.lit(True)).otherwise(p.startswith(F.concat(r, F.lit("/"))))
     return F.coalesce(p.isNotNull() & ((p == r) | below), F.lit(False))
 
 
 # --------------------------------------------------------------------------- B7
+# A tag map of at most this many tags is classified with bit masks (one long per entity).
+BITMASK_MAX_TAGS = 63
+
+
 def _clean_tags(tags: DataFrame, trim_tags: bool) -> DataFrame:
     t = tags.select("entity_id", (py_strip("tag") if trim_tags else F.col("tag")).alias("tag"))
     return t.where(F.col("entity_id").isNotNull() & F.col("tag").isNotNull() & (F.col("tag") != ""))
 
 
+def _small_map(tag_map: DataFrame, max_tags: int) -> list[tuple[str, str]] | None:
+    """The tag map as Python pairs when it has at most ``max_tags`` tags, else None.
+
+    The read is bounded (``limit(max_tags + 1)``): a large map is never pulled whole.
+    """
+    rows = tag_map.select("tag", "scope").where(F.col("tag").isNotNull()).dropDuplicates(["tag"]) \
+        .limit(max_tags + 1).collect()
+    if len(rows) > max_tags:
+        return None
+    return sorted((r["tag"], r["scope"]) for r in rows)
+
+
 def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True) -> DataFrame:
     """Match each entity's tags to the map and decide its status.
 
-    Output: ``entity_id, status, scope, matched_tags, tags`` where status is
-    ``valid`` (exactly one distinct scope), ``conflict`` (more than one) or ``missing``
-    (none); two tags of the same scope are valid. ``scope`` is set only when valid.
+    Output: ``entity_id, status, scope, matched_tags`` where status is ``valid``
+    (exactly one distinct scope), ``conflict`` (more than one) or ``missing`` (none);
+    two tags of the same scope are valid. ``scope`` is set only when valid;
+    ``matched_tags`` is sorted.
 
-    Plan: tags LEFT JOIN broadcast(tag_map) -> one groupBy(entity_id) with partial
-    aggregation -> entities LEFT JOIN on entity_id. The per-entity sets are bounded by
-    that entity's distinct tags and are de-duplicated map-side.
+    Plan (map of <= 63 tags, the normal case): the map becomes literal lookups; one
+    groupBy(entity_id) of ``min/max(scope_id)`` and ``bit_or(1 << tag_id)`` - fixed-width
+    buffers, so a codegen'd hash aggregation with map-side combine - then entities LEFT
+    JOIN on entity_id. Bigger maps: broadcast join (behind a size check) and per-entity
+    sets instead.
     """
-    tmap = bounded_broadcast(tag_map.select("tag", "scope").where(F.col("tag").isNotNull()))
-    t = _clean_tags(tags, trim_tags).join(tmap, "tag", "left")
+    pairs = _small_map(tag_map, BITMASK_MAX_TAGS)
+    t = _clean_tags(tags, trim_tags)
+    if pairs is None:
+        return _classify_sets(entities, t, tag_map)
+    tag_names = [tg for tg, _ in pairs]
+    scope_names = sorted({sc for _, sc in pairs})
+    tag_id = F.create_map(*[x for i, tg in enumerate(tag_names) for x in (F.lit(tg), F.lit(i))])
+    scope_of = F.array(*[F.lit(scope_names.index(sc)) for _, sc in pairs])
+    t = t.select("entity_id", F.try_element_at(tag_id, F.col("tag")).alias("_tid"))
+    t = t.where(F.col("_tid").isNotNull()).select(
+        "entity_id", "_tid", F.element_at(scope_of, F.col("_tid") + 1).alias("_sid"))
     per_entity = t.groupBy("entity_id").agg(
-        F.collect_set("scope").alias("_scopes"),
-        F.collect_set(F.when(F.col("scope").isNotNull(), F.col("tag"))).alias("_matched"),
-        F.collect_set("tag").alias("_tags"),
-    )
+        F.min("_sid").alias("_smin"), F.max("_sid").alias("_smax"),
+        F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), _tid)")).alias("_mask"))
+    joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
+    status = (F.when(F.col("_smin").isNull(), F.lit(STATUS_MISSING))
+              .when(F.col("_smin") == F.col("_smax"), F.lit(STATUS_VALID))
+              .otherwise(F.lit(STATUS_CONFLICT)))
+    names = F.array(*[F.lit(x) for x in tag_names])
+    matched = F.filter(names, lambda _, i: F.bit_get(F.coalesce("_mask", F.lit(0).cast("long")), i) == 1)
+    scope = F.when(status == STATUS_VALID,
+                   F.element_at(F.array(*[F.lit(x) for x in scope_names]), F.col("_smin") + 1))
+    return joined.select("entity_id", status.alias("status"), scope.alias("scope"),
+                         matched.alias("matched_tags"))
+
+
+def _classify_sets(entities: DataFrame, t: DataFrame, tag_map: DataFrame) -> DataFrame:
+    """General form for large tag maps: broadcast join, then per-entity distinct scopes/tags."""
+    tmap = bounded_broadcast(tag_map.select("tag", "scope").where(F.col("tag").isNotNull()))
+    m = t.join(tmap, "tag")
+    per_entity = m.groupBy("entity_id").agg(
+        F.collect_set("scope").alias("_scopes"), F.collect_set("tag").alias("_matched"))
     joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
     n = F.coalesce(F.size("_scopes"), F.lit(0))
     status = F.when(n == 1, STATUS_VALID).when(n > 1, STATUS_CONFLICT).otherwise(STATUS_MISSING)
-    empty = F.array().cast("array<string>")
     return joined.select(
-        "entity_id",
-        status.alias("status"),
-        F.when(n == 1, F.element_at("_scopes", 1)).alias("scope"),
-        F.sort_array(F.coalesce("_matched", empty)).alias("matched_tags"),
-        F.sort_array(F.coalesce("_tags", empty)).alias("tags"),
-    )
+        "entity_id", status.alias("status"), F.when(n == 1, F.element_at("_scopes", 1)).alias("scope"),
+        F.sort_array(F.coalesce("_matched", F.array().cast("array<string>"))).alias("matched_tags"))
+
+
+def entity_tag_lists(tags: DataFrame, entities: DataFrame, trim_tags: bool = True) -> DataFrame:
+    """``(entity_id, tags)``: sorted distinct tags of the given entities only (semi join first)."""
+    t = _clean_tags(tags, trim_tags).join(entities.select("entity_id"), "entity_id", "left_semi")
+    return t.groupBy("entity_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
 
 
 # --------------------------------------------------------------------------- B8
@@ -159,7 +213,7 @@ def resolve_role(classified: DataFrame, scope_role: DataFrame) -> DataFrame:
         .otherwise(F.col("status"))
     return j.select("entity_id", status.alias("status"), "scope",
                     F.when(F.col("status") == STATUS_VALID, F.col("role")).alias("role"),
-                    "matched_tags", "tags")
+                    "matched_tags")
 
 
 # --------------------------------------------------------------------------- B9
@@ -174,6 +228,9 @@ def violations(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_r
     inside = entities.where(under_root("path", root)).select("entity_id")
     resolved = resolve_role(classify(inside, tags, tag_map, trim_tags), scope_role)
     bad = resolved.where(F.col("status") != STATUS_VALID)
+    # the tag lists are collected for the failing entities alone (semi join first)
+    bad = bad.join(entity_tag_lists(tags, bad.select("entity_id"), trim_tags), "entity_id", "left") \
+        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     exp_lit = _expected_tags_literal(tag_map)
     matched_txt = py_list_repr("matched_tags")
     actual_txt = py_list_repr("tags")

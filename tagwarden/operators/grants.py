@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwarden.functions.tags import SCOPE_ROLE_PREFIX, scope_role_name
-from tagwarden.functions.text import py_strip, shell_quote
+from tagwarden.functions.text import explode_rows, py_strip, shell_quote
 from tagwarden.operators.diff import side_flags
 from tagwarden.plans.broadcast import bounded_broadcast
 
@@ -147,7 +147,10 @@ def normalize_acl(df: DataFrame, acl_col: str = "acl_json", id_col: str = "entit
     """
     v = F.try_parse_json(F.col(acl_col))
     roles = v.try_cast("map<string,variant>")
-    per_role = df.select(F.col(id_col).alias("entity_id"), F.explode(roles).alias("role", "pv"))
+    # explode_outer: a plain explode would make the optimizer repeat the JSON parse in an
+    # inferred size() filter; the null row of an empty/invalid document is dropped after
+    per_role = df.select(F.col(id_col).alias("entity_id"), F.explode_outer(roles).alias("role", "pv")) \
+        .where(F.col("role").isNotNull())
     t = F.schema_of_variant("pv")
     res_map = F.col("pv").try_cast("map<string,variant>")
     nested = F.flatten(F.transform(
@@ -158,7 +161,7 @@ def normalize_acl(df: DataFrame, acl_col: str = "acl_json", id_col: str = "entit
     flat = F.transform(_actions(F.col("pv")),
                        lambda a: F.struct(F.lit(RESOURCE_DAG).alias("resource"), a.alias("action")))
     pairs = F.array_distinct(F.when(t.startswith("OBJECT"), nested).otherwise(flat))
-    out = per_role.select("entity_id", "role", F.explode(pairs).alias("p"))
+    out = explode_rows(per_role, pairs, "p", "entity_id", "role")
     return out.select("entity_id", "role", F.col("p.resource").alias("resource"), F.col("p.action").alias("action"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwarden.functions.text import _c
+from tagwarden.functions.text import _c, explode_rows
 from tagwarden.operators.diff import side_flags
 from tagwarden.plans.broadcast import bounded_broadcast
 
@@ -85,7 +85,7 @@ def role_list(text) -> Column:
 def parse_role_list(df: DataFrame, text_col: str, keep: Iterable[str] = ("username",)) -> DataFrame:
     """Rows with a role-list text -> ``(*keep, role)``, one row per distinct role."""
     keep = list(keep)
-    return df.select(*keep, F.explode(F.array_distinct(role_list(text_col))).alias("role"))
+    return explode_rows(df, F.array_distinct(role_list(text_col)), "role", *keep)
 
 
 # --------------------------------------------------------------------------- D3
@@ -135,7 +135,7 @@ def profile_roles(profile, strict) -> Column:
 
 def desired_roles(profiles: DataFrame, profile_col: str = "profile", strict_col: str = "strict") -> DataFrame:
     """``(username, profile, strict)`` -> ``(username, role)`` (D4); no join, a literal map."""
-    return profiles.select("username", F.explode(profile_roles(profile_col, strict_col)).alias("role"))
+    return explode_rows(profiles, profile_roles(profile_col, strict_col), "role", "username")
 
 
 # --------------------------------------------------------------------------- D5

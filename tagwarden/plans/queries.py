@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwarden.functions.tags import label_from_tag, normalize_scopes, scope_role_name, tag_from_source
+from tagwarden.functions.text import explode_rows
 from tagwarden.operators import classify as B
 from tagwarden.operators import grants as C
 from tagwarden.operators import members as D
@@ -83,8 +84,8 @@ def scopes_norm(spark, sf_dir):
     t = fx.scope_texts(spark, sf_dir)
     forms = []
     for form, strict in (("lenient", False), ("strict", True)):
-        forms.append(t.select("c_custkey", F.lit(form).alias("form"),
-                              F.explode(normalize_scopes("text", strict=strict)).alias("scope")))
+        forms.append(explode_rows(t, normalize_scopes("text", strict=strict), "scope", "c_custkey")
+                     .select("c_custkey", F.lit(form).alias("form"), "scope"))
     out = forms[0].unionByName(forms[1])
     return out.select("c_custkey", "form", "scope", scope_role_name("scope").alias("role"))
 
