@@ -30,9 +30,13 @@ def py_strip(col) -> Column:
     """Strip leading/trailing whitespace of every kind, like Python's ``str.strip()``.
 
     Spark's ``trim`` only strips spaces; ``btrim`` with the full whitespace set is exact
-    and needs no regex.
+    and needs no regex. A first/last-character check (a hash-set lookup) skips the trim
+    for values that are already clean, the common case.
     """
-    return F.btrim(_c(col), F.lit(WHITESPACE))
+    c = _c(col)
+    ws = list(WHITESPACE)
+    edge = F.substring(c, 1, 1).isin(ws) | F.substring(c, -1, 1).isin(ws)
+    return F.when(edge, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def first_non_empty(*cols) -> Column:

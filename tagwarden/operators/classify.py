@@ -140,7 +140,8 @@ def _small_map(tag_map: DataFrame, max_tags: int) -> list[tuple[str, str]] | Non
     return sorted((r["tag"], r["scope"]) for r in rows)
 
 
-def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True) -> DataFrame:
+def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True,
+             with_unmatched: bool = False) -> DataFrame:
     """Match each entity's tags to the map and decide its status.
 
     Output: ``entity_id, status, scope, matched_tags`` where status is ``valid``
@@ -153,21 +154,30 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
     buffers, so a codegen'd hash aggregation with map-side combine - then entities LEFT
     JOIN on entity_id. Bigger maps: broadcast join (behind a size check) and per-entity
     sets instead.
+
+    ``with_unmatched=True`` adds ``unmatched_tags``: the entity's sorted tags that are not
+    in the map (collected from the unmatched rows only), so a report can print all tags
+    without a second pass over the tag table.
     """
     pairs = _small_map(tag_map, BITMASK_MAX_TAGS)
     t = _clean_tags(tags, trim_tags)
     if pairs is None:
-        return _classify_sets(entities, t, tag_map)
+        return _classify_sets(entities, t, tag_map, with_unmatched)
     tag_names = [tg for tg, _ in pairs]
     scope_names = sorted({sc for _, sc in pairs})
     tag_id = F.create_map(*[x for i, tg in enumerate(tag_names) for x in (F.lit(tg), F.lit(i))])
     scope_of = F.array(*[F.lit(scope_names.index(sc)) for _, sc in pairs])
-    t = t.select("entity_id", F.try_element_at(tag_id, F.col("tag")).alias("_tid"))
-    t = t.where(F.col("_tid").isNotNull()).select(
-        "entity_id", "_tid", F.element_at(scope_of, F.col("_tid") + 1).alias("_sid"))
-    per_entity = t.groupBy("entity_id").agg(
-        F.min("_sid").alias("_smin"), F.max("_sid").alias("_smax"),
-        F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), _tid)")).alias("_mask"))
+    t = t.select("entity_id", "tag", F.try_element_at(tag_id, F.col("tag")).alias("_tid"))
+    if not with_unmatched:
+        t = t.where(F.col("_tid").isNotNull())
+    # explicit guard: do not rely on element_at propagating a null index
+    sid = F.when(F.col("_tid").isNotNull(), F.element_at(scope_of, F.col("_tid") + 1))
+    t = t.select("entity_id", "tag", "_tid", sid.alias("_sid"))
+    aggs = [F.min("_sid").alias("_smin"), F.max("_sid").alias("_smax"),
+            F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), _tid)")).alias("_mask")]
+    if with_unmatched:
+        aggs.append(F.expr("collect_set(tag) FILTER (WHERE _tid IS NULL)").alias("_un"))
+    per_entity = t.groupBy("entity_id").agg(*aggs)
     joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
     status = (F.when(F.col("_smin").isNull(), F.lit(STATUS_MISSING))
               .when(F.col("_smin") == F.col("_smax"), F.lit(STATUS_VALID))
@@ -176,22 +186,30 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
     matched = F.filter(names, lambda _, i: F.bit_get(F.coalesce("_mask", F.lit(0).cast("long")), i) == 1)
     scope = F.when(status == STATUS_VALID,
                    F.element_at(F.array(*[F.lit(x) for x in scope_names]), F.col("_smin") + 1))
-    return joined.select("entity_id", status.alias("status"), scope.alias("scope"),
-                         matched.alias("matched_tags"))
+    cols = [status.alias("status"), scope.alias("scope"), matched.alias("matched_tags")]
+    if with_unmatched:
+        cols.append(F.sort_array(F.coalesce("_un", F.array().cast("array<string>"))).alias("unmatched_tags"))
+    return joined.select("entity_id", *cols)
 
 
-def _classify_sets(entities: DataFrame, t: DataFrame, tag_map: DataFrame) -> DataFrame:
+def _classify_sets(entities: DataFrame, t: DataFrame, tag_map: DataFrame, with_unmatched: bool) -> DataFrame:
     """General form for large tag maps: broadcast join, then per-entity distinct scopes/tags."""
     tmap = bounded_broadcast(tag_map.select("tag", "scope").where(F.col("tag").isNotNull()))
-    m = t.join(tmap, "tag")
-    per_entity = m.groupBy("entity_id").agg(
-        F.collect_set("scope").alias("_scopes"), F.collect_set("tag").alias("_matched"))
+    m = t.join(tmap, "tag", "left" if with_unmatched else "inner")
+    aggs = [F.collect_set("scope").alias("_scopes"),
+            F.expr("collect_set(tag) FILTER (WHERE scope IS NOT NULL)").alias("_matched")]
+    if with_unmatched:
+        aggs.append(F.expr("collect_set(tag) FILTER (WHERE scope IS NULL)").alias("_un"))
+    per_entity = m.groupBy("entity_id").agg(*aggs)
     joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
     n = F.coalesce(F.size("_scopes"), F.lit(0))
     status = F.when(n == 1, STATUS_VALID).when(n > 1, STATUS_CONFLICT).otherwise(STATUS_MISSING)
-    return joined.select(
-        "entity_id", status.alias("status"), F.when(n == 1, F.element_at("_scopes", 1)).alias("scope"),
-        F.sort_array(F.coalesce("_matched", F.array().cast("array<string>"))).alias("matched_tags"))
+    empty = F.array().cast("array<string>")
+    cols = [status.alias("status"), F.when(n == 1, F.element_at("_scopes", 1)).alias("scope"),
+            F.sort_array(F.coalesce("_matched", empty)).alias("matched_tags")]
+    if with_unmatched:
+        cols.append(F.sort_array(F.coalesce("_un", empty)).alias("unmatched_tags"))
+    return joined.select("entity_id", *cols)
 
 
 def entity_tag_lists(tags: DataFrame, entities: DataFrame, trim_tags: bool = True) -> DataFrame:
@@ -211,9 +229,9 @@ def resolve_role(classified: DataFrame, scope_role: DataFrame) -> DataFrame:
     j = classified.join(roles, "scope", "left")
     status = F.when((F.col("status") == STATUS_VALID) & F.col("role").isNull(), F.lit(STATUS_NO_ROLE)) \
         .otherwise(F.col("status"))
+    extra = [c for c in classified.columns if c not in ("entity_id", "status", "scope", "role")]
     return j.select("entity_id", status.alias("status"), "scope",
-                    F.when(F.col("status") == STATUS_VALID, F.col("role")).alias("role"),
-                    "matched_tags")
+                    F.when(F.col("status") == STATUS_VALID, F.col("role")).alias("role"), *extra)
 
 
 # --------------------------------------------------------------------------- B9
@@ -226,11 +244,10 @@ def violations(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_r
     are not judged; the root filter runs before the joins.
     """
     inside = entities.where(under_root("path", root)).select("entity_id")
-    resolved = resolve_role(classify(inside, tags, tag_map, trim_tags), scope_role)
-    bad = resolved.where(F.col("status") != STATUS_VALID)
-    # the tag lists are collected for the failing entities alone (semi join first)
-    bad = bad.join(entity_tag_lists(tags, bad.select("entity_id"), trim_tags), "entity_id", "left") \
-        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    resolved = resolve_role(classify(inside, tags, tag_map, trim_tags, with_unmatched=True), scope_role)
+    # all tags = matched (from the bit mask) + unmatched (collected in the same pass)
+    bad = resolved.where(F.col("status") != STATUS_VALID) \
+        .withColumn("tags", F.array_sort(F.array_union("matched_tags", "unmatched_tags")))
     exp_lit = _expected_tags_literal(tag_map)
     matched_txt = py_list_repr("matched_tags")
     actual_txt = py_list_repr("tags")

@@ -82,3 +82,15 @@ def test_desired_grants_managed_only(spark):
     d = rows(B.desired_grants(ents, tags, tmap, ["us", "global"], "/dags"))
     assert d == [("global", "e3"), ("global", "e4"), ("us", "e1"), ("us", "e9")]
     assert F is not None
+
+
+def test_unmatched_tags_do_not_change_status_in_both_paths(spark, monkeypatch):
+    ents = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_id string")
+    tags = spark.createDataFrame([("a", "OS_P"), ("a", "RF_N"), ("b", "OS_P"), ("c", "zz")], "entity_id string, tag string")
+    tm = spark.createDataFrame([("OS_P", "apac"), ("RF_A", "us")], "tag string, scope string")
+    expect = [("a", "valid", "apac", ["OS_P"], ["RF_N"]), ("b", "valid", "apac", ["OS_P"], []),
+              ("c", "missing", None, [], ["zz"])]
+    cols = ("entity_id", "status", "scope", "matched_tags", "unmatched_tags")
+    assert rows(B.classify(ents, tags, tm, with_unmatched=True), *cols) == expect
+    monkeypatch.setattr(B, "BITMASK_MAX_TAGS", 1)  # force the large-map (set) path
+    assert rows(B.classify(ents, tags, tm, with_unmatched=True), *cols) == expect
