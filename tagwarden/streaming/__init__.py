@@ -1,0 +1,4 @@
+"""Streaming forms of the run-log operators (the log folders are append-only)."""
+from tagwarden.streaming.logs import read_log_stream, run_outcome_stream
+
+__all__ = ["read_log_stream", "run_outcome_stream"]

@@ -1,0 +1,46 @@
+"""Manager log folders as a file stream: the same parse as the batch reader (E1), and the
+run outcome (E4) kept as streaming state.
+
+No new operator: these are the batch operators of ``tagwarden.operators.logs`` applied
+to ``readStream``; Structured Streaming tracks which files were read in the query's
+checkpoint, so a restart (or a lost executor) neither skips nor repeats a file.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagwarden.operators.logs import FILE_RE, parse_log_lines
+
+
+def read_log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming twin of ``operators.logs.read_logs``: ``value, file_name, script, env,
+    log_date, ts, level, message`` for every new line of every new file in ``path``."""
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    raw = reader.load(path).select("value", F.col("_metadata.file_name").alias("file_name"))
+    fn = F.col("file_name")
+    raw = raw.select(
+        "value", "file_name",
+        F.regexp_extract(fn, FILE_RE, 1).alias("script"),
+        F.regexp_extract(fn, FILE_RE, 2).alias("env"),
+        F.try_to_timestamp(F.regexp_extract(fn, FILE_RE, 3), F.lit("yyyy-MM-dd")).cast("date").alias("log_date"),
+    )
+    return parse_log_lines(raw, "value")
+
+
+def run_outcome_stream(lines: DataFrame, run_keys: Sequence[str], failed: Column,
+                       watermark: str = "1 day") -> DataFrame:
+    """Streaming run outcome (E4): ``rc`` per run, 1 once any failed step arrives.
+
+    A watermark on the line time bounds the state: a run whose lines are older than the
+    watermark is final and its state is dropped. Use output mode ``update`` (or
+    ``append`` with a time window in ``run_keys``).
+    """
+    timed = lines.where(F.col("ts").isNotNull()).withColumn("_event_ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("_event_ts", watermark).groupBy(*run_keys).agg(
+        F.max(F.when(failed, F.lit(1)).otherwise(F.lit(0))).alias("rc"))

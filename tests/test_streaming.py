@@ -1,0 +1,34 @@
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from tagwarden.streaming import read_log_stream, run_outcome_stream
+
+
+def _write(d, name, text):
+    with open(os.path.join(d, name), "w") as f:
+        f.write(text)
+
+
+def test_log_stream_parse_and_outcome(spark):
+    scratch = tempfile.mkdtemp(prefix="tw-stream-", dir="/tmp")
+    src = os.path.join(scratch, "logs")
+    os.makedirs(src)
+    _write(src, "mgr-dev-2025-01-02.log", "[2025-01-02 00:00:01] [INFO] a\n[2025-01-02 00:00:02] [ERROR] b\n")
+    _write(src, "mgr-prod-2025-01-02.log", "[2025-01-02 00:00:03] [INFO] c\nno time stamp\n")
+    lines = read_log_stream(spark, src)
+    q = (lines.writeStream.format("parquet").option("path", os.path.join(scratch, "out"))
+         .option("checkpointLocation", os.path.join(scratch, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    out = spark.read.parquet(os.path.join(scratch, "out"))
+    got = sorted(((r["env"], r["level"], r["message"]) for r in out.collect()), key=lambda t: (t[0], t[1] or "", t[2]))
+    assert got == [("dev", "ERROR", "b"), ("dev", "INFO", "a"), ("prod", None, "no time stamp"), ("prod", "INFO", "c")]
+    assert {r["script"] for r in out.collect()} == {"mgr"}
+
+    outcome = run_outcome_stream(read_log_stream(spark, src), ["script", "env", "log_date"], F.col("level") == "ERROR")
+    q2 = (outcome.writeStream.outputMode("update").format("memory").queryName("tw_outcome")
+          .option("checkpointLocation", os.path.join(scratch, "ckpt2")).trigger(availableNow=True).start())
+    q2.awaitTermination(120)
+    rc = {r["env"]: r["rc"] for r in spark.sql("SELECT env, max(rc) AS rc FROM tw_outcome GROUP BY env").collect()}
+    assert rc == {"dev": 1, "prod": 0}
