@@ -38,19 +38,22 @@ def _scope_roles(spark, scopes: Iterable[str] | DataFrame, prefix: str) -> DataF
 
 # --------------------------------------------------------------------------- C1
 def existing_grants(grants: DataFrame, scopes: Iterable[str] | DataFrame,
-                    prefix: str = SCOPE_ROLE_PREFIX) -> DataFrame:
+                    prefix: str = SCOPE_ROLE_PREFIX, dedupe: bool = True) -> DataFrame:
     """Per-entity trigger grants the managed scope roles hold now: ``(scope, entity_id)``.
 
     Role in the managed scope roles, action ``can_create``, resource starting with
     ``DAG Run:`` and a non-empty id after it (the global ``DAG Runs`` does not match).
     Ids stay strings. The role filter is a broadcast join against the (bounded) scope list.
+    ``dedupe=False`` skips the distinct (a shuffle) when the consumer is set-based
+    anyway, such as ``diff_grants`` / ``apply_diff``.
     """
     spark = grants.sparkSession
     roles = _scope_roles(spark, scopes, prefix)
     g = grants.where((F.col("action") == ACTION_CAN_CREATE) & F.col("resource").startswith(DAG_RUN_PREFIX))
     g = g.join(roles, "role").select(
         "scope", F.substring("resource", len(DAG_RUN_PREFIX) + 1, 1 << 30).alias("entity_id"))
-    return g.where(F.col("entity_id") != "").distinct()
+    g = g.where(F.col("entity_id") != "")
+    return g.distinct() if dedupe else g
 
 
 # --------------------------------------------------------------------------- C2

@@ -95,13 +95,14 @@ def _desired(spark, sf_dir):
     return desired_grants(spark, sf_dir)
 
 
-def _existing(spark, sf_dir):
-    return C.existing_grants(fx.grants(spark, sf_dir), fx.MANAGED_SCOPES)
+def _existing(spark, sf_dir, dedupe=False):
+    # the diff kernel de-duplicates in its own partial aggregation: skip the extra distinct
+    return C.existing_grants(fx.grants(spark, sf_dir), fx.MANAGED_SCOPES, dedupe=dedupe)
 
 
 @query("existing_grants")
 def existing_grants(spark, sf_dir):
-    return _existing(spark, sf_dir)
+    return _existing(spark, sf_dir, dedupe=True)
 
 
 @query("grant_diff")
