@@ -123,16 +123,18 @@ def apply_diff(existing: DataFrame, diff: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- C6
 def _actions(v: Column) -> Column:
     """Variant -> array of action strings: string -> [s]; array -> elements as text;
-    object -> its keys (iterating a mapping yields keys); anything else -> []."""
-    as_str = F.try_variant_get(v, "$", "string")
-    as_arr = F.transform(v.try_cast("array<variant>"), lambda e: e.try_cast("string"))
-    as_obj = F.map_keys(v.try_cast("map<string,variant>"))
-    t = F.schema_of_variant(v)
+    object -> its keys (iterating a mapping yields keys); anything else -> [].
+
+    Objects and arrays are recognised with ``try_cast`` (null when the shape differs);
+    ``schema_of_variant`` - which walks the whole value - is only asked about scalars.
+    """
+    arr = v.try_cast("array<variant>")
+    obj = v.try_cast("map<string,variant>")
     empty = F.array().cast("array<string>")
     return (F.when(v.isNull(), empty)
-            .when(t == "STRING", F.array(as_str))
-            .when(t.startswith("ARRAY"), F.coalesce(as_arr, empty))
-            .when(t.startswith("OBJECT"), F.coalesce(as_obj, empty))
+            .when(arr.isNotNull(), F.transform(arr, lambda e: e.try_cast("string")))
+            .when(obj.isNotNull(), F.map_keys(obj))
+            .when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
             .otherwise(empty))
 
 
@@ -148,22 +150,21 @@ def normalize_acl(df: DataFrame, acl_col: str = "acl_json", id_col: str = "entit
     Each document is unpacked inside its own row (variant casts + higher-order
     functions), so the operator is narrow: no shuffle.
     """
-    v = F.try_parse_json(F.col(acl_col))
-    roles = v.try_cast("map<string,variant>")
+    roles = F.try_parse_json(F.col(acl_col)).try_cast("map<string,variant>")
     # explode_outer: a plain explode would make the optimizer repeat the JSON parse in an
     # inferred size() filter; the null row of an empty/invalid document is dropped after
     per_role = df.select(F.col(id_col).alias("entity_id"), F.explode_outer(roles).alias("role", "pv")) \
         .where(F.col("role").isNotNull())
-    t = F.schema_of_variant("pv")
-    res_map = F.col("pv").try_cast("map<string,variant>")
+    per_role = per_role.select("entity_id", "role", "pv",
+                               F.col("pv").try_cast("map<string,variant>").alias("_res"))
     nested = F.flatten(F.transform(
-        F.map_entries(res_map),
+        F.map_entries("_res"),
         lambda e: F.transform(_actions(e["value"]),
                               lambda a: F.struct(py_strip(e["key"]).alias("resource"), a.alias("action")))))
     nested = F.filter(nested, lambda p: p["resource"] != "")
     flat = F.transform(_actions(F.col("pv")),
                        lambda a: F.struct(F.lit(RESOURCE_DAG).alias("resource"), a.alias("action")))
-    pairs = F.array_distinct(F.when(t.startswith("OBJECT"), nested).otherwise(flat))
+    pairs = F.array_distinct(F.when(F.col("_res").isNotNull(), nested).otherwise(flat))
     out = explode_rows(per_role, pairs, "p", "entity_id", "role")
     return out.select("entity_id", "role", F.col("p.resource").alias("resource"), F.col("p.action").alias("action"))
 
