@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tagwarden.functions.tags import scope_role_name
 from tagwarden.functions.text import explode_rows, normalize_path, normalize_path_text, py_list_repr, py_strip
-from tagwarden.plans.broadcast import bounded_broadcast
+from tagwarden.plans.broadcast import broadcast_if_small, literal_lookup
 
 # Fixed values (the reference's defaults):
 DEFAULT_TAG_MAP = (("GDTET_GLOBAL_DAG", "global"), ("GDTET_US_DAG", "us"))
@@ -194,7 +194,8 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
 
 def _classify_sets(entities: DataFrame, t: DataFrame, tag_map: DataFrame, with_unmatched: bool) -> DataFrame:
     """General form for large tag maps: broadcast join, then per-entity distinct scopes/tags."""
-    tmap = bounded_broadcast(tag_map.select("tag", "scope").where(F.col("tag").isNotNull()))
+    # keyed on tag: broadcast when the (large) map is still within the proven bound
+    tmap = broadcast_if_small(tag_map.select("tag", "scope").where(F.col("tag").isNotNull()))
     m = t.join(tmap, "tag", "left" if with_unmatched else "inner")
     aggs = [F.collect_set("scope").alias("_scopes"),
             F.expr("collect_set(tag) FILTER (WHERE scope IS NOT NULL)").alias("_matched")]
@@ -220,12 +221,16 @@ def entity_tag_lists(tags: DataFrame, entities: DataFrame, trim_tags: bool = Tru
 
 # --------------------------------------------------------------------------- B8
 def scope_role_table(spark, pairs: Iterable[tuple[str, str]] = SCOPE_TO_ROLE) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "scope string, role string")
+    """The scope -> role lookup (one role per scope) as a broadcast literal."""
+    return literal_lookup(spark, dict(pairs).items(), "scope string, role string")
 
 
 def resolve_role(classified: DataFrame, scope_role: DataFrame) -> DataFrame:
-    """Attach the role of each valid scope; a valid scope without a role row becomes ``no_role``."""
-    roles = bounded_broadcast(scope_role.select("scope", "role").dropDuplicates(["scope"]))
+    """Attach the role of each valid scope; a valid scope without a role row becomes ``no_role``.
+
+    ``scope_role`` holds one role per scope (``scope_role_table`` guarantees it).
+    """
+    roles = broadcast_if_small(scope_role.select("scope", "role"))
     j = classified.join(roles, "scope", "left")
     status = F.when((F.col("status") == STATUS_VALID) & F.col("role").isNull(), F.lit(STATUS_NO_ROLE)) \
         .otherwise(F.col("status"))
@@ -293,7 +298,7 @@ def desired_grants(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, sco
                           & under_root("path", root)).select("entity_id")
     c = classify(ents, tags, tag_map, trim_tags).where(F.col("status") == STATUS_VALID)
     if isinstance(scopes, DataFrame):
-        c = c.join(bounded_broadcast(scopes.select("scope").distinct()), "scope", "left_semi")
+        c = c.join(broadcast_if_small(scopes.select("scope").distinct()), "scope", "left_semi")
     else:
         c = c.where(F.col("scope").isin(list(scopes)))
     return c.select("scope", "entity_id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tagwarden.functions.tags import SCOPE_ROLE_PREFIX, scope_role_name
 from tagwarden.functions.text import explode_rows, py_strip, shell_quote
 from tagwarden.operators.diff import side_flags
-from tagwarden.plans.broadcast import bounded_broadcast
+from tagwarden.plans.broadcast import broadcast_if_small, literal_lookup
 
 # Fixed values (resource and action names of the permission model):
 DAG_RUN_PREFIX = "DAG Run:"
@@ -30,10 +30,10 @@ MANAGED_TRIGGER_ROLES = ("AF_TRIGGER_SCOPE_GLOBAL", "AF_TRIGGER_SCOPE_US", "AF_T
 
 def _scope_roles(spark, scopes: Iterable[str] | DataFrame, prefix: str) -> DataFrame:
     if isinstance(scopes, DataFrame):
-        s = scopes.select("scope").distinct()
+        s = broadcast_if_small(scopes.select("scope").distinct())
     else:
-        s = spark.createDataFrame([(x,) for x in sorted(set(scopes))], "scope string")
-    return bounded_broadcast(s.select("scope", scope_role_name("scope", prefix).alias("role")))
+        s = literal_lookup(spark, [(x,) for x in sorted(set(scopes))], "scope string")
+    return s.select("scope", scope_role_name("scope", prefix).alias("role"))
 
 
 # --------------------------------------------------------------------------- C1
@@ -209,7 +209,7 @@ def bypass_violations(grants: DataFrame, scope_roles: DataFrame | Iterable[str])
     """Scope roles that hold the global ``DAG Runs`` / ``can_create`` grant (C9): ``(role, grants)``."""
     g = grants.where((F.col("action") == ACTION_CAN_CREATE) & (F.col("resource") == RESOURCE_DAG_RUN))
     if isinstance(scope_roles, DataFrame):
-        g = g.join(bounded_broadcast(scope_roles.select("role").distinct()), "role", "left_semi")
+        g = g.join(broadcast_if_small(scope_roles.select("role").distinct()), "role", "left_semi")
     else:
         g = g.where(F.col("role").isin(list(scope_roles)))
     return g.groupBy("role").agg(F.count(F.lit(1)).alias("grants"))
@@ -225,7 +225,8 @@ def effective_access(requests: DataFrame, user_roles: DataFrame, grants: DataFra
 
     Plan: requests LEFT JOIN user_roles on username; LEFT JOIN scoped grants on
     (role, entity_id) - two equi joins (an OR condition would fall to a nested loop);
-    the global-grant roles are a distinct role list, broadcast behind a size check;
+    the global-grant roles are a distinct role list joined on ``role`` alone, so it is
+    broadcast behind a size check (never shuffle the requests on a role);
     one groupBy(request) folds the per-role rows. The user x all-entities pairs a
     global grant implies are never materialised.
     """
@@ -233,8 +234,8 @@ def effective_access(requests: DataFrame, user_roles: DataFrame, grants: DataFra
     scoped = g.where(F.col("resource").startswith(DAG_RUN_PREFIX)).select(
         "role", F.substring("resource", len(DAG_RUN_PREFIX) + 1, 1 << 30).alias("entity_id"),
         F.lit(1).cast("tinyint").alias("_s")).distinct()
-    glob = bounded_broadcast(g.where(F.col("resource") == RESOURCE_DAG_RUN).select("role").distinct()
-                             .select("role", F.lit(1).cast("tinyint").alias("_g")))
+    glob = broadcast_if_small(g.where(F.col("resource") == RESOURCE_DAG_RUN).select("role").distinct()
+                              .select("role", F.lit(1).cast("tinyint").alias("_g")))
     rr = requests.select("request_id", "username", "entity_id") \
         .join(user_roles.select("username", "role"), "username", "left")
     rr = rr.join(scoped, ["role", "entity_id"], "left").join(glob, "role", "left")

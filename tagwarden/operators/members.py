@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagwarden.functions.text import _c, explode_rows
 from tagwarden.operators.diff import side_flags
-from tagwarden.plans.broadcast import bounded_broadcast
+from tagwarden.plans.broadcast import broadcast_if_small
 
 # Fixed values (role names and the user/role matrix of the test users):
 VIEWER = "Viewer"
@@ -93,7 +93,7 @@ def _role_flags(current: DataFrame, desired: DataFrame, managed: Sequence[str] |
     f = side_flags({"c": current.select("username", "role"), "d": desired.select("username", "role")},
                    ["username", "role"])
     if isinstance(managed, DataFrame):
-        m = bounded_broadcast(managed.select("role").distinct().withColumn("_m", F.lit(True)))
+        m = broadcast_if_small(managed.select("role").distinct().withColumn("_m", F.lit(True)))
         f = f.join(m, "role", "left").withColumn("_m", F.coalesce("_m", F.lit(False)))
     else:
         f = f.withColumn("_m", F.col("role").isin(list(managed)))
@@ -169,7 +169,7 @@ def literal_targets(spark, users: Sequence[str] = TEST_USERS, roles: Sequence[st
 # --------------------------------------------------------------------------- D7
 def roles_from_groups(user_groups: DataFrame, mapping: DataFrame) -> DataFrame:
     """Directory groups -> roles: ``(username, group)`` x ``(group, role)`` -> distinct
-    ``(username, role)``; unmapped groups are ignored (D7). The mapping is configuration,
-    broadcast behind a size check."""
-    m = bounded_broadcast(mapping.select("group", "role"))
+    ``(username, role)``; unmapped groups are ignored (D7). The join key (group) has few
+    values, so the mapping is broadcast behind a size check."""
+    m = broadcast_if_small(mapping.select("group", "role"))
     return user_groups.select("username", "group").join(m, "group").select("username", "role").distinct()

@@ -1,4 +1,4 @@
-"""Plan-level helpers (bounded broadcast, lineage cuts) and the query registry."""
-from tagwarden.plans.broadcast import bounded_broadcast, literal_lookup
+"""Plan-level helpers (size-proven broadcasts) and the query registry."""
+from tagwarden.plans.broadcast import broadcast_if_small, literal_lookup
 
-__all__ = ["bounded_broadcast", "literal_lookup"]
+__all__ = ["broadcast_if_small", "literal_lookup"]

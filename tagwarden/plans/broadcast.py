@@ -1,12 +1,15 @@
 """Broadcast only what has a proven size bound.
 
-Two ways to prove it:
-  * ``literal_lookup`` builds a table from a Python list: its size is known before
-    Spark sees it, so the broadcast hint is always safe.
-  * ``bounded_broadcast`` runs ``limit(max_rows + 1).count()`` (a small, early-stopping
-    job) and hints broadcast only when the table is within the bound; beyond it the
-    DataFrame is returned unchanged, so the join falls back to a shuffle join that
-    AQE may still convert at run time from real sizes.
+* Literal lookups (tag maps, scope -> role tables, templates, group maps) are built
+  from Python lists by ``literal_lookup``: their size is known before Spark sees them,
+  so they carry a broadcast hint from the start.
+* A join keyed on a low-cardinality column (role, scope, group) must not shuffle the
+  large side on that key - one role can hold a third of all rows. Its lookup side goes
+  through ``broadcast_if_small``: an early-stopping ``limit(n + 1).count()`` proves the
+  bound, and beyond it the join is left to a shuffle join with AQE skew splitting.
+* Joins on high-cardinality keys (entity, user, request) are left to the planner:
+  Spark's size estimate and AQE's runtime statistics decide, with a shuffle join
+  beyond ``spark.sql.(adaptive.)autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
-def literal_lookup(spark: SparkSession, rows, schema: str) -> DataFrame:
-    """A small literal table (size known up front), hinted for broadcast."""
+def literal_lookup(spark: SparkSession, rows, schema: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """A literal table (size known up front), hinted for broadcast when within ``max_rows``."""
     rows = list(rows)
-    if len(rows) > DEFAULT_MAX_BROADCAST_ROWS:
-        return spark.createDataFrame(rows, schema)
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= max_rows else df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint broadcast when ``df`` has at most ``max_rows`` rows, else leave it to the planner."""
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint broadcast when ``df`` has at most ``max_rows`` rows (checked by a small,
+    early-stopping job); otherwise return it unchanged for a shuffle join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagwarden.plans.broadcast import literal_lookup
+
 # Fixed binding parameters of the fixtures (not reference values):
 TAG_MAP = (("RF_A", "us"), ("OS_F", "us"), ("RF_R", "global"), ("OS_P", "apac"))
 ROOT = "/dags/MACHINERY"
@@ -49,7 +51,7 @@ def entity_tags(spark, sf_dir) -> DataFrame:
 
 
 def tag_map(spark) -> DataFrame:
-    return spark.createDataFrame(list(TAG_MAP), "tag string, scope string")
+    return literal_lookup(spark, TAG_MAP, "tag string, scope string")
 
 
 def grants(spark, sf_dir) -> DataFrame:
@@ -118,7 +120,7 @@ def access_grants(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("value") > 300)
     scoped = e.select(F.col("event_type").alias("role"), F.lit("can_create").alias("action"),
                       F.concat(F.lit("DAG Run:"), F.get_json_object("props", "$.k")).alias("resource"))
-    glob = spark.createDataFrame([("signup", "can_create", "DAG Runs")], "role string, action string, resource string")
+    glob = literal_lookup(spark, [("signup", "can_create", "DAG Runs")], "role string, action string, resource string")
     return scoped.unionByName(glob).distinct()
 
 
@@ -224,7 +226,7 @@ def order_groups(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
     ug = o.select(F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("username"),
                   F.col("o_orderpriority").alias("group"))
-    mapping = spark.createDataFrame(list(GROUP_ROLES), "group string, role string")
+    mapping = literal_lookup(spark, GROUP_ROLES, "group string, role string")
     return ug, mapping
 
 
