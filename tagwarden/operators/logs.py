@@ -48,8 +48,9 @@ def parse_log_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
 def read_logs(spark, path: str) -> DataFrame:
     """Read manager log files in parallel; file names give ``script, env, log_date``.
 
-    Splittable text read (no whole-file tasks); filters on ``log_date``/``script``/``env``
-    are on the file-name metadata column, which Spark uses to skip files.
+    Splittable text read (no whole-file tasks). ``script``/``env``/``log_date`` are
+    derived from the ``_metadata.file_name`` column, so filters on them run inside the
+    scan as data filters on that column.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"))
     fn = F.col("file_name")
