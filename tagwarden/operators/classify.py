@@ -213,12 +213,6 @@ def _classify_sets(entities: DataFrame, t: DataFrame, tag_map: DataFrame, with_u
     return joined.select("entity_id", *cols)
 
 
-def entity_tag_lists(tags: DataFrame, entities: DataFrame, trim_tags: bool = True) -> DataFrame:
-    """``(entity_id, tags)``: sorted distinct tags of the given entities only (semi join first)."""
-    t = _clean_tags(tags, trim_tags).join(entities.select("entity_id"), "entity_id", "left_semi")
-    return t.groupBy("entity_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
-
-
 # --------------------------------------------------------------------------- B8
 def scope_role_table(spark, pairs: Iterable[tuple[str, str]] = SCOPE_TO_ROLE) -> DataFrame:
     """The scope -> role lookup (one role per scope) as a broadcast literal."""
@@ -304,11 +298,6 @@ def desired_grants(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, sco
     return c.select("scope", "entity_id")
 
 
-def managed_scope_roles(scopes: Iterable[str]) -> list[tuple[str, str]]:
-    """(role, scope) pairs for a managed scope list, by the prefix rule."""
-    return [("AF_TRIGGER_SCOPE_" + s.upper(), s) for s in scopes]
-
-
 __all__ = [
     "DEFAULT_TAG_MAP", "SCOPE_TO_ROLE", "classify", "desired_grants", "parse_tag_map", "resolve_role",
     "scope_role_name", "scope_role_table", "tag_map_rejects", "under_root", "violations",

@@ -66,3 +66,17 @@ def test_create_teardown_groups(spark):
     m = spark.createDataFrame([("G_VIEW", "Viewer"), ("G_VIEW2", "Viewer"), ("G_VIEW2", "AF_RERUN_ALL_NO_TRIGGER")],
                               "group string, role string")
     assert rows(D.roles_from_groups(ug, m)) == [("u1", "AF_RERUN_ALL_NO_TRIGGER"), ("u1", "Viewer")]
+
+
+def test_read_listing_file(spark):
+    import os
+    import tempfile
+
+    d = tempfile.mkdtemp(prefix="tw-listing-", dir="/tmp")
+    with open(os.path.join(d, "users.txt"), "w") as f:
+        f.write("id username email first_name last_name roles\n"
+                "1 bob bob@x B B ['Viewer']\n"
+                "carol carol@x C C ['Op', 'Viewer']\n")
+    users = D.read_listing(spark, d)
+    assert rows(users, "username") == [("bob",), ("carol",)]
+    assert rows(D.parse_role_list(users, "line")) == [("bob", "Viewer"), ("carol", "Op"), ("carol", "Viewer")]
