@@ -76,14 +76,20 @@ def order_plan(diff: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- C3
 def diff_summary(diff: DataFrame) -> DataFrame:
-    """Added/removed counts per scope plus a ``total`` row (C3), in one partial aggregation."""
-    r = diff.rollup("scope").agg(
+    """Added/removed counts per scope plus a ``total`` row that is always present.
+
+    The total is a global aggregate over the per-scope rows, so it exists even for an
+    empty diff (a rollup would give no row at all), and both branches share one
+    per-scope aggregation subtree - Spark reuses its exchange, the diff is computed once.
+    """
+    per_scope = diff.groupBy("scope").agg(
         F.count_if(F.col("op") == "add").alias("added"),
-        F.count_if(F.col("op") == "remove").alias("removed"),
-        F.grouping("scope").alias("_g"),
-    )
-    return r.select(F.when(F.col("_g") == 1, F.lit("total")).otherwise(F.col("scope")).alias("scope"),
-                    "added", "removed")
+        F.count_if(F.col("op") == "remove").alias("removed"))
+    total = per_scope.agg(
+        F.coalesce(F.sum("added"), F.lit(0)).cast("bigint").alias("added"),
+        F.coalesce(F.sum("removed"), F.lit(0)).cast("bigint").alias("removed"),
+    ).select(F.lit("total").alias("scope"), "added", "removed")
+    return per_scope.unionByName(total)
 
 
 # --------------------------------------------------------------------------- C4

@@ -446,3 +446,6 @@ SELECT * FROM (VALUES ('create', true, CAST(NULL AS BIGINT))) t(step, ok, rows)
 UNION ALL SELECT 'insert', true, count(*) FROM supplier
 UNION ALL SELECT 'count', true, count(*) FROM supplier
 UNION ALL SELECT 'query', true, count(*) FROM supplier"""
+
+# the sync job writes the diff and returns its per-scope counts: same result as diff_summary
+ORACLE["grant_sync"] = ORACLE["diff_summary"]

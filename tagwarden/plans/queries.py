@@ -286,3 +286,12 @@ def table_smoke(spark, sf_dir):
     name = _table_name("supplier", sf_dir)
     return A.smoke(spark, name, src.schema, src, key=["s_suppkey"], schema_name="default",
                    location=A.warehouse_location(spark, name))
+
+
+@query("grant_sync")
+def grant_sync(spark, sf_dir):
+    from tagwarden.plans.sync import run_grant_sync
+
+    diff_t, state_t = _table_name("grant_diff", sf_dir), _table_name("grant_state", sf_dir)
+    return run_grant_sync(spark, _desired(spark, sf_dir), _existing(spark, sf_dir), diff_t, state_t, "default",
+                          A.warehouse_location(spark, diff_t), A.warehouse_location(spark, state_t))

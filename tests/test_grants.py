@@ -104,3 +104,19 @@ def test_effective_access(spark):
     got = rows(C.effective_access(req, ur, g), "request_id", "allowed", "via")
     assert got == [(1, True, "scoped"), (2, False, None), (3, True, "global"), (4, False, None)]
     assert F is not None
+
+
+def test_grant_sync_job_is_idempotent(spark):
+    from tagwarden.plans.sync import run_grant_sync
+
+    sch = "scope string, entity_id string"
+    desired = spark.createDataFrame([("us", "a"), ("us", "c"), ("global", "h")], sch)
+    existing = spark.createDataFrame([("us", "a"), ("us", "b")], sch)
+    s1 = {r["scope"]: (r["added"], r["removed"]) for r in
+          run_grant_sync(spark, desired, existing, "t_diff", "t_state", "default").collect()}
+    assert s1 == {"us": (1, 1), "global": (1, 0), "total": (2, 1)}
+    state = spark.table("default.t_state")
+    assert rows(state) == rows(desired)
+    # second run against the written state: nothing to do
+    s2 = run_grant_sync(spark, desired, spark.createDataFrame(rows(state), sch), "t_diff", "t_state", "default")
+    assert [tuple(r) for r in s2.collect()] == [("total", 0, 0)]
