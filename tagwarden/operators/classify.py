@@ -76,17 +76,15 @@ def parse_tag_map(df: DataFrame, text_col: str, keep: Iterable[str] = (),
     """
     keep = list(keep)
     defaults_arr = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(s).alias("scope")) for t, s in defaults])
-    valid = _tag_map_items(df, text_col, keep).select(*keep, F.transform(
-        F.filter("_parsed", lambda x: x["reason"].isNull()),
-        lambda x: F.struct(x["tag"].alias("tag"), x["scope"].alias("scope"), x["pos"].alias("pos"))).alias("_v"))
-    # last wins: sort by (tag, pos descending) and keep the first item of each tag run
-    ordered = valid.select(*keep, F.array_sort(
-        "_v", lambda a, b: F.when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1)
-        .when(a["pos"] > b["pos"], -1).when(a["pos"] < b["pos"], 1).otherwise(0)).alias("_s"))
-    firsts = F.filter("_s", lambda x, i: (i == 0) | (F.element_at("_s", i)["tag"] != x["tag"]))
-    pairs = F.transform(firsts, lambda x: F.struct(x["tag"].alias("tag"), x["scope"].alias("scope")))
-    chosen = ordered.select(*keep, F.when(F.size("_s") > 0, pairs).otherwise(defaults_arr).alias("_pairs"),
-                            F.when(F.size("_s") > 0, F.lit("parsed")).otherwise(F.lit("default")).alias("origin"))
+    parsed = _tag_map_items(df, text_col, keep)
+    ok = F.filter("_parsed", lambda x: x["reason"].isNull())
+    valid = parsed.select(*keep, F.reverse(F.transform(ok, lambda x: x["tag"])).alias("_rt"),
+                          F.reverse(F.transform(ok, lambda x: x["scope"])).alias("_rs"))
+    # last wins: in the reversed lists the first position of a tag is its last occurrence
+    pairs = F.transform(F.array_distinct("_rt"), lambda t: F.struct(
+        t.alias("tag"), F.element_at("_rs", F.array_position("_rt", t).cast("int")).alias("scope")))
+    chosen = valid.select(*keep, F.when(F.size("_rt") > 0, pairs).otherwise(defaults_arr).alias("_pairs"),
+                          F.when(F.size("_rt") > 0, F.lit("parsed")).otherwise(F.lit("default")).alias("origin"))
     return explode_rows(chosen, "_pairs", "_p", *keep, "origin") \
         .select(*keep, F.col("_p.tag").alias("tag"), F.col("_p.scope").alias("scope"), "origin")
 
