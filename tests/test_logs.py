@@ -48,7 +48,7 @@ def test_tail_retention_outcome(spark):
 
 def test_auth_failure(spark):
     df = spark.createDataFrame([
-        ("... SASL Negotiation Failure ...", "jdbc:hive2://h:1/db"), ("GSS initiate failed", "jdbc:x;Principal=a"),
+        ("... SASL Negotiation Failure ...", "jdbc:x://h:1/db"), ("GSS initiate failed", "jdbc:x;Principal=a"),
         ("all good", "jdbc:x"), (None, "jdbc:x"),
     ], "text string, url string")
     assert [r[0] for r in df.select(E.auth_failure("text", "url")).collect()] == [True, False, False, False]

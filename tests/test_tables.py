@@ -3,10 +3,10 @@ import pytest
 from tagwarden.sources import tables as A
 from tests.conftest import rows
 
-# The reference's smoke-table fixtures (students, courses).
+# Smoke-table fixtures: three students, three courses.
 STUDENTS = [(1, "Alice", 18), (2, "Bob", 19), (3, "Cindy", 20)]
 STUDENT_SCHEMA = "student_id INT, student_name STRING, age INT"
-COURSES = [(101, "Airflow Basics", "Max"), (102, "Spark SQL Intro", "Alice"), (103, "PySpark Practice", "Bob")]
+COURSES = [(101, "Workflow Basics", "Dana"), (102, "SQL Intro", "Alice"), (103, "DataFrame Practice", "Bob")]
 COURSE_SCHEMA = "course_id INT, course_name STRING, instructor STRING"
 
 
