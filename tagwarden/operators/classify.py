@@ -33,9 +33,6 @@ MSG_NO_ROLE = "No trigger role mapping configured for scope '%s'"
 
 STATUS_VALID, STATUS_CONFLICT, STATUS_MISSING, STATUS_NO_ROLE = "valid", "conflict", "missing", "no_role"
 
-_PAIR = "struct<tag:string,scope:string>"
-
-
 # --------------------------------------------------------------------------- B1
 def _tag_map_items(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``(*keep, _parsed)``: per text an array of (pos, item, tag, scope, reason) structs.
@@ -127,15 +124,21 @@ def _clean_tags(tags: DataFrame, trim_tags: bool) -> DataFrame:
 
 
 def _small_map(tag_map: DataFrame, max_tags: int) -> list[tuple[str, str]] | None:
-    """The tag map as Python pairs when it has at most ``max_tags`` tags, else None.
+    """The tag map as Python pairs when it has at most ``max_tags`` entries, else None.
 
     The read is bounded (``limit(max_tags + 1)``): a large map is never pulled whole.
+    A map gives one scope per tag; a tag with two scopes is rejected.
     """
-    rows = tag_map.select("tag", "scope").where(F.col("tag").isNotNull()).dropDuplicates(["tag"]) \
+    rows = tag_map.select("tag", "scope").where(F.col("tag").isNotNull()).distinct() \
         .limit(max_tags + 1).collect()
     if len(rows) > max_tags:
         return None
-    return sorted((r["tag"], r["scope"]) for r in rows)
+    pairs = sorted((r["tag"], r["scope"]) for r in rows)
+    tags = [t for t, _ in pairs]
+    if len(set(tags)) != len(tags):
+        dup = sorted({t for t in tags if tags.count(t) > 1})
+        raise ValueError(f"tag map gives more than one scope for {dup}")
+    return pairs
 
 
 def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True,

@@ -94,3 +94,13 @@ def test_unmatched_tags_do_not_change_status_in_both_paths(spark, monkeypatch):
     assert rows(B.classify(ents, tags, tm, with_unmatched=True), *cols) == expect
     monkeypatch.setattr(B, "BITMASK_MAX_TAGS", 1)  # force the large-map (set) path
     assert rows(B.classify(ents, tags, tm, with_unmatched=True), *cols) == expect
+
+
+def test_tag_with_two_scopes_is_rejected(spark):
+    import pytest
+
+    ents = spark.createDataFrame([("a",)], "entity_id string")
+    tags = spark.createDataFrame([("a", "T")], "entity_id string, tag string")
+    tm = spark.createDataFrame([("T", "us"), ("T", "global")], "tag string, scope string")
+    with pytest.raises(ValueError):
+        B.classify(ents, tags, tm)
