@@ -6,6 +6,7 @@ daily files are named ``<script>-<env>-<yyyy-MM-dd>.log``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,7 +92,6 @@ def retention(files: DataFrame, mtime_col: str, as_of: str, days: int = RETENTIO
     as_of_c = F.lit(as_of).cast("timestamp_ntz")
     df = files
     if name_col is not None and script is not None and env is not None:
-        import re
         pat = "^" + re.escape(f"{script}-{env}-") + r".*\.log$"
         df = df.where(F.col(name_col).rlike(pat))
     a = age_days(F.col(mtime_col).cast("timestamp_ntz"), as_of_c)

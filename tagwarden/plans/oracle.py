@@ -449,3 +449,10 @@ UNION ALL SELECT 'query', true, count(*) FROM supplier"""
 
 # the sync job writes the diff and returns its per-scope counts: same result as diff_summary
 ORACLE["grant_sync"] = ORACLE["diff_summary"]
+
+ORACLE["role_names"] = with_("scope_texts") + f"""
+SELECT scope, 'AF_TRIGGER_SCOPE_' || upper(scope) AS role FROM (
+  SELECT DISTINCT lower({strip('x')}) AS scope
+  FROM scope_texts, LATERAL (SELECT unnest(string_split(text, ',')) AS x)
+  WHERE lower({strip('x')}) <> ''
+  UNION SELECT 'global')"""

@@ -295,3 +295,10 @@ def grant_sync(spark, sf_dir):
     diff_t, state_t = _table_name("grant_diff", sf_dir), _table_name("grant_state", sf_dir)
     return run_grant_sync(spark, _desired(spark, sf_dir), _existing(spark, sf_dir), diff_t, state_t, "default",
                           A.warehouse_location(spark, diff_t), A.warehouse_location(spark, state_t))
+
+
+@query("role_names")
+def role_names(spark, sf_dir):
+    t = fx.scope_texts(spark, sf_dir)
+    s = explode_rows(t, normalize_scopes("text"), "scope")
+    return s.select("scope").distinct().select("scope", scope_role_name("scope").alias("role"))
