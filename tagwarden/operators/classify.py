@@ -177,8 +177,14 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
     aggs = [F.min("_sid").alias("_smin"), F.max("_sid").alias("_smax"),
             F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), _tid)")).alias("_mask")]
     if with_unmatched:
-        aggs.append(F.expr("collect_set(tag) FILTER (WHERE _tid IS NULL)").alias("_un"))
-    per_entity = t.groupBy("entity_id").agg(*aggs)
+        # first a fixed-width hash aggregate at (entity, unmatched tag) grain - it removes
+        # duplicate rows map-side - then the per-entity pass collects over distinct rows only
+        t = t.groupBy("entity_id", F.when(F.col("_tid").isNull(), F.col("tag")).alias("_ut")).agg(*aggs)
+        per_entity = t.groupBy("entity_id").agg(
+            F.min("_smin").alias("_smin"), F.max("_smax").alias("_smax"), F.bit_or("_mask").alias("_mask"),
+            F.collect_list("_ut").alias("_un"))
+    else:
+        per_entity = t.groupBy("entity_id").agg(*aggs)
     joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
     status = (F.when(F.col("_smin").isNull(), F.lit(STATUS_MISSING))
               .when(F.col("_smin") == F.col("_smax"), F.lit(STATUS_VALID))
