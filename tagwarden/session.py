@@ -20,8 +20,9 @@ def local_session(cpus: int | str = "*", app: str = "tagwarden", checkpoint_dir:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
     )
+    if not any(k == "spark.driver.memory" for k in (extra or {})):
+        builder = builder.config("spark.driver.memory", "8g")
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in (extra or {}).items():
