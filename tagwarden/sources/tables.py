@@ -103,11 +103,12 @@ def table_job(spark: SparkSession, action: str, name: str, schema: StructType |
 
 
 def smoke(spark: SparkSession, name: str, schema: StructType | str, rows: DataFrame, key: Sequence[str] = (),
-          schema_name: str | None = None, location: str | None = None) -> DataFrame:
+          schema_name: str | None = None, location: str | None = None, fail: bool = False) -> DataFrame:
     """create -> reload -> count -> ordered read, as a report ``(step, ok, rows)``.
 
     Stops at the first failing step; the failed step is reported with ``ok = false`` and
-    the later steps are not run.
+    the later steps are not run. With ``fail=True`` a failed step raises (the check
+    fails, like a failed job), carrying the report text.
     """
     report: list[tuple[str, bool, int | None]] = []
     steps = (
@@ -123,6 +124,8 @@ def smoke(spark: SparkSession, name: str, schema: StructType | str, rows: DataFr
             report.append((step, False, None))
             break
         report.append((step, True, out if isinstance(out, int) else None))
+    if fail and not all(ok for _, ok, _ in report):
+        raise RuntimeError(f"table smoke check failed for {qualify(name, schema_name)}: {report}")
     return spark.createDataFrame(report, "step string, ok boolean, rows bigint")
 
 

@@ -40,3 +40,6 @@ def test_table_job_and_smoke(spark):
     bad = A.smoke(spark, "courses3", COURSE_SCHEMA, A.literal_rows(spark, [(1, "x")], "a int, b string"),
                   schema_name="default")
     assert [tuple(r)[:2] for r in bad.collect()] == [("create", True), ("insert", False)]
+    with pytest.raises(RuntimeError):
+        A.smoke(spark, "courses3", COURSE_SCHEMA, A.literal_rows(spark, [(1, "x")], "a int, b string"),
+                schema_name="default", fail=True)
