@@ -146,6 +146,20 @@ def users_to_create(wanted: DataFrame, present: DataFrame, initial_role: str = V
         .select("username", F.lit(initial_role).alias("role"))
 
 
+def user_plan(current: DataFrame, desired: DataFrame, present_users: DataFrame,
+              managed: Sequence[str] | DataFrame = MANAGED_TEST_ROLES, initial_role: str = VIEWER) -> DataFrame:
+    """The whole user job: ``(username, op, role)`` with op ``create`` / ``add`` / ``remove``.
+
+    Users of ``desired`` missing from ``present_users`` are created with ``initial_role``
+    (D5); reconcile (D3) then runs against the current roles *including* that initial
+    role, so a created user whose profile lacks it gets it removed again.
+    """
+    created = users_to_create(desired.select("username"), present_users, initial_role)
+    after_create = current.select("username", "role").unionByName(created)
+    changes = reconcile_roles(after_create, desired, managed)
+    return created.select("username", F.lit("create").alias("op"), "role").unionByName(changes)
+
+
 # --------------------------------------------------------------------------- D6
 def teardown_plan(targets: DataFrame, present: DataFrame, dry_run: bool = False) -> DataFrame:
     """``(kind, name)`` targets -> ``(kind, name, action)`` with action delete/skip.

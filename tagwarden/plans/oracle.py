@@ -456,3 +456,42 @@ SELECT scope, 'AF_TRIGGER_SCOPE_' || upper(scope) AS role FROM (
   FROM scope_texts, LATERAL (SELECT unnest(string_split(text, ',')) AS x)
   WHERE lower({strip('x')}) <> ''
   UNION SELECT 'global')"""
+
+ORACLE["user_plan"] = """
+WITH matrix(profile, strict, role) AS (VALUES
+  ('normal', false, 'Viewer'), ('normal', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('normal', true, 'Viewer'), ('normal', true, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('us_user', false, 'Viewer'), ('us_user', false, 'AF_TRIGGER_SCOPE_US'), ('us_user', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('us_user', true, 'Viewer'), ('us_user', true, 'AF_TRIGGER_SCOPE_US'),
+  ('nonus_priv', false, 'Viewer'), ('nonus_priv', false, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('nonus_priv', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('nonus_priv', true, 'Viewer'), ('nonus_priv', true, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('us_priv', false, 'Viewer'), ('us_priv', false, 'AF_TRIGGER_SCOPE_US'), ('us_priv', false, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('us_priv', false, 'AF_RERUN_ALL_NO_TRIGGER'),
+  ('us_priv', true, 'Viewer'), ('us_priv', true, 'AF_TRIGGER_SCOPE_US'), ('us_priv', true, 'AF_TRIGGER_SCOPE_GLOBAL'),
+  ('admin_observer', false, 'AF_ADMIN_OBSERVER_NO_DAG'), ('admin_observer', true, 'AF_ADMIN_OBSERVER_NO_DAG')),
+desired AS (
+  SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS username, m.role
+  FROM customer JOIN matrix m
+    ON m.profile = CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'normal' WHEN 'BUILDING' THEN 'us_user'
+                    WHEN 'FURNITURE' THEN 'nonus_priv' WHEN 'HOUSEHOLD' THEN 'us_priv'
+                    WHEN 'MACHINERY' THEN 'admin_observer' END
+   AND m.strict = (c_acctbal < 0)),
+present AS (SELECT 'cust_' || CAST(c_custkey AS VARCHAR) AS username FROM customer WHERE c_acctbal > 0),
+cur AS (
+  SELECT DISTINCT 'cust_' || CAST(o_custkey AS VARCHAR) AS username, g.role
+  FROM orders JOIN (VALUES ('1-URGENT', 'Viewer'), ('2-HIGH', 'Viewer'), ('3-MEDIUM', 'AF_RERUN_ALL_NO_TRIGGER')) g(grp, role)
+    ON o_orderpriority = g.grp
+  WHERE 'cust_' || CAST(o_custkey AS VARCHAR) IN (SELECT username FROM present)),
+created AS (SELECT DISTINCT username, 'Viewer' AS role FROM desired WHERE username NOT IN (SELECT username FROM present)),
+cur2 AS (SELECT username, role FROM cur UNION SELECT username, role FROM created)
+SELECT username, 'create' AS op, role FROM created
+UNION ALL
+SELECT username, 'add', role FROM (SELECT username, role FROM desired EXCEPT SELECT username, role FROM cur2)
+UNION ALL
+SELECT username, 'remove', role FROM (
+  SELECT username, role FROM cur2
+  WHERE role IN ('Viewer', 'AF_RERUN_ALL_NO_TRIGGER', 'AF_ADMIN_OBSERVER_NO_DAG', 'AF_TRIGGER_SCOPE_GLOBAL',
+                 'AF_TRIGGER_SCOPE_NONUS', 'AF_TRIGGER_SCOPE_US', 'AF_TRIGGER_SCOPE_MX', 'AF_TRIGGER_SCOPE_CN')
+    AND username IN (SELECT username FROM desired)
+  EXCEPT SELECT username, role FROM desired)"""

@@ -302,3 +302,13 @@ def role_names(spark, sf_dir):
     t = fx.scope_texts(spark, sf_dir)
     s = explode_rows(t, normalize_scopes("text"), "scope")
     return s.select("scope").distinct().select("scope", scope_role_name("scope").alias("role"))
+
+
+@query("user_plan")
+def user_plan(spark, sf_dir):
+    present = fx.present_customers(spark, sf_dir)
+    ug, mapping = fx.order_groups(spark, sf_dir)
+    # current memberships: the group-derived roles of users that exist
+    current = D.roles_from_groups(ug, mapping).join(present, "username", "left_semi")
+    desired = D.desired_roles(fx.customer_profiles(spark, sf_dir))
+    return D.user_plan(current, desired, present)

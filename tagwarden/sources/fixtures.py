@@ -289,3 +289,9 @@ def observations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     services = e.groupBy(F.col("user_id").alias("service")).agg(
         F.max(F.col("event_type") == "purchase").alias("managed"))
     return obs, services
+
+
+def present_customers(spark, sf_dir) -> DataFrame:
+    """Customers that already exist as users: those with a positive balance."""
+    c = table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0)
+    return c.select(F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("username"))

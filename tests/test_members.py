@@ -80,3 +80,16 @@ def test_read_listing_file(spark):
     users = D.read_listing(spark, d)
     assert rows(users, "username") == [("bob",), ("carol",)]
     assert rows(D.parse_role_list(users, "line")) == [("bob", "Viewer"), ("carol", "Op"), ("carol", "Viewer")]
+
+
+def test_user_plan_created_viewer_is_removed_again(spark):
+    profiles = spark.createDataFrame([("obs", "admin_observer", False), ("n", "normal", False)],
+                                     "username string, profile string, strict boolean")
+    desired = D.desired_roles(profiles)
+    present = spark.createDataFrame([("n",)], "username string")
+    current = spark.createDataFrame([("n", "Viewer"), ("n", "X_UNMANAGED")], "username string, role string")
+    got = rows(D.user_plan(current, desired, present))
+    assert got == [("n", "add", "AF_RERUN_ALL_NO_TRIGGER"),
+                   ("obs", "add", "AF_ADMIN_OBSERVER_NO_DAG"),
+                   ("obs", "create", "Viewer"),
+                   ("obs", "remove", "Viewer")]
