@@ -129,8 +129,8 @@ def _small_map(tag_map: DataFrame, max_tags: int) -> list[tuple[str, str]] | Non
     The read is bounded (``limit(max_tags + 1)``): a large map is never pulled whole.
     A map gives one scope per tag; a tag with two scopes is rejected.
     """
-    rows = tag_map.select("tag", "scope").where(F.col("tag").isNotNull()).distinct() \
-        .limit(max_tags + 1).collect()
+    rows = tag_map.select("tag", "scope").where(F.col("tag").isNotNull() & F.col("scope").isNotNull()) \
+        .distinct().limit(max_tags + 1).collect()
     if len(rows) > max_tags:
         return None
     pairs = sorted((r["tag"], r["scope"]) for r in rows)
@@ -202,7 +202,8 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
 def _classify_sets(entities: DataFrame, t: DataFrame, tag_map: DataFrame, with_unmatched: bool) -> DataFrame:
     """General form for large tag maps: broadcast join, then per-entity distinct scopes/tags."""
     # keyed on tag: broadcast when the (large) map is still within the proven bound
-    tmap = broadcast_if_small(tag_map.select("tag", "scope").where(F.col("tag").isNotNull()))
+    tmap = broadcast_if_small(tag_map.select("tag", "scope")
+                              .where(F.col("tag").isNotNull() & F.col("scope").isNotNull()))
     m = t.join(tmap, "tag", "left" if with_unmatched else "inner")
     aggs = [F.collect_set("scope").alias("_scopes"),
             F.expr("collect_set(tag) FILTER (WHERE scope IS NOT NULL)").alias("_matched")]

@@ -104,3 +104,14 @@ def test_tag_with_two_scopes_is_rejected(spark):
     tm = spark.createDataFrame([("T", "us"), ("T", "global")], "tag string, scope string")
     with pytest.raises(ValueError):
         B.classify(ents, tags, tm)
+
+
+def test_null_scope_rows_map_nothing_in_both_paths(spark, monkeypatch):
+    ents = spark.createDataFrame([("a",), ("b",)], "entity_id string")
+    tags = spark.createDataFrame([("a", "T"), ("a", "U"), ("b", "U")], "entity_id string, tag string")
+    tm = spark.createDataFrame([("T", "us"), ("U", None)], "tag string, scope string")
+    expect = [("a", "valid", "us", ["T"]), ("b", "missing", None, [])]
+    cols = ("entity_id", "status", "scope", "matched_tags")
+    assert rows(B.classify(ents, tags, tm), *cols) == expect
+    monkeypatch.setattr(B, "BITMASK_MAX_TAGS", 0)
+    assert rows(B.classify(ents, tags, tm), *cols) == expect
