@@ -195,6 +195,22 @@ def merge_acl(acl_rows: DataFrame, targets: DataFrame,
     return kept.select("entity_id", "role", "resource", "action").unionByName(added)
 
 
+def policy_acl(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_role: DataFrame,
+               acl_rows: DataFrame, root: str) -> DataFrame:
+    """The policy pass over a catalogue (B4 -> B7 -> B8 -> C7): for every entity under
+    ``root`` that classifies to one scope with a role, its resulting ACL rows.
+
+    Entities outside the root are left alone (no rows); failing entities are reported
+    by ``classify.violations`` instead.
+    """
+    from tagwarden.operators.classify import classify, resolve_role, under_root
+
+    inside = entities.where(under_root("path", root)).select("entity_id")
+    targets = resolve_role(classify(inside, tags, tag_map), scope_role) \
+        .where(F.col("status") == "valid").select("entity_id", "role")
+    return merge_acl(acl_rows, targets)
+
+
 # --------------------------------------------------------------------------- C8
 def permission_state(ops: DataFrame) -> DataFrame:
     """Final state of each (role, action, resource) from an ordered grant/revoke list.

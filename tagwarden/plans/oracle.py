@@ -495,3 +495,13 @@ SELECT username, 'remove', role FROM (
                  'AF_TRIGGER_SCOPE_NONUS', 'AF_TRIGGER_SCOPE_US', 'AF_TRIGGER_SCOPE_MX', 'AF_TRIGGER_SCOPE_CN')
     AND username IN (SELECT username FROM desired)
   EXCEPT SELECT username, role FROM desired)"""
+
+ORACLE["policy_acl"] = with_("entities", "entity_tags", "tag_map", "scope_role", "inside", "acl", "acl_roles",
+                             "acl_rows", extra=(classify_cte("classified", "inside", trim=True),)) + """,
+targets AS (SELECT c.entity_id, r.role FROM classified c JOIN scope_role r ON c.scope = r.scope WHERE c.status = 'valid')
+SELECT a.entity_id, a.role, a.resource, a.action FROM acl_rows a
+WHERE a.role NOT IN ('AF_TRIGGER_SCOPE_GLOBAL', 'AF_TRIGGER_SCOPE_US', 'AF_TRIGGER_SCOPE_MX', 'AF_TRIGGER_SCOPE_CN')
+  AND a.entity_id IN (SELECT entity_id FROM targets)
+UNION ALL
+SELECT t.entity_id, t.role, p.resource, p.action
+FROM targets t CROSS JOIN (VALUES ('DAGs', 'can_edit'), ('DAG Runs', 'can_create')) p(resource, action)"""

@@ -312,3 +312,9 @@ def user_plan(spark, sf_dir):
     current = D.roles_from_groups(ug, mapping).join(present, "username", "left_semi")
     desired = D.desired_roles(fx.customer_profiles(spark, sf_dir))
     return D.user_plan(current, desired, present)
+
+
+@query("policy_acl")
+def policy_acl(spark, sf_dir):
+    return C.policy_acl(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark),
+                        B.scope_role_table(spark), C.normalize_acl(fx.acl(spark, sf_dir)), fx.ROOT)

@@ -120,3 +120,18 @@ def test_grant_sync_job_is_idempotent(spark):
     # second run against the written state: nothing to do
     s2 = run_grant_sync(spark, desired, spark.createDataFrame(rows(state), sch), "t_diff", "t_state", "default")
     assert [tuple(r) for r in s2.collect()] == [("total", 0, 0)]
+
+
+def test_policy_acl_only_under_root_and_valid(spark):
+    from tagwarden.operators import classify as B
+
+    ents = spark.createDataFrame([("in_ok", "/dags/a.py"), ("in_bad", "/dags/b.py"), ("out_ok", "/other/c.py")],
+                                 "entity_id string, path string")
+    tags = spark.createDataFrame([("in_ok", "GDTET_US_DAG"), ("in_bad", "GDTET_US_DAG"), ("in_bad", "GDTET_GLOBAL_DAG"),
+                                  ("out_ok", "GDTET_US_DAG")], "entity_id string, tag string")
+    tm = spark.createDataFrame([("GDTET_US_DAG", "us"), ("GDTET_GLOBAL_DAG", "global")], "tag string, scope string")
+    acl = spark.createDataFrame([("in_ok", "Ops", "DAGs", "can_read"), ("out_ok", "Ops", "DAGs", "can_read")],
+                                "entity_id string, role string, resource string, action string")
+    got = rows(C.policy_acl(ents, tags, tm, B.scope_role_table(spark), acl, "/dags"))
+    assert got == sorted([("in_ok", "Ops", "DAGs", "can_read"), ("in_ok", "AF_TRIGGER_SCOPE_US", "DAGs", "can_edit"),
+                          ("in_ok", "AF_TRIGGER_SCOPE_US", "DAG Runs", "can_create")])
