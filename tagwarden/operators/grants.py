@@ -196,10 +196,12 @@ def merge_acl(acl_rows: DataFrame, targets: DataFrame,
 
 
 def policy_acl(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_role: DataFrame,
-               acl_rows: DataFrame, root: str) -> DataFrame:
-    """The policy pass over a catalogue (B4 -> B7 -> B8 -> C7): for every entity under
+               acl_docs: DataFrame, root: str, acl_col: str = "acl_json") -> DataFrame:
+    """The policy pass over a catalogue (B4 -> B7 -> B8 -> C6 -> C7): for every entity under
     ``root`` that classifies to one scope with a role, its resulting ACL rows.
 
+    ``acl_docs(entity_id, <acl_col>)`` holds the raw ACL documents; only the documents of
+    target entities are unpacked (semi join first - the JSON work is the per-row cost).
     Entities outside the root are left alone (no rows); failing entities are reported
     by ``classify.violations`` instead.
     """
@@ -208,7 +210,13 @@ def policy_acl(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_r
     inside = entities.where(under_root("path", root)).select("entity_id")
     targets = resolve_role(classify(inside, tags, tag_map), scope_role) \
         .where(F.col("status") == "valid").select("entity_id", "role")
-    return merge_acl(acl_rows, targets)
+    return merge_targets_acl(acl_docs, targets, acl_col)
+
+
+def merge_targets_acl(acl_docs: DataFrame, targets: DataFrame, acl_col: str = "acl_json") -> DataFrame:
+    """C6 + C7 for raw documents: keep the target entities' documents, unpack, merge."""
+    docs = acl_docs.select("entity_id", acl_col).join(targets.select("entity_id"), "entity_id", "left_semi")
+    return merge_acl(normalize_acl(docs, acl_col), targets)
 
 
 # --------------------------------------------------------------------------- C8

@@ -135,7 +135,7 @@ def acl_merge(spark, sf_dir):
     c = B.classify(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark), trim_tags=True)
     targets = B.resolve_role(c, B.scope_role_table(spark)).where(F.col("status") == "valid") \
         .select("entity_id", "role")
-    return C.merge_acl(C.normalize_acl(fx.acl(spark, sf_dir)), targets)
+    return C.merge_targets_acl(fx.acl(spark, sf_dir), targets)
 
 
 @query("permission_state")
@@ -317,4 +317,4 @@ def user_plan(spark, sf_dir):
 @query("policy_acl")
 def policy_acl(spark, sf_dir):
     return C.policy_acl(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark),
-                        B.scope_role_table(spark), C.normalize_acl(fx.acl(spark, sf_dir)), fx.ROOT)
+                        B.scope_role_table(spark), fx.acl(spark, sf_dir), fx.ROOT)

@@ -130,8 +130,8 @@ def test_policy_acl_only_under_root_and_valid(spark):
     tags = spark.createDataFrame([("in_ok", "GDTET_US_DAG"), ("in_bad", "GDTET_US_DAG"), ("in_bad", "GDTET_GLOBAL_DAG"),
                                   ("out_ok", "GDTET_US_DAG")], "entity_id string, tag string")
     tm = spark.createDataFrame([("GDTET_US_DAG", "us"), ("GDTET_GLOBAL_DAG", "global")], "tag string, scope string")
-    acl = spark.createDataFrame([("in_ok", "Ops", "DAGs", "can_read"), ("out_ok", "Ops", "DAGs", "can_read")],
-                                "entity_id string, role string, resource string, action string")
+    acl = spark.createDataFrame([("in_ok", '{"Ops": "can_read"}'), ("out_ok", '{"Ops": "can_read"}')],
+                                "entity_id string, acl_json string")
     got = rows(C.policy_acl(ents, tags, tm, B.scope_role_table(spark), acl, "/dags"))
     assert got == sorted([("in_ok", "Ops", "DAGs", "can_read"), ("in_ok", "AF_TRIGGER_SCOPE_US", "DAGs", "can_edit"),
                           ("in_ok", "AF_TRIGGER_SCOPE_US", "DAG Runs", "can_create")])
