@@ -277,5 +277,9 @@ def effective_access(requests: DataFrame, user_roles: DataFrame, grants: DataFra
 
 # --------------------------------------------------------------------------- C11
 def missing_roles(wanted: DataFrame, present: DataFrame) -> DataFrame:
-    """Wanted role names that do not exist yet - the create list (C11)."""
-    return wanted.select("role").distinct().join(present.select("role"), "role", "left_anti")
+    """Wanted role names that do not exist yet - the create list (C11).
+
+    Both sides are de-duplicated first (map-side), so a role repeated in a third of the
+    rows never lands in one task of the anti join.
+    """
+    return wanted.select("role").distinct().join(present.select("role").distinct(), "role", "left_anti")

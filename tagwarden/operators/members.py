@@ -141,8 +141,9 @@ def desired_roles(profiles: DataFrame, profile_col: str = "profile", strict_col:
 # --------------------------------------------------------------------------- D5
 def users_to_create(wanted: DataFrame, present: DataFrame, initial_role: str = VIEWER) -> DataFrame:
     """Users not in the listing yet, each created with ``initial_role``."""
+    # both sides de-duplicated map-side: a user repeated in many listing rows stays one row
     w = wanted.select("username").distinct()
-    return w.join(present.select("username"), "username", "left_anti") \
+    return w.join(present.select("username").distinct(), "username", "left_anti") \
         .select("username", F.lit(initial_role).alias("role"))
 
 

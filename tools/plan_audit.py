@@ -4,6 +4,9 @@ scan widths, and any node that should never appear (cartesian / nested-loop join
 Python evaluation).
 
 usage: python tools/plan_audit.py [sf_dir] [key,key,...]
+       AUDIT_AT_SCALE=1 python tools/plan_audit.py ...   (no size-based broadcasts, as with
+       100 TB inputs: only explicitly proven broadcasts remain; exchanges keyed on a
+       low-cardinality column alone are listed separately)
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+LOW_CARDINALITY = {"role", "scope", "group", "kind", "action", "resource", "op", "source", "status"}
 
 
 def main() -> None:
@@ -25,7 +29,12 @@ def main() -> None:
     import __spark_entry__ as E
 
     scratch = tempfile.mkdtemp(prefix="tw-audit-", dir="/tmp")
-    spark = local_session(8, extra={"spark.sql.warehouse.dir": f"{scratch}/wh"})
+    extra = {"spark.sql.warehouse.dir": f"{scratch}/wh"}
+    at_scale = os.environ.get("AUDIT_AT_SCALE") == "1"
+    if at_scale:
+        extra.update({"spark.sql.autoBroadcastJoinThreshold": "-1",
+                      "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
+    spark = local_session(8, extra=extra)
     spark.sparkContext.setLogLevel("OFF")
     ensure_test_checkpoint_dir(spark)
     for name, fn in E.queries().items():
@@ -36,12 +45,15 @@ def main() -> None:
         plan = df._jdf.queryExecution().executedPlan().toString()
         keys = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)
         keys = [re.sub(r"#\d+L?", "", k) for k in keys]
+        low = [k for k in keys if set(x.strip() for x in k.split(",")) <= LOW_CARDINALITY]
         joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin)", plan)
         aggs = re.findall(r"(HashAggregate|ObjectHashAggregate|SortAggregate)\(", plan)
         scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
         bad = [f for f in FORBIDDEN if f in plan]
         print(f"{name}:")
         print(f"  exchanges[{len(keys)}]: " + "; ".join(keys))
+        if low:
+            print(f"  keyed on a low-cardinality column alone: {low} (must carry aggregated/distinct rows)")
         print(f"  joins: {', '.join(sorted(set(joins))) or '-'}   aggregates: "
               f"{', '.join(sorted(set(aggs))) or '-'}   widest scan: {max((s.count(':') for s in scans), default=0)} cols"
               + (f"   FORBIDDEN: {bad}" if bad else ""))
