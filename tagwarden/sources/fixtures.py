@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwarden.plans.broadcast import literal_lookup
+from tagwarden.plans.broadcast import broadcast_if_small, literal_lookup
 
 # Fixed binding parameters of the fixtures (not reference values):
 TAG_MAP = (("RF_A", "us"), ("OS_F", "us"), ("RF_R", "global"), ("OS_P", "apac"))
@@ -127,7 +127,8 @@ def access_grants(spark, sf_dir) -> DataFrame:
 def global_grants(spark, sf_dir) -> DataFrame:
     """(role, action, resource) from customers; the role is the scope role of the customer's nation."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # nation is a small dimension keyed on a 25-value column: broadcast it, never shuffle customers on it
+    n = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     k = F.col("c_custkey")
     j = c.join(n, c.c_nationkey == n.n_nationkey)
     return j.select(
@@ -140,7 +141,7 @@ def global_grants(spark, sf_dir) -> DataFrame:
 def managed_nation_roles(spark, sf_dir) -> DataFrame:
     """Scope roles that count as managed: those of the nations in region AMERICA or ASIA."""
     n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region").where(F.col("r_name").isin("AMERICA", "ASIA"))
+    r = broadcast_if_small(table(spark, sf_dir, "region").where(F.col("r_name").isin("AMERICA", "ASIA")))
     return n.join(r, n.n_regionkey == r.r_regionkey, "left_semi").select(
         F.concat(F.lit("AF_TRIGGER_SCOPE_"), F.upper(F.regexp_replace("n_name", " ", "_"))).alias("role"))
 
@@ -168,7 +169,7 @@ def tag_map_texts(spark, sf_dir) -> DataFrame:
 def scope_texts(spark, sf_dir) -> DataFrame:
     """(c_custkey, text): a scope-list text per customer: segment, nation name, blanks, maybe 'Global'."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     j = c.join(n, c.c_nationkey == n.n_nationkey)
     text = F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" , "), F.lower("n_name"), F.lit(",,"),
                     F.when(F.col("c_custkey") % 2 == 0, F.lit(" Global ")).otherwise(F.lit("")))
@@ -215,7 +216,7 @@ def teardown_targets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rname = F.concat(F.lit("ROLE_"), F.regexp_replace("n_name", " ", "_"))
     targets = s.select(F.lit("user").alias("kind"), uname.alias("name")).unionByName(
         n.select(F.lit("role").alias("kind"), rname.alias("name")))
-    debt = s.where(F.col("s_acctbal") < 0).select(F.col("s_nationkey").alias("n_nationkey"))
+    debt = s.where(F.col("s_acctbal") < 0).select(F.col("s_nationkey").alias("n_nationkey")).distinct()
     present = s.where(F.col("s_acctbal") > 0).select(F.lit("user").alias("kind"), uname.alias("name")).unionByName(
         n.join(debt, "n_nationkey", "left_semi").select(F.lit("role").alias("kind"), rname.alias("name")))
     return targets, present
