@@ -114,8 +114,10 @@ def under_root(path_col, root: str | Column) -> Column:
 
 
 # --------------------------------------------------------------------------- B7
-# A tag map of at most this many tags is classified with bit masks (one long per entity).
-BITMASK_MAX_TAGS = 63
+# A tag map of at most this many tags is classified with bit masks: one 63-bit word per
+# 63 tags (16 words), so the per-entity state stays a fixed-width hash-aggregate buffer.
+BITS_PER_WORD = 63
+BITMASK_MAX_TAGS = 16 * BITS_PER_WORD
 
 
 def _clean_tags(tags: DataFrame, trim_tags: bool) -> DataFrame:
@@ -150,8 +152,8 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
     two tags of the same scope are valid. ``scope`` is set only when valid;
     ``matched_tags`` is sorted.
 
-    Plan (map of <= 63 tags, the normal case): the map becomes literal lookups; one
-    groupBy(entity_id) of ``min/max(scope_id)`` and ``bit_or(1 << tag_id)`` - fixed-width
+    Plan (map of <= 1008 tags, the normal case): the map becomes literal lookups; one
+    groupBy(entity_id) of ``min/max(scope_id)`` and one ``bit_or`` word per 63 tags - fixed-width
     buffers, so a codegen'd hash aggregation with map-side combine - then entities LEFT
     JOIN on entity_id. Bigger maps: broadcast join (behind a size check) and per-entity
     sets instead.
@@ -174,15 +176,19 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
     # explicit guard: do not rely on element_at propagating a null index
     sid = F.when(F.col("_tid").isNotNull(), F.element_at(scope_of, F.col("_tid") + 1))
     t = t.select("entity_id", "tag", "_tid", sid.alias("_sid"))
-    aggs = [F.min("_sid").alias("_smin"), F.max("_sid").alias("_smax"),
-            F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), _tid)")).alias("_mask")]
+    n_words = max(1, -(-len(tag_names) // BITS_PER_WORD))
+    words = [f"_m{w}" for w in range(n_words)]
+    aggs = [F.min("_sid").alias("_smin"), F.max("_sid").alias("_smax")] + [
+        F.bit_or(F.when(F.expr(f"_tid DIV {BITS_PER_WORD}") == w,
+                        F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(_tid % {BITS_PER_WORD} AS INT))"))).alias(m)
+        for w, m in enumerate(words)]
     if with_unmatched:
         # first a fixed-width hash aggregate at (entity, unmatched tag) grain - it removes
         # duplicate rows map-side - then the per-entity pass collects over distinct rows only
         t = t.groupBy("entity_id", F.when(F.col("_tid").isNull(), F.col("tag")).alias("_ut")).agg(*aggs)
         per_entity = t.groupBy("entity_id").agg(
-            F.min("_smin").alias("_smin"), F.max("_smax").alias("_smax"), F.bit_or("_mask").alias("_mask"),
-            F.collect_list("_ut").alias("_un"))
+            F.min("_smin").alias("_smin"), F.max("_smax").alias("_smax"),
+            *[F.bit_or(m).alias(m) for m in words], F.collect_list("_ut").alias("_un"))
     else:
         per_entity = t.groupBy("entity_id").agg(*aggs)
     joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
@@ -190,7 +196,9 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
               .when(F.col("_smin") == F.col("_smax"), F.lit(STATUS_VALID))
               .otherwise(F.lit(STATUS_CONFLICT)))
     names = F.array(*[F.lit(x) for x in tag_names])
-    matched = F.filter(names, lambda _, i: F.bit_get(F.coalesce("_mask", F.lit(0).cast("long")), i) == 1)
+    masks = F.array(*[F.coalesce(m, F.lit(0).cast("long")) for m in words])
+    matched = F.filter(names, lambda _, i: F.bit_get(
+        F.element_at(masks, (i / BITS_PER_WORD).cast("int") + 1), i % BITS_PER_WORD) == 1)
     scope = F.when(status == STATUS_VALID,
                    F.element_at(F.array(*[F.lit(x) for x in scope_names]), F.col("_smin") + 1))
     cols = [status.alias("status"), scope.alias("scope"), matched.alias("matched_tags")]
