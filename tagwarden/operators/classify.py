@@ -113,6 +113,15 @@ def under_root(path_col, root: str | Column) -> Column:
     return F.coalesce(p.isNotNull() & ((p == r) | below), F.lit(False))
 
 
+def resolve_root(explicit: str | None = None, configured: str | None = None, default: str = "/dags") -> str:
+    """The managed root (B5): the explicit root, else the configured folder, else the
+    default; an empty string counts as unset. Returned lexically normalised."""
+    for candidate in (explicit, configured, default):
+        if candidate:
+            return normalize_path_text(candidate)
+    raise ValueError("no managed root given")
+
+
 # --------------------------------------------------------------------------- B7
 # A tag map of at most this many tags is classified with bit masks: one 63-bit word per
 # 63 tags (16 words), so the per-entity state stays a fixed-width hash-aggregate buffer.
@@ -315,6 +324,6 @@ def desired_grants(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, sco
 
 
 __all__ = [
-    "DEFAULT_TAG_MAP", "SCOPE_TO_ROLE", "classify", "desired_grants", "parse_tag_map", "resolve_role",
+    "DEFAULT_TAG_MAP", "SCOPE_TO_ROLE", "classify", "desired_grants", "parse_tag_map", "resolve_role", "resolve_root",
     "scope_role_name", "scope_role_table", "tag_map_rejects", "under_root", "violations",
 ]

@@ -115,3 +115,9 @@ def test_null_scope_rows_map_nothing_in_both_paths(spark, monkeypatch):
     assert rows(B.classify(ents, tags, tm), *cols) == expect
     monkeypatch.setattr(B, "BITMASK_MAX_TAGS", 0)
     assert rows(B.classify(ents, tags, tm), *cols) == expect
+
+
+def test_resolve_root_first_usable_value():
+    assert B.resolve_root("", None, "/dags") == "/dags"
+    assert B.resolve_root(None, "/cfg/dags/", "/dags") == "/cfg/dags"
+    assert B.resolve_root("/x/../root", "/cfg", "/dags") == "/root"
