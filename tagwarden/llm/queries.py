@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tagwarden.llm.language_id import op2_language_mixture
 from tagwarden.llm.quality_rules import op6_quality_rules
+from tagwarden.llm.simhash_bk import op9_simhash_bktree
 
 QUERIES = {
+    "op2_language_mixture": op2_language_mixture,
     "op6_quality_rules": op6_quality_rules,
+    "op9_simhash_bktree": op9_simhash_bktree,
 }
 ORACLE: dict[str, str] = {}
