@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagwarden.llm.common import table, written
+from tagwarden.llm.language_id import keep_known
+from tagwarden.llm.length_buckets import pack_stage
+from tagwarden.llm.pii_semicrf import redact
 from tagwarden.llm.quality_rules import keep_good
+from tagwarden.llm.simhash_bk import keep_one
 
 STAGES = [
     ("quality_rules", keep_good),
+    ("language_id", keep_known),
+    ("simhash_near_dedup", keep_one),
+    ("pii", redact),
+    ("packing", pack_stage),
 ]
 
 ORACLE_SQL = None  # the stages are not all expressible in SQL; tests/llm holds them against plain versions

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,18 @@ def nested(df: DataFrame, text_col: str = "text", **more) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranges(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
+    """``df`` plus an int column ``name``: about ``n`` ranges of ``col`` with about equal row counts, numbered upward.
+
+    The borders are approximate quantiles (a bounded sketch); only the balance depends on them.
+    Nulls are in the lowest range.
+    """
+    share = [i / n for i in range(1, n)]
+    cuts = df.stat.approxQuantile(col, share, min(0.001, 0.1 / n)) if share else []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    tmp = f"{name}_as_double"
+    d = df.withColumn(tmp, F.coalesce(F.col(col).cast("double"), F.lit(-float("inf"))))
+    return (Bucketizer(splits=splits, inputCol=tmp, outputCol=name, handleInvalid="keep").transform(d).drop(tmp)
+            .withColumn(name, F.col(name).cast("int")))

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from tagwarden.llm.language_id import op2_language_mixture
+from tagwarden.llm import length_buckets
+from tagwarden.llm.length_buckets import op1_length_buckets
+from tagwarden.llm.pii_semicrf import op8_pii_semicrf
 from tagwarden.llm.quality_rules import op6_quality_rules
 from tagwarden.llm.simhash_bk import op9_simhash_bktree
 
 QUERIES = {
+    "op1_length_buckets": op1_length_buckets,
     "op2_language_mixture": op2_language_mixture,
     "op6_quality_rules": op6_quality_rules,
+    "op8_pii_semicrf": op8_pii_semicrf,
     "op9_simhash_bktree": op9_simhash_bktree,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_length_buckets": length_buckets.oracle(),
+}
