@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from tagwarden.llm.bpe_matrix import op5_bpe_matrix
+from tagwarden.llm.external_shuffle import op10_external_shuffle
 from tagwarden.llm.language_id import op2_language_mixture
 from tagwarden.llm import length_buckets
 from tagwarden.llm.length_buckets import op1_length_buckets
 from tagwarden.llm.pii_semicrf import op8_pii_semicrf
 from tagwarden.llm.quality_rules import op6_quality_rules
 from tagwarden.llm.simhash_bk import op9_simhash_bktree
+from tagwarden.llm.warc_segments import op7_warc_segments
 
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_language_mixture": op2_language_mixture,
+    "op5_bpe_matrix": op5_bpe_matrix,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc_segments": op7_warc_segments,
     "op8_pii_semicrf": op8_pii_semicrf,
     "op9_simhash_bktree": op9_simhash_bktree,
+    "op10_external_shuffle": op10_external_shuffle,
 }
 ORACLE: dict[str, str] = {
     "op1_length_buckets": length_buckets.oracle(),
