@@ -7,6 +7,7 @@ from tagwarden.llm.external_shuffle import op10_external_shuffle
 from tagwarden.llm.language_id import op2_language_mixture
 from tagwarden.llm import length_buckets
 from tagwarden.llm.length_buckets import op1_length_buckets
+from tagwarden.llm.phrase_fingerprint import op4_phrase_fingerprint
 from tagwarden.llm.pii_semicrf import op8_pii_semicrf
 from tagwarden.llm.quality_rules import op6_quality_rules
 from tagwarden.llm.simhash_bk import op9_simhash_bktree
@@ -15,6 +16,7 @@ from tagwarden.llm.warc_segments import op7_warc_segments
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_language_mixture": op2_language_mixture,
+    "op4_phrase_fingerprint": op4_phrase_fingerprint,
     "op5_bpe_matrix": op5_bpe_matrix,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc_segments": op7_warc_segments,
