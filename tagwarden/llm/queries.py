@@ -11,11 +11,13 @@ from tagwarden.llm.phrase_fingerprint import op4_phrase_fingerprint
 from tagwarden.llm.pii_semicrf import op8_pii_semicrf
 from tagwarden.llm.quality_rules import op6_quality_rules
 from tagwarden.llm.simhash_bk import op9_simhash_bktree
+from tagwarden.llm.toxicity_chain import op3_toxicity_chain
 from tagwarden.llm.warc_segments import op7_warc_segments
 
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_language_mixture": op2_language_mixture,
+    "op3_toxicity_chain": op3_toxicity_chain,
     "op4_phrase_fingerprint": op4_phrase_fingerprint,
     "op5_bpe_matrix": op5_bpe_matrix,
     "op6_quality_rules": op6_quality_rules,
