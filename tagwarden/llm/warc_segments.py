@@ -102,16 +102,17 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES)
     all pages share moves as one row a task; the pages themselves are shuffled once, by id.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    p = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
+    # a key without nulls: the join and the window below then share one shuffle of the pages
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    p = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"), key.alias("key"))
     keys = p.select("page_id", "sha").groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     keys = keys.where("n > 1").select("sha", "first_id")
     # only pages whose payload repeats need to know the first of them
-    firsts = (p.select("page_id", "sha").distinct().join(keys, "sha")
-              .select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first_id"))
-    j = p.join(firsts, p["page_id"].eqNullSafe(firsts["_id"]) & (p["sha"] == firsts["_sha"]), "left")
-    same = W.partitionBy("page_id", "sha").orderBy("url")
-    rows = j.select("page_id", "url", "payload", "first_id", F.col("_sha").isNotNull().alias("repeats"),
-                    F.row_number().over(same).alias("ordinal"))
+    firsts = p.select("key", "sha").distinct().join(keys, "sha").select("key", "sha", "first_id", F.lit(True).alias("more"))
+    same = W.partitionBy("key", "sha").orderBy("url")
+    rows = p.join(firsts, ["key", "sha"], "left").select(
+        "page_id", "url", "payload", "first_id", F.col("more").isNotNull().alias("repeats"),
+        F.row_number().over(same).alias("ordinal"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
