@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from tagwarden.llm.common import new_folder, table
 
-SHARDS, SEED, BUCKET_BYTES, MAX_BUCKETS = 16, 20_240_601, 16 << 20, 1 << 21
+SHARDS, SEED, BUCKET_BYTES, MAX_BUCKETS = 16, 20_240_601, 1 << 20, 1 << 20
+PARTITION_BYTES = 128 << 20
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -55,7 +56,9 @@ def shuffle_to_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     begin = np.concatenate([[0], np.cumsum([counts.get(b, 0) for b in range(buckets)])]).astype(np.int64)
     sent = spark.sparkContext.broadcast(begin)
     total = int(begin[-1])
-    dealt = d.select("row", "_key", bucket.alias("_bucket")).repartition(int(buckets), "_bucket") \
+    # a partition takes many buckets one after the other, which evens out how they fall
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes["b"] or 0) // PARTITION_BYTES))
+    dealt = d.select("row", "_key", bucket.alias("_bucket")).repartition(int(min(parts, buckets)), "_bucket") \
         .sortWithinPartitions("_bucket", "_key", F.col(f"row.`{id_col}`"))
     out = T.StructType([*dealt.select("row").schema.fields, T.StructField("shard", T.IntegerType()),
                         T.StructField("slot", T.LongType())])
