@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tagwarden.llm.common import ranges, table
 
 FIRST_LEVEL, SKETCH = 2, 64
+CELLS = 8  # ranges of the id a shuffle partition
 CHUNK_CHARS = 1 << 16  # characters at once: arrays of that size stay in a core's cache
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -152,8 +153,9 @@ def fingerprint_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """Contract columns for ``docs``: each document against its edited text and its next one."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = ranges(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "doc_id", n,
-               "cell")
+    # several ranges a partition, which evens out how they fall
+    d = ranges(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "doc_id",
+               CELLS * n, "cell")
     # heads: the first id of each range in descending order; read from the id column alone
     heads = {r["cell"]: r["head"] for r in d.groupBy("cell").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads)
