@@ -237,3 +237,53 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tagwarden.llm.common import table
 
     return judge(docs, table(spark, sf_dir, "labels")).where("kept").select("row.*")
+
+
+def oracle() -> str:
+    """The query in SQL; the binomial tail is summed in full."""
+    space, symbols = r"[^\x20\x09-\x0D]", "[^#*$%&|<>]"
+    cuts = ", ".join(f"('{r}', {k}, CAST({c} AS DOUBLE))" for r in RULES for k, c in enumerate(CUTOFFS[r], 1))
+    ratio = "coalesce(CAST({} AS DOUBLE) / nullif({}, 0), 0.0)".format
+    values = {"symbol_ratio": ratio("n_symbols", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+              "repeat_ratio": ratio("n_repeat_words", "n_words"), "mean_word": ratio("word_chars", "n_words"),
+              "same_next_ratio": ratio("n_same_next", "n_words")}
+    unpivot = " UNION ALL ".join(f"SELECT stratum, doc_id, q, '{r}' AS rule, {r} AS v FROM held" for r in RULES)
+    checks = " AND ".join(
+        f"f.{r} <= coalesce((SELECT cutoff FROM chosen c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM f.lang), "
+        "CAST('inf' AS DOUBLE))" for r in RULES)
+    return rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '{space}+') AS w,
+         CAST(length(regexp_replace(coalesce(text, ''), '{symbols}', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{space}')) AS l FROM documents)
+, win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW}))
+, starts AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1)
+, covered AS (SELECT doc_id, CAST(sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS BIGINT) AS n_repeat_words
+              FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM starts) GROUP BY doc_id)
+, base AS (
+  SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         len(l) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_same_next
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id)
+, feats AS MATERIALIZED (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed,
+         {", ".join(f"{v} AS {r}" for r, v in values.items())} FROM base)
+, lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id)
+, held AS MATERIALIZED (SELECT lang AS stratum, f.*, q FROM feats f JOIN lab USING (doc_id) WHERE NOT base_failed)
+, cuts(rule, k, cutoff) AS (VALUES {cuts})
+, cell AS MATERIALIZED (
+  SELECT stratum, u.rule, k, cutoff, count(*) FILTER (q = 1) AS n_good, count(*) FILTER (q = 1 AND v > cutoff) AS lost,
+         count(*) FILTER (q = 0 AND v > cutoff) AS caught FROM ({unpivot}) u JOIN cuts USING (rule) GROUP BY ALL)
+, tail AS (
+  SELECT *, CASE WHEN lost < n_good * {ALPHA / len(RULES)!r} THEN list_sum(list_transform(range(0, lost + 1), lambda j: exp(
+    lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({ALPHA / len(RULES)!r})
+    + (n_good - j) * ln(1 - {ALPHA / len(RULES)!r})))) ELSE 1.0 END AS p FROM cell)
+, tested AS (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY k) AS worst FROM tail)
+, chosen AS (
+  SELECT stratum, rule, cutoff FROM tested
+  WHERE worst <= {DELTA!r} / ({len(RULES)} * (SELECT count(DISTINCT coalesce('=' || stratum, 'null')) FROM held))
+    AND caught - {COST!r} * lost > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - {COST!r} * lost DESC, k) = 1)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND {checks} AS kept FROM feats f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tagwarden.llm.bpe_matrix import op5_bpe_matrix
 from tagwarden.llm.external_shuffle import op10_external_shuffle
 from tagwarden.llm.language_id import op2_language_mixture
-from tagwarden.llm import length_buckets
+from tagwarden.llm import length_buckets, quality_rules, warc_segments
 from tagwarden.llm.length_buckets import op1_length_buckets
 from tagwarden.llm.phrase_fingerprint import op4_phrase_fingerprint
 from tagwarden.llm.pii_semicrf import op8_pii_semicrf
@@ -28,4 +28,6 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op1_length_buckets": length_buckets.oracle(),
+    "op6_quality_rules": quality_rules.oracle(),
+    "op7_warc_segments": warc_segments.oracle(),
 }

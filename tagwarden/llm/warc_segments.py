@@ -265,3 +265,17 @@ def op7_warc_segments(spark, sf_dir: str) -> DataFrame:
         page("refers").alias("refers_to"))
     return response.unionByName(revisit).select("page_id", F.col("n").alias("payload_bytes"),
                                                 F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def oracle() -> str:
+    """The query in SQL, base32 from the hex digits of the digest."""
+    digits = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((h{g} >> {35 - 5 * i}) & 31 AS INTEGER), 1)"
+                         for g in range(4) for i in range(8))
+    parts = ", ".join(f"CAST('0x' || substr(hex, {10 * g + 1}, 10) AS BIGINT) AS h{g}" for g in range(4))
+    return f"""
+SELECT page_id, payload_bytes, {digits} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM (SELECT *, {parts} FROM (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages))"""
