@@ -59,6 +59,8 @@ def ranges(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
     """
     share = [i / n for i in range(1, n)]
     cuts = df.stat.approxQuantile(col, share, min(0.001, max(1e-5, 0.1 / n))) if share else []
+    if not cuts:  # a single range, or nothing to measure
+        return df.withColumn(name, F.lit(0))
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     tmp = f"{name}_as_double"
     d = df.withColumn(tmp, F.coalesce(F.col(col).cast("double"), F.lit(-float("inf"))))

@@ -154,21 +154,21 @@ def fingerprint_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # several ranges a partition, which evens out how they fall
-    d = ranges(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "doc_id",
-               CELLS * n, "cell")
+    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))  # a null id stands below all others
+    d = ranges(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                           key.alias("key")), "key", CELLS * n, "cell")
     # heads: the first id of each range in descending order, read from the id column alone; one row a range
-    heads = {r["cell"]: r["head"] for r in d.groupBy("cell").agg(F.max("doc_id").alias("head")).collect()}
+    heads = {r["cell"]: r["head"] for r in d.groupBy("cell").agg(F.max("key").alias("head")).collect()}
     order = sorted(heads)
-    to = [(heads[c], order[k + 1] if k + 1 < len(order) else order[0]) for k, c in enumerate(order)
-          if heads[c] is not None]
+    to = [(heads[c], order[k + 1] if k + 1 < len(order) else order[0]) for k, c in enumerate(order)]
     head_of = spark.createDataFrame(to, "head long, next_cell int")
     # a head's copy goes to the range before it in the order (the next higher ids), after that range's own rows
-    d = d.join(F.broadcast(head_of), F.col("doc_id") == F.col("head"), "left")  # at most CELLS * n rows
-    d = d.select("doc_id", "text", F.explode(F.filter(F.array(
+    d = d.join(F.broadcast(head_of), F.col("key") == F.col("head"), "left")  # at most CELLS * n rows
+    d = d.select("doc_id", "text", "key", F.explode(F.filter(F.array(
         F.struct(F.col("cell").alias("cell"), F.lit(0).alias("guest")),
         F.struct(F.col("next_cell").alias("cell"), F.lit(1).alias("guest"))), lambda x: x["cell"].isNotNull())).alias("to"))
-    d = d.select("doc_id", "text", "to.cell", "to.guest").repartition(n, "cell").sortWithinPartitions(
-        "cell", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    d = d.select("doc_id", "text", "key", "to.cell", "to.guest").repartition(n, "cell").sortWithinPartitions(
+        "cell", "guest", F.col("key").desc(), "text").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # rows not yet answered, in order
