@@ -7,7 +7,8 @@ Families:
   D  role membership     -> tagwarden.operators.members
   E  run-log analytics   -> tagwarden.operators.logs
 
-Every operator takes and returns DataFrames; nothing is collected to the driver.
+Operators take and return lazy DataFrames. The table jobs of family A and the grant sync write when
+called, and the smoke check reads a few counts to the driver.
 """
 
 __version__ = "0.1.0"

@@ -12,7 +12,6 @@ SCOPE_ROLE_PREFIX = "AF_TRIGGER_SCOPE_"
 ALWAYS_SCOPE = "global"
 TAG_US = "GDTET_US_DAG"
 TAG_GLOBAL = "GDTET_GLOBAL_DAG"
-US_SOURCES = ("camp-us", "ucm", "norkom", "mdm")
 LABEL_US = "us_dag"
 LABEL_GLOBAL = "global_dag"
 LABEL_ILLEGAL = "illegal_dag"
@@ -54,7 +53,7 @@ def normalize_tags(col, is_string: bool = False) -> Column:
     return F.coalesce(F.array_distinct(cleaned), F.array().cast("array<string>"))
 
 
-def tag_from_source(col, us_sources=US_SOURCES, us_tag: str = TAG_US, global_tag: str = TAG_GLOBAL) -> Column:
+def tag_from_source(col, us_sources, us_tag: str = TAG_US, global_tag: str = TAG_GLOBAL) -> Column:
     """Source label -> classification tag: listed -> US tag, other -> global tag, absent -> null."""
     c = _c(col)
     return (

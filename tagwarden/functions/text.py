@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Every character Python's str.strip() removes (generated from str.isspace, not listed by hand).
 WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 # Characters that shell quoting leaves bare (everything else forces single quotes).
-_SHELL_SAFE = r"^[A-Za-z0-9_@%+=:,./-]+$"
+# ``\z``: only the very end (``$`` would also match before a final line break).
+_SHELL_SAFE = r"^[A-Za-z0-9_@%+=:,./-]+\z"
+_BASH_SAFE = r"^[A-Za-z0-9_@%+=:./-]+\z"
 
 
 def _c(col) -> Column:
@@ -44,10 +46,22 @@ def first_non_empty(*cols) -> Column:
     return F.coalesce(*[F.nullif(_c(c), F.lit("")) for c in cols])
 
 
+def py_repr(col) -> Column:
+    """A string literal as Python prints it: single quotes, or double quotes when the text has a
+    single quote and no double quote; backslash, tab and line breaks escaped (other control
+    characters stay as they are)."""
+    c = _c(col)
+    for raw, esc in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(raw), F.lit(esc))
+    plain = _c(col)
+    double = plain.contains("'") & ~plain.contains('"')
+    return F.when(double, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def py_list_repr(arr) -> Column:
-    """Render a string array as a sorted list literal: ``['a', 'b']``; empty -> ``[]``."""
-    quoted = F.transform(F.sort_array(_c(arr)), lambda x: F.concat(F.lit("'"), x, F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    """Render a string array as a sorted list literal, as Python prints it: ``['a', "it's"]``; empty -> ``[]``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(_c(arr)), py_repr), ", "), F.lit("]"))
 
 
 def shell_quote(col) -> Column:
@@ -61,6 +75,21 @@ def shell_quote(col) -> Column:
     )
 
 
+def bash_quote(col) -> Column:
+    """Quote one argument the way bash's ``printf %q`` does: a backslash before every character that
+    needs one; ``$'..'`` for text with tabs, line breaks or other control characters; ``''`` for nothing.
+
+    Printable characters beyond ASCII are left bare, as bash does in a UTF-8 locale.
+    """
+    c = _c(col)
+    ansi = c
+    for raw, esc in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        ansi = F.replace(ansi, F.lit(raw), F.lit(esc))
+    slashed = F.regexp_replace(c, r"([^A-Za-z0-9_@%+=:./\-\x80-\x{10FFFF}])", r"\\$1")
+    return (F.when(c == "", F.lit("''")).when(c.rlike(r"[\x00-\x1f\x7f]"), F.concat(F.lit("$'"), ansi, F.lit("'")))
+            .when(c.rlike(_BASH_SAFE), c).otherwise(slashed))
+
+
 # A path needs the slow (segment-folding) normalisation only when it holds an empty,
 # ``.`` or ``..`` segment, a trailing slash, or does not start with ``/``.
 _NEEDS_NORMALISING = r"(^|/)\.{1,2}(/|$)|//|/$"

@@ -123,119 +123,36 @@ def resolve_root(explicit: str | None = None, configured: str | None = None, def
 
 
 # --------------------------------------------------------------------------- B7
-# A tag map of at most this many tags is classified with bit masks: one 63-bit word per
-# 63 tags (16 words), so the per-entity state stays a fixed-width hash-aggregate buffer.
-BITS_PER_WORD = 63
-BITMASK_MAX_TAGS = 16 * BITS_PER_WORD
-
-
 def _clean_tags(tags: DataFrame, trim_tags: bool) -> DataFrame:
     t = tags.select("entity_id", (py_strip("tag") if trim_tags else F.col("tag")).alias("tag"))
     return t.where(F.col("entity_id").isNotNull() & F.col("tag").isNotNull() & (F.col("tag") != ""))
 
 
-def _small_map(tag_map: DataFrame, max_tags: int) -> list[tuple[str, str]] | None:
-    """The tag map as Python pairs when it has at most ``max_tags`` entries, else None.
+def _usable(tag_map: DataFrame) -> DataFrame:
+    return tag_map.select("tag", "scope").where(F.col("tag").isNotNull() & F.col("scope").isNotNull())
 
-    The read is bounded (``limit(max_tags + 1)``): a large map is never pulled whole.
-    A map gives one scope per tag; a tag with two scopes is rejected.
-    """
-    rows = tag_map.select("tag", "scope").where(F.col("tag").isNotNull() & F.col("scope").isNotNull()) \
-        .distinct().limit(max_tags + 1).collect()
-    if len(rows) > max_tags:
-        return None
-    pairs = sorted((r["tag"], r["scope"]) for r in rows)
-    tags = [t for t, _ in pairs]
-    if len(set(tags)) != len(tags):
-        dup = sorted({t for t in tags if tags.count(t) > 1})
-        raise ValueError(f"tag map gives more than one scope for {dup}")
-    return pairs
-
-
-def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True,
-             with_unmatched: bool = False) -> DataFrame:
-    """Match each entity's tags to the map and decide its status.
 
-    Output: ``entity_id, status, scope, matched_tags`` where status is ``valid``
-    (exactly one distinct scope), ``conflict`` (more than one) or ``missing`` (none);
-    two tags of the same scope are valid. ``scope`` is set only when valid;
-    ``matched_tags`` is sorted.
+def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True) -> DataFrame:
+    """Match each entity's tags to the map and decide its status.
 
-    Plan (map of <= 1008 tags, the normal case): the map becomes literal lookups; one
-    groupBy(entity_id) of ``min/max(scope_id)`` and one ``bit_or`` word per 63 tags - fixed-width
-    buffers, so a codegen'd hash aggregation with map-side combine - then entities LEFT
-    JOIN on entity_id. Bigger maps: broadcast join (behind a size check) and per-entity
-    sets instead.
+    Output, one row per distinct entity id: ``entity_id, status, scope, matched_tags`` where status
+    is ``valid`` (exactly one distinct scope), ``conflict`` (more than one) or ``missing``
+    (none); two tags of the same scope are valid, and a tag that the map gives two scopes
+    counts for both. ``scope`` is set only when valid; ``matched_tags`` is sorted.
 
-    ``with_unmatched=True`` adds ``unmatched_tags``: the entity's sorted tags that are not
-    in the map (collected from the unmatched rows only), so a report can print all tags
-    without a second pass over the tag table.
+    One path at every map size: tags meet the map first (a broadcast join within the size bound), so
+    only matched tags of the given entities are shuffled, once, on ``entity_id``; the
+    join to the entities and the aggregate share that partitioning.
     """
-    pairs = _small_map(tag_map, BITMASK_MAX_TAGS)
-    t = _clean_tags(tags, trim_tags)
-    if pairs is None:
-        return _classify_sets(entities, t, tag_map, with_unmatched)
-    tag_names = [tg for tg, _ in pairs]
-    scope_names = sorted({sc for _, sc in pairs})
-    tag_id = F.create_map(*[x for i, tg in enumerate(tag_names) for x in (F.lit(tg), F.lit(i))])
-    scope_of = F.array(*[F.lit(scope_names.index(sc)) for _, sc in pairs])
-    t = t.select("entity_id", "tag", F.try_element_at(tag_id, F.col("tag")).alias("_tid"))
-    if not with_unmatched:
-        t = t.where(F.col("_tid").isNotNull())
-    # explicit guard: do not rely on element_at propagating a null index
-    sid = F.when(F.col("_tid").isNotNull(), F.element_at(scope_of, F.col("_tid") + 1))
-    t = t.select("entity_id", "tag", "_tid", sid.alias("_sid"))
-    n_words = max(1, -(-len(tag_names) // BITS_PER_WORD))
-    words = [f"_m{w}" for w in range(n_words)]
-    aggs = [F.min("_sid").alias("_smin"), F.max("_sid").alias("_smax")] + [
-        F.bit_or(F.when(F.expr(f"_tid DIV {BITS_PER_WORD}") == w,
-                        F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(_tid % {BITS_PER_WORD} AS INT))"))).alias(m)
-        for w, m in enumerate(words)]
-    if with_unmatched:
-        # first a fixed-width hash aggregate at (entity, unmatched tag) grain - it removes
-        # duplicate rows map-side - then the per-entity pass collects over distinct rows only
-        t = t.groupBy("entity_id", F.when(F.col("_tid").isNull(), F.col("tag")).alias("_ut")).agg(*aggs)
-        per_entity = t.groupBy("entity_id").agg(
-            F.min("_smin").alias("_smin"), F.max("_smax").alias("_smax"),
-            *[F.bit_or(m).alias(m) for m in words], F.collect_list("_ut").alias("_un"))
-    else:
-        per_entity = t.groupBy("entity_id").agg(*aggs)
-    joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
-    status = (F.when(F.col("_smin").isNull(), F.lit(STATUS_MISSING))
-              .when(F.col("_smin") == F.col("_smax"), F.lit(STATUS_VALID))
-              .otherwise(F.lit(STATUS_CONFLICT)))
-    names = F.array(*[F.lit(x) for x in tag_names])
-    masks = F.array(*[F.coalesce(m, F.lit(0).cast("long")) for m in words])
-    matched = F.filter(names, lambda _, i: F.bit_get(
-        F.element_at(masks, (i / BITS_PER_WORD).cast("int") + 1), i % BITS_PER_WORD) == 1)
-    scope = F.when(status == STATUS_VALID,
-                   F.element_at(F.array(*[F.lit(x) for x in scope_names]), F.col("_smin") + 1))
-    cols = [status.alias("status"), scope.alias("scope"), matched.alias("matched_tags")]
-    if with_unmatched:
-        cols.append(F.sort_array(F.coalesce("_un", F.array().cast("array<string>"))).alias("unmatched_tags"))
-    return joined.select("entity_id", *cols)
-
-
-def _classify_sets(entities: DataFrame, t: DataFrame, tag_map: DataFrame, with_unmatched: bool) -> DataFrame:
-    """General form for large tag maps: broadcast join, then per-entity distinct scopes/tags."""
-    # keyed on tag: broadcast when the (large) map is still within the proven bound
-    tmap = broadcast_if_small(tag_map.select("tag", "scope")
-                              .where(F.col("tag").isNotNull() & F.col("scope").isNotNull()))
-    m = t.join(tmap, "tag", "left" if with_unmatched else "inner")
-    aggs = [F.collect_set("scope").alias("_scopes"),
-            F.expr("collect_set(tag) FILTER (WHERE scope IS NOT NULL)").alias("_matched")]
-    if with_unmatched:
-        aggs.append(F.expr("collect_set(tag) FILTER (WHERE scope IS NULL)").alias("_un"))
-    per_entity = m.groupBy("entity_id").agg(*aggs)
-    joined = entities.select("entity_id").join(per_entity, "entity_id", "left")
-    n = F.coalesce(F.size("_scopes"), F.lit(0))
-    status = F.when(n == 1, STATUS_VALID).when(n > 1, STATUS_CONFLICT).otherwise(STATUS_MISSING)
-    empty = F.array().cast("array<string>")
-    cols = [status.alias("status"), F.when(n == 1, F.element_at("_scopes", 1)).alias("scope"),
-            F.sort_array(F.coalesce("_matched", empty)).alias("matched_tags")]
-    if with_unmatched:
-        cols.append(F.sort_array(F.coalesce("_un", empty)).alias("unmatched_tags"))
-    return joined.select("entity_id", *cols)
+    ids = entities.select("entity_id").distinct()
+    matched = _clean_tags(tags, trim_tags).join(broadcast_if_small(_usable(tag_map)), "tag")
+    per = ids.join(matched, "entity_id", "left").groupBy("entity_id").agg(
+        F.min("scope").alias("_lo"), F.max("scope").alias("_hi"), F.collect_set("tag").alias("_tags"))
+    status = (F.when(F.col("_lo").isNull(), F.lit(STATUS_MISSING))
+              .when(F.col("_lo") == F.col("_hi"), F.lit(STATUS_VALID)).otherwise(F.lit(STATUS_CONFLICT)))
+    return per.select("entity_id", status.alias("status"),
+                      F.when(status == STATUS_VALID, F.col("_lo")).alias("scope"),
+                      F.sort_array("_tags").alias("matched_tags"))
 
 
 # --------------------------------------------------------------------------- B8
@@ -265,43 +182,28 @@ def violations(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_r
 
     Output: ``entity_id, reason, matched_tags, expected_tags, actual_tags, message``;
     the tag lists are rendered sorted as list literals. Entities outside the root
-    are not judged; the root filter runs before the joins.
+    are not judged. All tags are collected for failing entities only; the expected tags are a
+    scalar subquery over the map, whatever its size.
     """
     inside = entities.where(under_root("path", root)).select("entity_id")
-    resolved = resolve_role(classify(inside, tags, tag_map, trim_tags, with_unmatched=True), scope_role)
-    # all tags = matched (from the bit mask) + unmatched (collected in the same pass)
-    bad = resolved.where(F.col("status") != STATUS_VALID) \
-        .withColumn("tags", F.array_sort(F.array_union("matched_tags", "unmatched_tags")))
-    exp_lit = _expected_tags_literal(tag_map)
-    matched_txt = py_list_repr("matched_tags")
-    actual_txt = py_list_repr("tags")
+    bad = resolve_role(classify(inside, tags, tag_map, trim_tags), scope_role).where(F.col("status") != STATUS_VALID)
+    every = _clean_tags(tags, trim_tags).join(bad.select(F.col("entity_id")), "entity_id", "left_semi") \
+        .groupBy("entity_id").agg(F.collect_set("tag").alias("tags"))
+    bad = bad.join(every, "entity_id", "left")
+    expected = tag_map.where(F.col("tag").isNotNull()).agg(
+        py_list_repr(F.collect_set("tag")).alias("expected")).scalar()
+    bad = bad.select("entity_id", "status", "scope", py_list_repr("matched_tags").alias("matched"),
+                     py_list_repr(F.coalesce("tags", F.array().cast("array<string>"))).alias("actual"),
+                     expected.alias("expected"))
     message = (
-        F.when(F.col("status") == STATUS_CONFLICT, F.format_string(MSG_CONFLICT, F.col("entity_id"), matched_txt))
+        F.when(F.col("status") == STATUS_CONFLICT, F.format_string(MSG_CONFLICT, F.col("entity_id"), F.col("matched")))
         .when(F.col("status") == STATUS_MISSING,
-              F.format_string(MSG_MISSING, F.col("entity_id"), exp_lit, actual_txt))
+              F.format_string(MSG_MISSING, F.col("entity_id"), F.col("expected"), F.col("actual")))
         .otherwise(F.format_string(MSG_NO_ROLE, F.col("scope")))
     )
-    return bad.select(
-        "entity_id",
-        F.col("status").alias("reason"),
-        matched_txt.alias("matched_tags"),
-        exp_lit.alias("expected_tags"),
-        actual_txt.alias("actual_tags"),
-        message.alias("message"),
-    )
-
-
-def _expected_tags_literal(tag_map: DataFrame) -> Column:
-    """The sorted tag list of the map as a literal column.
-
-    The map is configuration (bounded), so it is read once through a bounded,
-    early-stopping collect and baked into the plan as a constant.
-    """
-    rows = tag_map.select("tag").distinct().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("tag map is larger than a configuration table is allowed to be (10,000 tags)")
-    tags = sorted(r["tag"] for r in rows if r["tag"] is not None)
-    return F.lit("[" + ", ".join("'%s'" % t for t in tags) + "]")
+    return bad.select("entity_id", F.col("status").alias("reason"), F.col("matched").alias("matched_tags"),
+                      F.col("expected").alias("expected_tags"), F.col("actual").alias("actual_tags"),
+                      message.alias("message"))
 
 
 # --------------------------------------------------------------------------- B10

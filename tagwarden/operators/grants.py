@@ -24,8 +24,6 @@ ACTION_CAN_CREATE = "can_create"
 ACTION_CAN_EDIT = "can_edit"
 # The trigger template every target role gets (resource, action):
 TRIGGER_TEMPLATE = ((RESOURCE_DAG, ACTION_CAN_EDIT), (RESOURCE_DAG_RUN, ACTION_CAN_CREATE))
-MANAGED_TRIGGER_ROLES = ("AF_TRIGGER_SCOPE_GLOBAL", "AF_TRIGGER_SCOPE_US", "AF_TRIGGER_SCOPE_MX",
-                         "AF_TRIGGER_SCOPE_CN")
 
 
 def _scope_roles(spark, scopes: Iterable[str] | DataFrame, prefix: str) -> DataFrame:
@@ -51,7 +49,7 @@ def existing_grants(grants: DataFrame, scopes: Iterable[str] | DataFrame,
     roles = _scope_roles(spark, scopes, prefix)
     g = grants.where((F.col("action") == ACTION_CAN_CREATE) & F.col("resource").startswith(DAG_RUN_PREFIX))
     g = g.join(roles, "role").select(
-        "scope", F.substring("resource", len(DAG_RUN_PREFIX) + 1, 1 << 30).alias("entity_id"))
+        "scope", F.expr(f"substring(resource, {len(DAG_RUN_PREFIX) + 1})").alias("entity_id"))
     g = g.where(F.col("entity_id") != "")
     return g.distinct() if dedupe else g
 
@@ -94,17 +92,17 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- C4
 def render_plan(diff: DataFrame, program: str = "ctl", prefix: str = SCOPE_ROLE_PREFIX,
-                dry_run: bool = True) -> DataFrame:
+                dry_run: bool = True, quote=shell_quote) -> DataFrame:
     """One shell command per change, nothing applied (C4).
 
     ``[DRY-RUN] <program> roles add-perms <ROLE> -a can_create -r 'DAG Run:<id>'``;
-    every argument is shell-quoted as needed.
+    every argument is quoted as needed, by ``quote`` (``shell_quote`` or ``bash_quote``).
     """
     role = scope_role_name("scope", prefix)
     verb = F.when(F.col("op") == "add", F.lit("add-perms")).otherwise(F.lit("del-perms"))
     resource = F.concat(F.lit(DAG_RUN_PREFIX), F.col("entity_id"))
-    args = [F.lit(program), F.lit("roles"), verb, shell_quote(role), F.lit("-a"), F.lit(ACTION_CAN_CREATE),
-            F.lit("-r"), shell_quote(resource)]
+    args = [F.lit(program), F.lit("roles"), verb, quote(role), F.lit("-a"), F.lit(ACTION_CAN_CREATE),
+            F.lit("-r"), quote(resource)]
     cmd = F.concat_ws(" ", *args)
     if dry_run:
         cmd = F.concat(F.lit("[DRY-RUN] "), cmd)
@@ -128,8 +126,9 @@ def apply_diff(existing: DataFrame, diff: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- C6
 def _actions(v: Column) -> Column:
-    """Variant -> array of action strings: string -> [s]; array -> elements as text;
-    object -> its keys (iterating a mapping yields keys); anything else -> [].
+    """Variant -> array of action strings: string -> [s]; array -> elements as Python's ``str`` prints
+    scalars (``None``, ``True``, numbers as written by JSON), objects and lists as JSON text;
+    object -> its keys (iterating a mapping yields keys); anything else -> []. Never a null action.
 
     Objects and arrays are recognised with ``try_cast`` (null when the shape differs);
     ``schema_of_variant`` - which walks the whole value - is only asked about scalars.
@@ -137,62 +136,98 @@ def _actions(v: Column) -> Column:
     arr = v.try_cast("array<variant>")
     obj = v.try_cast("map<string,variant>")
     empty = F.array().cast("array<string>")
+
+    def text(e):
+        kind = F.schema_of_variant(e)
+        return (F.when(e.isNull() | F.is_variant_null(e), F.lit("None"))
+                .when(kind == "BOOLEAN", F.initcap(e.try_cast("string")))
+                .otherwise(F.coalesce(e.try_cast("string"), F.to_json(e))))
+
     return (F.when(v.isNull(), empty)
-            .when(arr.isNotNull(), F.transform(arr, lambda e: e.try_cast("string")))
+            .when(arr.isNotNull(), F.transform(arr, text))
             .when(obj.isNotNull(), F.map_keys(obj))
             .when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
             .otherwise(empty))
 
 
+def _with_acl_entries(df: DataFrame, acl_col: str, *keep: str) -> DataFrame:
+    """``(*keep, _bad, _entries)``: the reject reason of each document, and its distinct
+    (role, resource, action) structs. Narrow; the document is parsed once."""
+    keep = list(keep)
+    text = F.nullif(py_strip(acl_col), F.lit(""))
+    d = df.select(*keep, text.isNotNull().alias("_has"), F.try_parse_json(text).alias("_v"))
+    d = d.select(*keep, "_has", F.col("_v").isNull().alias("_unread"), F.col("_v").try_cast("map<string,variant>").alias("_m"))
+    bad = F.when(F.col("_has") & F.col("_unread"), F.lit(REJECT_UNREADABLE)) \
+        .when(F.col("_has") & F.col("_m").isNull(), F.lit(REJECT_NOT_OBJECT))
+
+    def of_role(e):
+        res = e["value"].try_cast("map<string,variant>")
+        one = lambda r, v: F.transform(_actions(v), lambda a: F.struct(
+            e["key"].alias("role"), r.alias("resource"), a.alias("action")))
+        nested = F.filter(F.flatten(F.transform(F.map_entries(res), lambda x: one(py_strip(x["key"]), x["value"]))),
+                          lambda p: p["resource"] != "")
+        return F.when(res.isNotNull(), nested).otherwise(one(F.lit(RESOURCE_DAG), e["value"]))
+
+    return d.select(*keep, bad.alias("_bad"),
+                    F.array_distinct(F.flatten(F.transform(F.map_entries("_m"), of_role))).alias("_entries"))
+
+
+# Reject reasons of ACL documents.
+REJECT_UNREADABLE, REJECT_NOT_OBJECT = "unreadable", "not an object"
+
+
 def normalize_acl(df: DataFrame, acl_col: str = "acl_json", id_col: str = "entity_id") -> DataFrame:
     """ACL JSON text (two shapes) -> rows ``(entity_id, role, resource, action)``.
 
     Per role: a string is one action, a list its actions - both on resource ``DAGs``;
     a map is resource -> actions with the resource stripped, blank resources dropped
     and resources without actions dropped; null or any other type gives nothing.
-    A non-object document (or invalid JSON) gives nothing. Two resources that are equal
-    after stripping are merged (union of actions).
+    A document that cannot be read gives nothing here and is listed by ``acl_rejects``. Two
+    resources that are equal after stripping are merged (union of actions).
 
     Each document is unpacked inside its own row (variant casts + higher-order
     functions), so the operator is narrow: no shuffle.
     """
-    roles = F.try_parse_json(F.col(acl_col)).try_cast("map<string,variant>")
-    # explode_outer: a plain explode would make the optimizer repeat the JSON parse in an
-    # inferred size() filter; the null row of an empty/invalid document is dropped after
-    per_role = df.select(F.col(id_col).alias("entity_id"), F.explode_outer(roles).alias("role", "pv")) \
-        .where(F.col("role").isNotNull())
-    per_role = per_role.select("entity_id", "role", "pv",
-                               F.col("pv").try_cast("map<string,variant>").alias("_res"))
-    nested = F.flatten(F.transform(
-        F.map_entries("_res"),
-        lambda e: F.transform(_actions(e["value"]),
-                              lambda a: F.struct(py_strip(e["key"]).alias("resource"), a.alias("action")))))
-    nested = F.filter(nested, lambda p: p["resource"] != "")
-    flat = F.transform(_actions(F.col("pv")),
-                       lambda a: F.struct(F.lit(RESOURCE_DAG).alias("resource"), a.alias("action")))
-    pairs = F.array_distinct(F.when(F.col("_res").isNotNull(), nested).otherwise(flat))
-    out = explode_rows(per_role, pairs, "p", "entity_id", "role")
-    return out.select("entity_id", "role", F.col("p.resource").alias("resource"), F.col("p.action").alias("action"))
+    d = _with_acl_entries(df.withColumnRenamed(id_col, "entity_id"), acl_col, "entity_id")
+    return explode_rows(d, "_entries", "p", "entity_id").select("entity_id", "p.role", "p.resource", "p.action")
+
+
+def acl_rejects(df: DataFrame, acl_col: str = "acl_json", id_col: str = "entity_id") -> DataFrame:
+    """Documents whose entries are unknown: ``(entity_id, reason)`` - text that is not JSON or repeats a
+    key (``unreadable``), or JSON that is not an object. A null or blank text is no document."""
+    d = _with_acl_entries(df.withColumnRenamed(id_col, "entity_id"), acl_col, "entity_id")
+    return d.where(F.col("_bad").isNotNull()).select("entity_id", F.col("_bad").alias("reason"))
 
 
 # --------------------------------------------------------------------------- C7
-def merge_acl(acl_rows: DataFrame, targets: DataFrame,
-              managed_roles: Sequence[str] = MANAGED_TRIGGER_ROLES,
-              template: Sequence[tuple[str, str]] = TRIGGER_TEMPLATE) -> DataFrame:
-    """Resulting ACL rows for each target entity.
-
-    ``targets(entity_id, role)``: the one managed role each entity must carry. Every
-    managed role's old entry is dropped, other roles are kept as they are, and the target
-    role gets exactly the template (``DAGs``/``can_edit``, ``DAG Runs``/``can_create``).
-    Entities without an old ACL get the target only. The template is a literal array
-    exploded per target row (no join).
+def _template(template: Sequence[tuple[str, str]]) -> Column:
+    """The target role's entries, as structs like those of a document."""
+    return F.array(*[F.struct(F.col("_target").alias("role"), F.lit(r).alias("resource"), F.lit(a).alias("action"))
+                     for r, a in template])
+
+
+def merge_targets_acl(acl_docs: DataFrame, targets: DataFrame, scope_role: DataFrame, acl_col: str = "acl_json",
+                      template: Sequence[tuple[str, str]] = TRIGGER_TEMPLATE) -> DataFrame:
+    """Resulting ACL rows ``(entity_id, role, resource, action)`` of each target entity (C6 + C7).
+
+    ``targets(entity_id, role)``: the one managed role each entity must carry. Managed are
+    the roles of ``scope_role``; every managed role's old entries go, so do those of the
+    target role itself (it is overwritten), other roles stay as they are, and the target role gets
+    exactly the template. Entities without a document get the target only; an entity whose document
+    is rejected is left out (``acl_rejects`` lists it), so no grant is lost silently.
+
+    One join on ``entity_id``; the merge is an array filter inside the row. The managed roles are a
+    scalar subquery (one short array).
     """
-    kept = acl_rows.where(~F.col("role").isin(list(managed_roles))) \
-        .join(targets.select("entity_id"), "entity_id", "left_semi")
-    tmpl = F.array(*[F.struct(F.lit(r).alias("resource"), F.lit(a).alias("action")) for r, a in template])
-    added = targets.select("entity_id", "role", F.explode(tmpl).alias("p")).select(
-        "entity_id", "role", F.col("p.resource").alias("resource"), F.col("p.action").alias("action"))
-    return kept.select("entity_id", "role", "resource", "action").unionByName(added)
+    managed = scope_role.where(F.col("role").isNotNull()).agg(F.collect_set("role")).scalar()
+    docs = acl_docs.select("entity_id", F.col(acl_col).alias("_acl"))
+    t = targets.select("entity_id", F.col("role").alias("_target")).distinct()
+    d = _with_acl_entries(t.join(docs, "entity_id", "left"), "_acl", "entity_id", "_target").where(F.col("_bad").isNull())
+    d = d.select("entity_id", "_target", "_entries", managed.alias("_managed"))
+    kept = F.filter(F.coalesce("_entries", F.array()), lambda e: ~F.array_contains("_managed", e["role"])
+                    & (e["role"] != F.col("_target")))
+    d = d.select("entity_id", F.concat(kept, _template(template)).alias("_all"))
+    return explode_rows(d, "_all", "p", "entity_id").select("entity_id", "p.role", "p.resource", "p.action")
 
 
 def policy_acl(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_role: DataFrame,
@@ -200,23 +235,16 @@ def policy_acl(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_r
     """The policy pass over a catalogue (B4 -> B7 -> B8 -> C6 -> C7): for every entity under
     ``root`` that classifies to one scope with a role, its resulting ACL rows.
 
-    ``acl_docs(entity_id, <acl_col>)`` holds the raw ACL documents; only the documents of
-    target entities are unpacked (semi join first - the JSON work is the per-row cost).
-    Entities outside the root are left alone (no rows); failing entities are reported
-    by ``classify.violations`` instead.
+    ``acl_docs(entity_id, <acl_col>)`` holds the raw ACL documents; only those of target
+    entities are unpacked. Entities outside the root are left alone (no rows); failing entities
+    are reported by ``classify.violations`` instead.
     """
     from tagwarden.operators.classify import classify, resolve_role, under_root
 
     inside = entities.where(under_root("path", root)).select("entity_id")
     targets = resolve_role(classify(inside, tags, tag_map), scope_role) \
         .where(F.col("status") == "valid").select("entity_id", "role")
-    return merge_targets_acl(acl_docs, targets, acl_col)
-
-
-def merge_targets_acl(acl_docs: DataFrame, targets: DataFrame, acl_col: str = "acl_json") -> DataFrame:
-    """C6 + C7 for raw documents: keep the target entities' documents, unpack, merge."""
-    docs = acl_docs.select("entity_id", acl_col).join(targets.select("entity_id"), "entity_id", "left_semi")
-    return merge_acl(normalize_acl(docs, acl_col), targets)
+    return merge_targets_acl(acl_docs, targets, scope_role, acl_col)
 
 
 # --------------------------------------------------------------------------- C8
@@ -253,26 +281,24 @@ def effective_access(requests: DataFrame, user_roles: DataFrame, grants: DataFra
     ``DAG Run:<entity_id>``, else ``global`` when one holds ``can_create`` on ``DAG Runs``.
     Output: ``request_id, username, entity_id, allowed, via``.
 
-    Plan: requests LEFT JOIN user_roles on username; LEFT JOIN scoped grants on
-    (role, entity_id) - two equi joins (an OR condition would fall to a nested loop);
-    the global-grant roles are a distinct role list joined on ``role`` alone, so it is
-    broadcast behind a size check (never shuffle the requests on a role);
-    one groupBy(request) folds the per-role rows. The user x all-entities pairs a
-    global grant implies are never materialised.
+    Plan: decided on distinct (username, entity_id) pairs, not on requests. The global right is one flag
+    per user; a scoped right is an equi join of the pair's roles with the grants on (role,
+    entity_id). Requests meet the decided pairs once. The user x all-entities pairs a
+    global grant implies are never made.
     """
     g = grants.where(F.col("action") == ACTION_CAN_CREATE)
     scoped = g.where(F.col("resource").startswith(DAG_RUN_PREFIX)).select(
-        "role", F.substring("resource", len(DAG_RUN_PREFIX) + 1, 1 << 30).alias("entity_id"),
-        F.lit(1).cast("tinyint").alias("_s")).distinct()
-    glob = broadcast_if_small(g.where(F.col("resource") == RESOURCE_DAG_RUN).select("role").distinct()
-                              .select("role", F.lit(1).cast("tinyint").alias("_g")))
-    rr = requests.select("request_id", "username", "entity_id") \
-        .join(user_roles.select("username", "role"), "username", "left")
-    rr = rr.join(scoped, ["role", "entity_id"], "left").join(glob, "role", "left")
-    agg = rr.groupBy("request_id", "username", "entity_id").agg(
-        F.max(F.coalesce("_s", F.lit(0))).alias("_s"), F.max(F.coalesce("_g", F.lit(0))).alias("_g"))
-    via = F.when(F.col("_s") == 1, F.lit("scoped")).when(F.col("_g") == 1, F.lit("global"))
-    return agg.select("request_id", "username", "entity_id", via.isNotNull().alias("allowed"), via.alias("via"))
+        "role", F.expr(f"substring(resource, {len(DAG_RUN_PREFIX) + 1})").alias("entity_id")).distinct()
+    glob = broadcast_if_small(g.where(F.col("resource") == RESOURCE_DAG_RUN).select("role").distinct())
+    roles = user_roles.select("username", "role").distinct()
+    any_global = roles.join(glob, "role", "left_semi").select("username").distinct().withColumn("_g", F.lit(True))
+    pairs = requests.select("username", "entity_id").distinct()
+    by_scope = (pairs.join(roles, "username").join(scoped, ["role", "entity_id"], "left_semi")
+                .select("username", "entity_id").distinct().withColumn("_s", F.lit(True)))
+    decided = requests.select("request_id", "username", "entity_id").join(by_scope, ["username", "entity_id"], "left") \
+        .join(any_global, "username", "left")
+    via = F.when(F.col("_s"), F.lit("scoped")).when(F.col("_g"), F.lit("global"))
+    return decided.select("request_id", "username", "entity_id", via.isNotNull().alias("allowed"), via.alias("via"))
 
 
 # --------------------------------------------------------------------------- C11

@@ -16,9 +16,9 @@ from tagwarden.functions.text import _c
 
 # Levels the managers write, and the log-line / file-name shapes.
 LEVELS = ("INFO", "WARN", "ERROR", "DEBUG", "DRYRUN")
-LINE_RE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] (?:\[(" + "|".join(LEVELS) + r")\] )?(.*)$"
+STAMP_RE = r"^\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] "
+LEVEL_RE = r"^\[(" + "|".join(LEVELS) + r")\] "
 FILE_RE = r"^(.+)-([^-]+)-(\d{4}-\d{2}-\d{2})\.log$"
-TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 TAIL_LINES = 30
 RETENTION_DAYS = 90
 AUTH_FAILURE_MARKERS = ("sasl negotiation failure", "gss initiate failed")
@@ -34,15 +34,16 @@ def parse_log_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
     with a null ``ts`` and the whole line as message.
     """
     v = F.col(value_col)
-    hit = v.rlike(LINE_RE)
-    ts_txt = F.regexp_extract(v, LINE_RE, 1)
-    lvl = F.regexp_extract(v, LINE_RE, 2)
-    ts = F.try_to_timestamp(ts_txt, F.lit(TS_FORMAT)).cast("timestamp_ntz")
+    stamped = v.rlike(STAMP_RE)  # ``[yyyy-MM-dd HH:mm:ss] ``: 22 characters, the rest starts at the 23rd
+    rest = F.expr(f"substring(`{value_col}`, 23)")
+    level = F.regexp_extract(rest, LEVEL_RE, 1)
     return df.select(
         "*",
-        F.when(hit, ts).alias("ts"),
-        F.when(hit & (lvl != ""), lvl).alias("level"),
-        F.when(hit, F.regexp_extract(v, LINE_RE, 3)).otherwise(v).alias("message"),
+        # text straight to timestamp_ntz: no session time zone takes part
+        F.when(stamped, F.substring(v, 2, 19).try_cast("timestamp_ntz")).alias("ts"),
+        F.when(stamped, F.nullif(level, F.lit(""))).alias("level"),
+        F.when(stamped, F.when(level != "", F.substr(rest, F.length(level) + 4)).otherwise(rest)).otherwise(v)
+        .alias("message"),
     )
 
 
@@ -116,14 +117,14 @@ def auth_failure(text, url) -> Column:
 
 
 # --------------------------------------------------------------------------- E6
-def status_rollup(obs: DataFrame, services: DataFrame) -> DataFrame:
+def status_rollup(obs: DataFrame, services: DataFrame, env: str | None = None) -> DataFrame:
     """Service status from process observations.
 
     ``obs(service, source, ord, pid, live)``: source 1 = control tool, 2 = pid file,
     3 = process match. The first live observation in source order wins; of the
     process matches only the *first* (lowest ``ord``) counts, live or not.
     ``services(service, managed)``: unmanaged -> ``disabled``; no live pick -> ``stopped``;
-    the pid is ``-`` unless running.
+    the pid is ``-`` unless running. With ``env`` the rows carry that environment's name.
 
     One groupBy(service) of fixed-width min_by aggregates (hash aggregation with
     map-side combine), then a join to the service list.
@@ -142,4 +143,5 @@ def status_rollup(obs: DataFrame, services: DataFrame) -> DataFrame:
               .when(F.col("pid").isNull(), F.lit(STATUS_STOPPED))
               .otherwise(F.lit(STATUS_RUNNING)))
     pid = F.when(status == STATUS_RUNNING, F.col("pid").cast("string")).otherwise(F.lit("-"))
-    return j.select("service", status.alias("status"), pid.alias("pid"))
+    named = [] if env is None else [F.lit(env).alias("env")]
+    return j.select("service", *named, status.alias("status"), pid.alias("pid"))

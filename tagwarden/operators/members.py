@@ -29,10 +29,6 @@ PROFILE_ROLES = {
     "admin_observer": ("AF_ADMIN_OBSERVER_NO_DAG",),
 }
 TRIGGER_PROFILES = ("us_user", "nonus_priv", "us_priv")
-TEST_USERS = ("rbac_normal", "rbac_us_user", "rbac_nonus_priv", "rbac_us_priv", "rbac_admin_observer")
-CUSTOM_ROLES = ("AF_RERUN_ALL_NO_TRIGGER", "AF_ADMIN_OBSERVER_NO_DAG", "AF_TRIGGER_SCOPE_GLOBAL",
-                "AF_TRIGGER_SCOPE_NONUS", "AF_TRIGGER_SCOPE_US", "AF_TRIGGER_SCOPE_MX", "AF_TRIGGER_SCOPE_CN")
-LISTING_HEADER_FIRST = ("id", "username")
 
 
 # --------------------------------------------------------------------------- D1
@@ -48,26 +44,26 @@ def parse_user_listing(lines: DataFrame, value_col: str = "value", pos_col: str
                        keep: Iterable[str] = ()) -> DataFrame:
     """User listing lines -> ``(*keep, username, line)``.
 
-    With ``pos_col`` the first line of each listing (position 0) is the header and is
-    skipped. Without positions (a splittable text file read in parallel) the header is
-    recognised by content: its first column is ``id`` or ``username``. Blank lines give
-    no user.
+    The header is known by its position only, never by its content: with ``pos_col`` the line at
+    position 0 is skipped, without it the lines are taken to have no header (``read_listing`` skips
+    each file's). Blank lines give no user.
     """
     keep = list(keep)
-    df = lines
-    if pos_col is not None:
-        df = df.where(F.col(pos_col) > 0)
-    else:
-        first = F.lower(F.try_element_at(F.split(F.regexp_replace(value_col, r"^\s+", ""), r"\s+"), F.lit(1)))
-        df = df.where(~first.isin(*LISTING_HEADER_FIRST))
+    df = lines if pos_col is None else lines.where(F.col(pos_col) > 0)
     name = listing_username(value_col)
     return df.select(*keep, name.alias("username"), F.col(value_col).alias("line")) \
         .where(F.col("username").isNotNull() & (F.col("username") != ""))
 
 
 def read_listing(spark, path: str) -> DataFrame:
-    """Read listing text files in parallel (splittable) and parse them."""
-    return parse_user_listing(spark.read.text(path), "value")
+    """Read listing text files in parallel (splittable) and parse them.
+
+    The CSV reader, with a separator that cannot occur and no quoting, gives whole lines and skips the
+    first (non-blank) line of every file, wherever the file is split.
+    """
+    lines = (spark.read.schema("value string").option("header", True).option("sep", "\u0001").option("quote", "")
+             .option("escape", "").option("enforceSchema", True).csv(path))
+    return parse_user_listing(lines, "value")
 
 
 # --------------------------------------------------------------------------- D2
@@ -148,13 +144,22 @@ def users_to_create(wanted: DataFrame, present: DataFrame, initial_role: str = V
 
 
 def user_plan(current: DataFrame, desired: DataFrame, present_users: DataFrame,
-              managed: Sequence[str] | DataFrame = MANAGED_TEST_ROLES, initial_role: str = VIEWER) -> DataFrame:
+              managed: Sequence[str] | DataFrame = MANAGED_TEST_ROLES, initial_role: str = VIEWER,
+              dry_run: bool = False) -> DataFrame:
     """The whole user job: ``(username, op, role)`` with op ``create`` / ``add`` / ``remove``.
 
     Users of ``desired`` missing from ``present_users`` are created with ``initial_role``
     (D5); reconcile (D3) then runs against the current roles *including* that initial
     role, so a created user whose profile lacks it gets it removed again.
+
+    In a dry run nothing is looked up: every user counts as absent (``create``) and every desired
+    role is listed (``add``), without a diff.
     """
+    if dry_run:
+        wanted = desired.select("username", "role").distinct()
+        users = wanted.select("username").distinct().select("username", F.lit("create").alias("op"),
+                                                            F.lit(initial_role).alias("role"))
+        return users.unionByName(wanted.select("username", F.lit("add").alias("op"), "role"))
     created = users_to_create(desired.select("username"), present_users, initial_role)
     after_create = current.select("username", "role").unionByName(created)
     changes = reconcile_roles(after_create, desired, managed)
@@ -176,11 +181,6 @@ def teardown_plan(targets: DataFrame, present: DataFrame, dry_run: bool = False)
     return j.select("kind", "name", action.alias("action"), kind_order.alias("kind_order"))
 
 
-def literal_targets(spark, users: Sequence[str] = TEST_USERS, roles: Sequence[str] = CUSTOM_ROLES) -> DataFrame:
-    rows = [("user", u) for u in users] + [("role", r) for r in roles]
-    return spark.createDataFrame(rows, "kind string, name string")
-
-
 # --------------------------------------------------------------------------- D7
 def roles_from_groups(user_groups: DataFrame, mapping: DataFrame) -> DataFrame:
     """Directory groups -> roles: ``(username, group)`` x ``(group, role)`` -> distinct

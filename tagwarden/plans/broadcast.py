@@ -5,8 +5,9 @@
   so they carry a broadcast hint from the start.
 * A join keyed on a low-cardinality column (role, scope, group) must not shuffle the
   large side on that key - one role can hold a third of all rows. Its lookup side goes
-  through ``broadcast_if_small``: an early-stopping ``limit(n + 1).count()`` proves the
-  bound, and beyond it the join is left to a shuffle join with AQE skew splitting.
+  through ``broadcast_if_small``: the optimizer's size statistics of its plan (bytes, an upper
+  estimate that starts no job) prove the bound, and beyond it the join is left to a shuffle
+  join with AQE skew splitting.
 * Joins on high-cardinality keys (entity, user, request) are left to the planner:
   Spark's size estimate and AQE's runtime statistics decide, with a shuffle join
   beyond ``spark.sql.(adaptive.)autoBroadcastJoinThreshold``.
@@ -17,19 +18,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row bound for lookup tables we are willing to ship to every executor.
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
+# Bound, in estimated bytes, for lookup tables we are willing to ship to every executor.
+DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
 
 
-def literal_lookup(spark: SparkSession, rows, schema: str, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """A literal table (size known up front), hinted for broadcast when within ``max_rows``."""
-    rows = list(rows)
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= max_rows else df
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (no job: files sizes, column pruning, literal rows)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint broadcast when ``df`` has at most ``max_rows`` rows (checked by a small,
-    early-stopping job); otherwise return it unchanged for a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def literal_lookup(spark: SparkSession, rows, schema: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """A literal table (size known up front), hinted for broadcast within the bound."""
+    return broadcast_if_small(spark.createDataFrame(list(rows), schema), max_bytes)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint broadcast when the plan's estimated size is within ``max_bytes``; else leave the join to the planner."""
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df

@@ -22,7 +22,18 @@ CTE = {
     "entity_tags": """entity_tags AS (
   SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS entity_id, 'RF_' || l_returnflag AS tag FROM lineitem
   UNION ALL
-  SELECT CAST(o_orderkey AS VARCHAR), 'OS_' || o_orderstatus FROM orders)""",
+  SELECT CAST(o_orderkey AS VARCHAR), 'OS_' || o_orderstatus FROM orders
+  UNION ALL
+  SELECT CAST(o_orderkey AS VARCHAR), CASE o_orderkey % 4 WHEN 0 THEN '  OS_' || o_orderstatus || ' ' WHEN 1 THEN '  '
+         WHEN 2 THEN 'it''s a \\ tag' END FROM orders)""",
+    "wide_tags": """entity_tags AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS entity_id, 'PART_' || CAST(l_partkey AS VARCHAR) AS tag FROM lineitem)""",
+    "wide_map": """tag_map AS (
+  SELECT 'PART_' || CAST(p_partkey AS VARCHAR) AS tag, CASE WHEN p_size < 45 THEN 'us' ELSE 'global' END AS scope FROM part
+  UNION ALL SELECT 'PART_' || CAST(p_partkey AS VARCHAR), 'apac' FROM part WHERE p_partkey % 7 = 0)""",
+    "region_roles": """scope_role AS (
+  SELECT * FROM (VALUES ('global','AF_TRIGGER_SCOPE_GLOBAL'), ('us','AF_TRIGGER_SCOPE_US'),
+                        ('apac','AF_TRIGGER_SCOPE_APAC'), ('emea','AF_TRIGGER_SCOPE_EMEA')) t(scope, role))""",
     "tag_map": """tag_map AS (
   SELECT * FROM (VALUES ('RF_A','us'), ('OS_F','us'), ('RF_R','global'), ('OS_P','apac')) t(tag, scope))""",
     "scope_role": """scope_role AS (
@@ -75,6 +86,15 @@ ORACLE["classify_status"] = with_("entities", "entity_tags", "tag_map",
                                   extra=(classify_cte("classified", "entities", trim=True),)) + """
 SELECT entity_id, status, scope, array_to_string(matched_tags, ',') AS matched_tags FROM classified"""
 
+ORACLE["classify_wide"] = with_("entities", "wide_tags", "wide_map",
+                                extra=(classify_cte("classified", "entities", trim=True),)) + """
+SELECT entity_id, status, scope, array_to_string(matched_tags, ',') AS matched_tags FROM classified"""
+
+ORACLE["tags_norm"] = f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE array_to_string(list_filter(
+  [{strip("' ' || o_orderstatus || chr(9)")}, CAST(NULL AS VARCHAR), o_orderpriority], lambda x: x <> ''), '|') END AS tags
+FROM orders"""
+
 ORACLE["no_role"] = with_("entities", "entity_tags", "tag_map", "scope_role",
                           extra=(classify_cte("classified", "entities", trim=True),)) + """
 SELECT c.entity_id,
@@ -87,7 +107,11 @@ SELECT entity_id, path, {under_root_sql('path', ROOT)} AS under_root FROM entiti
 
 
 def pylist(x: str) -> str:
-    return f"'[' || array_to_string(list_transform({x}, lambda t: '''' || t || ''''), ', ') || ']'"
+    """Python's form of a list of strings (tags of the fixtures hold no control characters)."""
+    body = "replace(t, '\\', '\\\\')"
+    return (f"'[' || array_to_string(list_transform({x}, lambda t: CASE WHEN contains(t, chr(39)) AND NOT contains(t, chr(34)) "
+            f"THEN chr(34) || {body} || chr(34) ELSE chr(39) || replace({body}, chr(39), '\\' || chr(39)) || chr(39) END), "
+            "', ') || ']'")
 
 
 CTE["inside"] = f"""inside AS (SELECT entity_id, path FROM entities WHERE {under_root_sql('path', ROOT)})"""
@@ -130,7 +154,7 @@ FROM (SELECT doc_id, source,
              CASE WHEN source IS NULL THEN NULL
                   WHEN source IN ('src0', 'src3', 'src5', 'src7') THEN 'GDTET_US_DAG'
                   ELSE 'GDTET_GLOBAL_DAG' END AS tag
-      FROM documents)"""
+      FROM (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN source END AS source FROM documents))"""
 
 CTE["tag_map_texts"] = """tag_map_texts AS (
   SELECT o_orderkey,
@@ -225,24 +249,30 @@ WHERE (scope, entity_id) NOT IN (SELECT scope, entity_id FROM diff WHERE op = 'r
 UNION
 SELECT scope, entity_id FROM diff WHERE op = 'add'"""
 
-CTE["acl"] = """acl AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS entity_id,
-         CASE WHEN o_orderkey % 3 = 0 THEN '{"AF_TRIGGER_SCOPE_US":"can_edit","Ops":["can_read","can_edit"]}'
-              WHEN o_orderkey % 3 = 1 THEN '{"Ops":{"DAG Runs":["can_read"]," ":["x"]},"AF_TRIGGER_SCOPE_MX":["can_edit"]}'
-         END AS acl_json
-  FROM orders)"""
+from tagwarden.sources.fixtures import ACL_DOCS  # noqa: E402  the documents themselves, not their reading
+
+_docs = " ".join(f"WHEN {i} THEN " + ("NULL" if d is None else "'" + d.replace("'", "''") + "'") for i, d in enumerate(ACL_DOCS))
+CTE["acl"] = f"""acl_raw AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, nullif(trim(CASE o_orderkey % {len(ACL_DOCS)} {_docs} END), '') AS acl_json
+  FROM orders),
+acl_judged AS (
+  SELECT entity_id, acl_json, CASE WHEN acl_json IS NULL THEN NULL WHEN NOT json_valid(acl_json) THEN 'unreadable'
+    WHEN json_type(acl_json) <> 'OBJECT' THEN 'not an object'
+    WHEN len(json_keys(acl_json)) <> len(list_distinct(json_keys(acl_json))) THEN 'unreadable' END AS reason FROM acl_raw),
+acl AS (SELECT entity_id, acl_json FROM acl_judged WHERE acl_json IS NOT NULL AND reason IS NULL)"""
 
 
 def _acts(v: str) -> str:
     return (f"CASE json_type({v}) WHEN 'VARCHAR' THEN [json_extract_string({v}, '$')] "
-            f"WHEN 'ARRAY' THEN json_extract_string({v}, '$[*]') "
+            f"WHEN 'ARRAY' THEN list_transform(json_extract({v}, '$[*]'), lambda e: CASE json_type(e) WHEN 'NULL' THEN 'None' "
+            f"WHEN 'BOOLEAN' THEN CASE WHEN CAST(e AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END "
+            f"WHEN 'VARCHAR' THEN json_extract_string(e, '$') ELSE CAST(e AS VARCHAR) END) "
             f"WHEN 'OBJECT' THEN json_keys({v}) ELSE [] END")
 
 
 CTE["acl_roles"] = """acl_roles AS (
   SELECT entity_id, r AS role, json_extract(acl_json, '$."' || r || '"') AS pv
-  FROM acl, LATERAL (SELECT unnest(json_keys(acl_json)) AS r)
-  WHERE json_valid(acl_json) AND json_type(acl_json) = 'OBJECT')"""
+  FROM acl, LATERAL (SELECT unnest(json_keys(acl_json)) AS r))"""
 CTE["acl_rows"] = f"""acl_rows AS (
   SELECT DISTINCT entity_id, role, 'DAGs' AS resource, a AS action
   FROM acl_roles, LATERAL (SELECT unnest({_acts('pv')}) AS a)
@@ -255,16 +285,19 @@ CTE["acl_rows"] = f"""acl_rows AS (
   WHERE {strip('k')} <> '')"""
 
 ORACLE["acl_normalize"] = with_("acl", "acl_roles", "acl_rows") + "SELECT entity_id, role, resource, action FROM acl_rows"
-
-ORACLE["acl_merge"] = with_("entities", "entity_tags", "tag_map", "scope_role", "acl", "acl_roles", "acl_rows",
-                            extra=(classify_cte("classified", "entities", trim=True),)) + """,
-targets AS (SELECT c.entity_id, r.role FROM classified c JOIN scope_role r ON c.scope = r.scope WHERE c.status = 'valid')
-SELECT a.entity_id, a.role, a.resource, a.action FROM acl_rows a
-WHERE a.role NOT IN ('AF_TRIGGER_SCOPE_GLOBAL', 'AF_TRIGGER_SCOPE_US', 'AF_TRIGGER_SCOPE_MX', 'AF_TRIGGER_SCOPE_CN')
-  AND a.entity_id IN (SELECT entity_id FROM targets)
+ORACLE["acl_rejects"] = with_("acl") + "SELECT entity_id, reason FROM acl_judged WHERE reason IS NOT NULL"
+
+MERGED = """,
+targets AS (
+  SELECT c.entity_id, r.role FROM classified c JOIN scope_role r ON c.scope = r.scope
+  WHERE c.status = 'valid' AND c.entity_id NOT IN (SELECT entity_id FROM acl_judged WHERE reason IS NOT NULL))
+SELECT a.entity_id, a.role, a.resource, a.action FROM acl_rows a JOIN targets t ON a.entity_id = t.entity_id
+WHERE a.role <> t.role AND a.role NOT IN (SELECT role FROM scope_role)
 UNION ALL
 SELECT t.entity_id, t.role, p.resource, p.action
 FROM targets t CROSS JOIN (VALUES ('DAGs', 'can_edit'), ('DAG Runs', 'can_create')) p(resource, action)"""
+ORACLE["acl_merge"] = with_("entities", "entity_tags", "tag_map", "region_roles", "acl", "acl_roles", "acl_rows",
+                            extra=(classify_cte("classified", "entities", trim=True),)) + MERGED
 
 ORACLE["permission_state"] = """
 SELECT role, action, resource, CASE WHEN arg_max(op, seq) = 'grant' THEN 'grant' ELSE 'revoke' END AS last_op
@@ -289,11 +322,11 @@ ORACLE["effective_access"] = """
 WITH requests AS (
   SELECT event_id AS request_id, 'user_' || CAST(user_id AS VARCHAR) AS username,
          json_extract_string(props, '$.k') AS entity_id FROM events),
-user_roles AS (SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role
-               FROM events WHERE value > 100),
+user_roles AS (SELECT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role
+               FROM events GROUP BY user_id, event_type HAVING sum(event_id) % 5 <> 0),
 ag AS (
-  SELECT DISTINCT event_type AS role, 'can_create' AS action,
-         'DAG Run:' || json_extract_string(props, '$.k') AS resource FROM events WHERE value > 300
+  SELECT DISTINCT event_type AS role, CASE WHEN event_id % 40 = 0 THEN 'can_create' ELSE 'can_read' END AS action,
+         'DAG Run:' || json_extract_string(props, '$.k') AS resource FROM events
   UNION SELECT 'signup', 'can_create', 'DAG Runs'),
 flags AS (
   SELECT r.request_id, r.username, r.entity_id,
@@ -314,10 +347,11 @@ SELECT 'ROLE_' || c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) FROM custo
 
 # ------------------------------------------------------------------ family D
 CTE["cur_roles"] = """cur_roles AS (
-  SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events WHERE value > 100)"""
+  SELECT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events
+  GROUP BY user_id, event_type HAVING sum(event_id) % 5 <> 0)"""
 CTE["des_roles"] = """des_roles AS (
-  SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events
-  WHERE ts < TIMESTAMP '2024-01-05 00:00:00' AND event_type IN ('click', 'view', 'purchase'))"""
+  SELECT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role FROM events
+  GROUP BY user_id, event_type HAVING sum(event_id) % 7 <> 0)"""
 CTE["role_changes"] = """role_changes AS (
   SELECT username, 'add' AS op, role FROM (SELECT username, role FROM des_roles EXCEPT SELECT username, role FROM cur_roles)
   UNION ALL
@@ -414,15 +448,17 @@ FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')"""
 
 ORACLE["auth_failures"] = """
 SELECT page_id,
-       coalesce((contains(lower(html), 'sasl negotiation failure') OR contains(lower(html), 'gss initiate failed'))
+       coalesce((contains(lower(text), 'sasl negotiation failure') OR contains(lower(text), 'gss initiate failed'))
                 AND NOT contains(lower(url), 'principal='), false) AS auth_failure
-FROM pages"""
+FROM (SELECT page_id, html || CASE page_id % 4 WHEN 0 THEN ' SASL Negotiation failure' WHEN 1 THEN ' gss INITIATE failed'
+                              ELSE ' done' END AS text,
+             url || CASE WHEN page_id % 3 = 0 THEN ';Principal=hive/x' ELSE '' END AS url FROM pages)"""
 
 ORACLE["status_rollup"] = """
 WITH obs AS (
-  SELECT user_id AS service, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS source,
-         event_id AS ord, event_id AS pid, value >= 1 AS live
-  FROM events WHERE value < 5 AND event_type IN ('signup', 'view', 'click')),
+  SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS service,
+         CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS source,
+         event_id AS ord, event_id AS pid, event_id % 3 <> 0 AS live, event_type FROM events),
 agg AS (
   SELECT service,
          arg_min(pid, ord) FILTER (WHERE live AND source = 1) AS p1,
@@ -430,16 +466,16 @@ agg AS (
          arg_min(pid, ord) FILTER (WHERE source = 3) AS p3,
          arg_min(live, ord) FILTER (WHERE source = 3) AS l3
   FROM obs GROUP BY service),
-services AS (SELECT user_id AS service, bool_or(event_type = 'purchase') AS managed FROM events GROUP BY user_id),
+services AS (SELECT service, bool_or(event_type IN ('purchase', 'view')) AS managed FROM obs GROUP BY service),
 picked AS (SELECT service, coalesce(p1, p2, CASE WHEN l3 THEN p3 END) AS pid FROM agg)
-SELECT s.service,
+SELECT s.service, 'dev' AS env,
        CASE WHEN NOT s.managed THEN 'disabled' WHEN p.pid IS NULL THEN 'stopped' ELSE 'running' END AS status,
        CASE WHEN s.managed AND p.pid IS NOT NULL THEN CAST(p.pid AS VARCHAR) ELSE '-' END AS pid
 FROM services s LEFT JOIN picked p ON s.service = p.service"""
 
 # ------------------------------------------------------------------ family A
-ORACLE["reload_twice"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
-ORACLE["ordered_read"] = "SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey"
+ORACLE["reload_twice"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+ORACLE["ordered_read"] = "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey"
 ORACLE["table_count"] = "SELECT count(*) AS cnt FROM customer"
 ORACLE["table_smoke"] = """
 SELECT * FROM (VALUES ('create', true, CAST(NULL AS BIGINT))) t(step, ok, rows)
@@ -447,8 +483,10 @@ UNION ALL SELECT 'insert', true, count(*) FROM supplier
 UNION ALL SELECT 'count', true, count(*) FROM supplier
 UNION ALL SELECT 'query', true, count(*) FROM supplier"""
 
-# the sync job writes the diff and returns its per-scope counts: same result as diff_summary
-ORACLE["grant_sync"] = ORACLE["diff_summary"]
+# after a sync the written state is what was desired, and a second diff is empty
+ORACLE["grant_sync"] = with_(*_desired_ctes(), extra=DESIRED_EXTRA) + "SELECT scope, entity_id, 'state' AS what FROM desired"
+ORACLE["log_files"] = ORACLE["log_parse"].replace("SELECT event_id,\n       CASE WHEN regexp", "SELECT CASE WHEN regexp")
+ORACLE["listing_files"] = ORACLE["user_listing"]
 
 ORACLE["role_names"] = with_("scope_texts") + f"""
 SELECT scope, 'AF_TRIGGER_SCOPE_' || upper(scope) AS role FROM (
@@ -496,12 +534,10 @@ SELECT username, 'remove', role FROM (
     AND username IN (SELECT username FROM desired)
   EXCEPT SELECT username, role FROM desired)"""
 
-ORACLE["policy_acl"] = with_("entities", "entity_tags", "tag_map", "scope_role", "inside", "acl", "acl_roles",
-                             "acl_rows", extra=(classify_cte("classified", "inside", trim=True),)) + """,
-targets AS (SELECT c.entity_id, r.role FROM classified c JOIN scope_role r ON c.scope = r.scope WHERE c.status = 'valid')
-SELECT a.entity_id, a.role, a.resource, a.action FROM acl_rows a
-WHERE a.role NOT IN ('AF_TRIGGER_SCOPE_GLOBAL', 'AF_TRIGGER_SCOPE_US', 'AF_TRIGGER_SCOPE_MX', 'AF_TRIGGER_SCOPE_CN')
-  AND a.entity_id IN (SELECT entity_id FROM targets)
-UNION ALL
-SELECT t.entity_id, t.role, p.resource, p.action
-FROM targets t CROSS JOIN (VALUES ('DAGs', 'can_edit'), ('DAG Runs', 'can_create')) p(resource, action)"""
+ORACLE["policy_acl"] = with_("entities", "entity_tags", "tag_map", "region_roles", "inside", "acl", "acl_roles",
+                             "acl_rows", extra=(classify_cte("classified", "inside", trim=True),)) + MERGED
+
+_desired_sql = ORACLE["role_matrix"].replace("SELECT p.username, m.role FROM", ", want AS (SELECT p.username, m.role FROM") + ")"
+ORACLE["user_plan_dry"] = _desired_sql + """
+SELECT DISTINCT username, 'create' AS op, 'Viewer' AS role FROM want
+UNION ALL SELECT DISTINCT username, 'add', role FROM want"""

@@ -6,12 +6,13 @@ names match the SQL twin in ``tagwarden.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwarden.functions.tags import label_from_tag, normalize_scopes, scope_role_name, tag_from_source
+from tagwarden.functions.tags import label_from_tag, normalize_scopes, normalize_tags, scope_role_name, tag_from_source
 from tagwarden.functions.text import explode_rows
 from tagwarden.operators import classify as B
 from tagwarden.operators import grants as C
@@ -37,6 +38,18 @@ def classify_status(spark, sf_dir):
     return c.select("entity_id", "status", "scope", F.array_join("matched_tags", ",").alias("matched_tags"))
 
 
+@query("classify_wide")
+def classify_wide(spark, sf_dir):
+    c = B.classify(fx.entities(spark, sf_dir), fx.wide_tags(spark, sf_dir), fx.wide_tag_map(spark, sf_dir))
+    return c.select("entity_id", "status", "scope", F.array_join("matched_tags", ",").alias("matched_tags"))
+
+
+@query("tags_norm")
+def tags_norm(spark, sf_dir):
+    t = fx.order_tag_arrays(spark, sf_dir)
+    return t.select("o_orderkey", F.array_join(normalize_tags("tags"), "|").alias("tags"))
+
+
 @query("no_role")
 def no_role(spark, sf_dir):
     c = B.classify(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark), trim_tags=True)
@@ -64,7 +77,8 @@ def desired_grants(spark, sf_dir):
 
 @query("source_label")
 def source_label(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "source")
+    d = fx.table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("source")).alias("source"))
     tag = tag_from_source("source", fx.US_DOC_SOURCES)
     return d.select("doc_id", "source", tag.alias("tag"), label_from_tag(tag).alias("label"))
 
@@ -130,12 +144,17 @@ def acl_normalize(spark, sf_dir):
     return C.normalize_acl(fx.acl(spark, sf_dir))
 
 
+@query("acl_rejects")
+def acl_rejects(spark, sf_dir):
+    return C.acl_rejects(fx.acl(spark, sf_dir))
+
+
 @query("acl_merge")
 def acl_merge(spark, sf_dir):
     c = B.classify(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark), trim_tags=True)
-    targets = B.resolve_role(c, B.scope_role_table(spark)).where(F.col("status") == "valid") \
-        .select("entity_id", "role")
-    return C.merge_targets_acl(fx.acl(spark, sf_dir), targets)
+    roles = fx.region_roles(spark)
+    targets = B.resolve_role(c, roles).where(F.col("status") == "valid").select("entity_id", "role")
+    return C.merge_targets_acl(fx.acl(spark, sf_dir), targets, roles)
 
 
 @query("permission_state")
@@ -234,27 +253,49 @@ def run_outcome(spark, sf_dir):
 
 @query("auth_failures")
 def auth_failures(spark, sf_dir):
-    p = fx.table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return p.select("page_id", E.auth_failure("html", "url").alias("auth_failure"))
+    return fx.auth_pages(spark, sf_dir).select("page_id", E.auth_failure("text", "url").alias("auth_failure"))
 
 
 @query("status_rollup")
 def status_rollup(spark, sf_dir):
     obs, services = fx.observations(spark, sf_dir)
-    return E.status_rollup(obs, services)
+    return E.status_rollup(obs, services, env="dev")
 
 
-# ------------------------------------------------------------------ family A
-def _table_name(base: str, sf_dir: str) -> str:
-    import hashlib
+def _rendered(spark, lines: DataFrame, base: str) -> str:
+    """Lines (column ``value``) as text files in a new folder under the warehouse."""
+    folder = f"{A.warehouse_location(spark, base)}-{uuid.uuid4().hex}"
+    lines.select("value").write.text(folder)
+    return folder
+
 
-    return f"tw_{base}_{hashlib.sha1(sf_dir.encode()).hexdigest()[:8]}"
+@query("log_files")
+def log_files(spark, sf_dir):
+    p = E.read_logs(spark, _rendered(spark, fx.log_lines(spark, sf_dir), "log_lines"))
+    return p.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "level", "message")
+
+
+@query("listing_files")
+def listing_files(spark, sf_dir):
+    lines = fx.user_listing_lines(spark, sf_dir).repartition(1).sortWithinPartitions("pos")  # one listing is one file
+    return D.parse_role_list(D.read_listing(spark, _rendered(spark, lines, "user_listing")), "line", keep=["username"])
+
+
+@query("user_plan_dry")
+def user_plan_dry(spark, sf_dir):
+    desired = D.desired_roles(fx.customer_profiles(spark, sf_dir))
+    return D.user_plan(desired.limit(0), desired, desired.select("username").limit(0), dry_run=True)
+
+
+# ------------------------------------------------------------------ family A
+def _table_name(base: str) -> str:
+    return f"tw_{base}_{uuid.uuid4().hex[:12]}"  # every run has tables of its own
 
 
 def _load_copy(spark, sf_dir, source: str) -> str:
     """Ensure a Parquet copy of a driver table in the warehouse and reload it (A1, A2)."""
     src = fx.table(spark, sf_dir, source)
-    name = _table_name(source, sf_dir)
+    name = _table_name(source)
     A.ensure_table(spark, name, src.schema, schema_name="default",
                    location=A.warehouse_location(spark, name))
     A.reload_rows(spark, name, src, schema_name="default")
@@ -263,15 +304,15 @@ def _load_copy(spark, sf_dir, source: str) -> str:
 
 @query("reload_twice")
 def reload_twice(spark, sf_dir):
-    name = _load_copy(spark, sf_dir, "nation")
-    A.reload_rows(spark, name, fx.table(spark, sf_dir, "nation"), schema_name="default")
-    return spark.table(f"default.{name}")
+    name = _load_copy(spark, sf_dir, "orders")
+    A.reload_rows(spark, name, fx.table(spark, sf_dir, "orders"), schema_name="default")
+    return spark.table(f"default.{name}").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query("ordered_read")
 def ordered_read(spark, sf_dir):
-    name = _load_copy(spark, sf_dir, "region")
-    return A.ordered_select(spark, name, ["r_regionkey", "r_name"], ["r_regionkey"], schema_name="default")
+    name = _load_copy(spark, sf_dir, "orders")
+    return A.ordered_select(spark, name, ["o_orderkey", "o_orderpriority"], ["o_orderkey"], schema_name="default")
 
 
 @query("table_count")
@@ -283,7 +324,7 @@ def table_count(spark, sf_dir):
 @query("table_smoke")
 def table_smoke(spark, sf_dir):
     src = fx.table(spark, sf_dir, "supplier")
-    name = _table_name("supplier", sf_dir)
+    name = _table_name("supplier")
     return A.smoke(spark, name, src.schema, src, key=["s_suppkey"], schema_name="default",
                    location=A.warehouse_location(spark, name))
 
@@ -292,7 +333,7 @@ def table_smoke(spark, sf_dir):
 def grant_sync(spark, sf_dir):
     from tagwarden.plans.sync import run_grant_sync
 
-    diff_t, state_t = _table_name("grant_diff", sf_dir), _table_name("grant_state", sf_dir)
+    diff_t, state_t = _table_name("grant_diff"), _table_name("grant_state")
     return run_grant_sync(spark, _desired(spark, sf_dir), _existing(spark, sf_dir), diff_t, state_t, "default",
                           A.warehouse_location(spark, diff_t), A.warehouse_location(spark, state_t))
 
@@ -317,4 +358,4 @@ def user_plan(spark, sf_dir):
 @query("policy_acl")
 def policy_acl(spark, sf_dir):
     return C.policy_acl(fx.entities(spark, sf_dir), fx.entity_tags(spark, sf_dir), fx.tag_map(spark),
-                        B.scope_role_table(spark), fx.acl(spark, sf_dir), fx.ROOT)
+                        fx.region_roles(spark), fx.acl(spark, sf_dir), fx.ROOT)

@@ -8,6 +8,7 @@ and a lost executor only re-runs the stage it was in.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagwarden.operators import grants as C
 from tagwarden.sources import tables as A
@@ -19,11 +20,18 @@ STATE_SCHEMA = "scope STRING, entity_id STRING"
 def run_grant_sync(spark: SparkSession, desired: DataFrame, existing: DataFrame, diff_table: str,
                    state_table: str, schema_name: str | None = None, diff_location: str | None = None,
                    state_location: str | None = None) -> DataFrame:
-    """Diff ``desired`` against ``existing`` (C2), write the diff, apply it (C5), write the
-    new state, and return the per-scope counts of the written diff (C3)."""
+    """Diff ``desired`` against ``existing`` (C2), write the diff, apply it (C5), write the new state.
+
+    Returns what the tables hold afterwards: the written state's rows with ``what = 'state'``, and one row per
+    change that a second diff of ``desired`` against that state still wants (``what = 'add'`` or
+    ``'remove'``) - none after a sync that worked.
+    """
     A.ensure_table(spark, diff_table, DIFF_SCHEMA, schema_name, diff_location)
     A.ensure_table(spark, state_table, STATE_SCHEMA, schema_name, state_location)
     A.reload_rows(spark, diff_table, C.diff_grants(desired, existing), schema_name)
     diff = spark.table(A.qualify(diff_table, schema_name))
     A.reload_rows(spark, state_table, C.apply_diff(existing, diff), schema_name)
-    return C.diff_summary(spark.table(A.qualify(diff_table, schema_name)))
+    state = spark.table(A.qualify(state_table, schema_name)).select("scope", "entity_id")
+    again = C.diff_grants(desired, state)
+    return state.withColumn("what", F.lit("state")).unionByName(
+        again.select("scope", "entity_id", F.col("op").alias("what")))

@@ -47,7 +47,46 @@ def entity_tags(spark, sf_dir) -> DataFrame:
     od = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("entity_id"),
         F.concat(F.lit("OS_"), F.col("o_orderstatus")).alias("tag"))
-    return li.unionByName(od)
+    # padded, blank, null and unmapped (quote and backslash) forms, by key
+    k = F.col("o_orderkey")
+    odd = table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("entity_id"),
+        F.when(k % 4 == 0, F.concat(F.lit("  OS_"), F.col("o_orderstatus"), F.lit(" "))).when(k % 4 == 1, F.lit("  "))
+        .when(k % 4 == 2, F.lit("it's a \\ tag")).alias("tag"))
+    return li.unionByName(od).unionByName(odd)
+
+
+def wide_tags(spark, sf_dir) -> DataFrame:
+    """(entity_id, tag): one tag per part of the order's lines."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("entity_id"),
+        F.concat(F.lit("PART_"), F.col("l_partkey").cast("string")).alias("tag"))
+
+
+def wide_tag_map(spark, sf_dir) -> DataFrame:
+    """(tag, scope): every part's tag has a scope by its size; a seventh of the parts has two."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    tag = F.concat(F.lit("PART_"), F.col("p_partkey").cast("string"))
+    one = p.select(tag.alias("tag"), F.when(F.col("p_size") < 45, F.lit("us")).otherwise(F.lit("global")).alias("scope"))
+    return one.unionByName(p.where(F.col("p_partkey") % 7 == 0).select(tag.alias("tag"), F.lit("apac").alias("scope")))
+
+
+REGION_ROLES = (("us", "AF_TRIGGER_SCOPE_US"), ("global", "AF_TRIGGER_SCOPE_GLOBAL"), ("apac", "AF_TRIGGER_SCOPE_APAC"),
+                ("emea", "AF_TRIGGER_SCOPE_EMEA"))
+
+
+def region_roles(spark) -> DataFrame:
+    """A scope-role map other than the default one."""
+    return literal_lookup(spark, REGION_ROLES, "scope string, role string")
+
+
+def order_tag_arrays(spark, sf_dir) -> DataFrame:
+    """(o_orderkey, tags): padded, blank, null and repeated tags; a null array for every fifth order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    st = F.col("o_orderstatus")
+    arr = F.array(F.concat(F.lit(" "), st, F.lit("\t")), st, F.lit("  "), F.lit(None).cast("string"),
+                  F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("")).otherwise(st))
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, arr).alias("tags"))
 
 
 def tag_map(spark) -> DataFrame:
@@ -68,13 +107,30 @@ def grants(spark, sf_dir) -> DataFrame:
     return o.select(role.alias("role"), action.alias("action"), resource.alias("resource"))
 
 
+# ACL documents by order key: flat and nested maps, none, an old target role, a repeated key, cut text,
+# other JSON, odd actions, blank, keys equal after stripping, an empty map.
+ACL_DOCS = (
+    '{"AF_TRIGGER_SCOPE_US":"can_edit","Ops":["can_read","can_edit"]}',
+    '{"Ops":{"DAG Runs":["can_read"]," ":["x"]},"AF_TRIGGER_SCOPE_EMEA":["can_edit"]}',
+    None,
+    '{"AF_TRIGGER_SCOPE_APAC":["can_delete"],"AF_TRIGGER_SCOPE_US":{"DAGs":["can_delete"]},"Biz":"can_read"}',
+    '{"Ops":["can_read"],"Ops":["can_edit"],"Biz":["can_read"]}',
+    '{"Ops":["can_read"',
+    '["can_edit"]',
+    '{"Ops":7,"Biz":null,"Dev":["can_read",null,true,12]}',
+    "  ",
+    '"can_edit"',
+    '{"Ops":{" DAGs ":["can_read"],"DAGs":["can_edit"],"DAG Runs":"can_create","X":{"k1":1,"k2":2},"Y":[]}}',
+    "{}",
+)
+
+
 def acl(spark, sf_dir) -> DataFrame:
-    """(entity_id, acl_json): three ACL shapes by order key (flat map, nested map, none)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    """(entity_id, acl_json): one of ``ACL_DOCS`` by order key."""
     k = F.col("o_orderkey")
-    j = (F.when(k % 3 == 0, F.lit('{"AF_TRIGGER_SCOPE_US":"can_edit","Ops":["can_read","can_edit"]}'))
-         .when(k % 3 == 1, F.lit('{"Ops":{"DAG Runs":["can_read"]," ":["x"]},"AF_TRIGGER_SCOPE_MX":["can_edit"]}')))
-    return o.select(k.cast("string").alias("entity_id"), j.alias("acl_json"))
+    docs = F.array(*[F.lit(d).cast("string") for d in ACL_DOCS])
+    return table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("entity_id"), F.get(docs, (k % len(ACL_DOCS)).cast("int")).alias("acl_json"))
 
 
 def permission_ops(spark, sf_dir) -> DataFrame:
@@ -89,19 +145,21 @@ def permission_ops(spark, sf_dir) -> DataFrame:
     )
 
 
+def _user_types(spark, sf_dir) -> DataFrame:
+    """Every (user, event type) of all events with the sum of its event ids."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return e.groupBy("user_id", "event_type").agg(F.sum("event_id").alias("s")).select(
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"), F.col("event_type").alias("role"), "s")
+
+
 def current_roles(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.where(F.col("value") > 100).select(
-        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"),
-        F.col("event_type").alias("role")).distinct()
+    """(username, role): all but about a fifth of each user's event types."""
+    return _user_types(spark, sf_dir).where(F.col("s") % 5 != 0).select("username", "role")
 
 
 def desired_roles(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.where((F.col("ts") < F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
-                   & F.col("event_type").isin("click", "view", "purchase")).select(
-        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"),
-        F.col("event_type").alias("role")).distinct()
+    """(username, role): all but about a seventh of each user's event types."""
+    return _user_types(spark, sf_dir).where(F.col("s") % 7 != 0).select("username", "role")
 
 
 MANAGED_EVENT_ROLES = ("click", "view", "purchase")
@@ -116,9 +174,10 @@ def access_requests(spark, sf_dir) -> DataFrame:
 
 
 def access_grants(spark, sf_dir) -> DataFrame:
-    """(role, action, resource): per-entity can_create from large events, plus one global grant."""
-    e = table(spark, sf_dir, "events").where(F.col("value") > 300)
-    scoped = e.select(F.col("event_type").alias("role"), F.lit("can_create").alias("action"),
+    """(role, action, resource): a per-entity grant from every event (can_create or can_read), plus one global grant."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    scoped = e.select(F.col("event_type").alias("role"),
+                      F.when(F.col("event_id") % 40 == 0, F.lit("can_create")).otherwise(F.lit("can_read")).alias("action"),
                       F.concat(F.lit("DAG Run:"), F.get_json_object("props", "$.k")).alias("resource"))
     glob = literal_lookup(spark, [("signup", "can_create", "DAG Runs")], "role string, action string, resource string")
     return scoped.unionByName(glob).distinct()
@@ -277,21 +336,31 @@ def log_lines(spark, sf_dir) -> DataFrame:
 
 
 def observations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(obs, services): small-value events are process observations of the user's service.
+    """(obs, services): every event is a process observation of its user's service of that day.
 
-    signup = control tool (1), view = pid file (2), click = process match (3); live when
-    value >= 1. A service is managed when its user ever purchased.
+    signup = control tool (1), view = pid file (2), others = process match (3); two thirds are
+    live. A service is managed when it has a view or a purchase.
     """
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    service = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
     src = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", 2).otherwise(3)
-    obs = e.where((F.col("value") < 5) & F.col("event_type").isin("signup", "view", "click")).select(
-        F.col("user_id").alias("service"), src.alias("source"), F.col("event_id").alias("ord"),
-        F.col("event_id").alias("pid"), (F.col("value") >= 1).alias("live"))
-    services = e.groupBy(F.col("user_id").alias("service")).agg(
-        F.max(F.col("event_type") == "purchase").alias("managed"))
+    obs = e.select(service.alias("service"), src.alias("source"), F.col("event_id").alias("ord"),
+                   F.col("event_id").alias("pid"), (F.col("event_id") % 3 != 0).alias("live"))
+    services = e.groupBy(service.alias("service")).agg(
+        F.max(F.col("event_type").isin("purchase", "view")).alias("managed"))
     return obs, services
 
 
+def auth_pages(spark, sf_dir) -> DataFrame:
+    """(page_id, text, url): pages whose text ends in a failure message and whose url has a principal, by key."""
+    k = F.col("page_id")
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.concat("html", F.when(k % 4 == 0, F.lit(" SASL Negotiation failure")).when(k % 4 == 1, F.lit(" gss INITIATE failed"))
+                 .otherwise(F.lit(" done"))).alias("text"),
+        F.concat("url", F.when(k % 3 == 0, F.lit(";Principal=hive/x")).otherwise(F.lit(""))).alias("url"))
+
+
 def present_customers(spark, sf_dir) -> DataFrame:
     """Customers that already exist as users: those with a positive balance."""
     c = table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0)

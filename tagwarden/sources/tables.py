@@ -1,21 +1,20 @@
 """Family A: managed Parquet tables - ensure, reload, count, ordered read, smoke check.
 
 Table names are catalog identifiers bound through ``IDENTIFIER(:t)`` (no string-built
-SQL for names). Writes are one overwrite step, so readers never see an empty table
-between a truncate and an insert.
+SQL for names). A reload writes a new version folder and then moves the table's location to it,
+so a failed reload leaves the old rows and readers never see a half-written table.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tagwarden.session import checkpoint_dir
-
 ACTIONS = ("create", "insert", "query")
 
 
@@ -41,26 +40,49 @@ def ensure_table(spark: SparkSession, name: str, schema: StructType | str, schem
     ``location`` makes the table point at a folder of the shared warehouse, so a table
     whose catalog entry is gone (a session catalog) finds its files again.
     """
+    if location:
+        location = _newest_version(spark, location) or location
     loc = f" LOCATION {_sql_string(location)}" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:t) ({_ddl(schema)}) USING PARQUET{loc}",
               args={"t": qualify(name, schema_name)})
 
 
+VERSION = "version-"
+
+
+def _newest_version(spark: SparkSession, base: str) -> str | None:
+    """The last completely written version folder under ``base``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith(VERSION)
+            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return max((p.toString() for p in done), default=None)
+
+
+def table_location(spark: SparkSession, name: str, schema_name: str | None = None) -> str:
+    rows = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:t)", args={"t": qualify(name, schema_name)}).collect()
+    return next(r["data_type"] for r in rows if r["col_name"] == "Location")
+
+
 def reload_rows(spark: SparkSession, name: str, df: DataFrame, schema_name: str | None = None) -> None:
-    """Replace the table's rows with ``df`` in one overwrite (A2): running twice leaves the rows once.
+    """Replace the table's rows with ``df`` (A2): running twice leaves the rows once.
 
-    Columns are matched by name. When ``df`` reads the table it overwrites, its lineage
-    is cut first with a reliable checkpoint into the cluster's ``spark.checkpoint.dir``.
+    Columns are matched by name and cast to the table's types. The rows are written to a new version folder
+    beside the current one; only when that write has committed does the table's location move there. ``df`` may read the
+    table itself. Earlier versions stay (readers may still hold them); deleting them is the warehouse's upkeep.
     """
     fq = qualify(name, schema_name)
-    src = df.select(*spark.table(fq).columns)
-    try:
-        src.write.insertInto(fq, overwrite=True)
-    except AnalysisException as ex:
-        if "UNSUPPORTED_OVERWRITE" not in str(ex):
-            raise
-        checkpoint_dir(spark)
-        src.checkpoint(eager=True).write.insertInto(fq, overwrite=True)
+    fields = spark.table(fq).schema.fields
+    src = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+    base, _, last = table_location(spark, name, schema_name).rstrip("/").rpartition("/")
+    if not last.startswith(VERSION):
+        base = f"{base}/{last}"
+    target = f"{base}/{VERSION}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    src.write.parquet(target)
+    spark.sql(f"ALTER TABLE IDENTIFIER(:t) SET LOCATION {_sql_string(target)}", args={"t": fq})
+    spark.catalog.refreshTable(fq)
 
 
 def row_count(spark: SparkSession, name: str, schema_name: str | None = None) -> DataFrame:
@@ -103,33 +125,44 @@ def table_job(spark: SparkSession, action: str, name: str, schema: StructType |
 
 
 def smoke(spark: SparkSession, name: str, schema: StructType | str, rows: DataFrame, key: Sequence[str] = (),
-          schema_name: str | None = None, location: str | None = None, fail: bool = False) -> DataFrame:
+          schema_name: str | None = None, location: str | None = None, fail: bool = True) -> DataFrame:
     """create -> reload -> count -> ordered read, as a report ``(step, ok, rows)``.
 
-    Stops at the first failing step; the failed step is reported with ``ok = false`` and
-    the later steps are not run. With ``fail=True`` a failed step raises (the check
-    fails, like a failed job), carrying the report text.
+    Stops at the first failing step and raises, with the steps so far in the message and the cause
+    attached. ``fail=False`` gives the report instead, the failed step with ``ok = false``. The ordered
+    read is carried out, sort included.
     """
     report: list[tuple[str, bool, int | None]] = []
+
+    def ordered() -> int:
+        table_job(spark, "query", name, schema, key=key, schema_name=schema_name).write.format("noop").mode("overwrite").save()
+        return row_count(spark, name, schema_name).first()["cnt"]
+
     steps = (
         ("create", lambda: table_job(spark, "create", name, schema, schema_name=schema_name, location=location)),
         ("insert", lambda: table_job(spark, "insert", name, schema, rows, schema_name=schema_name).first()["cnt"]),
         ("count", lambda: row_count(spark, name, schema_name).first()["cnt"]),
-        ("query", lambda: table_job(spark, "query", name, schema, key=key, schema_name=schema_name).count()),
+        ("query", ordered),
     )
     for step, fn in steps:
         try:
             out = fn()
-        except Exception:  # noqa: BLE001 - the report is the outcome
+        except Exception as cause:
             report.append((step, False, None))
+            if fail:
+                raise RuntimeError(f"table smoke check failed for {qualify(name, schema_name)}: {report}") from cause
             break
         report.append((step, True, out if isinstance(out, int) else None))
-    if fail and not all(ok for _, ok, _ in report):
-        raise RuntimeError(f"table smoke check failed for {qualify(name, schema_name)}: {report}")
     return spark.createDataFrame(report, "step string, ok boolean, rows bigint")
 
 
 def warehouse_location(spark: SparkSession, name: str) -> str:
     """A folder for ``name`` under the session's (shared) warehouse directory."""
-    wh = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    conf = spark.sparkContext.getConf()
+    wh = conf.get("spark.sql.warehouse.dir", None)
+    if not wh:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.sql.warehouse.dir is not set; configure a shared warehouse folder")
+        wh = spark.conf.get("spark.sql.warehouse.dir")  # a plain local session: Spark's own default
+    wh = wh.rstrip("/")
     return f"{wh}/tagwarden/{name}"

@@ -81,40 +81,29 @@ def test_desired_grants_managed_only(spark):
     ents, tags, tmap = _fixture(spark)
     d = rows(B.desired_grants(ents, tags, tmap, ["us", "global"], "/dags"))
     assert d == [("global", "e3"), ("global", "e4"), ("us", "e1"), ("us", "e9")]
-    assert F is not None
 
 
-def test_unmatched_tags_do_not_change_status_in_both_paths(spark, monkeypatch):
-    ents = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_id string")
-    tags = spark.createDataFrame([("a", "OS_P"), ("a", "RF_N"), ("b", "OS_P"), ("c", "zz")], "entity_id string, tag string")
-    tm = spark.createDataFrame([("OS_P", "apac"), ("RF_A", "us")], "tag string, scope string")
-    expect = [("a", "valid", "apac", ["OS_P"], ["RF_N"]), ("b", "valid", "apac", ["OS_P"], []),
-              ("c", "missing", None, [], ["zz"])]
-    cols = ("entity_id", "status", "scope", "matched_tags", "unmatched_tags")
-    assert rows(B.classify(ents, tags, tm, with_unmatched=True), *cols) == expect
-    monkeypatch.setattr(B, "BITMASK_MAX_TAGS", 1)  # force the large-map (set) path
-    assert rows(B.classify(ents, tags, tm, with_unmatched=True), *cols) == expect
-
-
-def test_tag_with_two_scopes_is_rejected(spark):
-    import pytest
-
-    ents = spark.createDataFrame([("a",)], "entity_id string")
+def test_one_rule_at_every_map_size(spark):
+    ents = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("a",)], "entity_id string")
+    tags = spark.createDataFrame([("a", "T"), ("a", "U"), ("b", "U"), ("c", "two"), ("d", "T"), ("d", "T2"), ("b", "zz")],
+                                 "entity_id string, tag string")
+    expect = [("a", "valid", "us", ["T"]), ("b", "missing", None, []), ("c", "conflict", None, ["two"]),
+              ("d", "valid", "us", ["T", "T2"])]
+    for more in (0, 1100, 20_000):
+        pairs = [("T", "us"), ("T2", "us"), ("U", None), ("two", "us"), ("two", "global"), (None, "us")]
+        tm = spark.createDataFrame(pairs + [(f"m{i}", "apac") for i in range(more)], "tag string, scope string")
+        assert rows(B.classify(ents, tags, tm), "entity_id", "status", "scope", "matched_tags") == expect
+        paths = ents.select("entity_id", F.lit("/dags/x").alias("path"))
+        v = {r.entity_id: r for r in B.violations(paths, tags, tm, B.scope_role_table(spark), "/dags").collect()}
+        assert set(v) == {"b", "c"} and v["b"].actual_tags == "['U', 'zz']"
+        assert v["c"].expected_tags.count(",") == more + 3
+
+
+def test_repeated_entities_give_one_grant(spark):
+    ents = spark.createDataFrame([("a", "/dags/a"), ("a", "/dags/b")], "entity_id string, path string")
     tags = spark.createDataFrame([("a", "T")], "entity_id string, tag string")
-    tm = spark.createDataFrame([("T", "us"), ("T", "global")], "tag string, scope string")
-    with pytest.raises(ValueError):
-        B.classify(ents, tags, tm)
-
-
-def test_null_scope_rows_map_nothing_in_both_paths(spark, monkeypatch):
-    ents = spark.createDataFrame([("a",), ("b",)], "entity_id string")
-    tags = spark.createDataFrame([("a", "T"), ("a", "U"), ("b", "U")], "entity_id string, tag string")
-    tm = spark.createDataFrame([("T", "us"), ("U", None)], "tag string, scope string")
-    expect = [("a", "valid", "us", ["T"]), ("b", "missing", None, [])]
-    cols = ("entity_id", "status", "scope", "matched_tags")
-    assert rows(B.classify(ents, tags, tm), *cols) == expect
-    monkeypatch.setattr(B, "BITMASK_MAX_TAGS", 0)
-    assert rows(B.classify(ents, tags, tm), *cols) == expect
+    tm = spark.createDataFrame([("T", "us")], "tag string, scope string")
+    assert rows(B.desired_grants(ents, tags, tm, ["us"], "/dags")) == [("us", "a")]
 
 
 def test_resolve_root_first_usable_value():

@@ -5,6 +5,9 @@ from tagwarden.functions import (
     scope_role_name, shell_quote, tag_from_source,
 )
 
+# The source systems of the labelled fixture.
+US_SOURCES = ("camp-us", "ucm", "norkom", "mdm")
+
 
 def one(spark, expr, schema, value):
     return spark.createDataFrame([(value,)], schema).select(expr.alias("r")).first()["r"]
@@ -56,9 +59,23 @@ def test_py_list_repr_and_shell_quote(spark):
 def test_source_tag_and_label(spark):
     # the five generated entities of the reference: camp-us, mdm -> us; abc, hub -> global; none -> illegal
     df = spark.createDataFrame([("camp-us",), ("mdm",), ("abc",), ("hub",), (None,)], "source string")
-    tag = tag_from_source("source")
+    tag = tag_from_source("source", US_SOURCES)
     got = [r[0] for r in df.select(label_from_tag(tag)).collect()]
     assert got == ["us_dag", "us_dag", "global_dag", "global_dag", "illegal_dag"]
     assert [r[0] for r in df.select(tag).collect()] == ["GDTET_US_DAG", "GDTET_US_DAG", "GDTET_GLOBAL_DAG",
                                                         "GDTET_GLOBAL_DAG", None]
-    assert F is not None
+
+
+def test_quoting_and_python_lists(spark):
+    import shlex
+    import subprocess
+
+    from tagwarden.functions.text import bash_quote, py_list_repr
+    texts = ["a", "", "a b", "x\n", "it's", "DAG Run:x", "$(id)", "a,b", "~x", "#c", "a\tb", "é", "a\\b", "'\"", "*", "k=v;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", shell_quote("t").alias("s"), bash_quote("t").alias("b")).collect():
+        assert r.s == shlex.quote(r.t)
+        back = subprocess.run(["bash", "-c", f"printf %s {r.b}X"], capture_output=True, text=True).stdout
+        assert back == r.t + "X", r
+    df = spark.createDataFrame([(texts,)], "a array<string>")
+    assert df.select(py_list_repr("a").alias("l")).first().l == repr(sorted(texts))

@@ -56,21 +56,25 @@ def test_normalize_acl_shapes(spark):
     ])
 
 
-def test_merge_acl_keeps_unmanaged_replaces_managed(spark):
-    acl_rows = spark.createDataFrame([
-        ("e1", "Ops", "DAGs", "can_read"), ("e1", "AF_TRIGGER_SCOPE_MX", "DAGs", "can_edit"),
-        ("e2", "AF_TRIGGER_SCOPE_US", "DAGs", "can_edit"), ("e9", "Ops", "DAGs", "can_read"),
-    ], "entity_id string, role string, resource string, action string")
-    targets = spark.createDataFrame([("e1", "AF_TRIGGER_SCOPE_US"), ("e2", "AF_TRIGGER_SCOPE_GLOBAL"),
-                                     ("e3", "AF_TRIGGER_SCOPE_US")], "entity_id string, role string")
-    got = rows(C.merge_acl(acl_rows, targets))
-    assert got == sorted([
-        ("e1", "Ops", "DAGs", "can_read"),
-        ("e1", "AF_TRIGGER_SCOPE_US", "DAGs", "can_edit"), ("e1", "AF_TRIGGER_SCOPE_US", "DAG Runs", "can_create"),
-        ("e2", "AF_TRIGGER_SCOPE_GLOBAL", "DAGs", "can_edit"),
-        ("e2", "AF_TRIGGER_SCOPE_GLOBAL", "DAG Runs", "can_create"),
-        ("e3", "AF_TRIGGER_SCOPE_US", "DAGs", "can_edit"), ("e3", "AF_TRIGGER_SCOPE_US", "DAG Runs", "can_create"),
-    ])
+def test_merge_replaces_managed_and_target_roles(spark):
+    docs = spark.createDataFrame([
+        ("e1", '{"Ops":"can_read","AF_TRIGGER_SCOPE_EMEA":["can_edit"],"R_APAC":{"DAGs":["can_delete"]}}'),
+        ("e2", '{"Ops":["a"],"Ops":["b"],"Biz":["c"]}'), ("e3", None), ("e4", '["x"]'), ("e5", '{"Own":["can_delete"]}'),
+        ("e9", '{"Ops":"can_read"}')], "entity_id string, acl_json string")
+    roles = spark.createDataFrame([("apac", "R_APAC"), ("emea", "AF_TRIGGER_SCOPE_EMEA")], "scope string, role string")
+    targets = spark.createDataFrame([(e, "R_APAC") for e in ("e1", "e2", "e3", "e4")] + [("e5", "Own")],
+                                    "entity_id string, role string")
+    new = lambda e, r="R_APAC": [(e, r, "DAG Runs", "can_create"), (e, r, "DAGs", "can_edit")]
+    assert rows(C.merge_targets_acl(docs, targets, roles)) == sorted(
+        [("e1", "Ops", "DAGs", "can_read"), *new("e1"), *new("e3"), *new("e5", "Own")])
+    assert rows(C.acl_rejects(docs)) == [("e2", "unreadable"), ("e4", "not an object")]
+
+
+def test_acl_actions_are_never_null(spark):
+    docs = spark.createDataFrame([("e", '{"R":["a",null,true,12],"S":{" x ":["p"],"x":["q"]},"N":null,"I":5}')],
+                                 "entity_id string, acl_json string")
+    assert rows(C.normalize_acl(docs)) == sorted(
+        [("e", "R", "DAGs", a) for a in ("a", "None", "True", "12")] + [("e", "S", "x", "p"), ("e", "S", "x", "q")])
 
 
 def test_permission_state_last_op_wins(spark):
@@ -103,7 +107,6 @@ def test_effective_access(spark):
                                ("RA", "can_read", "DAG Run:z")], GSCHEMA)
     got = rows(C.effective_access(req, ur, g), "request_id", "allowed", "via")
     assert got == [(1, True, "scoped"), (2, False, None), (3, True, "global"), (4, False, None)]
-    assert F is not None
 
 
 def test_grant_sync_job_is_idempotent(spark):
@@ -112,14 +115,12 @@ def test_grant_sync_job_is_idempotent(spark):
     sch = "scope string, entity_id string"
     desired = spark.createDataFrame([("us", "a"), ("us", "c"), ("global", "h")], sch)
     existing = spark.createDataFrame([("us", "a"), ("us", "b")], sch)
-    s1 = {r["scope"]: (r["added"], r["removed"]) for r in
-          run_grant_sync(spark, desired, existing, "t_diff", "t_state", "default").collect()}
-    assert s1 == {"us": (1, 1), "global": (1, 0), "total": (2, 1)}
-    state = spark.table("default.t_state")
-    assert rows(state) == rows(desired)
-    # second run against the written state: nothing to do
-    s2 = run_grant_sync(spark, desired, spark.createDataFrame(rows(state), sch), "t_diff", "t_state", "default")
-    assert [tuple(r) for r in s2.collect()] == [("total", 0, 0)]
+    want = sorted((s, e, "state") for s, e in rows(desired))
+    assert rows(run_grant_sync(spark, desired, existing, "t_diff", "t_state", "default")) == want
+    assert rows(spark.table("default.t_diff"), "op", "entity_id") == [("add", "c"), ("add", "h"), ("remove", "b")]
+    # again, from the written state itself: nothing to do
+    assert rows(run_grant_sync(spark, desired, spark.table("default.t_state"), "t_diff", "t_state", "default")) == want
+    assert spark.table("default.t_diff").count() == 0
 
 
 def test_policy_acl_only_under_root_and_valid(spark):

@@ -66,3 +66,16 @@ def test_status_rollup(spark):
     got = rows(E.status_rollup(obs, services))
     assert got == [("a", "running", "12"), ("b", "stopped", "-"), ("c", "running", "31"), ("d", "stopped", "-"),
                    ("e", "disabled", "-")]
+
+
+def test_time_stamps_do_not_depend_on_the_session_zone(spark):
+    lines = ["[2024-03-10 02:30:00] [INFO] a\u2028b", "[2024-03-10 02:30:00] [k] x", "[2024-13-40 02:30:00] bad", "at x()"]
+    df = spark.createDataFrame([(v,) for v in lines], "value string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [(str(r.ts), r.level, r.message) for r in E.parse_log_lines(df).select("ts", "level", "message").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [("2024-03-10 02:30:00", "INFO", "a\u2028b"), ("2024-03-10 02:30:00", None, "[k] x"), ("None", None, "bad"),
+                   ("None", None, "at x()")]

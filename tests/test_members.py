@@ -1,6 +1,11 @@
 from tagwarden.operators import members as D
 from tests.conftest import rows
 
+# The users and roles that a teardown removes.
+TEST_USERS = ("rbac_normal", "rbac_us_user", "rbac_nonus_priv", "rbac_us_priv", "rbac_admin_observer")
+CUSTOM_ROLES = ("AF_RERUN_ALL_NO_TRIGGER", "AF_ADMIN_OBSERVER_NO_DAG", "AF_TRIGGER_SCOPE_GLOBAL",
+                "AF_TRIGGER_SCOPE_NONUS", "AF_TRIGGER_SCOPE_US", "AF_TRIGGER_SCOPE_MX", "AF_TRIGGER_SCOPE_CN")
+
 
 def test_listing_and_role_lists(spark):
     lines = spark.createDataFrame([
@@ -14,7 +19,7 @@ def test_listing_and_role_lists(spark):
     users = rows(D.parse_user_listing(lines, pos_col="pos"), "username")
     assert users == [("42",), ("bob",), ("carol",), ("dave",)]
     no_pos = rows(D.parse_user_listing(lines.select("value")), "username")
-    assert no_pos == users  # header recognised by content
+    assert no_pos == sorted([*users, ("id",)])  # without positions no line is taken for a header
     texts = spark.createDataFrame([("a", "['Viewer', 'A']"), ("b", "[]"), ("c", "Viewer, A"),
                                    ("d", "x [ 'R 1' ,\"R2\"] tail ] end"), ("e", "['A', 'A']")],
                                   "username string, text string")
@@ -55,7 +60,8 @@ def test_create_teardown_groups(spark):
     wanted = spark.createDataFrame([("a",), ("b",), ("b",)], "username string")
     present = spark.createDataFrame([("b",)], "username string")
     assert rows(D.users_to_create(wanted, present)) == [("a", "Viewer")]
-    targets = D.literal_targets(spark)
+    targets = spark.createDataFrame([("user", u) for u in TEST_USERS] + [("role", r) for r in CUSTOM_ROLES],
+                                    "kind string, name string")
     pres = spark.createDataFrame([("user", "rbac_normal"), ("role", "AF_TRIGGER_SCOPE_US")], "kind string, name string")
     plan = {(r["kind"], r["name"]): r["action"] for r in D.teardown_plan(targets, pres).collect()}
     assert plan[("user", "rbac_normal")] == "delete" and plan[("user", "rbac_us_user")] == "skip"
@@ -93,3 +99,17 @@ def test_user_plan_created_viewer_is_removed_again(spark):
                    ("obs", "add", "AF_ADMIN_OBSERVER_NO_DAG"),
                    ("obs", "create", "Viewer"),
                    ("obs", "remove", "Viewer")]
+
+
+def test_listing_header_is_the_first_line_of_each_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("NAME x\nid i@x\n7 username u@x ['Viewer']\n\n12\n")
+    (tmp_path / "b.txt").write_text("id username\nbob b@x \"q\" ['A', 'B']\n")
+    got = rows(D.read_listing(spark, str(tmp_path)), "username")
+    assert got == [("12",), ("bob",), ("id",), ("username",)]
+
+
+def test_user_plan_dry_run_lists_everything(spark):
+    cur = spark.createDataFrame([("u", "A")], "username string, role string")
+    des = spark.createDataFrame([("u", "A"), ("u", "A"), ("v", "B")], "username string, role string")
+    got = rows(D.user_plan(cur, des, cur.select("username"), dry_run=True), "username", "op", "role")
+    assert got == [("u", "add", "A"), ("u", "create", "Viewer"), ("v", "add", "B"), ("v", "create", "Viewer")]

@@ -37,9 +37,29 @@ def test_table_job_and_smoke(spark):
                   key=["course_id"], schema_name="default")
     assert [tuple(r) for r in rep.collect()] == [("create", True, None), ("insert", True, 3), ("count", True, 3),
                                                  ("query", True, 3)]
-    bad = A.smoke(spark, "courses3", COURSE_SCHEMA, A.literal_rows(spark, [(1, "x")], "a int, b string"),
-                  schema_name="default")
+    wrong = A.literal_rows(spark, [(1, "x")], "a int, b string")
+    bad = A.smoke(spark, "courses3", COURSE_SCHEMA, wrong, schema_name="default", fail=False)
     assert [tuple(r)[:2] for r in bad.collect()] == [("create", True), ("insert", False)]
-    with pytest.raises(RuntimeError):
-        A.smoke(spark, "courses3", COURSE_SCHEMA, A.literal_rows(spark, [(1, "x")], "a int, b string"),
-                schema_name="default", fail=True)
+    with pytest.raises(RuntimeError) as e:
+        A.smoke(spark, "courses3", COURSE_SCHEMA, wrong, schema_name="default")
+    assert e.value.__cause__ is not None
+
+
+def test_failed_reload_leaves_the_old_rows(spark):
+    from pyspark.sql import functions as F
+
+    A.ensure_table(spark, "kept_rows", "a INT", schema_name="default")
+    A.reload_rows(spark, "kept_rows", spark.range(2).select(F.col("id").cast("int").alias("a")), "default")
+    bad = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).cast("int").alias("a"))
+    with pytest.raises(Exception, match="boom"):
+        A.reload_rows(spark, "kept_rows", bad, "default")
+    assert rows(spark.table("default.kept_rows")) == [(0,), (1,)]
+
+
+def test_table_without_catalog_entry_finds_its_newest_rows(spark, tmp_path):
+    for n in (1, 3):
+        A.ensure_table(spark, "lost_entry", "id BIGINT", "default", f"{tmp_path}/t")
+        A.reload_rows(spark, "lost_entry", spark.range(n), "default")
+    spark.sql("DROP TABLE default.lost_entry")
+    A.ensure_table(spark, "lost_entry", "id BIGINT", "default", f"{tmp_path}/t")
+    assert spark.table("default.lost_entry").count() == 3

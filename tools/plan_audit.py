@@ -22,11 +22,26 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 LOW_CARDINALITY = {"role", "scope", "group", "kind", "action", "resource", "op", "source", "status"}
 
 
+def final_only(plan: str) -> str:
+    """The plan without its "Initial Plan" blocks (lines indented below such a heading)."""
+    out, skip = [], None
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if skip is not None and line.strip() and depth > skip:
+            continue
+        skip = None
+        if "== Initial Plan ==" in line:
+            skip = len(line) - len(line.lstrip(" :+-"))
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     only = set(sys.argv[2].split(",")) if len(sys.argv) > 2 else None
     from tagwarden.session import ensure_test_checkpoint_dir, local_session
-    import __spark_entry__ as E
+    from tagwarden.plans.queries import QUERIES
 
     scratch = tempfile.mkdtemp(prefix="tw-audit-", dir="/tmp")
     extra = {"spark.sql.warehouse.dir": f"{scratch}/wh"}
@@ -37,12 +52,14 @@ def main() -> None:
     spark = local_session(8, extra=extra)
     spark.sparkContext.setLogLevel("OFF")
     ensure_test_checkpoint_dir(spark)
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if only and name not in only:
             continue
-        df = fn(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        qe = fn(spark, sf_dir)._jdf.queryExecution()
+        qe.toRdd().count()  # runs this very execution, so its adaptive plan becomes final
+        plan = qe.executedPlan().toString()
+        assert "isFinalPlan=false" not in plan, name
+        plan = final_only(plan)
         keys = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)
         keys = [re.sub(r"#\d+L?", "", k) for k in keys]
         low = [k for k in keys if set(x.strip() for x in k.split(",")) <= LOW_CARDINALITY]
