@@ -187,14 +187,14 @@ def violations(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_r
     """
     inside = entities.where(under_root("path", root)).select("entity_id")
     bad = resolve_role(classify(inside, tags, tag_map, trim_tags), scope_role).where(F.col("status") != STATUS_VALID)
-    every = _clean_tags(tags, trim_tags).join(bad.select(F.col("entity_id")), "entity_id", "left_semi") \
-        .groupBy("entity_id").agg(F.collect_set("tag").alias("tags"))
-    bad = bad.join(every, "entity_id", "left")
+    every = _clean_tags(tags, trim_tags)
+    bad = bad.select("entity_id", "status", "scope", "matched_tags").join(every, "entity_id", "left") \
+        .groupBy("entity_id").agg(*[F.first(c).alias(c) for c in ("status", "scope", "matched_tags")],
+                                  F.collect_set("tag").alias("tags"))
     expected = tag_map.where(F.col("tag").isNotNull()).agg(
         py_list_repr(F.collect_set("tag")).alias("expected")).scalar()
     bad = bad.select("entity_id", "status", "scope", py_list_repr("matched_tags").alias("matched"),
-                     py_list_repr(F.coalesce("tags", F.array().cast("array<string>"))).alias("actual"),
-                     expected.alias("expected"))
+                     py_list_repr("tags").alias("actual"), expected.alias("expected"))
     message = (
         F.when(F.col("status") == STATUS_CONFLICT, F.format_string(MSG_CONFLICT, F.col("entity_id"), F.col("matched")))
         .when(F.col("status") == STATUS_MISSING,

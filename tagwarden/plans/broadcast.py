@@ -28,8 +28,15 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def literal_lookup(spark: SparkSession, rows, schema: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """A literal table (size known up front), hinted for broadcast within the bound."""
-    return broadcast_if_small(spark.createDataFrame(list(rows), schema), max_bytes)
+    """A literal table, hinted for broadcast when its values (counted here) are within the bound.
+
+    The planner has no size for rows that come from Python, so the hint is set at the source; it holds
+    through later projections and filters.
+    """
+    rows = list(rows)
+    df = spark.createDataFrame(rows, schema)
+    size = sum(16 + len(str(v)) for row in rows for v in (row if isinstance(row, (tuple, list)) else (row,)))
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:

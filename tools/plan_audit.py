@@ -27,7 +27,7 @@ def final_only(plan: str) -> str:
     out, skip = [], None
     for line in plan.split("\n"):
         depth = len(line) - len(line.lstrip(" :+-*"))
-        if skip is not None and line.strip() and depth > skip:
+        if skip is not None and line.strip() and depth >= skip:
             continue
         skip = None
         if "== Initial Plan ==" in line:
