@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagwarden.llm.common import nested, written
+from tagwarden.llm.common import nested, shared_folder, table, written
 
 ALPHA, DELTA, COST = 0.025, 0.05, 2.0
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
@@ -154,7 +154,7 @@ def calibrate(feats: DataFrame, labels: DataFrame, stratum: str, id_col: str = "
     Shuffles the labelled ids and rule values once; from there on only one row per stratum,
     rule and cutoff step moves.
     """
-    spark = feats.sparkSession
+    shared_folder(feats.sparkSession)
     lab = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
            .groupBy("doc_id").agg(F.min("quality").alias("_q")))
     held = feats.where(~F.col("base_failed")).join(lab, F.col(id_col) == F.col("doc_id") if id_col != "doc_id"
@@ -223,8 +223,6 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract columns of every document; the row struct is cut to its id, so no text is written."""
-    from tagwarden.llm.common import table
-
     docs = table(spark, sf_dir, "documents")
     feats = written(features(docs.select("doc_id", "lang", "text")), "quality-features")
     cut = calibrate(feats, table(spark, sf_dir, "labels"), "lang")
@@ -234,8 +232,6 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents the rules keep, with their columns unchanged."""
-    from tagwarden.llm.common import table
-
     return judge(docs, table(spark, sf_dir, "labels")).where("kept").select("row.*")
 
 

@@ -152,9 +152,9 @@ class Groups:
             self.up[i] = j
 
 
-def _shard_links(own: np.ndarray, fps: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Star links ``(vertex, group's first vertex)`` of one tree. ``own``/``fps``: its members;
-    ``guests``: fingerprints of the same shard that live in its other trees (vertices are fingerprints)."""
+def _shard_links(own: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Star links ``(fingerprint, its group's first)`` of one tree. ``own``: its members; ``guests``:
+    fingerprints of the same shard that live in its other trees."""
     if own.size + guests.size < 2:
         return
     tree, groups = BKTree(), Groups(own.size)
@@ -200,6 +200,7 @@ def _signed(x: int) -> int:
 def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints (column ``fp``) that connect exactly those
     reachable by steps of at most ``radius`` differing bits."""
+    shared_folder(distinct.sparkSession)
     masks = _block_masks(radius)
     keyed = distinct.select("fp", F.posexplode(F.array(*[
         F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "bits"))
@@ -242,10 +243,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODE
             out = []
             for k in np.flatnonzero(ends[:done] - cut[:done] > 1):
                 lo, hi = cut[k], ends[k]
-                fps, guest = rows[4, lo:hi].view(np.uint64) if rows.flags.c_contiguous else rows[4, lo:hi].copy().view(
-                    np.uint64), rows[3, lo:hi]
-                g = int(np.searchsorted(guest, 1))
-                out += _shard_links(fps[:g], fps[:g], fps[g:], radius)
+                fps = np.ascontiguousarray(rows[4, lo:hi]).view(np.uint64)
+                g = int(np.searchsorted(rows[3, lo:hi], 1))
+                out += _shard_links(fps[:g], fps[g:], radius)
                 if sum(len(a) for a, _ in out) > 1 << 18:
                     yield from emit(out)
                     out = []
@@ -301,6 +301,7 @@ def near_duplicates(fps: DataFrame, id_col: str, radius: int = RADIUS) -> DataFr
 
     ``component_id`` is the smallest id of all rows whose fingerprints are connected.
     """
+    shared_folder(fps.sparkSession)
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("low")).checkpoint()
     comp = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(comp, distinct["fp"] == comp["v"], "left") \
