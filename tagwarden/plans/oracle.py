@@ -476,6 +476,14 @@ FROM services s LEFT JOIN picked p ON s.service = p.service"""
 # ------------------------------------------------------------------ family A
 ORACLE["reload_twice"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 ORACLE["ordered_read"] = "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey"
+ORACLE["preview_20"] = "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 20"
+ORACLE["literal_weights"] = """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 END AS weight
+FROM orders"""
+ORACLE["first_usable"] = """
+SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN nullif(lang, '') END,
+                        CASE WHEN doc_id % 5 <> 0 THEN nullif(source, '') END, 'none') AS value
+FROM documents"""
 ORACLE["table_count"] = "SELECT count(*) AS cnt FROM customer"
 ORACLE["table_smoke"] = """
 SELECT * FROM (VALUES ('create', true, CAST(NULL AS BIGINT))) t(step, ok, rows)

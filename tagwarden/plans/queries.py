@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwarden.functions.tags import label_from_tag, normalize_scopes, normalize_tags, scope_role_name, tag_from_source
-from tagwarden.functions.text import explode_rows
+from tagwarden.functions.text import explode_rows, first_non_empty
 from tagwarden.operators import classify as B
 from tagwarden.operators import grants as C
 from tagwarden.operators import members as D
@@ -315,6 +315,29 @@ def ordered_read(spark, sf_dir):
     return A.ordered_select(spark, name, ["o_orderkey", "o_orderpriority"], ["o_orderkey"], schema_name="default")
 
 
+@query("preview_20")
+def preview_20(spark, sf_dir):
+    name = _load_copy(spark, sf_dir, "orders")
+    return A.preview(A.ordered_select(spark, name, ["o_orderkey", "o_orderpriority"], ["o_orderkey"], "default"), 20)
+
+
+@query("literal_weights")
+def literal_weights(spark, sf_dir):
+    """Typed literal rows (A5) met by every order."""
+    w = A.literal_rows(spark, fx.PRIORITY_WEIGHTS, "o_orderpriority string, weight int")
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return o.join(F.broadcast(w), "o_orderpriority", "left").select("o_orderkey", "weight")
+
+
+@query("first_usable")
+def first_usable(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    k = F.col("doc_id")
+    first = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.col("lang"))
+    second = F.when(k % 5 != 0, F.col("source")).otherwise(F.lit(""))
+    return d.select("doc_id", first_non_empty(first, second, F.lit("none")).alias("value"))
+
+
 @query("table_count")
 def table_count(spark, sf_dir):
     name = _load_copy(spark, sf_dir, "customer")

@@ -247,6 +247,7 @@ def segment_roles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 SEGMENT_PROFILE = (("AUTOMOBILE", "normal"), ("BUILDING", "us_user"), ("FURNITURE", "nonus_priv"),
                    ("HOUSEHOLD", "us_priv"), ("MACHINERY", "admin_observer"))
+PRIORITY_WEIGHTS = (("1-URGENT", 5), ("2-HIGH", 4), ("3-MEDIUM", 3), ("4-NOT SPECIFIED", None))
 GROUP_ROLES = (("1-URGENT", "Viewer"), ("2-HIGH", "Viewer"), ("3-MEDIUM", "AF_RERUN_ALL_NO_TRIGGER"))
 
 
