@@ -19,7 +19,8 @@ checkpoint each round; nothing is collected.
 
 Nulls and odd inputs: a null text has no words; texts without words share fingerprint zero and
 link like any other; a null doc_id is kept with its fingerprint's component (ids that are not
-null decide the smallest id); repeated rows stay repeated.
+null decide the smallest id); repeated rows stay repeated. The pipeline stage keeps one row of every
+component, also where ids are null or different texts share an id.
 """
 
 from __future__ import annotations
@@ -297,9 +298,10 @@ def _shortcut(low: DataFrame) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint of ``fps (id_col, fp)``.
+    """``(fp, root, component_id)`` for every distinct fingerprint of ``fps (id_col, fp)``.
 
-    ``component_id`` is the smallest id of all rows whose fingerprints are connected.
+    ``root`` is the component's smallest fingerprint, ``component_id`` the smallest id of all rows whose
+    fingerprints are connected (null if they have none).
     """
     shared_folder(fps.sparkSession)
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("low")).checkpoint()
@@ -308,7 +310,7 @@ def near_duplicates(fps: DataFrame, id_col: str, radius: int = RADIUS) -> DataFr
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     # every vertex's smallest id, gathered per component by a partial aggregate and sent back to its members
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -326,14 +328,19 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every near-duplicate component the document with the smallest id stays.
 
     Only ids and fingerprints are shuffled for the search; the texts are shuffled once, for the
-    join with the surviving ids. Of rows that repeat the surviving id, all are copies: one stays.
+    join with the surviving ids. Where ids repeat (or several are null) an id does not name one
+    document: then the survivor of a component is its row with the smallest (id, fingerprint, text
+    hash), nulls last, and a component never loses its only document to another one of the same id.
     """
     shared_folder(spark)
     fps = fingerprints(docs.select("doc_id", "text")).checkpoint()
-    keep = near_duplicates(fps, "doc_id").select(F.col("component_id").alias("_id")).distinct()
-    d = nested(docs, "text", _id="doc_id").drop("text")
-    kept = d.join(keep, d["_id"].eqNullSafe(keep["_id"]), "left_semi")
-    repeated = fps.groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.groupBy("_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-    return kept.select("row.*")
+    comp = near_duplicates(fps, "doc_id")
+    d = nested(docs, "text", _id="doc_id")
+    if fps.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keep = comp.select(F.col("component_id").alias("_keep")).distinct()
+        return d.drop("text").join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").select("row.*")
+    first = (fps.join(comp, "fp").groupBy("root")
+             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
+             .select(F.col("s.doc_id").alias("_keep"), F.col("s.fp").alias("_fp")))
+    kept = fingerprints(d).join(first, (F.col("fp") == F.col("_fp")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return kept.groupBy("fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")

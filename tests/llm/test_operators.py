@@ -381,6 +381,24 @@ def test_long_chain(spark):
     assert got == {**{i: 0 for i in range(301)}, 500: 500, 501: 500}
 
 
+def test_one_row_of_every_component_stays(spark, sf_dir):
+    rng = random.Random(18)
+    a, b, c, d = (fx.sentence(rng, k, 50) for k in ("en", "de", "en", "de"))
+    rows = [(None, a), (None, b), (5, a), (7, c), (7, d), (7, c), (9, c), (None, d + " x"), (None, None), (2, "")]
+    values = [_plain_fp(t) for _, t in rows]
+    want = collections.defaultdict(list)
+    for (i, t), v, k in zip(rows, values, _components(values, 3)):
+        want[k].append((i is None, i or 0, v - (1 << 64) if v >= 1 << 63 else v, t))
+    least = [min(g, key=lambda x: x[:3]) for g in want.values()]
+    for part in (rows, [r for r in rows if r[0] != 7][1:3] + [(7, c)]):
+        docs = spark.createDataFrame([(i, t, "k") for i, t in part], "doc_id long, text string, root string")
+        got = [(r.doc_id, r.text) for r in simhash_bk.keep_one(spark, docs, sf_dir).collect()]
+        if part is rows:
+            assert sorted(got, key=repr) == sorted([(None if n else i, t) for n, i, _, t in least], key=repr)
+        else:
+            assert sorted(got, key=repr) == sorted(part, key=repr)
+
+
 def test_bk_tree_search_is_exact():
     rng = random.Random(15)
     values = [rng.getrandbits(16) for _ in range(300)]
