@@ -7,9 +7,10 @@ buckets follow each other to one random order of all records; shard s of S is th
 s-th of S stretches of it, whose row counts differ by at most one (the law ``rows``). The
 shards are written as Parquet, records whole.
 
-A bucket holds distinct contents whose hashes agree, so ids or texts that hold a third of all
-rows spread; rows that repeat both id and text share a bucket and are told apart by their order
-in it. Nulls and odd inputs: a null text counts as 0 bytes and CRC 0, a null id is hashed like a
+A bucket holds contents whose hashes agree, so ids or texts that hold a third of all rows
+spread. Rows that repeat both id and text share a bucket, unless they alone would make one of over
+``HEAVY`` times its size: then equal rows are counted, numbered and scattered by their numbers
+too. Nulls and odd inputs: a null text counts as 0 bytes and CRC 0, a null id is hashed like a
 value; an empty table writes an empty folder.
 """
 
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagwarden.llm.common import new_folder, table
+from tagwarden.llm.common import new_folder, table, written
 
 SHARDS, SEED, BUCKET_BYTES, MAX_BUCKETS = 16, 20_240_601, 1 << 20, 1 << 20
 PARTITION_BYTES = 128 << 20
+HEAVY, RUN = 8, 1_000  # bucket sizes that repeated rows may fill; copies that one row of the count becomes at a time
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -38,11 +40,25 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _numbered(d: DataFrame, seed: int) -> DataFrame:
+    """``d (row, _bytes)`` with every copy of an equal row under a ``_key`` of its own.
+
+    Equal rows are counted (with partial counts, so a hot row moves once a task) and written out
+    again in runs of ``RUN`` copies, dealt to all partitions.
+    """
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = d.groupBy("row", "_bytes").agg(F.count("*").alias("n"))
+    c = c.select("row", "_bytes", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RUN))).alias("run"))
+    c = c.repartition(n, F.xxhash64("row", "run"))
+    c = c.select("row", "_bytes", F.explode(F.sequence("run", F.least("n", F.col("run") + RUN) - 1)).alias("copy"))
+    return written(c.select("row", F.xxhash64(F.lit(seed), "row", "copy").alias("_key"), "_bytes"), "numbered")
+
+
 def shuffle_to_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS,
                       seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Writes ``docs`` to ``folder`` as (row, shard, slot), shuffled, and returns the table read back.
 
-    The texts are shuffled once (pass 1). What reaches the driver is one count per bucket, bounded
+    The texts are shuffled once (pass 1), and thrice where rows repeat beyond a bucket. What reaches the driver is one count per bucket, bounded
     by ``MAX_BUCKETS``; beyond that many, buckets get larger.
     """
     spark = docs.sparkSession
@@ -52,7 +68,14 @@ def shuffle_to_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     sizes = d.agg(F.sum("_bytes").alias("b"), F.count("*").alias("n")).first()
     buckets = max(1, min(MAX_BUCKETS, -(-((sizes["b"] or 0) + 64 * sizes["n"]) // bucket_bytes)))
     bucket = F.pmod(F.xxhash64(F.lit("bucket"), "_key"), F.lit(buckets)).cast("int")
-    counts = {r["b"]: r["n"] for r in d.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+    size, most = F.sum(F.col("_bytes") + 64), HEAVY * bucket_bytes
+    found = d.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), size.alias("size")).collect()
+    if any(r["size"] > most and r["n"] > 1 for r in found) and \
+            not d.groupBy("_key").agg(F.count("*").alias("n"), size.alias("size")) \
+                .where((F.col("n") > 1) & (F.col("size") > most)).isEmpty():
+        d = _numbered(d, seed)
+        found = d.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+    counts = {r["b"]: r["n"] for r in found}
     begin = np.concatenate([[0], np.cumsum([counts.get(b, 0) for b in range(buckets)])]).astype(np.int64)
     sent = spark.sparkContext.broadcast(begin)
     total = int(begin[-1])

@@ -428,6 +428,19 @@ def test_shuffle_is_a_permutation_and_repeats(spark, tmp_path):
     assert sorted((r.shard, r.slot, repr(r.row)) for r in rows) == sorted((r.shard, r.slot, repr(r.row)) for r in b.collect())
 
 
+def test_repeated_rows_spread(spark, tmp_path):
+    rows = [(1, "same text", "x")] * 3000 + [(1, "same text", "y")] * 1500 + [(None, None, None)] * 1500 + \
+        [(i, f"text {i}", "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(4)
+    out = external_shuffle.shuffle_to_shards(docs, f"{tmp_path}/a", shards=3, bucket_bytes=2000).collect()
+    assert collections.Counter(tuple(r.row) for r in out) == collections.Counter(rows)
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(3) for k in range(3000)]
+    hot = collections.Counter(r.shard for r in out if r.row.text == "same text")
+    assert min(hot.values()) > 1300  # of 4500 in three shards
+    again = external_shuffle.shuffle_to_shards(docs.repartition(7), f"{tmp_path}/b", shards=3, bucket_bytes=2000).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+
+
 def test_fisher_yates_is_uniform():
     rng = np.random.default_rng(16)
     seen = collections.Counter(tuple(external_shuffle.fisher_yates(3, rng)) for _ in range(6000))
