@@ -238,10 +238,13 @@ def keep_known(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drops documents without a recognisable language (``und``, or no language
     with a score of ``MIN_SCORE``); the rest keep their columns.
 
-    The model is learned from the stage's own input by the rule of ``op2_language_mixture``.
+    The model is learned from the stage's own input by the rule of ``op2_language_mixture``; where
+    nothing could be learned, only documents without a letter go.
     """
-    d = nested(docs, "text")
-    return predict(d, _trained(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)) \
+    d, model = nested(docs, "text"), _trained(docs)
+    if not model[0]:
+        return d.where(F.col("text").rlike(r"\p{L}")).select("row.*")
+    return predict(d, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)) \
         .select("row.*")
 
 

@@ -107,6 +107,12 @@ def test_language_mixture(spark):
     assert got[4].lang_pred in ("de", "en") and 0 <= got[4].score <= 1
 
 
+def test_language_stage_without_labels_keeps_what_has_letters(spark, sf_dir):
+    docs = fx.documents(spark, ["good words here", "été", "", None, "12 34", "日本"], langs=[None] * 6)
+    got = [r.text for r in language_id.keep_known(spark, docs, sf_dir).collect()]
+    assert sorted(got) == sorted(["good words here", "été", "日本", "日本"])
+
+
 def test_em_raises_the_likelihood_and_finds_the_shares():
     rng = np.random.default_rng(5)
     p = rng.dirichlet(np.ones(200) * 0.1, 3).T + 1e-6
