@@ -96,6 +96,8 @@ _TOKEN = re.compile(r"[(\[{](?:at|dot|\.)[)\]}]|[^\W\d_]+|[0-9]+|\S")
 _AT = frozenset({"@", "(at)", "[at]", "{at}", "at"})
 _DOT = frozenset({".", "(dot)", "[dot]", "{dot}", "dot", "[.]", "(.)", "{.}"})
 _SEPARATOR = frozenset({"-", ".", "(", ")", "/", "+", "[.]", "(.)", "{.}"})
+_GAP = re.compile(r"(?:\s?(?:[(\[{]\.[)\]}]|[-.()/]))*\s*")  # what may stand between two digits of one segment
+LEAST_DIGITS = 4  # an ip has four
 # context words (fixed values)
 CONTEXT = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "ip": "ip",
            "host": "ip", "server": "ip", "card": "card", "visa": "card", "credit": "card", "email": "email",
@@ -105,8 +107,8 @@ CONTEXT = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone",
 def regions(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Stretches of text around the triggers that no span in ``covered`` holds.
 
-    A region reaches ``MAX_CHARS`` beyond its triggers, to a token border, and is dropped when it
-    has too little for any entity (an at-mark, or seven digits outside the covered spans).
+    A region reaches ``MAX_CHARS`` beyond its triggers, to a token border, and is dropped when it has
+    no candidate segment (no at-mark, and under ``LEAST_DIGITS`` digits outside the covered spans).
     """
     out: list[list[int]] = []
     covered = sorted(covered)
@@ -116,14 +118,14 @@ def regions(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
             k += 1
         if k < len(covered) and covered[k][0] <= m.start() and m.end() <= covered[k][1]:
             continue
-        size = m.end() - m.start() if m.group()[0].isdigit() or m.group()[0] == "@" else 7
-        size += 7 * ("@" in m.group())
-        if out and m.start() - out[-1][1] <= 8:
+        size = m.end() - m.start() if m.group().isdigit() else LEAST_DIGITS
+        gap = m.start() - out[-1][1] if out else MAX_CHARS
+        if gap <= 8 or (gap < MAX_CHARS and _GAP.fullmatch(text, out[-1][1], m.start())):
             out[-1][1] = m.end()
             out[-1][2] += size
         else:
             out.append([m.start(), m.end(), size])
-    return [(max(0, a - MAX_CHARS), min(len(text), b + MAX_CHARS)) for a, b, n in out if n >= 7]
+    return [(max(0, a - MAX_CHARS), min(len(text), b + MAX_CHARS)) for a, b, n in out if n >= LEAST_DIGITS]
 
 
 class Region:
@@ -175,7 +177,7 @@ class Region:
                     digits += len(t)
                     if digits > 19:
                         break
-                    if digits >= 4:
+                    if digits >= LEAST_DIGITS:
                         yield i, j + 1
                 elif t not in _SEPARATOR or (t == "+" and j > i) or \
                         (j > i and self.spans[j][0] - self.spans[j - 1][1] > 1):

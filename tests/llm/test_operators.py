@@ -326,6 +326,31 @@ def test_added_spans(spark, sf_dir):
         assert not any(k == "email" for k, _, _ in pii_semicrf.base_spans(r.redacted or ""))
 
 
+def test_short_defanged_addresses_are_found(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    w = pii_semicrf.learn(docs)
+    far = "no other number stands anywhere near this address in the whole text"
+    for ip in ("8[.]8[.]8[.]8", "10[.]0[.]0[.]1", "1(.)2(.)3(.)4", "192[.]168[.]1[.]10"):
+        text = f"{far} {ip} {far}"
+        assert [(k, text[a:b]) for k, a, b in pii_semicrf.find(text, w)[1]] == [("ip", ip)]
+    for clean in ("it was in 1999 that we met", "room 4021 is free", "take version 1.2.3 of it"):
+        assert pii_semicrf.find(clean, w)[1] == []
+
+
+def test_a_region_is_dropped_only_without_a_candidate():
+    rng = random.Random(12)
+    parts = ["1", "42", "[.]", "(.)", ".", "-", "/", "(", " ", "  ", "word ", "@", "2024", "é"]
+    for _ in range(500):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        whole = pii_semicrf.Region(t, 0, len(t), [])
+        want = {(whole.spans[i][0], whole.spans[j - 1][1]) for (i, j), num in zip(whole.segments, whole.numeric) if num}
+        got = set()
+        for lo, hi in pii_semicrf.regions(t, []):
+            r = pii_semicrf.Region(t, lo, hi, [])
+            got |= {(r.spans[i][0], r.spans[j - 1][1]) for (i, j), num in zip(r.segments, r.numeric) if num}
+        assert want <= got, t
+
+
 # ---------------------------------------------------------------- 9
 def _plain_fp(text):
     import xxhash
