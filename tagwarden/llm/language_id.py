@@ -175,9 +175,16 @@ def infer(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return full, posterior
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def explained(p: np.ndarray, n: np.ndarray, w: np.ndarray) -> float:
+    """The share of grams ``n`` that the mixture ``w`` accounts for beside a source to which all cells are alike."""
+    two = np.stack([p @ w, np.full(len(p), 1.0 / BUCKETS)], axis=1)
+    return float(em(two, n, np.full(2, 0.5))[0][0])
+
+
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", total: bool = False) -> DataFrame:
     """The columns of ``df`` without ``text`` plus ``lang_pred, score, mixture`` (proportions by language).
 
+    ``total`` adds ``explained``: for a mixture how far its languages explain the text, else the score.
     Narrow: texts go through Arrow batches, memory holds one batch and the model.
     """
     langs, p = model
@@ -190,6 +197,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
         for b in batches:
             texts = b.column(text).to_pylist()
             preds, scores, mixes = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            totals: dict[int, float] = {}
             for lo, hi in _chunks(texts) if names else ():
                 cells, starts, has = grams(texts[lo:hi])
                 for i in range(lo, hi):
@@ -200,6 +208,8 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
                         at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                         n = np.diff(np.append(at, own.size)).astype(np.float64)
                         w, post = infer(table_[own[at]], n)
+                        if total and w.max() < 1:
+                            totals[i] = explained(table_[own[at]], n, w)
                     else:  # single letters only: nothing tells the languages apart
                         w = post = np.full(len(names), 1.0 / len(names))
                     k = int(w.argmax())
@@ -209,12 +219,14 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
             cols = {c: b.column(c) for c in keep}
             cols |= {"lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores, pa.float64()),
                      "mixture": pa.array(mixes, pa.map_(pa.string(), pa.float64()))}
+            if total:
+                cols["explained"] = pa.array([totals.get(i, v) for i, v in enumerate(scores)], pa.float64())
             yield pa.RecordBatch.from_pydict(cols)
 
     full = T.StructType([*df.drop(text).schema.fields, T.StructField("lang_pred", T.StringType()),
                          T.StructField("score", T.DoubleType()),
                          T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))])
-    return df.mapInArrow(run, full)
+    return df.mapInArrow(run, full.add("explained", T.DoubleType()) if total else full)
 
 
 def _fold(col: str = "doc_id"):
@@ -235,8 +247,8 @@ MIN_SCORE = 0.5
 
 
 def keep_known(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops documents without a recognisable language (``und``, or no language
-    with a score of ``MIN_SCORE``); the rest keep their columns.
+    """Pipeline stage: drops documents without a recognisable language (``und``, or neither one language
+    with a score of ``MIN_SCORE`` nor a mixture that explains that share of the text); the rest keep their columns.
 
     The model is learned from the stage's own input by the rule of ``op2_language_mixture``; where
     nothing could be learned, only documents without a letter go.
@@ -244,8 +256,8 @@ def keep_known(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     d, model = nested(docs, "text"), _trained(docs)
     if not model[0]:
         return d.where(F.col("text").rlike(r"\p{L}")).select("row.*")
-    return predict(d, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)) \
-        .select("row.*")
+    known = (F.col("score") >= MIN_SCORE) | (F.col("explained") >= MIN_SCORE)
+    return predict(d, model, total=True).where((F.col("lang_pred") != UNKNOWN) & known).select("row.*")
 
 
-__all__ = ["em", "grams", "infer", "keep_known", "learn", "op2_language_mixture", "predict"]
+__all__ = ["em", "explained", "grams", "infer", "keep_known", "learn", "op2_language_mixture", "predict"]

@@ -113,6 +113,29 @@ def test_language_stage_without_labels_keeps_what_has_letters(spark, sf_dir):
     assert sorted(got) == sorted(["good words here", "été", "日本", "日本"])
 
 
+def test_language_stage_keeps_clean_mixtures(spark, sf_dir, monkeypatch):
+    words = dict(fx.WORDS, fr="le la les des est dans pour avec maison rivière lettre matin gens eau histoire".split())
+    monkeypatch.setattr(fx, "WORDS", words)
+    rng = random.Random(8)
+    say = lambda lg, n: fx.sentence(rng, lg, n)
+    noise = " ".join("".join(rng.choice("qxzjkvwy") for _ in range(6)) for _ in range(200))
+    even = " ".join(say(lg, 100) for lg in words)
+    halves = say("en", 90) + " " + say("de", 80) + " " + say("fr", 40)
+    texts = [say(lg, 60) for lg in words for _ in range(60)] + [even, halves, "42"]
+    langs = [lg for lg in words for _ in range(60)] + [None] * 3
+    docs = fx.documents(spark, texts, langs=langs)
+    got = {r.text for r in language_id.keep_known(spark, docs, sf_dir).collect()}
+    scores = {r.doc_id: r.score for r in language_id.predict(docs.select("doc_id", "text"), language_id._trained(docs)).collect()}
+    assert scores[180] < language_id.MIN_SCORE and scores[181] < language_id.MIN_SCORE  # no language has half of the text
+    assert got == set(texts[:-1])
+    _, p = language_id._trained(docs)
+    share = {}
+    for t in (even, noise):
+        at, n = np.unique(language_id.grams([t])[0], return_counts=True)
+        share[t] = language_id.explained(p[at].astype(float), n.astype(float), np.full(3, 1 / 3))
+    assert share[even] > 0.9 and share[noise] < 0.3
+
+
 def test_em_raises_the_likelihood_and_finds_the_shares():
     rng = np.random.default_rng(5)
     p = rng.dirichlet(np.ones(200) * 0.1, 3).T + 1e-6
