@@ -12,7 +12,8 @@ sample); every text is scored whole. The model sent to the executors is ``CELLS`
 
 Nulls and odd inputs: a null or empty text is scored by the intercepts; a category without labels, or
 with one value only, gets its smoothed rate and (below one half) no positive; labels repeated
-for an id count as positive if any is; a null label is left out of that category's training.
+for an id count as positive if any is; a null label is left out of that category's training; of the
+texts that share an id, the one with the smallest hash is trained with, and all are scored.
 """
 
 from __future__ import annotations
@@ -191,8 +192,11 @@ def learn(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Co
         *[F.max(col.cast("double")).alias(n) for n, (_, col) in zip(names, categories)])
     # a bounded sample of label rows, so the join below broadcasts at most train_docs of them
     pick = lab.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(train_docs)
+    # one text an id, however many rows repeat it: a partial aggregation, so a map task sends one row an id
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-            .join(F.broadcast(pick), "doc_id"))
+            .join(F.broadcast(pick), "doc_id").groupBy("doc_id", *names)
+            .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+            .select("doc_id", F.col("one.text").alias("text"), *names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

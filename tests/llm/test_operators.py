@@ -173,6 +173,22 @@ def test_chain_uses_earlier_categories_out_of_fold():
     assert abs(toxicity_chain.train_chain(docs, z, folds)[1][0, 0] - oof[0, 0]) < 1e-6
 
 
+def test_a_repeated_id_is_collected_once(spark, monkeypatch):
+    texts = [f"good text number {i}" for i in range(30)] + [f"bad text copy {i % 3}" for i in range(300)] + [None, "x"]
+    docs = fx.documents(spark, texts, ids=[*range(30), *[30] * 300, 30, None])
+    labels = spark.createDataFrame([(i, 1, int(i == 30)) for i in range(31)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity_chain, "train_chain", lambda d, y, f: seen.append((d, y)) or (None, None))
+    for n in (31, 8):
+        toxicity_chain.learn(docs, labels, [("toxic", toxicity_chain.F.col("toxic"))], train_docs=n)
+        got, y = seen.pop()
+        assert len(got) == len(y) == n
+    toxicity_chain.learn(docs.repartition(7), labels, [("toxic", toxicity_chain.F.col("toxic"))])
+    first = seen.pop()[0]
+    toxicity_chain.learn(docs.repartition(3), labels, [("toxic", toxicity_chain.F.col("toxic"))])
+    assert [sorted(d) for d in first] == [sorted(d) for d in seen.pop()[0]]  # the same text each time
+
+
 def test_toxic_documents_are_found(spark, sf_dir):
     toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()}
     clean = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 0").collect()} - toxic
