@@ -91,8 +91,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # ---------------------------------------------------------------- regions and candidate segments
-_TRIGGER = re.compile(r"[0-9@]+|[(\[{]at[)\]}]|(?<=\s)at (?=[a-z0-9-]{1,30} dot )")
-_TOKEN = re.compile(r"[(\[{](?:at|dot|\.)[)\]}]|[^\W\d_]+|[0-9]+|\S")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[{](?i:at)[)\]}]|(?<=\s)(?i:at) (?=[A-Za-z0-9-]{1,30}(?i: dot ))")
+_TOKEN = re.compile(r"[(\[{](?:(?i:at|dot)|\.)[)\]}]|[^\W\d_]+|[0-9]+|\S")
 _AT = frozenset({"@", "(at)", "[at]", "{at}", "at"})
 _DOT = frozenset({".", "(dot)", "[dot]", "{dot}", "dot", "[.]", "(.)", "{.}"})
 _SEPARATOR = frozenset({"-", ".", "(", ")", "/", "+", "[.]", "(.)", "{.}"})
@@ -142,6 +142,7 @@ class Region:
         self.spans = spans
         self.n = len(spans)
         self.tok = [text[a:b] for a, b in spans]
+        self.low = [t.lower() for t in self.tok]
         near = [(a, b) for a, b in blocked if a < hi and b > lo]
         self.free = [not any(a < e and b > s for a, b in near) for s, e in spans]
         self.segments: list[tuple[int, int]] = []  # token ranges
@@ -184,9 +185,9 @@ class Region:
                     break
 
     def _email_ranges(self) -> Iterator[tuple[int, int, int]]:
-        tok = self.tok
+        tok, low = self.tok, self.low
         for k in range(1, self.n - 1):
-            if tok[k] not in _AT or not self.free[k]:
+            if low[k] not in _AT or not self.free[k]:
                 continue
             worded = tok[k] != "@"
             starts = []
@@ -199,15 +200,17 @@ class Region:
             ends, label, dotted = [], True, False
             for j in range(k + 1, min(self.n, k + 1 + MAX_TOKENS // 2)):
                 t = tok[j]
-                if not self.free[j] or (not worded and t not in _DOT and j > k + 1 and not self._glued(j)):
+                if not self.free[j] or (not worded and low[j] not in _DOT and j > k + 1 and not self._glued(j)):
                     break
+                if worded and t == "." and not (self._glued(j) and j + 1 < self.n and self._glued(j + 1)):
+                    break  # the end of a sentence
                 if label:
                     if not t[0].isalnum():
                         break
                     label = False
                     if dotted:  # a domain has two labels at least
                         ends.append(j + 1)
-                elif t in _DOT or t == "-":
+                elif low[j] in _DOT or t == "-":
                     label, dotted = True, dotted or t != "-"
                 elif self._glued(j) and t[0].isalnum():
                     if dotted:
@@ -248,15 +251,15 @@ class Region:
                 float(more_left), float(more_right), *[0.0] * 7]
 
     def _email_features(self, i: int, k: int, j: int) -> list[float]:
-        tok = self.tok
-        domain = tok[k + 1:j]
+        tok, low = self.tok, self.low
+        domain = low[k + 1:j]
         dots = [t for t in domain if t in _DOT]
         glued_left = i > 0 and self._glued(i) and (self.tok[i - 1][0].isalnum() or self.tok[i - 1] in "._%+-")
-        more = j + 1 < self.n and tok[j] in _DOT and tok[j + 1][0].isalnum() and (
+        more = j + 1 < self.n and low[j] in _DOT and tok[j + 1][0].isalnum() and (
             tok[j] != "." or (self._glued(j) and self._glued(j + 1)))
-        return [*self._borders(i, j), *[0.0] * 23, float(tok[k] == "@"), float(tok[k] == "at"), float(bool(dots)),
+        return [*self._borders(i, j), *[0.0] * 23, float(tok[k] == "@"), float(low[k] == "at"), float(bool(dots)),
                 float(len(domain[-1]) >= 2 and domain[-1].isalpha()), float(glued_left), float(more),
-                float(tok[k] != "@" and tok[k] != "at")]
+                float(tok[k] != "@" and low[k] != "at")]
 
 
 WIDTH = 9 + 23 + 7

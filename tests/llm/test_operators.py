@@ -376,6 +376,16 @@ def test_short_defanged_addresses_are_found(spark, sf_dir):
         assert pii_semicrf.find(clean, w)[1] == []
 
 
+def test_worded_mail_in_any_case(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    w = pii_semicrf.learn(docs)
+    for mail in ("jo [AT] mail.com", "jo(AT)mail(DOT)com", "jo AT mail DOT com", "jo at Mail dot com", "jo [at] mail.com"):
+        text = f"please ask {mail} about it"
+        assert [(k, text[a:b]) for k, a, b in pii_semicrf.find(text, w)[1]] == [("email", mail)]
+    for clean in ("we met at noon. Then in 2004 it rained", "look at example.com for more", "AT NOON THE DOT WAS SEEN"):
+        assert pii_semicrf.find(clean, w)[1] == []
+
+
 def test_a_region_is_dropped_only_without_a_candidate():
     rng = random.Random(12)
     parts = ["1", "42", "[.]", "(.)", ".", "-", "/", "(", " ", "  ", "word ", "@", "2024", "é"]
