@@ -32,6 +32,19 @@ def documents(spark, texts, extra=True, ids=None, langs=None):
     return spark.createDataFrame(rows, schema)
 
 
+def odd_vectors():
+    """(vec_id, embedding, label, and two columns with clashing names): nulls, bad components, ties, repeats, short vectors."""
+    rng = random.Random(11)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], rng.randrange(3)) for i in range(400)]
+    rows += [(500 + i, [0.5, 0.25, 0.0, 0.0, 0.0, 0.0], i % 3) for i in range(60)]  # ties
+    rows += [(600, [0.5, 0.25, 0.1, 0.0, 0.0, 0.0], 1)] * 3 + [(None, None, None)]
+    rows += [(None, [0.9, 0.7, 0.3, 0.2, -0.1, 0.4], i % 3) for i in range(9)]
+    rows += [(700, [0.9], 2), (701, [], 2), (800, [1e30, -1e30, 0.0, 0.0, 0.0, 0.0], 0), (900, [0.0] * 6, 1)]
+    rows += [(1000, [float("nan")] * 6, 1), (1100, [0.1, float("inf"), 0.1, 0.1, 0.1, 0.1], 1), (1200, [0.1, None, 0.1, 0.1, 0.1, 0.1], 1),
+             (1300, [0.1] * 6, None), (-100, [0.3] * 6, 2), (1400, None, 0)]
+    return [(*r, 1, "a") for r in rows]
+
+
 def save(df, folder, name):
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     return str(folder)

@@ -30,7 +30,8 @@ def odd(spark, tmp_path_factory):
     pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(
         ["http://x/é ", None, "", "u", "u", "u", "u"], html))] + [(None, "n", "<p>a</p>"), (6, "u", "<p>a</p>")],
         "page_id long, url string, html string")
-    for name, df in (("documents", docs), ("labels", labels), ("pages", pages)):
+    embeddings = spark.createDataFrame(fx.odd_vectors(), "vec_id long, embedding array<float>, label int, rank int, anchor string")
+    for name, df in (("documents", docs), ("labels", labels), ("pages", pages), ("embeddings", embeddings)):
         fx.save(df, full, name)
         fx.save(df.limit(0), empty, name)
     return str(full), str(empty)
@@ -42,7 +43,8 @@ def test_odd_and_empty_tables(spark, odd, name):
     rows = QUERIES[name](spark, full).collect()
     table = "pages" if name.startswith("op7") else "documents"
     n = spark.read.parquet(f"{full}/{table}.parquet").count()
-    assert len(rows) >= n if name.startswith("op1_") else len(rows) == n
+    if name != "op11_bond_scan":  # mined pairs, not a row a document
+        assert len(rows) >= n if name.startswith("op1_") else len(rows) == n
     assert QUERIES[name](spark, empty).collect() == []
 
 
