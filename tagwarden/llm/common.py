@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwarden.session import checkpoint_dir
@@ -51,6 +51,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smallest_hashes(rows: DataFrame, group: str, by: list[str], k: int, seed: str) -> DataFrame:
+    """At most ``k`` rows of every value of ``group``: of its rows that differ in ``by``, those with the smallest 63-bit hash of
+    them. Rows equal in ``by`` count once, so a hot id or text adds one row. Written, with the columns of ``rows``.
+
+    A share of the hash range that should hold ``4 * k`` different rows is read first, so a task sends a few rows only; where
+    a group got fewer than ``k`` (its size was misjudged), its share grows until it has them or is the whole range. The result is the
+    same for any share, and no group that has rows comes out empty.
+    """
+    cols = rows.columns
+    d = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by), 1))
+    place = F.col("_h").cast("double") * F.lit(2.0 ** -63)  # in [0, 1]
+    found = d.groupBy(group).agg(F.approx_count_distinct("_h", 0.02).alias("n")).collect()
+    share = {r[group]: min(1.0, 4 * k / max(1, r["n"])) for r in found}
+    w = Window.partitionBy(group).orderBy("_h")
+    while True:
+        limit = F.lit(0.0)
+        for value, s in share.items():
+            limit = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(s)).otherwise(limit)
+        near = d.where(place <= limit).groupBy(group, "_h").agg(F.min(F.struct(*cols)).alias("row"))
+        out = written(near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select("row.*"), "sample")
+        got = {r[group]: r["n"] for r in out.groupBy(group).agg(F.count("*").alias("n")).collect()}
+        short = [g for g, s in share.items() if s < 1 and got.get(g, 0) < k]
+        if not short:
+            return out
+        share.update({g: min(1.0, 256 * share[g]) for g in short})
+
+
 def ranges(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
     """``df`` plus an int column ``name``: about ``n`` ranges of ``col`` with about equal row counts, numbered upward.
 

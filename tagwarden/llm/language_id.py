@@ -8,13 +8,14 @@ all of them, the lightest language is dropped as long as that does not lower the
 likelihood. The prediction is the heaviest language left; the score is its proportion times
 its posterior against the other languages taken alone.
 
-Training counts come from at most about ``TRAIN_DOCS`` labelled documents a language, drawn by
-a hash of the id (a documented sample; everything else covers all rows). The model is
+Training counts come from the ``TRAIN_DOCS`` labelled documents a language with the smallest hash of id and text
+(a documented sample in which copies count once; everything else covers all rows). The model is
 ``BUCKETS * languages`` floats, whose size is checked before it is sent to the executors.
 
 Nulls and odd inputs: a text that is null or has no letter is ``und`` with score 0, and so is every text when
 nothing could be learned; equal proportions go to the alphabetically first language; a null
-doc_id is never held out nor learned from.
+doc_id is never held out nor learned from; very long texts are read whole; repeated rows are predicted alike and learned
+from once; an empty table gives no rows; input columns that could clash ride in one struct (pipeline) or are not read (query).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagwarden.llm.common import nested, table
+from tagwarden.llm.common import nested, smallest_hashes, table
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 2_000
@@ -112,9 +113,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str],
         raise ValueError(f"more than {most} languages: the model would not fit its broadcast limit")
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.create_map(*[x for r in sizes for x in (
-        F.lit(r["lang"]), F.lit(int(min(1.0, train_docs / r["count"]) * 1_000_000)))])
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    sample = smallest_hashes(rows.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], train_docs, "train")
     counts = (sample.select("text", "lang").mapInArrow(_count, "lang string, cell int, n long")
               .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas())  # at most BUCKETS rows a language
     langs = sorted(counts["lang"].unique())

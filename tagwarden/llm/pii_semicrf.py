@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagwarden.llm.common import nested, table
+from tagwarden.llm.common import nested, smallest_hashes, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_REGIONS = 4_000, 600
@@ -421,15 +421,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS,
           sample_regions: int = SAMPLE_REGIONS) -> np.ndarray | None:
-    """Weights from a bounded sample: documents by a hash of their id, then per kind the
+    """Weights from a bounded sample: the documents with the smallest hash of id and text (copies once), then per kind the
     ``sample_regions / 5`` distinct contexts with the smallest hash. None if no base span was found."""
     from pyspark.sql import Window as W
 
     d = docs.where(F.col(text).isNotNull())
-    total = max(1, d.count())
-    share = min(1.0, sample_docs / total)
-    sample = d.where(F.pmod(F.xxhash64(F.lit("pii"), id_col), F.lit(1_000_000)) < int(share * 1_000_000)) \
-        .select(F.col(text).alias("text"))
+    sample = smallest_hashes(d.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.lit(0).alias("all")), "all",
+                             ["id", "text"], sample_docs, "pii")
+    sample = sample.select("text").repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ctx = sample.mapInArrow(_contexts, "ctx string, kind string, a int, b int, seed long").distinct()
     w = W.partitionBy("kind").orderBy("seed", "ctx", "a", "b")
     rows = ctx.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample_regions // 5).drop("n").collect()
