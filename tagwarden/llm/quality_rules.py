@@ -8,12 +8,14 @@ upper bound lies under the limit. Within a sequence testing stops at the first f
 (fixed-sequence testing needs no further correction); over rules and strata the level is
 divided (Bonferroni). So with probability ``1 - delta`` all certified cutoffs hold at once,
 any of them may be chosen, and a stratum loses at most ``alpha`` of its good texts to all
-rules together. Chosen is the certified cutoff with the best (bad caught - ``cost`` * good
+rules together. A trial is one distinct text of a stratum: copies add nothing to what is proven (a text counts as
+bad where any of its labels says so). Chosen is the certified cutoff with the best (bad caught - ``cost`` * good
 lost); a stratum whose labels prove nothing gets no cutoff.
 
 Nulls and odd inputs: a null text has no words (and so fails the base rule); a null stratum
 is a stratum of its own; a null doc_id is never labelled; labels repeated for a doc_id count
-once, as bad if any of them says so; empty tables give empty results.
+once, as bad if any of them says so; repeated rows and copies are judged alike and tried once; very long texts are read
+whole; empty tables give empty results; input columns that could clash ride in one struct.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tagwarden.llm.common import nested, shared_folder, table, written
+from tagwarden.plans.broadcast import DEFAULT_MAX_BROADCAST_BYTES
 
 ALPHA, DELTA, COST = 0.025, 0.05, 2.0
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
@@ -39,7 +42,6 @@ CUTOFFS = {
 }
 RULES = tuple(CUTOFFS)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MAX_STRATA = 20_000
 
 
 def _nexts(a: str, f) -> Column:
@@ -147,9 +149,10 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
 
 
 def calibrate(feats: DataFrame, labels: DataFrame, stratum: str, id_col: str = "doc_id", alpha: float = ALPHA,
-              delta: float = DELTA, cost: float = COST) -> DataFrame:
+              delta: float = DELTA, cost: float = COST, key: str = "_key") -> DataFrame:
     """``(stratum, rule, cutoff, n_good, good_lost, bad_caught, p_value)``: the chosen cutoff of every
-    stratum and rule that has one. All labelled rows of ``feats`` (id, stratum, rule values) count.
+    stratum and rule that has one. All labelled texts of ``feats`` (id, stratum, ``key``, rule values) count, those of
+    one ``key`` (a hash of the text) once a stratum.
 
     Shuffles the labelled ids and rule values once; from there on only one row per stratum,
     rule and cutoff step moves.
@@ -159,10 +162,11 @@ def calibrate(feats: DataFrame, labels: DataFrame, stratum: str, id_col: str = "
            .groupBy("doc_id").agg(F.min("quality").alias("_q")))
     held = feats.where(~F.col("base_failed")).join(lab, F.col(id_col) == F.col("doc_id") if id_col != "doc_id"
                                                    else "doc_id")
+    held = held.groupBy(F.col(stratum).cast("string").alias("stratum"), key, *RULES).agg(F.min("_q").alias("_q"))
     # step = how many of the rule's cutoffs, counted from the strict end, the value is above
     steps = [F.struct(F.lit(r).alias("rule"), sum(
         (F.col(r) > c).cast("int") for c in CUTOFFS[r]).alias("step")) for r in RULES]
-    hist = (held.select(F.col(stratum).cast("string").alias("stratum"), "_q", F.explode(F.array(*steps)).alias("_r"))
+    hist = (held.select("stratum", "_q", F.explode(F.array(*steps)).alias("_r"))
             .groupBy("stratum", "_r.rule", "_r.step")
             .agg(F.count_if(F.col("_q") == 1).alias("good"), F.count_if(F.col("_q") == 0).alias("bad")).checkpoint())
     strata = hist.agg(F.count_distinct(F.struct("stratum"))).first()[0]
@@ -188,22 +192,22 @@ def calibrate(feats: DataFrame, labels: DataFrame, stratum: str, id_col: str = "
             .select("stratum", "rule", "cutoff", "n_good", "good_lost", "bad_caught", "p_value"))
 
 
-def verdict(feats: DataFrame, cutoffs: DataFrame, stratum: str) -> Column | None:
-    """The method's verdict as a column over ``feats``, with the cutoffs as literals.
+def verdict(feats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
+    """``feats`` with the column ``kept``: passes the base rule and all cutoffs of its stratum.
 
-    The cutoff table has at most five rows a stratum and is read behind a size check.
+    The cutoffs become one row a stratum. That table is broadcast where its size is within the bound (it has a stratum
+    name and at most five numbers a row); beyond it the join is left to a shuffle, split where a stratum is hot.
     """
-    rows = cutoffs.limit(MAX_STRATA * len(RULES) + 1).collect()
-    if len(rows) > MAX_STRATA * len(RULES):
-        raise ValueError(f"more than {MAX_STRATA} strata; take a coarser stratum column")
-    ok = F.lit(True)
-    s = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null"))
+    cut = written(cutoffs.groupBy("stratum").agg(*[
+        F.max(F.when(F.col("rule") == r, F.col("cutoff").cast("double"))).alias(f"_c_{r}") for r in RULES]), "cutoffs")
+    size = cut.agg(F.sum(F.coalesce(F.octet_length("stratum"), F.lit(0)) + 64)).first()[0] or 0
+    cut = cut.withColumnRenamed("stratum", "_cut_stratum")
+    j = feats.join(F.broadcast(cut) if size <= DEFAULT_MAX_BROADCAST_BYTES else cut,
+                   F.col(stratum).cast("string").eqNullSafe(F.col("_cut_stratum")), "left")
+    ok = ~F.col("base_failed")
     for r in RULES:
-        pairs = [x for v in rows if v["rule"] == r
-                 for x in (F.lit("null" if v["stratum"] is None else "=" + v["stratum"]), F.lit(float(v["cutoff"])))]
-        if pairs:
-            ok = ok & F.coalesce(F.col(r) <= F.try_element_at(F.create_map(*pairs), s), F.lit(True))
-    return ok
+        ok = ok & F.coalesce(F.col(r) <= F.col(f"_c_{r}"), F.lit(True))
+    return j.select(*[feats[f"`{c}`"] for c in feats.columns], ok.alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text: str = "text",
@@ -213,21 +217,20 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str
     The rows are written once with their features, so neither the texts are shuffled nor the
     features computed twice.
     """
-    d = nested(docs, text, _id=id_col, _stratum=stratum)
+    d = nested(docs, text, _id=id_col, _stratum=stratum, _key=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     feats = written(features(d), "quality-features")
-    cut = calibrate(feats.select(F.col("_id").alias("doc_id"), "_stratum", "base_failed", *RULES), labels, "_stratum",
+    cut = calibrate(feats.select(F.col("_id").alias("doc_id"), "_stratum", "_key", "base_failed", *RULES), labels, "_stratum",
                     alpha=alpha, delta=delta)
-    return feats.select("row", *BASE, "base_failed",
-                        (~F.col("base_failed") & verdict(feats, cut, "_stratum")).alias("kept"))
+    return verdict(feats, cut, "_stratum").select("row", *BASE, "base_failed", "kept")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract columns of every document; the row struct is cut to its id, so no text is written."""
     docs = table(spark, sf_dir, "documents")
-    feats = written(features(docs.select("doc_id", "lang", "text")), "quality-features")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    feats = written(features(docs.select("doc_id", "lang", "text", key.alias("_key"))), "quality-features")
     cut = calibrate(feats, table(spark, sf_dir, "labels"), "lang")
-    return feats.select("doc_id", *BASE, "base_failed",
-                        (~F.col("base_failed") & verdict(feats, cut, "lang")).alias("kept"))
+    return verdict(feats, cut, "lang").select("doc_id", *BASE, "base_failed", "kept")
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -243,13 +246,13 @@ def oracle() -> str:
     values = {"symbol_ratio": ratio("n_symbols", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
               "repeat_ratio": ratio("n_repeat_words", "n_words"), "mean_word": ratio("word_chars", "n_words"),
               "same_next_ratio": ratio("n_same_next", "n_words")}
-    unpivot = " UNION ALL ".join(f"SELECT stratum, doc_id, q, '{r}' AS rule, {r} AS v FROM held" for r in RULES)
+    unpivot = " UNION ALL ".join(f"SELECT stratum, q, '{r}' AS rule, {r} AS v FROM held" for r in RULES)
     checks = " AND ".join(
         f"f.{r} <= coalesce((SELECT cutoff FROM chosen c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM f.lang), "
         "CAST('inf' AS DOUBLE))" for r in RULES)
     return rf"""
 WITH w AS MATERIALIZED (
-  SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '{space}+') AS w,
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{space}+') AS w,
          CAST(length(regexp_replace(coalesce(text, ''), '{symbols}', '', 'g')) AS BIGINT) AS n_symbols,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{space}')) AS l FROM documents)
 , win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s
@@ -258,7 +261,7 @@ WITH w AS MATERIALIZED (
 , covered AS (SELECT doc_id, CAST(sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS BIGINT) AS n_repeat_words
               FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM starts) GROUP BY doc_id)
 , base AS (
-  SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT w.doc_id, lang, t, CAST(len(w) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
          len(l) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_same_next
@@ -267,7 +270,8 @@ WITH w AS MATERIALIZED (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed,
          {", ".join(f"{v} AS {r}" for r, v in values.items())} FROM base)
 , lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id)
-, held AS MATERIALIZED (SELECT lang AS stratum, f.*, q FROM feats f JOIN lab USING (doc_id) WHERE NOT base_failed)
+, held AS MATERIALIZED (SELECT lang AS stratum, t, {", ".join(f"any_value({r}) AS {r}" for r in RULES)}, min(q) AS q
+  FROM feats f JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY lang, t)
 , cuts(rule, k, cutoff) AS (VALUES {cuts})
 , cell AS MATERIALIZED (
   SELECT stratum, u.rule, k, cutoff, count(*) FILTER (q = 1) AS n_good, count(*) FILTER (q = 1 AND v > cutoff) AS lost,

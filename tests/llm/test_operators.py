@@ -281,9 +281,9 @@ def test_binomial_tail_is_exact(spark):
 
 def test_cutoffs_keep_the_promise_and_need_evidence(spark):
     rng = random.Random(10)
-    rows = [(i, "many" if i < 6000 else "few", False, 0.0 if i % 10 else 0.3, 0.0, 0.0, 5.0, 0.0) for i in range(6100)]
+    rows = [(i, "many" if i < 6000 else "few", False, 0.0 if i % 10 else 0.3, 0.0, 0.0, 5.0, 0.0, i) for i in range(6100)]
     feats = spark.createDataFrame(rows, "doc_id long, s string, base_failed boolean, symbol_ratio double, "
-                                        "dup_line_ratio double, repeat_ratio double, mean_word double, same_next_ratio double")
+                                        "dup_line_ratio double, repeat_ratio double, mean_word double, same_next_ratio double, _key long")
     labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(6100)], "doc_id long, quality int, toxic int")
     cut = quality_rules.calibrate(feats, labels, "s").collect()
     assert [(r.stratum, r.rule, r.cutoff) for r in cut] == [("many", "symbol_ratio", 0.25)]
