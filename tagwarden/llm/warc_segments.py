@@ -9,17 +9,22 @@ writer (gzip), each with a bounded number of records.
 
 Reading: files are parsed by Content-Length; continuation records are grouped by origin id,
 ordered by segment number, their total length verified; the chunked framing is decoded and the
-payload's digest verified. A record that lacks a segment or fails a check comes back with an ``error``.
+payload's digest verified. A record that lacks a segment or fails a check comes back with an ``error``, and so does
+what cannot be read at all: a cut or damaged gzip member (what it held up to there is read), a record cut short, a
+number in a head that is none. Zero bytes after a member are padding.
 
 Nulls and odd inputs: a null html is an empty payload, and empty payloads are equal like others; a
 null url is left out of the record; a row that repeats page_id and html gets a record of its own (a
-revisit of the first); a null page_id is read back as null.
+revisit of the first); a null page_id is read back as null; of ties for the first the row with the smallest url is the
+response; very long payloads are segmented whole; an empty table gives archives without records and no rows; only the
+three named columns are read, so none can clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +35,7 @@ from pyspark.sql import Window as W
 
 from tagwarden.llm.common import new_folder, table
 
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE, MIN_PAYLOAD = 16 << 10, 4 << 10, 2_000, 0
+SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 16 << 10, 4 << 10, 2_000
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that a task that runs again writes the same bytes
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -129,11 +134,21 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES)
 
 
 _PARSED = ("type string, id string, uri string, digest string, refers string, origin string, number int, total long, "
-           "block binary")
+           "block binary, error string")
+
+
+def _number(text: str | None) -> int | None:
+    """A decimal number of a head; ValueError for anything else."""
+    if text is None:
+        return None
+    if not (text.isascii() and text.isdigit() and len(text) < 19):
+        raise ValueError(f"malformed number {text[:40]!r}")
+    return int(text)
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one uncompressed archive."""
+    """The records of one uncompressed archive; ``error`` tells what is wrong with one. After a record whose length
+    cannot be read, the next line that begins a record is looked for."""
     at = 0
     while at < len(data):
         if data[at:at + 5] != b"WARC/":
@@ -142,21 +157,35 @@ def parse(data: bytes) -> Iterator[dict]:
                 return
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
+            yield {"block": b"", "digest": "", "error": "record head cut short"}
             return
         head = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             head[k.strip().lower()] = v.strip().decode("utf-8", "replace")
-        size = int(head.get(b"content-length", "0"))
         get = head.get
-        number = get(b"warc-segment-number")
+        size = number = total = error = None
+        try:
+            size = _number(get(b"content-length", "0"))
+            number, total = _number(get(b"warc-segment-number")), _number(get(b"warc-segment-total-length"))
+            number = None if number is None else min(number, 2 ** 31 - 1)
+        except ValueError as e:
+            error = str(e)
+        if size is None:
+            after = data.find(b"\r\n\r\nWARC/", end)
+            block = b""
+        else:
+            after = end + 4 + size
+            block = data[end + 4:after]
+            if len(block) < size:
+                error = error or "record cut short"
         yield {"type": get(b"warc-type"), "id": get(b"warc-record-id"), "uri": get(b"warc-target-uri"),
                "digest": (get(b"warc-payload-digest") or "").removeprefix("sha1:"), "refers": get(b"warc-refers-to"),
                "origin": get(b"warc-segment-origin-id") or (get(b"warc-record-id") if number else None),
-               "number": int(number) if number else None,
-               "total": int(head[b"warc-segment-total-length"]) if b"warc-segment-total-length" in head else None,
-               "block": data[end + 4:end + 4 + size]}
-        at = end + 4 + size + 4
+               "number": number, "total": total, "block": block, "error": error}
+        if after < 0:
+            return
+        at = after + 4
 
 
 def read_archives(spark, folder: str) -> DataFrame:
@@ -168,15 +197,14 @@ def read_archives(spark, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(folder).select("content")
     schema = pa.schema([("type", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("digest", pa.string()),
                         ("refers", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()),
-                        ("block", pa.binary())])
+                        ("block", pa.binary()), ("error", pa.string())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.column("content"):
-                raw = c.as_py()
-                raw = _gunzip(raw) if raw[:2] == b"\x1f\x8b" else raw
+                raw, broken = _gunzip(c.as_py())
                 held, size = [], 0
-                for r in parse(raw):
+                for r in itertools.chain(parse(raw), [{"block": b"", "digest": "", "error": broken}] if broken else []):
                     held.append(r)
                     size += len(r["block"])
                     if size > 4 << 20:
@@ -186,27 +214,42 @@ def read_archives(spark, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     every = files.mapInArrow(split, _PARSED)
-    tail = F.struct("number", "block", "total", "type", "uri", "digest", "refers")
-    seg = (every.where(F.col("origin").isNotNull()).groupBy(F.col("origin").alias("id"))
+    tail = F.struct("number", "block", "total", "type", "uri", "digest", "refers", "error")
+    segment = F.col("origin").isNotNull() & F.col("error").isNull()  # a bad segment comes back by itself, its record as lacking it
+    seg = (every.where(segment).groupBy(F.col("origin").alias("id"))
            .agg(F.sort_array(F.collect_list(tail)).alias("parts")))
-    one = every.where(F.col("origin").isNull()).select("id", F.array(tail).alias("parts"))
+    one = every.where(~segment).select("id", F.array(tail).alias("parts"))
     return one.unionByName(seg).mapInArrow(_reassemble, "type string, id string, uri string, digest string, "
                                            "refers string, payload binary, error string")
 
 
-def _gunzip(raw: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while raw:
+def _gunzip(raw: bytes) -> tuple[bytes, str | None]:
+    """What all members of a gzip file hold, and what is wrong with the last one read; other files as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw, None
+    out, error, at = [], None, 0
+    view = memoryview(raw)
+    while error is None:
+        while at < len(raw) and raw[at] == 0:  # padding
+            at += 1
+        if at >= len(raw):
+            break
         d = zlib.decompressobj(31)
-        out.append(d.decompress(raw))
-        out.append(d.flush())
-        raw = d.unused_data
-    return b"".join(out)
+        try:
+            while not d.eof and at < len(raw):  # in steps, so that what stands before the damage is kept
+                out.append(d.decompress(view[at:at + (1 << 16)]))
+                at = min(at + (1 << 16), len(raw)) - len(d.unused_data)
+            if not d.eof:
+                error = "gzip member cut short"
+        except zlib.error as e:
+            error = f"gzip member damaged: {e}"
+    return b"".join(out), error
 
 
 def reassembled(parts: list[dict]) -> tuple[bytes, str | None]:
     """``(payload, error)`` of one record from its ordered segments."""
+    if parts[0].get("error"):
+        return b"", parts[0]["error"]
     numbers = [p["number"] for p in parts]
     block = b"".join(p["block"] for p in parts)
     if numbers != [None]:
