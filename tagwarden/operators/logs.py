@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwarden.functions.text import _c
+from tagwarden.sources.files import list_files, register
 
 # Levels the managers write, and the log-line / file-name shapes.
 LEVELS = ("INFO", "WARN", "ERROR", "DEBUG", "DRYRUN")
@@ -65,7 +66,40 @@ def read_logs(spark, path: str) -> DataFrame:
     return parse_log_lines(raw, "value")
 
 
+def write_logs(lines: DataFrame, path: str, order: Sequence[str], modified: str | None = None) -> None:
+    """Rows ``(script, env, log_date, value, ...)`` as the daily files ``<script>-<env>-<date>.log`` under ``path``.
+
+    A file's lines are in the ``order`` of those columns. A daily log is one file, so one task writes it, streaming; a task writes
+    many files. ``modified`` names the column whose last value becomes the file's time.
+    """
+    register(lines.sparkSession)
+    name = F.concat_ws("-", "script", "env", F.concat(F.date_format("log_date", "yyyy-MM-dd"), F.lit(".log")))
+    when = F.lit(None).cast("timestamp_ntz") if modified is None else F.col(modified).cast("timestamp_ntz")
+    out = lines.select(name.alias("name"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "value", when.alias("modified"))
+    (out.repartition("name").sortWithinPartitions("name", *[f"_o{i}" for i in range(len(order))]).select("name", "value", "modified")
+     .write.format("log_files").mode("append").save(path))
+
+
+def file_parts(name) -> list[Column]:
+    """``script, env, log_date`` of a file name (null where it has another shape)."""
+    n = _c(name)
+    part = lambda i: F.nullif(F.regexp_extract(n, FILE_RE, i), F.lit(""))
+    return [part(1).alias("script"), part(2).alias("env"), part(3).try_cast("date").alias("log_date")]
+
+
 # --------------------------------------------------------------------------- E2
+def tail_files(spark, path: str, n: int = TAIL_LINES) -> DataFrame:
+    """The last ``n`` lines of every log file under ``path``, by their place in the file: ``(name, script, env,
+    log_date, rn, value)`` with rn 1 for the last line (E2).
+
+    Each file is read backwards from its end, so the bytes read depend on ``n``, not on its size.
+    """
+    register(spark)
+    name = F.element_at(F.split("file", "/"), -1)
+    t = spark.read.format("file_tail").option("lines", n).load(path).select(name.alias("name"), "rn", "value")
+    return t.select("name", *file_parts("name"), "rn", "value")
+
+
 def tail_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = TAIL_LINES) -> DataFrame:
     """The last ``n`` rows per key by ``order`` (give descending columns), with ``rn``.
 
@@ -90,15 +124,32 @@ def retention(files: DataFrame, mtime_col: str, as_of: str, days: int = RETENTIO
     With ``name_col``/``script``/``env`` only files named ``<script>-<env>-*.log`` are
     considered (the others are filtered out).
     """
-    as_of_c = F.lit(as_of).cast("timestamp_ntz")
+    kind = dict(files.dtypes)[mtime_col]
+    kind = kind if kind.startswith("timestamp") else "timestamp_ntz"  # instants stay instants
+    as_of_c = F.lit(as_of).cast(kind)
     df = files
     if name_col is not None and script is not None and env is not None:
         pat = "^" + re.escape(f"{script}-{env}-") + r".*\.log$"
         df = df.where(F.col(name_col).rlike(pat))
-    a = age_days(F.col(mtime_col).cast("timestamp_ntz"), as_of_c)
+    a = age_days(F.col(mtime_col).cast(kind), as_of_c)
     return df.select("*", a.alias("age_days"), (a > days).alias("expired"))
 
 
+def retention_files(spark, path: str, as_of: str, days: int = RETENTION_DAYS, script: str | None = None,
+                    env: str | None = None) -> DataFrame:
+    """The manager log files under ``path`` with their age: ``(path, name, script, env, log_date, modified, bytes, age_days,
+    expired)`` (E3), from the file listing alone.
+
+    Only files named ``<script>-<env>-*.log`` count when both are given, else those of the daily files' shape. Ages go by modification
+    time, to the instant ``as_of`` (in the session's time zone). ``sources.files.delete_files`` removes what has expired.
+    """
+    f = list_files(spark, path)
+    named = script is not None and env is not None
+    f = f if named else f.where(F.col("name").rlike(FILE_RE))
+    r = retention(f, "modified", as_of, days, *(("name", script, env) if named else ()))
+    return r.select("path", "name", *file_parts("name"), "modified", "bytes", "age_days", "expired")
+
+
 # --------------------------------------------------------------------------- E4
 def run_outcome(df: DataFrame, run_keys: Sequence[str], failed: Column) -> DataFrame:
     """``rc = 1`` for a run with any failed step, else 0 (E4); partial aggregation."""

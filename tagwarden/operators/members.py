@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tagwarden.functions.text import _c, explode_rows
 from tagwarden.operators.diff import side_flags
 from tagwarden.plans.broadcast import broadcast_if_small
+from tagwarden.sources.files import numbered_lines
 
 # Fixed values (role names and the user/role matrix of the test users):
 VIEWER = "Viewer"
@@ -55,15 +56,21 @@ def parse_user_listing(lines: DataFrame, value_col: str = "value", pos_col: str
         .where(F.col("username").isNotNull() & (F.col("username") != ""))
 
 
-def read_listing(spark, path: str) -> DataFrame:
-    """Read listing text files in parallel (splittable) and parse them.
+def read_listing(spark, path: str, folder: str | None = None) -> DataFrame:
+    """Listing text files -> ``(file, pos, username, line)``: every user line with its place in its file.
 
-    The CSV reader, with a separator that cannot occur and no quoting, gives whole lines and skips the
-    first (non-blank) line of every file, wherever the file is split.
+    Line 0 of every file is its header, blank or not. Files are split over many tasks (``numbered_lines``,
+    which keeps its copy in ``folder``). A user may have several lines; ``first_lines`` picks the one that counts.
     """
-    lines = (spark.read.schema("value string").option("header", True).option("sep", "\u0001").option("quote", "")
-             .option("escape", "").option("enforceSchema", True).csv(path))
-    return parse_user_listing(lines, "value")
+    return parse_user_listing(numbered_lines(spark, path, folder), "value", pos_col="pos", keep=["file", "pos"])
+
+
+def first_lines(listing: DataFrame) -> DataFrame:
+    """``(username, line)``: of several lines of one user the first counts, by file, then place.
+
+    A partial aggregate: a user with a third of all lines sends one line a task.
+    """
+    return listing.groupBy("username").agg(F.min_by("line", F.struct("file", "pos")).alias("line"))
 
 
 # --------------------------------------------------------------------------- D2

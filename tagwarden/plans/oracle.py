@@ -493,8 +493,27 @@ UNION ALL SELECT 'query', true, count(*) FROM supplier"""
 
 # after a sync the written state is what was desired, and a second diff is empty
 ORACLE["grant_sync"] = with_(*_desired_ctes(), extra=DESIRED_EXTRA) + "SELECT scope, entity_id, 'state' AS what FROM desired"
-ORACLE["log_files"] = ORACLE["log_parse"].replace("SELECT event_id,\n       CASE WHEN regexp", "SELECT CASE WHEN regexp")
-ORACLE["listing_files"] = ORACLE["user_listing"]
+_services = """'svc-' || CAST(user_id % 20 AS VARCHAR) AS script, CASE WHEN user_id % 2 = 0 THEN 'dev' ELSE 'prod' END AS env,
+         strftime(ts, '%Y-%m-%d') AS log_date"""
+_parsed = ORACLE["log_parse"].replace("  SELECT event_id,\n", f"  SELECT event_id, ts AS seen, {_services},\n")
+ORACLE["log_files"] = _parsed.replace("SELECT event_id,\n       CASE WHEN regexp", "SELECT script, env, log_date, CASE WHEN regexp")
+_file_lines = _parsed[:_parsed.index("\nSELECT event_id")] + """,
+named AS (SELECT *, script || '-' || env || '-' || log_date || '.log' AS name FROM lines)
+"""
+ORACLE["tail_files"] = _file_lines + """
+SELECT name, script, env, log_date, CAST(rn AS INTEGER) AS rn, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY date_trunc('second', seen) DESC, event_id DESC) AS rn FROM named)
+WHERE rn <= 30"""
+ORACLE["retention_files"] = _file_lines + """
+SELECT name, script, env, bytes, age_days, age_days > 90 AS expired FROM (
+  SELECT name, script, env, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes,
+         CAST(floor(date_diff('second', date_trunc('second', max(seen)), TIMESTAMP '2024-04-15 12:00:00') / 86400) AS BIGINT) AS age_days
+  FROM named GROUP BY ALL)"""
+# of a user's two lines the first counts
+ORACLE["listing_files"] = """
+SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username,
+       CASE WHEN user_id % 3 = 0 AND 2 * ((31 * user_id) % 61) + 1 < 2 * user_id THEN 'LATE_' || CAST(user_id % 4 AS VARCHAR)
+            ELSE event_type END AS role FROM events"""
 
 ORACLE["role_names"] = with_("scope_texts") + f"""
 SELECT scope, 'AF_TRIGGER_SCOPE_' || upper(scope) AS role FROM (

@@ -262,23 +262,46 @@ def status_rollup(spark, sf_dir):
     return E.status_rollup(obs, services, env="dev")
 
 
-def _rendered(spark, lines: DataFrame, base: str) -> str:
-    """Lines (column ``value``) as text files in a new folder under the warehouse."""
-    folder = f"{A.warehouse_location(spark, base)}-{uuid.uuid4().hex}"
-    lines.select("value").write.text(folder)
+def _new_folder(spark, base: str) -> str:
+    return f"{A.warehouse_location(spark, base)}-{uuid.uuid4().hex}"
+
+
+def _log_folder(spark, sf_dir) -> str:
+    """The daily log files of all events, in a new folder under the warehouse."""
+    folder = _new_folder(spark, "logs")
+    E.write_logs(fx.log_file_lines(spark, sf_dir), folder, ["ts", "event_id"], modified="ts")
     return folder
 
 
 @query("log_files")
 def log_files(spark, sf_dir):
-    p = E.read_logs(spark, _rendered(spark, fx.log_lines(spark, sf_dir), "log_lines"))
-    return p.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "level", "message")
+    p = E.read_logs(spark, _log_folder(spark, sf_dir))
+    return p.select("script", "env", F.date_format("log_date", "yyyy-MM-dd").alias("log_date"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "level", "message")
+
+
+@query("tail_files")
+def tail_files(spark, sf_dir):
+    t = E.tail_files(spark, _log_folder(spark, sf_dir), 30)
+    return t.select("name", "script", "env", F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "rn", "value")
+
+
+@query("retention_files")
+def retention_files(spark, sf_dir):
+    r = E.retention_files(spark, _log_folder(spark, sf_dir), fx.FILES_AS_OF)
+    return r.select("name", "script", "env", "bytes", "age_days", "expired")
 
 
 @query("listing_files")
 def listing_files(spark, sf_dir):
-    lines = fx.user_listing_lines(spark, sf_dir).repartition(1).sortWithinPartitions("pos")  # one listing is one file
-    return D.parse_role_list(D.read_listing(spark, _rendered(spark, lines, "user_listing")), "line", keep=["username"])
+    """Users in the order of their places, as many files as tasks, each with its header, read back with line numbers."""
+    folder = _new_folder(spark, "user_listing")
+    lines = fx.listing_file_lines(spark, sf_dir).repartitionByRange("pos").sortWithinPartitions("pos")
+    (lines.select(F.col("value").alias(fx.LISTING_HEADER)).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000")
+     .option("escapeQuotes", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(f"{folder}/files"))
+    first = D.first_lines(D.read_listing(spark, f"{folder}/files", f"{folder}/numbered"))
+    return D.parse_role_list(first, "line", keep=["username"])
 
 
 @query("user_plan_dry")

@@ -18,6 +18,7 @@ ROOT = "/dags/MACHINERY"
 MANAGED_SCOPES = ("us", "global")
 US_DOC_SOURCES = ("src0", "src3", "src5", "src7")
 AS_OF = "1999-01-01 00:00:00"
+FILES_AS_OF = "2024-04-15 12:00:00"  # some of the events' days are over 90 days before, some are not
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -313,10 +314,23 @@ def user_listing_lines(spark, sf_dir) -> DataFrame:
     body = F.concat_ws(" ", F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")), uname,
                        F.concat(uname, F.lit("@example.local")), F.lit("First"), F.lit("Last"), F.col("text"))
     lines = r.select((F.col("user_id") + 1).alias("pos"), body.alias("value"))
-    header = spark.createDataFrame([(0, "id username email first_name last_name roles")], "pos bigint, value string")
+    header = spark.createDataFrame([(0, LISTING_HEADER)], "pos bigint, value string")
     return header.unionByName(lines)
 
 
+def listing_file_lines(spark, sf_dir) -> DataFrame:
+    """(pos, value): the user lines of ``user_listing_lines`` at even places, and for every third user one more line with
+    another role at an odd place, before or after."""
+    lines = user_listing_lines(spark, sf_dir).where(F.col("pos") > 0)
+    u = F.col("pos") - 1
+    more = F.concat(F.lit("user_"), u.cast("string"), F.lit(" more@example.local First Last ['LATE_"), (u % 4).cast("string"), F.lit("']"))
+    return lines.select((2 * u).alias("pos"), "value").unionByName(
+        lines.where(u % 3 == 0).select((2 * ((31 * u) % 61) + 1).alias("pos"), more.alias("value")))
+
+
+LISTING_HEADER = "id username email first_name last_name roles"
+
+
 def log_lines(spark, sf_dir) -> DataFrame:
     """(event_id, value): every event rendered as a manager log line.
 
@@ -336,6 +350,16 @@ def log_lines(spark, sf_dir) -> DataFrame:
     return e.select("event_id", line.alias("value"))
 
 
+def log_file_lines(spark, sf_dir) -> DataFrame:
+    """(script, env, log_date, event_id, ts, value): the lines of ``log_lines`` in the daily files of 20 services."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    named = e.select("event_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"),
+                     F.concat(F.lit("svc-"), (F.col("user_id") % 20).cast("string")).alias("script"),
+                     F.when(F.col("user_id") % 2 == 0, F.lit("dev")).otherwise(F.lit("prod")).alias("env"),
+                     F.col("ts").cast("date").alias("log_date"))
+    return named.join(log_lines(spark, sf_dir), "event_id")
+
+
 def observations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(obs, services): every event is a process observation of its user's service of that day.
 
