@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tagwarden.functions.tags import scope_role_name
 from tagwarden.functions.text import explode_rows, normalize_path, normalize_path_text, py_list_repr, py_strip
-from tagwarden.plans.broadcast import broadcast_if_small, literal_lookup
+from tagwarden.plans.broadcast import DEFAULT_MAX_BROADCAST_BYTES, broadcast_if_small, literal_lookup, plan_bytes
 
 # Fixed values (the reference's defaults):
 DEFAULT_TAG_MAP = (("GDTET_GLOBAL_DAG", "global"), ("GDTET_US_DAG", "us"))
@@ -132,7 +132,53 @@ def _usable(tag_map: DataFrame) -> DataFrame:
     return tag_map.select("tag", "scope").where(F.col("tag").isNotNull() & F.col("scope").isNotNull())
 
 
-def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True) -> DataFrame:
+def _status() -> Column:
+    """The status by an entity's least and largest scope."""
+    return (F.when(F.col("_lo").isNull(), F.lit(STATUS_MISSING))
+            .when(F.col("_lo") == F.col("_hi"), F.lit(STATUS_VALID)).otherwise(F.lit(STATUS_CONFLICT)))
+
+
+# Share of a mean partition from which a tag counts as hot, and bounds of the sketch that looks for such tags.
+HOT_SHARE, MAX_HOT, SKETCHES = 0.25, 10_000, 256
+
+
+def hot_tags(tags: DataFrame) -> list[str]:
+    """The tags of ``tags (tag)`` that would fill ``HOT_SHARE`` of a shuffle partition or more each.
+
+    Found by a frequent-items sketch, merged in two steps (``SKETCHES`` groups of tasks, then those), so no task meets
+    more than a few hundred sketches of bounded size; at most ``MAX_HOT`` tags reach the driver.
+    """
+    n = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = max(1, min(MAX_HOT, int(n / HOT_SHARE)))
+    tracked = 1 << (4 * k - 1).bit_length()  # the sketch's error stays under a hot tag's count
+    parts = tags.select("tag", (F.spark_partition_id() % SKETCHES).alias("_part"))
+    some = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.expr(f"approx_top_k_accumulate(tag, {tracked})").alias("_s"))
+    row = some.groupBy((F.col("_part") < 0).alias("_all")) \
+        .agg(F.sum("_n").alias("n"), F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s")) \
+        .select("n", F.expr(f"approx_top_k_estimate(_s, {k})").alias("top")).first()  # one row, none without tags
+    return [t["item"] for t in row["top"] or [] if t["count"] >= HOT_SHARE * row["n"] / n] if row else []
+
+
+def match_tags(tags: DataFrame, tag_map: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, how: str = "inner") -> DataFrame:
+    """``tags`` joined with their scopes. A map within ``max_bytes`` is broadcast. Beyond it the hot tags' part of the
+    map, whose size is checked, is broadcast and the other tags are joined by shuffle, so no tag fills a task."""
+    if plan_bytes(tag_map) <= max_bytes:
+        return tags.join(F.broadcast(tag_map), "tag", how)
+    hot = hot_tags(tags)
+    if not hot:
+        return tags.join(tag_map, "tag", how)
+    lookup = literal_lookup(tags.sparkSession, [(t,) for t in hot], "tag string")
+    hot_map = tag_map.join(lookup, "tag", "left_semi")
+    size = hot_map.agg(F.sum(F.octet_length("tag") + F.octet_length("scope") + 32)).first()[0] or 0
+    hot_map = F.broadcast(hot_map) if size <= max_bytes else hot_map
+    is_hot = lookup.withColumn("_hot", F.lit(True))
+    marked = tags.join(is_hot, "tag", "left")
+    return marked.where("_hot").drop("_hot").join(hot_map, "tag", how).unionByName(
+        marked.where("_hot is null").drop("_hot").join(tag_map, "tag", how))
+
+
+def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags: bool = True,
+             max_map_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Match each entity's tags to the map and decide its status.
 
     Output, one row per distinct entity id: ``entity_id, status, scope, matched_tags`` where status
@@ -140,18 +186,16 @@ def classify(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, trim_tags
     (none); two tags of the same scope are valid, and a tag that the map gives two scopes
     counts for both. ``scope`` is set only when valid; ``matched_tags`` is sorted.
 
-    One path at every map size: tags meet the map first (a broadcast join within the size bound), so
-    only matched tags of the given entities are shuffled, once, on ``entity_id``; the
+    Tags meet the map first (``match_tags``: a broadcast within the size bound, beyond it hot tags apart from the others),
+    so only matched tags of the given entities are shuffled on ``entity_id``; the
     join to the entities and the aggregate share that partitioning.
     """
     ids = entities.select("entity_id").distinct()
-    matched = _clean_tags(tags, trim_tags).join(broadcast_if_small(_usable(tag_map)), "tag")
+    matched = match_tags(_clean_tags(tags, trim_tags), _usable(tag_map), max_map_bytes)
     per = ids.join(matched, "entity_id", "left").groupBy("entity_id").agg(
         F.min("scope").alias("_lo"), F.max("scope").alias("_hi"), F.collect_set("tag").alias("_tags"))
-    status = (F.when(F.col("_lo").isNull(), F.lit(STATUS_MISSING))
-              .when(F.col("_lo") == F.col("_hi"), F.lit(STATUS_VALID)).otherwise(F.lit(STATUS_CONFLICT)))
-    return per.select("entity_id", status.alias("status"),
-                      F.when(status == STATUS_VALID, F.col("_lo")).alias("scope"),
+    return per.select("entity_id", _status().alias("status"),
+                      F.when(_status() == STATUS_VALID, F.col("_lo")).alias("scope"),
                       F.sort_array("_tags").alias("matched_tags"))
 
 
@@ -182,15 +226,18 @@ def violations(entities: DataFrame, tags: DataFrame, tag_map: DataFrame, scope_r
 
     Output: ``entity_id, reason, matched_tags, expected_tags, actual_tags, message``;
     the tag lists are rendered sorted as list literals. Entities outside the root
-    are not judged. All tags are collected for failing entities only; the expected tags are a
+    are not judged. The tags are read and shuffled once: all of them, each with its scope if it has one, so the
+    same aggregate judges an entity and holds its lists. The expected tags are a
     scalar subquery over the map, whatever its size.
     """
-    inside = entities.where(under_root("path", root)).select("entity_id")
-    bad = resolve_role(classify(inside, tags, tag_map, trim_tags), scope_role).where(F.col("status") != STATUS_VALID)
-    every = _clean_tags(tags, trim_tags)
-    bad = bad.select("entity_id", "status", "scope", "matched_tags").join(every, "entity_id", "left") \
-        .groupBy("entity_id").agg(*[F.first(c).alias(c) for c in ("status", "scope", "matched_tags")],
-                                  F.collect_set("tag").alias("tags"))
+    ids = entities.where(under_root("path", root)).select("entity_id").distinct()
+    every = match_tags(_clean_tags(tags, trim_tags), _usable(tag_map), how="left")
+    per = ids.join(every, "entity_id", "left").groupBy("entity_id").agg(
+        F.min("scope").alias("_lo"), F.max("scope").alias("_hi"), F.collect_set("tag").alias("tags"),
+        F.collect_set(F.when(F.col("scope").isNotNull(), F.col("tag"))).alias("matched_tags"))
+    judged = per.select("entity_id", _status().alias("status"), F.when(_status() == STATUS_VALID, F.col("_lo")).alias("scope"),
+                        "matched_tags", "tags")
+    bad = resolve_role(judged, scope_role).where(F.col("status") != STATUS_VALID)
     expected = tag_map.where(F.col("tag").isNotNull()).agg(
         py_list_repr(F.collect_set("tag")).alias("expected")).scalar()
     bad = bad.select("entity_id", "status", "scope", py_list_repr("matched_tags").alias("matched"),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tagwarden.functions.tags import SCOPE_ROLE_PREFIX, scope_role_name
 from tagwarden.functions.text import explode_rows, py_strip, shell_quote
 from tagwarden.operators.diff import side_flags
-from tagwarden.plans.broadcast import broadcast_if_small, literal_lookup
+from tagwarden.plans.broadcast import DEFAULT_MAX_BROADCAST_BYTES, broadcast_if_small, literal_lookup
+from tagwarden.plans.ranks import with_positions
 
 # Fixed values (resource and action names of the permission model):
 DAG_RUN_PREFIX = "DAG Run:"
@@ -22,6 +23,8 @@ RESOURCE_DAG = "DAGs"
 RESOURCE_DAG_RUN = "DAG Runs"
 ACTION_CAN_CREATE = "can_create"
 ACTION_CAN_EDIT = "can_edit"
+# A bitmap takes 4 KB and comes from at least one membership row of 16 bytes: this much of those is 32 MB of bitmaps at most.
+BITMAP_SOURCE_BYTES = DEFAULT_MAX_BROADCAST_BYTES // 256
 # The trigger template every target role gets (resource, action):
 TRIGGER_TEMPLATE = ((RESOURCE_DAG, ACTION_CAN_EDIT), (RESOURCE_DAG_RUN, ACTION_CAN_CREATE))
 
@@ -72,6 +75,29 @@ def order_plan(diff: DataFrame) -> DataFrame:
     return diff.orderBy("scope", F.when(F.col("op") == "add", 0).otherwise(1), "entity_id")
 
 
+def plan_rank(diff: DataFrame) -> DataFrame:
+    """``diff`` with ``pos``, each change's place in the plan: scope, add before remove, entity id."""
+    return with_positions(diff, ["scope", F.when(F.col("op") == "add", 0).otherwise(1), "entity_id"])
+
+
+def diff_stored(desired: DataFrame, state: DataFrame) -> DataFrame:
+    """``diff_grants`` for two stored tables that hold each (scope, entity_id) once and are bucketed on it alike.
+
+    One full outer join on the buckets' own partitioning: neither side is shuffled or sorted.
+    """
+    keys = ["scope", "entity_id"]
+    j = desired.select(*keys, F.lit(1).alias("_d")).join(state.select(*keys, F.lit(1).alias("_e")), keys, "full_outer")
+    return j.where(F.col("_d").isNull() | F.col("_e").isNull()).select(
+        "scope", F.when(F.col("_e").isNull(), F.lit("add")).otherwise(F.lit("remove")).alias("op"), "entity_id")
+
+
+def apply_stored(state: DataFrame, diff: DataFrame) -> DataFrame:
+    """``apply_diff`` for a stored state and a stored diff, both bucketed on (scope, entity_id): no exchange."""
+    keys = ["scope", "entity_id"]
+    j = state.select(*keys, F.lit(1).alias("_e")).join(diff.select(*keys, "op"), keys, "full_outer")
+    return j.where(F.col("op").isNull() | (F.col("op") == "add")).select(*keys)
+
+
 # --------------------------------------------------------------------------- C3
 def diff_summary(diff: DataFrame) -> DataFrame:
     """Added/removed counts per scope plus a ``total`` row that is always present.
@@ -301,6 +327,41 @@ def effective_access(requests: DataFrame, user_roles: DataFrame, grants: DataFra
     return decided.select("request_id", "username", "entity_id", via.isNotNull().alias("allowed"), via.alias("via"))
 
 
+def access_bitmaps(entities: DataFrame, user_roles: DataFrame, grants: DataFrame) -> DataFrame:
+    """How many users can trigger each entity: ``(entity_id, n_users, n_scoped)`` (C10, the audit by entity).
+
+    Users with a global right reach every entity and count once. The others are numbered, and each role becomes
+    a set of bitmaps (one per 32,768 user numbers). An entity's users are the union of its roles' bitmaps, so (user, entity)
+    pairs are never made; entities with the same roles share one union. ``n_scoped`` counts the users who reach the entity by
+    scoped grants alone. Entities come from ``entities (entity_id)``; an entity without a grant has the global users.
+
+    A role's users and an entity's roles are de-duplicated map-side. The role bitmaps (at most users / 8 bytes a role) are broadcast
+    within the size bound, else joined by shuffle, where a role of very many role sets is split.
+    """
+    g = grants.where(F.col("action") == ACTION_CAN_CREATE)
+    everywhere = broadcast_if_small(g.where(F.col("resource") == RESOURCE_DAG_RUN).select("role").distinct())
+    members = user_roles.select("username", "role").where("username is not null and role is not null").distinct()
+    over_all = members.join(everywhere, "role", "left_semi").select("username").distinct()
+    n_global = over_all.agg(F.count("*")).scalar()
+    rest = members.join(over_all, "username", "left_anti")
+    # a user's number is its position among them: dense, so few bitmaps
+    number = with_positions(rest.select("username").distinct(), ["username"], "_n")
+    bits = (rest.join(number, "username")
+            .groupBy("role", F.bitmap_bucket_number("_n").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bits")))
+    scoped = g.where(F.col("resource").startswith(DAG_RUN_PREFIX)).select(
+        F.expr(f"substring(resource, {len(DAG_RUN_PREFIX) + 1})").alias("entity_id"), "role")
+    ids = entities.select("entity_id").where("entity_id is not null").distinct()
+    held = ids.join(scoped, "entity_id", "left").groupBy("entity_id").agg(F.sort_array(F.collect_set("role")).alias("_roles"))
+    sets = held.select("_roles").distinct()
+    counts = (sets.select("_roles", F.explode("_roles").alias("role")).join(broadcast_if_small(bits, BITMAP_SOURCE_BYTES), "role")
+              .groupBy("_roles", "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_c"))
+              .groupBy("_roles").agg(F.sum("_c").alias("_c")))
+    n = F.coalesce(F.col("_c"), F.lit(0)).cast("bigint")
+    return held.join(counts, "_roles", "left").select(
+        "entity_id", (n + n_global).cast("bigint").alias("n_users"), n.alias("n_scoped"))
+
+
 # --------------------------------------------------------------------------- C11
 def missing_roles(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Wanted role names that do not exist yet - the create list (C11).

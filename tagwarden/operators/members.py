@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tagwarden.functions.text import _c, explode_rows
 from tagwarden.operators.diff import side_flags
 from tagwarden.plans.broadcast import broadcast_if_small
+from tagwarden.plans.ranks import with_positions
 from tagwarden.sources.files import numbered_lines
 
 # Fixed values (role names and the user/role matrix of the test users):
@@ -188,6 +189,11 @@ def teardown_plan(targets: DataFrame, present: DataFrame, dry_run: bool = False)
     return j.select("kind", "name", action.alias("action"), kind_order.alias("kind_order"))
 
 
+def teardown_rank(plan: DataFrame) -> DataFrame:
+    """``(kind, name, action, pos)``: the plan's rows with their places, users before roles, then by name."""
+    return with_positions(plan.select("kind", "name", "action", "kind_order"), ["kind_order", "name"]).drop("kind_order")
+
+
 # --------------------------------------------------------------------------- D7
 def roles_from_groups(user_groups: DataFrame, mapping: DataFrame) -> DataFrame:
     """Directory groups -> roles: ``(username, group)`` x ``(group, role)`` -> distinct

@@ -15,8 +15,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Bound, in estimated bytes, for lookup tables we are willing to ship to every executor.
 DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
@@ -30,12 +32,14 @@ def plan_bytes(df: DataFrame) -> int:
 def literal_lookup(spark: SparkSession, rows, schema: str, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """A literal table, hinted for broadcast when its values (counted here) are within the bound.
 
-    The planner has no size for rows that come from Python, so the hint is set at the source; it holds
-    through later projections and filters.
+    The rows go in as an Arrow table, a local relation whose size the planner knows. The hint is set at the
+    source; it holds through later projections and filters.
     """
-    rows = list(rows)
-    df = spark.createDataFrame(rows, schema)
-    size = sum(16 + len(str(v)) for row in rows for v in (row if isinstance(row, (tuple, list)) else (row,)))
+    rows = [tuple(r) if isinstance(r, (tuple, list)) else (r,) for r in rows]
+    names = StructType.fromDDL(schema).fieldNames()
+    columns = dict(zip(names, zip(*rows)))
+    df = spark.createDataFrame(pa.table({k: list(v) for k, v in columns.items()}) if rows else [], schema)
+    size = sum(16 + len(str(v)) for row in rows for v in row)
     return F.broadcast(df) if size <= max_bytes else df
 
 

@@ -234,6 +234,11 @@ def _c_with(*more: str) -> str:
 
 ORACLE["existing_grants"] = with_("grants", "existing") + "SELECT scope, entity_id FROM existing"
 ORACLE["grant_diff"] = _c_with("diff") + "SELECT scope, op, entity_id FROM diff"
+ORACLE["plan_rank"] = _c_with("diff") + """
+SELECT scope, op, entity_id, row_number() OVER (ORDER BY scope, op = 'remove', entity_id) AS pos FROM diff"""
+ORACLE["sync_counts"] = _c_with("diff") + """
+SELECT 1 AS run, count(*) FILTER (op = 'add') AS added, count(*) FILTER (op = 'remove') AS removed FROM diff
+UNION ALL SELECT 2, 0, 0"""
 ORACLE["diff_summary"] = _c_with("diff") + """
 SELECT coalesce(scope, 'total') AS scope, count(*) FILTER (WHERE op = 'add') AS added,
        count(*) FILTER (WHERE op = 'remove') AS removed
@@ -340,6 +345,17 @@ SELECT request_id, username, entity_id, (s OR g) AS allowed,
        CASE WHEN s THEN 'scoped' WHEN g THEN 'global' END AS via
 FROM flags"""
 
+ORACLE["access_bitmaps"] = """
+WITH user_roles AS (SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS username, event_type AS role
+                    FROM events GROUP BY user_id, event_type HAVING sum(event_id) % 5 <> 0),
+entities AS (SELECT DISTINCT json_extract_string(props, '$.k') AS entity_id FROM events),
+over_all AS (SELECT DISTINCT username FROM user_roles WHERE role = 'signup'),
+scoped AS (SELECT DISTINCT event_type AS role, json_extract_string(props, '$.k') AS entity_id FROM events WHERE event_id % 40 = 0),
+reach AS (SELECT s.entity_id, count(DISTINCT u.username) AS n FROM scoped s JOIN user_roles u ON u.role = s.role
+          WHERE u.username NOT IN (SELECT username FROM over_all) GROUP BY s.entity_id)
+SELECT e.entity_id, coalesce(n, 0) + (SELECT count(*) FROM over_all) AS n_users, coalesce(n, 0) AS n_scoped
+FROM entities e LEFT JOIN reach r ON r.entity_id = e.entity_id WHERE e.entity_id IS NOT NULL"""
+
 ORACLE["missing_roles"] = """
 SELECT DISTINCT 'ROLE_' || c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) AS role FROM customer
 EXCEPT
@@ -401,6 +417,7 @@ present AS (
 SELECT t.kind, t.name, CASE WHEN p.name IS NULL THEN 'skip' ELSE 'delete' END AS action
 FROM targets t LEFT JOIN present p ON t.kind = p.kind AND t.name = p.name"""
 
+ORACLE["teardown_rank"] = ORACLE["teardown_plan"].replace("SELECT t.kind, t.name, CASE", "SELECT t.kind, t.name, row_number() OVER (ORDER BY t.kind = 'role', t.name) AS pos, CASE")
 ORACLE["group_roles"] = """
 SELECT DISTINCT 'cust_' || CAST(o_custkey AS VARCHAR) AS username, m.role
 FROM orders JOIN (VALUES ('1-URGENT', 'Viewer'), ('2-HIGH', 'Viewer'), ('3-MEDIUM', 'AF_RERUN_ALL_NO_TRIGGER')) m(grp, role)
@@ -476,6 +493,7 @@ FROM services s LEFT JOIN picked p ON s.service = p.service"""
 # ------------------------------------------------------------------ family A
 ORACLE["reload_twice"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 ORACLE["ordered_read"] = "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey"
+ORACLE["ordered_rank"] = "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS pos FROM orders"
 ORACLE["preview_20"] = "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 20"
 ORACLE["literal_weights"] = """
 SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 END AS weight

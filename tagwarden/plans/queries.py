@@ -134,6 +134,11 @@ def grant_plan(spark, sf_dir):
     return C.render_plan(grant_diff(spark, sf_dir))
 
 
+@query("plan_rank")
+def plan_rank(spark, sf_dir):
+    return C.plan_rank(grant_diff(spark, sf_dir))
+
+
 @query("apply_diff")
 def apply_diff(spark, sf_dir):
     return C.apply_diff(_existing(spark, sf_dir), grant_diff(spark, sf_dir))
@@ -173,6 +178,11 @@ def effective_access(spark, sf_dir):
                               fx.access_grants(spark, sf_dir))
 
 
+@query("access_bitmaps")
+def access_bitmaps(spark, sf_dir):
+    return C.access_bitmaps(fx.access_requests(spark, sf_dir), fx.current_roles(spark, sf_dir), fx.access_grants(spark, sf_dir))
+
+
 @query("missing_roles")
 def missing_roles(spark, sf_dir):
     wanted, present = fx.segment_roles(spark, sf_dir)
@@ -207,6 +217,11 @@ def teardown_plan(spark, sf_dir):
     return D.teardown_plan(targets, present).select("kind", "name", "action")
 
 
+@query("teardown_rank")
+def teardown_rank(spark, sf_dir):
+    return D.teardown_rank(D.teardown_plan(*fx.teardown_targets(spark, sf_dir)))
+
+
 @query("group_roles")
 def group_roles(spark, sf_dir):
     ug, mapping = fx.order_groups(spark, sf_dir)
@@ -338,6 +353,12 @@ def ordered_read(spark, sf_dir):
     return A.ordered_select(spark, name, ["o_orderkey", "o_orderpriority"], ["o_orderkey"], schema_name="default")
 
 
+@query("ordered_rank")
+def ordered_rank(spark, sf_dir):
+    name = _load_copy(spark, sf_dir, "orders")
+    return A.ordered_rank(spark, name, ["o_orderkey", "o_orderpriority"], ["o_orderpriority", "o_orderkey"], "default")
+
+
 @query("preview_20")
 def preview_20(spark, sf_dir):
     name = _load_copy(spark, sf_dir, "orders")
@@ -384,6 +405,18 @@ def grant_sync(spark, sf_dir):
                           A.warehouse_location(spark, diff_t), A.warehouse_location(spark, state_t))
 
 
+@query("sync_counts")
+def sync_counts(spark, sf_dir):
+    """What two syncs report: the first from the extraction, the second from the state that it left."""
+    from tagwarden.plans.sync import sync_grants
+
+    diff_t, state_t = _table_name("grant_diff"), _table_name("grant_state")
+    at = ("default", A.warehouse_location(spark, diff_t), A.warehouse_location(spark, state_t))
+    desired = _desired(spark, sf_dir)
+    reports = [sync_grants(spark, desired, e, diff_t, state_t, *at) for e in (_existing(spark, sf_dir), None)]
+    return spark.createDataFrame([(i, r.added, r.removed) for i, r in enumerate(reports, 1)], "run int, added long, removed long")
+
+
 @query("role_names")
 def role_names(spark, sf_dir):
     t = fx.scope_texts(spark, sf_dir)

@@ -11,7 +11,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,20 +34,24 @@ def _sql_string(s: str) -> str:
 
 
 def ensure_table(spark: SparkSession, name: str, schema: StructType | str, schema_name: str | None = None,
-                 location: str | None = None) -> None:
+                 location: str | None = None, bucketed: tuple[Sequence[str], int] | None = None) -> None:
     """Create a Parquet table with a declared schema if absent; keep it (and its data) if present (A1).
 
-    ``location`` makes the table point at a folder of the shared warehouse, so a table
+    ``bucketed`` (columns, number) has its rows kept in that many buckets, sorted; joins on those columns between
+    tables bucketed alike need no shuffle. ``location`` makes the table point at a folder of the shared warehouse, so a table
     whose catalog entry is gone (a session catalog) finds its files again.
     """
     if location:
         location = _newest_version(spark, location) or location
     loc = f" LOCATION {_sql_string(location)}" if location else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:t) ({_ddl(schema)}) USING PARQUET{loc}",
+    by = ", ".join(f"`{c}`" for c in bucketed[0]) if bucketed else ""
+    into = f" CLUSTERED BY ({by}) SORTED BY ({by}) INTO {int(bucketed[1])} BUCKETS" if bucketed else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:t) ({_ddl(schema)}) USING PARQUET{into}{loc}",
               args={"t": qualify(name, schema_name)})
 
 
 VERSION = "version-"
+KEPT_VERSIONS = 2  # the current one, and the one that readers may still hold
 
 
 def _newest_version(spark: SparkSession, base: str) -> str | None:
@@ -66,12 +70,36 @@ def table_location(spark: SparkSession, name: str, schema_name: str | None = Non
     return next(r["data_type"] for r in rows if r["col_name"] == "Location")
 
 
-def reload_rows(spark: SparkSession, name: str, df: DataFrame, schema_name: str | None = None) -> None:
+def bucketing(spark: SparkSession, name: str, schema_name: str | None = None) -> tuple[list[str], int] | None:
+    """``(columns, number)`` of a bucketed table."""
+    rows = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:t)", args={"t": qualify(name, schema_name)}).collect()
+    said = {r["col_name"]: r["data_type"] for r in rows}
+    if "Num Buckets" not in said:
+        return None
+    return [c.strip().strip("`") for c in said["Bucket Columns"].strip("[]").split(",")], int(said["Num Buckets"])
+
+
+def remove_superseded(spark: SparkSession, name: str, schema_name: str | None = None, keep: int = KEPT_VERSIONS) -> int:
+    """Deletes the table's version folders but the newest ``keep`` and the current one; returns how many went."""
+    base, _, last = table_location(spark, name, schema_name).rstrip("/").rpartition("/")
+    if not last.startswith(VERSION):
+        return 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith(VERSION)), key=lambda p: p.getName())
+    old = [p for p in old[:-keep or None] if p.getName() != last]
+    return sum(bool(fs.delete(p, True)) for p in old)
+
+
+def reload_rows(spark: SparkSession, name: str, df: DataFrame, schema_name: str | None = None,
+                observed: tuple[Observation, list[Column]] | None = None) -> None:
     """Replace the table's rows with ``df`` (A2): running twice leaves the rows once.
 
     Columns are matched by name and cast to the table's types. The rows are written to a new version folder
     beside the current one; only when that write has committed does the table's location move there. ``df`` may read the
-    table itself. Earlier versions stay (readers may still hold them); deleting them is the warehouse's upkeep.
+    table itself. The version before stays (readers may still hold it); older ones are deleted. The rows of a bucketed table are
+    written in its buckets, one file each. ``observed`` (an observation and its aggregates) is what the writing job
+    itself sees, right below the write.
     """
     fq = qualify(name, schema_name)
     fields = spark.table(fq).schema.fields
@@ -80,9 +108,21 @@ def reload_rows(spark: SparkSession, name: str, df: DataFrame, schema_name: str
     if not last.startswith(VERSION):
         base = f"{base}/{last}"
     target = f"{base}/{VERSION}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    src.write.parquet(target)
+    buckets = bucketing(spark, name, schema_name)
+    if buckets is not None:
+        src = src.repartition(buckets[1], *[F.col(f"`{c}`") for c in buckets[0]])
+    if observed is not None:
+        src = src.observe(observed[0], *observed[1])
+    if buckets is None:
+        src.write.parquet(target)
+    else:  # only a table can be written in buckets: one of the moment over the same folder
+        by, n = buckets
+        moment = qualify(f"tw_moment_{uuid.uuid4().hex}", schema_name)
+        src.write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", target).saveAsTable(moment)
+        spark.sql("DROP TABLE IDENTIFIER(:t)", args={"t": moment})  # the files stay
     spark.sql(f"ALTER TABLE IDENTIFIER(:t) SET LOCATION {_sql_string(target)}", args={"t": fq})
     spark.catalog.refreshTable(fq)
+    remove_superseded(spark, name, schema_name)
 
 
 def row_count(spark: SparkSession, name: str, schema_name: str | None = None) -> DataFrame:
@@ -96,6 +136,14 @@ def ordered_select(spark: SparkSession, name: str, cols: Sequence[str], order_by
     return spark.table(qualify(name, schema_name)).select(*cols).orderBy(*order_by)
 
 
+def ordered_rank(spark: SparkSession, name: str, cols: Sequence[str], order_by: Sequence[str], schema_name: str | None = None,
+                 pos: str = "pos") -> DataFrame:
+    """Named columns with each row's place (from 1) in the order of A4, which a table, having no order, keeps."""
+    from tagwarden.plans.ranks import with_positions
+
+    return with_positions(spark.table(qualify(name, schema_name)).select(*cols), order_by, pos)
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
     """Typed rows from a VALUES-style list (A5)."""
     return spark.createDataFrame(list(rows), schema)

@@ -33,7 +33,7 @@ def test_query_matches_its_twin(spark, sf_dir, name):
 def test_building_a_query_reads_no_rows(spark, sf_dir):
     """Jobs that building starts read Parquet footers only (schema), apart from the table jobs, which write."""
     jobs = ("reload_twice", "ordered_read", "table_count", "table_smoke", "preview_20", "grant_sync", "log_files", "listing_files",
-            "tail_files", "retention_files")
+            "tail_files", "retention_files", "ordered_rank", "plan_rank", "teardown_rank", "access_bitmaps", "sync_counts")
     tracker = spark.sparkContext.statusTracker()
     for name, fn in QUERIES.items():
         if name in jobs:
