@@ -11,7 +11,9 @@ A bucket holds contents whose hashes agree, so ids or texts that hold a third of
 spread. Rows that repeat both id and text share a bucket, unless they alone would make one of over
 ``HEAVY`` times its size: then equal rows are counted, numbered and scattered by their numbers
 too. Nulls and odd inputs: a null text counts as 0 bytes and CRC 0, a null id is hashed like a
-value; an empty table writes an empty folder.
+value; an empty table writes an empty folder; equal ids and texts are ordered by a hash of their whole rows, so the same
+table gives the same places in any partitioning; a text larger than a bucket makes one of its own size; input columns ride
+in the struct ``row``, so none can clash.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def shuffle_to_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     # a partition takes many buckets one after the other, which evens out how they fall
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes["b"] or 0) // PARTITION_BYTES))
     dealt = d.select("row", "_key", bucket.alias("_bucket")).repartition(int(min(parts, buckets)), "_bucket") \
-        .sortWithinPartitions("_bucket", "_key", F.col(f"row.`{id_col}`"))
+        .sortWithinPartitions("_bucket", "_key", F.xxhash64("row"))  # rows equal so far differ in other columns, or not at all
     out = T.StructType([*dealt.select("row").schema.fields, T.StructField("shard", T.IntegerType()),
                         T.StructField("slot", T.LongType())])
     first = [-(-s * total // shards) for s in range(shards + 1)]  # shard s begins at the first p with p * S // N = s
