@@ -1,28 +1,41 @@
 """Packing by optimal length buckets.
 
-Texts are measured in words and cut into pieces of at most ``MAX_TOKENS`` (every word is in one
+Texts are measured in tokens and cut into pieces of at most ``MAX_TOKENS`` (every token is in one
 piece). A dynamic program over the global length histogram, which ``MAX_TOKENS`` bounds, chooses
 the ``BUCKETS`` boundaries with the least padding: a piece is padded to the smallest boundary
 that holds it. Within a bucket, batches of a fixed token budget are filled in the order of
-(block of pieces, doc_id, piece), so a batch's padded size never passes the budget.
+(block of pieces, doc_id, piece, length), so a batch's padded size never passes the budget.
+
+A piece's place in its bucket is its position in one global order (range partitions, their counts, offsets), less the
+pieces of the buckets before, which the histogram knows. No task sees a bucket, and neither a bucket nor an id of a third of
+all rows fills one: rows equal in the whole order still spread over the ranges.
+
+A token of the registered query is a word, so that SQL can say the same. The pipeline stage packs byte-level BPE tokens and
+returns their padded ids.
 
 Equal minimal paddings: the earlier boundary is the smaller one. Nulls and odd inputs: a null
-text, or one without words, is one piece of length 0; null ids come first; repeated rows are
-packed each.
+text, or one without tokens, is one piece of length 0; null ids come first; repeated rows are
+packed each, and rows of one id in the order of their lengths, so the same table gives the same places in any partitioning;
+very long texts become many pieces; an empty table gives no rows; only id and text are read, so no input column can clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tagwarden.llm.common import ranges, shared_folder, table
+from tagwarden.llm.bpe_matrix import codec
+from tagwarden.llm.common import new_folder, shared_folder, table, written
 from tagwarden.llm.quality_rules import SPACE, TRIM
+from tagwarden.plans.ranks import with_positions
 
 MAX_TOKENS, BUCKETS, BUDGET = 2_048, 16, 65_536
-PIECE_BLOCK = 1_024  # pieces of one document that are ranked together
+PIECE_BLOCK = 1_024  # pieces of one document that stand together
+RANKS, PAD = "byte_bpe_multi_50k.tiktoken", 50_256  # the pipeline's tokenizer, and an id that it leaves free
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
@@ -57,53 +70,70 @@ def word_count(text: str = "text"):
 
 
 def pack(lengths: DataFrame, id_col: str = "doc_id", length: str = "length", max_tokens: int = MAX_TOKENS,
-         buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+         buckets: int = BUCKETS, budget: int = BUDGET, ids: str | None = None, pad: int = PAD) -> DataFrame:
     """``(doc_id, piece, first_token, n_tokens, bucket, bucket_tokens, batch, slot, padding)`` for
     every piece of every row ``(id, length)``. ``batch`` and ``slot`` count from 0 within the bucket.
 
-    Ranks inside a bucket (which may hold a third of all rows) are counted per range of ids and
-    block of pieces, then shifted by the summed counts of the cells before: no task
-    sees a whole bucket.
+    ``ids`` names an array of the row's token ids; then ``ids`` of the result are the piece's, padded to its bucket.
     """
     spark = lengths.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = ranges(lengths.select(F.col(id_col).alias("doc_id"), F.col(length).alias("_n")), "doc_id", n, "_cell")
-    last = F.greatest(F.ceil(F.col("_n") / max_tokens) - 1, F.lit(0)).cast("int")
-    d = d.select("doc_id", "_n", "_cell", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    d = d.select("doc_id", "piece", "_cell", (F.col("piece").cast("long") * max_tokens).alias("first_token"),
-                 F.least(F.lit(max_tokens), F.col("_n") - F.col("piece").cast("long") * max_tokens).cast("int")
-                 .alias("n_tokens"), F.floor(F.col("piece") / PIECE_BLOCK).cast("int").alias("_block"))
-    hist = d.groupBy("n_tokens").count().collect()  # at most max_tokens + 1 rows
-    ends = boundaries([r["n_tokens"] for r in hist], [r["count"] for r in hist], buckets) or [0]
+    n = F.col(length)
+    last = F.greatest(F.ceil(n / max_tokens) - 1, F.lit(0)).cast("int")
+    own = lambda p: F.struct(p.alias("piece"), *([] if ids is None else [
+        F.slice(ids, p * max_tokens + 1, F.lit(max_tokens)).alias("ids")]))
+    d = lengths.select(F.col(id_col).alias("doc_id"), n.alias("_n"), F.explode(F.transform(F.sequence(F.lit(0), last), own)).alias("_p"))
+    first = F.col("_p.piece").cast("long") * max_tokens
+    d = d.select("doc_id", F.col("_p.piece").alias("piece"), first.alias("first_token"),
+                 F.least(F.lit(max_tokens), F.col("_n") - first).cast("int").alias("n_tokens"),
+                 *([] if ids is None else [F.col("_p.ids").alias("ids")]))
+    hist = {r["n_tokens"]: r["count"] for r in d.groupBy("n_tokens").count().collect()}  # at most max_tokens + 1 rows
+    ends = boundaries(list(hist), list(hist.values()), buckets) or [0]
+    size = [sum(c for k, c in hist.items() if (lo is None or k > lo) and k <= hi) for lo, hi in zip([None, *ends], ends)]
+    before = [sum(size[:b]) for b in range(len(ends))]
     bucket = sum((F.col("n_tokens") > b).cast("int") for b in ends[:-1]) if len(ends) > 1 else F.lit(0)
-    d = d.withColumn("bucket", bucket).withColumn("bucket_tokens", F.element_at(
-        F.array(*[F.lit(b) for b in ends]), F.col("bucket") + 1))
-    cell = ["bucket", "_block", "_cell"]
-    before = (d.groupBy(*cell).count()
-              .withColumn("_before", F.sum("count").over(W.partitionBy("bucket").orderBy("_block", "_cell")) - F.col("count"))
-              .drop("count"))
-    d = d.withColumn("_rank", F.row_number().over(W.partitionBy(*cell).orderBy("doc_id", "piece")) - 1)
-    rank = F.col("_before") + F.col("_rank")
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1)
+    d = d.withColumn("bucket", bucket).withColumn("bucket_tokens", of(ends))
+    order = ["bucket", F.floor(F.col("piece") / PIECE_BLOCK), "doc_id", "piece", "n_tokens"]
+    d = with_positions(d, order, "_pos", new_folder(spark, "packing"))
+    rank = F.col("_pos") - 1 - of([F.lit(b).cast("long") for b in before])
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1))))
-    return d.join(before, cell).select(
-        "doc_id", "piece", "first_token", "n_tokens", "bucket", "bucket_tokens",
-        F.floor(rank / rows).alias("batch"), (rank % rows).alias("slot"),
-        (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"))
+    padding = F.col("bucket_tokens") - F.col("n_tokens")
+    return d.select("doc_id", "piece", "first_token", "n_tokens", "bucket", "bucket_tokens",
+                    F.floor(rank / rows).alias("batch"), (rank % rows).alias("slot"), padding.alias("padding"),
+                    *([] if ids is None else [F.concat("ids", F.array_repeat(F.lit(pad), padding)).alias("ids")]))
+
+
+def token_ids(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, ids)``: the byte-level BPE ids of every whole text (null: none). Workers look the rank file up by its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers
 
+        c = codec(public_tokenizers.path(ranks), public_tokenizers.PATTERN)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            lo = size = 0
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size >= 1 << 20 or i == len(texts) - 1:  # about a megabyte of text at a time
+                    got, starts = c.encode(texts[lo:i + 1])
+                    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(got, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, i + 1 - lo), lists], names=["doc_id", "ids"])
+                    lo, size = i + 1, 0
 
-def packed_documents(docs: DataFrame) -> DataFrame:
-    """``pack`` over the words of every text; the lengths are checkpointed, so each text is read once."""
-    shared_folder(docs.sparkSession)
-    return pack(docs.select("doc_id", word_count().alias("length")).checkpoint())
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def op1_length_buckets(spark, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"))
+    shared_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs.select("doc_id", word_count().alias("length")).checkpoint())  # lengths only: each text is read once
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: where every piece of every document goes."""
-    return packed_documents(docs)
+    """Last pipeline stage: the padded token ids of every piece of every document, by bucket, batch and slot."""
+    tokens = written(token_ids(docs).withColumn("length", F.size("ids").cast("long")), "tokens")
+    return pack(tokens, ids="ids")
 
 
 def oracle() -> str:
@@ -133,7 +163,7 @@ WITH docs AS (
   SELECT p.*, CAST(len(list_filter(path[:-2], lambda b: p.n_tokens > b)) AS INTEGER) AS bucket, path FROM pieces p, best)
 , ranked AS (
   SELECT *, CAST(path[bucket + 1] AS INTEGER) AS bucket_tokens,
-         row_number() OVER (PARTITION BY bucket ORDER BY piece // {PIECE_BLOCK}, doc_id NULLS FIRST, piece) - 1 AS r FROM put)
+         row_number() OVER (PARTITION BY bucket ORDER BY piece // {PIECE_BLOCK}, doc_id NULLS FIRST, piece, n_tokens) - 1 AS r FROM put)
 SELECT doc_id, piece, first_token, n_tokens, bucket, bucket_tokens,
        CAST(r // greatest(1, {BUDGET} // greatest(bucket_tokens, 1)) AS BIGINT) AS batch,
        CAST(r % greatest(1, {BUDGET} // greatest(bucket_tokens, 1)) AS BIGINT) AS slot,

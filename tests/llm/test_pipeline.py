@@ -1,10 +1,12 @@
 """The corpus pipeline, stage by stage, against plain versions over the whole smallest table."""
 import os
-import re
 import sys
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import tiktoken
+from tiktoken.load import load_tiktoken_bpe
 
 sys.path.insert(0, os.path.dirname(__file__))
 from test_operators import _components, _plain_fp  # noqa: E402
@@ -64,12 +66,17 @@ def test_every_stage_against_a_plain_version(spark, sf_dir):
         assert four[i].text == text and four[i].n_chars == len(text)
         assert (four[i].lang, four[i].source) == (r.lang, r.source)
 
-    # 5: every word in one piece, under the boundaries of the global histogram
-    n = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in four.items()}
+    # 5: every token of the library's encoding in one piece, under the boundaries of the global histogram
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=load_tiktoken_bpe(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    ids = {i: enc.encode_ordinary(r.text) for i, r in four.items()}
+    n = {i: len(x) for i, x in ids.items()}
     got = stage["packing"](spark, four_df, sf_dir).collect()
     size = length_buckets.MAX_TOKENS
     want = {(i, k): (min(size, v - k * size), k * size) for i, v in n.items() for k in range(max(1, -(-v // size)))}
     assert {(r.doc_id, r.piece): (r.n_tokens, r.first_token) for r in got} == want and len(got) == len(want)
+    for r in got:
+        assert r.ids == ids[r.doc_id][r.first_token:r.first_token + r.n_tokens] + [length_buckets.PAD] * r.padding
     lengths = [v for v, _ in want.values()]
     ends = length_buckets.boundaries(sorted(set(lengths)), [lengths.count(v) for v in sorted(set(lengths))])
     assert all(r.bucket_tokens == min(e for e in ends if e >= r.n_tokens) == ends[r.bucket] for r in got)
