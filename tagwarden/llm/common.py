@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwarden.session import checkpoint_dir
@@ -78,18 +80,42 @@ def smallest_hashes(rows: DataFrame, group: str, by: list[str], k: int, seed: st
         share.update({g: min(1.0, 256 * share[g]) for g in short})
 
 
-def ranges(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
-    """``df`` plus an int column ``name``: about ``n`` ranges of ``col`` with about equal row counts, numbered upward.
+MAX_RANGES, PER_RANGE = 1 << 16, 16  # ranges at most, and sampled keys a range: a million numbers on the driver
 
-    The borders are approximate quantiles (a bounded sketch); only the balance depends on them.
-    Nulls are in the lowest range.
+
+def ranges(df: DataFrame, key: str, n: int, name: str, spread: Column | None = None) -> DataFrame:
+    """``df`` plus an int column ``name``: about ``n`` ranges of the whole number ``key`` (never null) with about equal row
+    counts, numbered upward.
+
+    The borders come from a random sample of bounded size, collected from the scan's own tasks; only the balance
+    depends on them. A key that fills several ranges gets as many of its own, in which its rows stand by the 64-bit
+    hash ``spread``, upward; without ``spread`` it is one range.
     """
-    share = [i / n for i in range(1, n)]
-    cuts = df.stat.approxQuantile(col, share, min(0.001, max(1e-5, 0.1 / n))) if share else []
-    if not cuts:  # a single range, or nothing to measure
+    n = max(1, min(n, MAX_RANGES))
+    rows = df.count()
+    share = min(1.0, PER_RANGE * n / max(1, rows))
+    sample = sorted(r[0] for r in df.select(key).sample(share, 17).collect()) if n > 1 else []
+    if not sample:
         return df.withColumn(name, F.lit(0))
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    tmp = f"{name}_as_double"
-    d = df.withColumn(tmp, F.coalesce(F.col(col).cast("double"), F.lit(-float("inf"))))
-    return (Bucketizer(splits=splits, inputCol=tmp, outputCol=name, handleInvalid="keep").transform(d).drop(tmp)
-            .withColumn(name, F.col(name).cast("int")))
+    cuts = Counter(sample[len(sample) * i // n] for i in range(1, n))
+    # borders upward; a key that is several borders has a stretch of its own, cut by the hash
+    borders, parts = [-float("inf")], [1]
+    for c in sorted(cuts):
+        if float(c) > borders[-1]:
+            borders.append(float(c))
+            parts.append(1)
+        if cuts[c] > 1 and spread is not None and abs(c) < 1 << 53:  # beyond that a double may stand for several keys
+            parts[-1] = cuts[c]
+            borders.append(float(c + 1))
+            parts.append(1)
+    stretch, at = f"{name}_stretch", f"{name}_as_double"
+    d = Bucketizer(splits=[*borders, float("inf")], inputCol=at, outputCol=stretch, handleInvalid="keep") \
+        .transform(df.withColumn(at, F.col(key).cast("double"))).drop(at)
+    if max(parts) == 1:
+        return d.withColumn(name, F.col(stretch).cast("int")).drop(stretch)
+    starts = [0, *itertools.accumulate(parts)]
+    lookup = df.sparkSession.createDataFrame([(float(i), starts[i], p) for i, p in enumerate(parts)],
+                                             f"{stretch} double, _start int, _parts int")  # at most 2 * MAX_RANGES + 1 rows
+    place = F.shiftrightunsigned(spread, 11).cast("double") * F.lit(2.0 ** -53)  # in [0, 1)
+    own = F.when(F.col("_parts") > 1, F.floor(place * F.col("_parts"))).otherwise(F.lit(0)).cast("int")
+    return d.join(F.broadcast(lookup), stretch).withColumn(name, F.col("_start") + own).drop(stretch, "_start", "_parts")
