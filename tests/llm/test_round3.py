@@ -282,3 +282,127 @@ def test_bad_archives_give_error_rows(spark, tmp_path):
     assert errors["gzip member cut short"] == 1 and errors["gzip member damaged"] == 2
     assert errors["malformed number"] == 3 and errors["record cut short"] >= 1
     assert errors["segment missing or repeated"] >= 1
+
+
+# ------------------------------------------------------------------ ranges, order, whole signatures
+def test_ranges_cut_a_hot_key_by_its_hash(spark):
+    from pyspark.sql import functions as F
+    from tagwarden.llm import common
+
+    n = 6000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(777)).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
+    h = F.xxhash64("t")
+    got = common.ranges(df, "k", 24, "cell", h).withColumn("h", h.bitwiseXOR(F.lit(-(1 << 63))))
+    assert got.columns == ["k", "t", "cell", "h"]
+    rows = got.collect()
+    sizes = collections.Counter(r.cell for r in rows)
+    assert len(rows) == n and max(sizes.values()) < 4 * n / 24 and len({r.cell for r in rows if r.k == 777}) >= 4
+    order = sorted(rows, key=lambda r: (r.k, r.h))
+    assert [r.cell for r in order] == sorted(r.cell for r in rows)  # cells follow (key, hash)
+    assert {r.cell for r in common.ranges(df.limit(0), "k", 24, "cell", h).collect()} == set()
+    big = spark.createDataFrame([(2 ** 62 + i % 3,) for i in range(50)], "k long")  # keys that one double stands for
+    assert len({r.cell for r in common.ranges(big, "k", 8, "cell", F.xxhash64("k")).collect()}) == 1
+
+
+def test_fingerprints_with_a_hot_and_a_null_id(spark):
+    """Every row is answered once, against the row after it in the order (id downward, hash of the text downward, text)."""
+    from pyspark.sql import functions as F
+    from tagwarden.llm import phrase_fingerprint as P
+
+    rng = random.Random(8)
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, fx.sentence(rng, "en", rng.randint(0, 40))) for i in range(600)]
+    rows += [(5, "same text")] * 50 + [(None, None), (10 ** 6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    h = {r.text: r.h % 2 ** 64 for r in spark.createDataFrame([(t or "",) for t in {t for _, t in rows}], "text string")
+         .select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -h[r[1]], r[1]))
+    want = collections.Counter()
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        e = t[:len(t) - len(t) // 2] + u[:len(t) // 2]
+        want[i, hashlib.sha256(e.encode()).hexdigest(), len(t)] += 1
+    got = P.fingerprint_next(df).collect()
+    assert collections.Counter((r.doc_id, r.edited_sha256, r.n_chars) for r in got) == want
+
+
+def plain_signature(text):
+    """Locally consistent parsing of one text, name by name, with plain integers."""
+    K = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
+    M = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * K[1] & M
+        x = (x ^ (x >> 27)) * K[2] & M
+        return x ^ (x >> 31)
+
+    def toss(seq):  # lowest bit in which a label differs from the one before, and its value
+        out = []
+        for a, b in zip(seq, [0, *seq]):
+            d = a ^ b
+            bit = (d & -d).bit_length() - 1 if d else 0
+            out.append(2 * bit + (a >> bit & 1))
+        return out
+
+    names, level, found = [ord(c) + 1 for c in text], 0, set()
+    while names:
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [mix((x + n * K[0]) & M) if n > 1 else x for x, n in runs]
+        lab = toss(toss(toss(names)))
+        phrases = []
+        for i, x in enumerate(names):
+            peak = 0 < i < len(names) - 1 and lab[i] > lab[i - 1] and lab[i] > lab[i + 1]
+            if i == 0 or peak:
+                phrases.append([])
+            phrases[-1].append(x)
+        names = [mix((sum(mix((x + (k + 1) * K[0]) & M) for k, x in enumerate(p)) + len(p)) & M) for p in phrases]
+        level += 1
+        if level >= 2 or len(names) == 1:
+            found |= {x >> 32 for x in names}
+        if len(names) == 1:
+            return found
+    return found
+
+
+def test_signatures_are_those_of_a_plain_parse():
+    from tagwarden.llm import phrase_fingerprint as P
+
+    rng = random.Random(9)
+    texts = ["", "a", "aa", "ab", "abcabcabc", "z" * 70, "é日😀" * 5] + [
+        "".join(rng.choice("ab c") for _ in range(rng.randint(1, 200))) for _ in range(150)] + [fx.sentence(rng, "en", 300)]
+    got = P.sketches(texts)
+    for t, s in zip(texts, got):
+        assert set(s.tolist()) == plain_signature(t), t[:40]
+    errors = []
+    for _ in range(200):  # the sketch's estimate against the whole signatures
+        a = fx.sentence(rng, "en", 200)
+        b = a[:rng.randint(0, len(a))] + fx.sentence(rng, "de", 60)
+        x, y = P.sketches([a, b])
+        errors.append(P.likeness(x, y, P.SKETCH) - P.likeness(x, y))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
+
+
+def test_packing_places_do_not_depend_on_the_partitioning(spark):
+    from tagwarden.llm import external_shuffle, length_buckets
+
+    rng = random.Random(12)
+    rows = [(None if i % 5 == 0 else 3 if i % 2 else i, rng.choice([0, 3, 9, 30, 70, 700])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, length long")
+    got = [collections.Counter(map(tuple, length_buckets.pack(df.repartition(k, *by), max_tokens=64, buckets=4, budget=256).collect()))
+           for k, by in ((2, []), (7, ["doc_id"]), (5, ["length"]))]
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) >= 900
+
+
+def test_shuffle_places_do_not_depend_on_the_partitioning(spark, tmp_path):
+    from tagwarden.llm import external_shuffle
+
+    rows = [(i % 40, f"t{i % 20}", f"src{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = []
+    for n, d in enumerate((df.repartition(2), df.repartition(9, "source"))):
+        out = external_shuffle.shuffle_to_shards(d, f"{tmp_path}/s{n}", bucket_bytes=4000)
+        got.append(sorted((r.row.source, r.shard, r.slot) for r in out.collect()))
+    assert got[0] == got[1]
