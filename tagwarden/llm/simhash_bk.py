@@ -10,9 +10,10 @@ blocks, keyed by the blocks' values, and no link is lost. Within a shard the
 fingerprints form a BK-tree (children keyed by their Hamming distance to the parent), and a
 search follows only edges within the radius of its distance. A shard of more than ``TREE_NODES``
 fingerprints is split by hash into trees of about that size, and its members are sent to all of
-its trees in blocks. Trees reach their queries by shuffle, not by a driver-side broadcast: what
+its trees, which search them a batch at a time and keep none of them. Trees reach their queries by shuffle, not by a driver-side broadcast: what
 would be broadcast grows with the corpus. Only distinct fingerprints take part (copies
-count once), and a tree gives star links to one member per connected group, not all pairs.
+count once), and a tree gives star links to one member per connected group, not all pairs. Only fingerprints and ids move, so
+texts of any length weigh the same.
 
 Components: links are contracted by alternating min-label and pointer steps as Spark jobs, with a
 checkpoint each round; nothing is collected.
@@ -153,37 +154,54 @@ class Groups:
             self.up[i] = j
 
 
-def _shard_links(own: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Star links ``(fingerprint, its group's first)`` of one tree. ``own``: its members; ``guests``:
-    fingerprints of the same shard that live in its other trees."""
-    if own.size + guests.size < 2:
-        return
-    tree, groups = BKTree(), Groups(own.size)
-    if own.size < BATCH_TREE:
-        for i, v in enumerate(own.tolist()):
-            for j in tree.near(v, radius):
-                groups.union(i, j)
-            tree.add(v)
-    else:
-        for v in own.tolist():
-            tree.add(v)
-        for node, hit in tree.near_many(own, radius):
-            for j in {groups.find(i) for i in hit.tolist()}:
-                groups.union(node, j)
-    if guests.size:
-        seen = np.full(guests.size, -1, np.int64)  # the first node each guest met
-        for node, hit in tree.near_many(guests, radius):
+class ShardSearch:
+    """Star links ``(fingerprint, its group's first)`` of one tree: its own members are inserted at once, then guests
+    (fingerprints of the same shard that live in its other trees) come in blocks, of which only the groups they join are kept."""
+
+    def __init__(self, own: np.ndarray, radius: int):
+        self.own, self.radius = own, radius
+        self.tree, self.groups = BKTree(), Groups(own.size)
+        tree, groups = self.tree, self.groups
+        if own.size < BATCH_TREE:
+            for i, v in enumerate(own.tolist()):
+                for j in tree.near(v, radius):
+                    groups.union(i, j)
+                tree.add(v)
+        else:
+            for v in own.tolist():
+                tree.add(v)
+            for node, hit in tree.near_many(own, radius):
+                for j in {groups.find(i) for i in hit.tolist()}:
+                    groups.union(node, j)
+
+    def guests(self, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The links of a block of guests, each to the first own member it met."""
+        groups = self.groups
+        seen = np.full(block.size, -1, np.int64)
+        for node, hit in self.tree.near_many(block, self.radius):
             new = seen[hit] < 0
             seen[hit[new]] = node
             for j in {groups.find(int(i)) for i in np.unique(seen[hit[~new]])}:
                 groups.union(node, j)
         at = np.flatnonzero(seen >= 0)
         if at.size:
-            yield guests[at], own[seen[at]]
-    root = np.fromiter((groups.find(i) for i in range(own.size)), np.int64, own.size)
-    moved = np.flatnonzero(root != np.arange(own.size))
-    if moved.size:
-        yield own[moved], own[root[moved]]
+            yield block[at], self.own[seen[at]]
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The links among the own members, after all guests."""
+        root = np.fromiter((self.groups.find(i) for i in range(self.own.size)), np.int64, self.own.size)
+        moved = np.flatnonzero(root != np.arange(self.own.size))
+        if moved.size:
+            yield self.own[moved], self.own[root[moved]]
+
+
+def _shard_links(own: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links of one tree whose rows are at hand."""
+    if own.size and own.size + guests.size > 1:
+        search = ShardSearch(own, radius)
+        if guests.size:
+            yield from search.guests(guests)
+        yield from search.close()
 
 
 def _block_masks(radius: int) -> list[int]:
@@ -224,34 +242,50 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODE
                 a, b = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-        held: list[np.ndarray] = []  # rows of the tree that may go on in the next batch
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "bits", "tree", "guest", "fp")]
-                rows = np.stack([c.astype(np.int64) for c in cols])
-            elif held:
-                rows = np.zeros((5, 0), np.int64)
-            else:
-                return
-            rows = np.concatenate([*held, rows], axis=1) if held else rows
-            if rows.shape[1] == 0:
+        # the tree that the last rows of a batch belong to may go on in the next: its own members so far,
+        # or, once guests have come, the search, which keeps none of them
+        now, own, search = None, [], None
+
+        def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if search is not None:
+                yield from search.close()
+            elif own:
+                yield from _shard_links(np.concatenate(own), np.zeros(0, np.uint64), radius)
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            change = np.any(rows[:3, 1:] != rows[:3, :-1], axis=0)
+            mask, bits, tree, guest, fp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                                           for c in ("mask", "bits", "tree", "guest", "fp"))
+            fp = fp.view(np.uint64)
+            change = (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1]) | (tree[1:] != tree[:-1])
             cut = np.concatenate([[0], np.flatnonzero(change) + 1])
-            ends = np.append(cut[1:], rows.shape[1])
-            last = batch is None
-            done = len(cut) if last else len(cut) - 1
-            out = []
-            for k in np.flatnonzero(ends[:done] - cut[:done] > 1):
+            ends = np.append(cut[1:], len(fp))
+            size, last, out = ends - cut, len(cut) - 1, []
+            size[[0, last]] = 2  # the first may go on from the batch before, the last in the next one
+            for k in np.flatnonzero(size > 1):  # a shard of one fingerprint has no link
                 lo, hi = cut[k], ends[k]
-                fps = np.ascontiguousarray(rows[4, lo:hi]).view(np.uint64)
-                g = int(np.searchsorted(rows[3, lo:hi], 1))
-                out += _shard_links(fps[:g], fps[g:], radius)
+                g = lo + int(np.searchsorted(guest[lo:hi], 1))
+                at = (mask[lo], bits[lo], tree[lo])
+                if 0 < k < last:
+                    out += _shard_links(fp[lo:g], fp[g:hi], radius)
+                else:
+                    if at != now:
+                        if now is not None:
+                            out += close()
+                        now, own, search = at, [], None
+                    if g > lo:
+                        own.append(fp[lo:g].copy())
+                    if hi > g and (search is not None or own):  # a tree without own members links nothing
+                        if search is None:
+                            search, own = ShardSearch(np.concatenate(own), radius), []
+                        out += search.guests(fp[g:hi])
                 if sum(len(a) for a, _ in out) > 1 << 18:
                     yield from emit(out)
                     out = []
             yield from emit(out)
-            held = [] if last else [rows[:, cut[-1]:].copy()]
+        if search is not None or own:
+            yield from emit(list(close()))
 
     return dealt.mapInArrow(run, "a long, b long")
 
