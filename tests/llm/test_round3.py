@@ -406,3 +406,49 @@ def test_shuffle_places_do_not_depend_on_the_partitioning(spark, tmp_path):
         out = external_shuffle.shuffle_to_shards(d, f"{tmp_path}/s{n}", bucket_bytes=4000)
         got.append(sorted((r.row.source, r.shard, r.slot) for r in out.collect()))
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("batch", [3, 50, 10_000])
+def test_links_when_trees_run_over_batches(spark, batch):
+    from tagwarden.llm import simhash_bk as S
+
+    rng = random.Random(batch)
+    fps = set()
+    for _ in range(40):
+        c = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            fps.add(c)
+            for _ in range(rng.randint(0, 3)):
+                c ^= 1 << rng.randrange(64)
+    fps |= {(0xABCD << 48) | rng.getrandbits(20) for _ in range(60)}  # a shard of many
+    fps = sorted(fps)
+    up = list(range(len(fps)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 3:
+                up[find(i)] = find(j)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+        links = [(r.a % 2 ** 64, r.b % 2 ** 64) for r in S.links(df, tree_nodes=8).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    at = {x: i for i, x in enumerate(fps)}
+    got = list(range(len(fps)))
+
+    def root(i):
+        while got[i] != i:
+            i = got[i]
+        return i
+
+    for a, b in links:
+        assert find(at[a]) == find(at[b])  # no link that is none
+        got[root(at[a])] = root(at[b])
+    assert len({root(i) for i in got}) == len({find(i) for i in up})
