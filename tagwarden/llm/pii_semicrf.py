@@ -4,7 +4,8 @@ Base spans come from four patterns (email, ip, card, phone). Around every digit,
 worded at-mark that no base span covers, the text is cut into tokens, and a semi-Markov CRF
 scores whole candidate segments (digit and group counts, checksum, separators, borders,
 context words); a dynamic program over segments of at most ``MAX_TOKENS`` tokens picks
-boundaries and types together. What it labels is added to the base spans, which always stay.
+boundaries and types together. What it labels is added to the base spans, which always stay. A stretch of any length (a long table
+of numbers) is taken in windows, with the same result.
 
 Training: regions of a bounded sample of documents (``SAMPLE_DOCS`` documents, ``SAMPLE_REGIONS``
 regions), whose base spans are the gold segments, plus rewritten forms of those spans (worded
@@ -12,14 +13,19 @@ at-marks, defanged addresses, other separators) and plain numbers as negatives.
 the conditional likelihood comes from the forward-backward sums over all segmentations.
 
 Nulls and odd inputs: a null text is empty and has no span; positions are code points; a table
-without any base span to learn from adds nothing; equal texts get equal spans.
+without any base span to learn from adds nothing; equal texts get equal spans and count once in the sample; very long texts are
+read whole; of segmentations that score alike the one with earlier, longer entities is taken; an empty table gives no rows; in the
+pipeline the row rides in a struct, so no input column can clash.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +39,7 @@ from tagwarden.llm.common import nested, smallest_hashes, table
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_REGIONS = 4_000, 600
 MAX_TOKENS, MAX_CHARS = 18, 64
+WINDOW_TOKENS, AROUND = 2_048, 16  # tokens whose segments are scored together, and tokens beside them that features look at
 EPOCHS, RATE, L2 = 14, 0.3, 1e-3
 
 # ---------------------------------------------------------------- base spans
@@ -128,17 +135,23 @@ def regions(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(max(0, a - MAX_CHARS), min(len(text), b + MAX_CHARS)) for a, b, n in out if n >= LEAST_DIGITS]
 
 
+def token_borders(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """``lo`` and ``hi`` moved outward so that they cut no word or number in two."""
+    while lo > 0 and text[lo - 1].isalnum() and text[lo].isalnum():
+        lo -= 1
+    while hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum():
+        hi += 1
+    return lo, hi
+
+
 class Region:
-    """Tokens of a region, its candidate segments and their features."""
-
-    def __init__(self, text: str, lo: int, hi: int, blocked: list[tuple[int, int]]):
-        # move to token borders so that a border never cuts a word or a number in two
-        while lo > 0 and text[lo - 1].isalnum() and text[lo].isalnum():
-            lo -= 1
-        while hi < len(text) and text[hi - 1].isalnum() and text[hi].isalnum():
-            hi += 1
+    """Tokens of a region (or of a window of one), their candidate segments and features."""
+
+    def __init__(self, text: str, lo: int, hi: int, blocked: list[tuple[int, int]], spans: list[tuple[int, int]] | None = None):
         self.text = text
-        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
+        if spans is None:
+            lo, hi = token_borders(text, lo, hi)
+            spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
         self.spans = spans
         self.n = len(spans)
         self.tok = [text[a:b] for a, b in spans]
@@ -148,8 +161,8 @@ class Region:
         self.segments: list[tuple[int, int]] = []  # token ranges
         self.numeric: list[bool] = []
         rows = []
-        for i, j in self._numeric_ranges():
-            rows.append(self._numeric_features(i, j))
+        for i, j, row in self._numbers():
+            rows.append(row)
             self.segments.append((i, j))
             self.numeric.append(True)
         for i, k, j in self._email_ranges():
@@ -162,27 +175,51 @@ class Region:
         """Token i follows token i - 1 without white space."""
         return self.spans[i][0] == self.spans[i - 1][1]
 
-    def _numeric_ranges(self) -> Iterator[tuple[int, int]]:
-        tok = self.tok
-        for i in range(self.n):
-            if not self.free[i] or not ("0" <= tok[i][0] <= "9" or tok[i] in "+("):
-                continue
-            if len(tok[i]) > 19:
+    def _numbers(self) -> Iterator[tuple[int, int, list[float]]]:
+        """Numeric segments with their features, which grow with the segment token by token."""
+        tok, spans, free, n = self.tok, self.spans, self.free, self.n
+        digit = ["0" <= t[0] <= "9" for t in tok]
+        glued = [True] + [spans[x][0] == spans[x - 1][1] for x in range(1, n)]
+        rights: dict[int, tuple] = {}
+        for i in range(n):
+            if not free[i] or not (digit[i] or tok[i] in "+(") or len(tok[i]) > 19:
                 continue
-            digits = 0
-            for j in range(i, min(self.n, i + MAX_TOKENS)):
+            left = None
+            begin, digits, groups, lengths = spans[i][0], 0, [], []
+            seps: set[str] = set()
+            spaces, small, dots = 0, True, True
+            for j in range(i, min(n, i + MAX_TOKENS)):
                 t = tok[j]
-                if not self.free[j] or self.spans[j][1] - self.spans[i][0] > MAX_CHARS:
+                if not free[j] or spans[j][1] - begin > MAX_CHARS:
                     break
-                if "0" <= t[0] <= "9":
-                    digits += len(t)
-                    if digits > 19:
+                spaces += j > i and not glued[j]
+                if not digit[j]:
+                    if t not in _SEPARATOR or (t == "+" and j > i) or (j > i and spans[j][0] - spans[j - 1][1] > 1):
                         break
-                    if digits >= LEAST_DIGITS:
-                        yield i, j + 1
-                elif t not in _SEPARATOR or (t == "+" and j > i) or \
-                        (j > i and self.spans[j][0] - self.spans[j - 1][1] > 1):
+                    seps.add(t)
+                    dots = dots and t in _DOT
+                    continue
+                digits += len(t)
+                if digits > 19:
                     break
+                groups.append(t)
+                lengths.append(len(t))
+                small = small and _small(t)
+                if digits < LEAST_DIGITS:
+                    continue
+                left = self._left(i) if left is None else left
+                right = rights.get(j)
+                if right is None:
+                    right = rights[j] = self._right(j + 1)
+                g, dotted = len(groups), bool(seps) and dots and not spaces
+                yield i, j + 1, [
+                    1.0, left[0], right[0], left[1], right[1], *left[2], digits < 7, 7 <= digits <= 8, 9 <= digits <= 12,
+                    13 <= digits <= 15, digits == 16, digits > 16, g == 1, g == 2, g == 3, g == 4, g > 4, tok[i] == "+", "(" in seps,
+                    ("(" in seps) != (")" in seps), dotted and g == 4 and small, dotted,
+                    digits >= 13 and luhn("".join(groups)), lengths == [4, 4, 4, 4],
+                    lengths in _PHONE_SHAPES, len(seps) > 1, spaces > 0,
+                    i > 0 and digit[i - 1] and begin - spans[i - 1][1] <= 1,
+                    j + 1 < n and digit[j + 1] and spans[j + 1][0] - spans[j][1] <= 1, *_NO_EMAIL]
 
     def _email_ranges(self) -> Iterator[tuple[int, int, int]]:
         tok, low = self.tok, self.low
@@ -219,36 +256,23 @@ class Region:
                     break
             yield from ((i, k, j) for i in starts for j in ends if j - i <= MAX_TOKENS)
 
+    def _left(self, i: int) -> tuple[bool, bool, list[bool]]:
+        """Of a segment that begins at token i: a free border, a joined border, and the kinds that the words before name."""
+        text, a = self.text, self.spans[i][0]
+        kinds = {CONTEXT[w] for t in self.tok[max(0, i - 4):i] if (w := t.lower()) in CONTEXT}
+        left, left2 = text[a - 1] if a else " ", text[a - 2] if a > 1 else " "
+        return (not (left.isalnum() or left in "_@"), left in ".-+(/" and left2 != " " and left2.isalnum(),
+                [k in kinds for k in KINDS])
+
+    def _right(self, j: int) -> tuple[bool, bool]:
+        """Of a segment that ends before token j: a free border, a joined border."""
+        text, b = self.text, self.spans[j - 1][1]
+        right, right2 = text[b] if b < len(text) else " ", text[b + 1] if b + 1 < len(text) else " "
+        return not (right.isalnum() or right in "_@"), right in ".-+/@" and right2.isalnum()
+
     def _borders(self, i: int, j: int) -> list[float]:
-        text, a, b = self.text, self.spans[i][0], self.spans[j - 1][1]
-        words = [w.lower() for w in self.tok[max(0, i - 4):i]]
-        kinds = {CONTEXT[w] for w in words if w in CONTEXT}
-        left, right = text[a - 1] if a else " ", text[b] if b < len(text) else " "
-        left2, right2 = text[a - 2] if a > 1 else " ", text[b + 1] if b + 1 < len(text) else " "
-        return [1.0, float(not (left.isalnum() or left in "_@")), float(not (right.isalnum() or right in "_@")),
-                float(left in ".-+(/" and left2 != " " and left2.isalnum()),
-                float(right in ".-+/@" and right2.isalnum()),
-                *[float(k in kinds) for k in KINDS]]
-
-    def _numeric_features(self, i: int, j: int) -> list[float]:
-        tok = self.tok[i:j]
-        groups = [t for t in tok if "0" <= t[0] <= "9"]
-        seps = [t for t in tok if not "0" <= t[0] <= "9"]
-        digits = "".join(groups)
-        n, g = len(digits), len(groups)
-        a, b = self.spans[i][0], self.spans[j - 1][1]
-        spaces = sum(not self._glued(x) for x in range(i + 1, j))
-        dotted = bool(seps) and all(t in _DOT for t in seps) and not spaces
-        more_left = i > 0 and "0" <= self.tok[i - 1][0] <= "9" and a - self.spans[i - 1][1] <= 1
-        more_right = j < self.n and "0" <= self.tok[j][0] <= "9" and self.spans[j][0] - b <= 1
-        shape = "-".join(str(len(x)) for x in groups)
-        return [*self._borders(i, j), float(n < 7), float(7 <= n <= 8), float(9 <= n <= 12), float(13 <= n <= 15),
-                float(n == 16), float(n > 16), float(g == 1), float(g == 2), float(g == 3), float(g == 4), float(g > 4),
-                float(tok[0] == "+"), float("(" in seps), float(("(" in seps) != (")" in seps)),
-                float(dotted and g == 4 and all(map(_small, groups))), float(dotted),
-                float(13 <= n <= 19 and luhn(digits)), float(n >= 13 and shape == "4-4-4-4"),
-                float(shape in ("3-3-4", "1-3-3-4", "2-3-3-4")), float(len(set(seps)) > 1), float(spaces > 0),
-                float(more_left), float(more_right), *[0.0] * 7]
+        left, right = self._left(i), self._right(j)
+        return [1.0, left[0], right[0], left[1], right[1], *left[2]]
 
     def _email_features(self, i: int, k: int, j: int) -> list[float]:
         tok, low = self.tok, self.low
@@ -263,6 +287,8 @@ class Region:
 
 
 WIDTH = 9 + 23 + 7
+_NO_EMAIL = [0.0] * 7
+_PHONE_SHAPES = ([3, 3, 4], [1, 3, 3, 4], [2, 3, 3, 4])
 
 
 def _allowed(region: Region) -> np.ndarray:
@@ -325,6 +351,47 @@ def decode(region: Region, w: np.ndarray) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
+def decode_windows(text: str, lo: int, hi: int, blocked: list[tuple[int, int]], w: np.ndarray,
+                   window: int = WINDOW_TOKENS) -> list[tuple[str, int, int]]:
+    """``decode`` for a region of any length: segments are built and scored for ``window`` first tokens at a time.
+
+    An entity has at most ``MAX_TOKENS`` tokens, so a place's best score is known once all segments that begin before it are, and
+    features look a few tokens around. Of the whole region only token places and the program's choices are held (about 30 bytes a token).
+    """
+    lo, hi = token_borders(text, lo, hi)
+    begin, end = array("q"), array("q")
+    for m in _TOKEN.finditer(text, lo, hi):
+        begin.append(m.start())
+        end.append(m.end())
+    n = len(begin)
+    best, how, kinds = np.zeros(n + 1), np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int8)
+    by_end: dict[int, list[tuple]] = {}
+    for first in range(0, n, window):
+        last = min(n, first + window)
+        a, z = max(0, first - AROUND), min(n, last + MAX_TOKENS + AROUND)
+        part = Region(text, begin[a], end[z - 1], blocked, list(zip(begin[a:z], end[a:z])))
+        if part.segments:
+            score = np.where(_allowed(part), part.features @ w.T, -1e9)
+            kind, top = score.argmax(1), score.max(1)
+            for s in np.flatnonzero(top > 0):  # a segment that scores less than outside tokens is in no best segmentation
+                i, j = part.segments[s]
+                if first <= a + i < last:
+                    by_end.setdefault(a + j, []).append((not part.numeric[s], a + i, float(top[s]), int(kind[s])))
+        for t in range(first + 1, last + 1):
+            best[t] = best[t - 1]
+            for _, i, v, k in sorted(by_end.pop(t, ()), key=lambda x: x[:2]):
+                if best[i] + v > best[t]:
+                    best[t], how[t], kinds[t] = best[i] + v, i, k
+    out, t = [], n
+    while t > 0:
+        if how[t] < 0:
+            t -= 1
+        else:
+            out.append((KINDS[kinds[t]], begin[how[t]], end[t - 1]))
+            t = int(how[t])
+    return out[::-1]
+
+
 # ---------------------------------------------------------------- training
 def _rewritten(kind: str, s: str, rng: random.Random) -> str | None:
     """Another written form of a base span, or None."""
@@ -442,11 +509,15 @@ def find(text: str, weights: np.ndarray | None) -> tuple[list, list]:
     base = base_spans(text)
     if weights is None:
         return base, base
-    covered = [s[1:] for s in base]
+    covered = sorted(s[1:] for s in base)
+    starts = [a for a, _ in covered]
+    reach = list(itertools.accumulate((b for _, b in covered), max))  # rises, so what ends before a place can be skipped
     added: list[tuple[str, int, int]] = []
     for lo, hi in regions(text, covered):
-        r = Region(text, lo, hi, covered + [s[1:] for s in added])
-        added += decode(r, weights)
+        lo, hi = token_borders(text, lo, hi)
+        near = covered[bisect.bisect_right(reach, lo):bisect.bisect_left(starts, hi)]
+        before = itertools.takewhile(lambda s: s[2] > lo, reversed(added))  # regions go upward and so do their spans
+        added += decode_windows(text, lo, hi, near + [s[1:] for s in before], weights)
     if not added:
         return base, base
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
