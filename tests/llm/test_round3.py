@@ -452,3 +452,72 @@ def test_links_when_trees_run_over_batches(spark, batch):
         assert find(at[a]) == find(at[b])  # no link that is none
         got[root(at[a])] = root(at[b])
     assert len({root(i) for i in got}) == len({find(i) for i in up})
+
+
+# ------------------------------------------------------------------ op8
+@pytest.fixture(scope="module")
+def pii_weights(spark):
+    from tagwarden.llm import pii_semicrf as P
+
+    return P.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0"))
+
+
+def _mixed(rng, n):
+    parts = ["(212) 555-0199", "jo [at] mail [dot] com", "4111/1111/1111/1111", "10[.]0[.]0[.]1", "1.2", "a@b", "call", "2024-01-02", "x", "7", "555"]
+    out = []
+    while sum(map(len, out)) < n:
+        out += [rng.choice(parts), rng.choice([" ", " ", ",", ", ", "\n"])]
+    return "".join(out)
+
+
+def test_windows_decode_like_the_whole_region(pii_weights):
+    from tagwarden.llm import pii_semicrf as P
+
+    rng = random.Random(21)
+    for n in (50, 400, 4000):
+        for _ in range(6):
+            t = _mixed(rng, n)
+            blocked = [(3, 9)] if n == 400 else []
+            want = P.decode(P.Region(t, 0, len(t), blocked), pii_weights)
+            for window in (1, 16, 100, 2048):
+                assert P.decode_windows(t, 0, len(t), blocked, pii_weights, window) == want
+
+
+def test_a_long_table_of_numbers_takes_little_memory(pii_weights):
+    import tracemalloc
+    from tagwarden.llm import pii_semicrf as P
+
+    rng = random.Random(22)
+    t = " ".join(str(rng.randint(0, 999)) for _ in range(27_000))  # one region of 100 KB
+    assert len(P.regions(t, [])) == 1
+    tracemalloc.start()
+    P.find(t, pii_weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+
+
+def test_added_spans_on_held_out_rewritten_forms(spark, pii_weights):
+    """Base spans of documents that were not learned from, written in other forms, and plain numbers in their places."""
+    from tagwarden.llm import pii_semicrf as P
+
+    rng = random.Random(23)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 1 and text is not null").collect()
+    right = wrong = missed = clean = alarms = 0
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        for kind, a, b in P.base_spans(r.text) * 6:
+            other = P._rewritten(kind, r.text[a:b], rng)
+            if other is not None and not P.base_spans(other):
+                near, after = r.text[max(0, a - 200):a], r.text[b:b + 200]
+                got = [s for s in P.find(near + other + after, pii_weights)[1] if s[1] < len(near) + len(other) and s[2] > len(near)]
+                hit = (kind, len(near), len(near) + len(other)) in got
+                right, missed, wrong = right + hit, missed + (not hit), wrong + len(got) - hit
+            plain = P._plain(rng)
+            if not P.base_spans(plain):
+                near, after = r.text[max(0, a - 200):a], r.text[b:b + 200]
+                if not any(s[1] < len(near) + len(plain) and s[2] > len(near) for s in P.base_spans(near + plain + after)):
+                    clean += 1
+                    alarms += any(s[1] < len(near) + len(plain) and s[2] > len(near) for s in P.find(near + plain + after, pii_weights)[1])
+    print(f"recall {right / (right + missed):.3f} ({right + missed} forms), precision {right / (right + wrong + alarms):.3f}, "
+          f"alarms {alarms} of {clean} plain numbers")
+    assert right + missed > 50 and right / (right + missed) >= 0.9 and right / (right + wrong + alarms) >= 0.9
