@@ -1,0 +1,252 @@
+"""The registered queries, column by column, against plain versions that share no code with them."""
+import collections
+import hashlib
+import math
+import os
+import re
+import sys
+import zlib
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, os.path.dirname(__file__))
+import fixtures as fx  # noqa: E402
+
+from tagwarden.llm import language_id, toxicity_chain  # noqa: E402
+from tagwarden.llm.queries import QUERIES  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def folders(spark, sf_dir, tmp_path_factory):
+    """The smallest table, and the odd one."""
+    odd = fx.save(fx.documents(spark, fx.odd_texts() * 2, ids=[*range(len(fx.odd_texts())), *[None] * 3, *[4] * (len(fx.odd_texts()) - 3)]),
+                  tmp_path_factory.mktemp("odd"), "documents")
+    return [sf_dir, odd]
+
+
+def _docs(spark, folder):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def _sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+# ------------------------------------------------------------------ 2
+def plain_trigrams(text):
+    """Middle letter with a letter on one side at least; other characters are one blank."""
+    out = collections.Counter()
+    codes = [0]
+    for c in text.lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif codes[-1]:
+            codes.append(0)
+    codes.append(0)
+    M = 0xFFFFFFFF
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if b and (a or c):
+            h = (a * 0x9E3779B1 & M) ^ (b * 0x85EBCA77 & M) ^ (c * 0xC2B2AE3D & M)
+            h = (h ^ h >> 15) * 0x2C1B3C6D & M
+            out[h >> 16] += 1
+    return out
+
+
+def plain_mixture(n, p, langs):
+    """Proportions and score by expectation-maximisation over lists, dropping languages by penalised likelihood."""
+    total = sum(n.values())
+
+    def loglik(w):
+        return sum(k * math.log(sum(w[x] * p[x][g] for x in w)) for g, k in n.items())
+
+    def em(w):
+        for _ in range(60):
+            new = {x: sum(k * w[x] * p[x][g] / sum(w[y] * p[y][g] for y in w) for g, k in n.items()) / total for x in w}
+            done = max(abs(new[x] - w[x]) for x in w) < 1e-4
+            w = new
+            if done:
+                break
+        s = sum(w.values())
+        return {x: v / s for x, v in w.items()}
+
+    alone = {x: loglik({x: 1.0}) for x in langs}
+    top = max(langs, key=lambda x: alone[x])
+    post = 1 / sum(math.exp(alone[x] - alone[top]) for x in langs)
+    price = 0.5 * math.log(max(total, 2))
+    w = em({x: 1 / len(langs) for x in langs})
+    value = loglik(w)
+    if value - alone[top] <= price:
+        return {top: 1.0}, post
+    while len(w) > 1:
+        rest = dict(w)
+        del rest[min(rest, key=rest.get)]
+        if len(rest) == 1:
+            w2 = dict.fromkeys(rest, 1.0)
+        else:
+            s = sum(v + 1e-6 for v in rest.values())
+            w2 = em({x: (v + 1e-6) / s for x, v in rest.items()})
+        value2 = loglik(w2)
+        if value2 + price < value:
+            break
+        w, value = w2, value2
+    return ({top: 1.0}, post) if value - price * (len(w) - 1) < alone[top] else (w, post)
+
+
+def test_language_query_is_the_plain_rule(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    held = {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in [(r.text, r.lang) for r in rows if r.doc_id not in held and r.lang and r.text is not None]:
+        counts[lang] += plain_trigrams(text)
+    langs = sorted(counts)
+    p = {}
+    for x in langs:  # every cell has the smoothing, so all languages know all trigrams
+        whole = sum(counts[x].values()) + language_id.SMOOTHING * language_id.BUCKETS
+        p[x] = collections.defaultdict(lambda v=language_id.SMOOTHING / whole: v,
+                                       {g: (k + language_id.SMOOTHING) / whole for g, k in counts[x].items()})
+    got = {r.doc_id: r for r in QUERIES["op2_language_mixture"](spark, sf_dir).collect()}
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        g = got[r.doc_id]
+        assert g.held_out == (r.doc_id in held)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        n = plain_trigrams(r.text)
+        if not n:
+            continue
+        w, post = plain_mixture(n, p, langs)
+        best = max(sorted(w), key=w.get)
+        assert g.lang_pred == best or abs(w[best] - w.get(g.lang_pred, 0)) < 1e-4
+        assert g.score == pytest.approx(w[best] * (post if len(w) == 1 else 1.0), abs=2e-3)
+
+
+# ------------------------------------------------------------------ 3
+def plain_chain(texts, labels, folds):
+    """Dense logistic models by full Newton steps; probabilities of the last links, and the cuts."""
+    bags = [set(re.findall(r"[^\W\d_]+|[^\w\s]", (t or "").lower())) for t in texts]
+    bags = [{zlib.crc32(x.encode()) & (toxicity_chain.CELLS - 1) for x in b} for b in bags]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+    def fit(use, y, earlier):
+        if not len(use) or y.min() == y.max():
+            rate = (y.sum() + 0.5) / (len(y) + 1)
+            return lambda who, e: np.full(len(who), rate)
+        n, pos = collections.Counter(), collections.Counter()
+        for i, v in zip(use, y):
+            for c in bags[i]:
+                n[c] += 1
+                pos[c] += v
+        rate = y.mean()
+        chi = {c: (pos[c] - n[c] * rate) ** 2 / (n[c] * (1 - n[c] / len(y)) * max(rate * (1 - rate), 1e-9)) for c in n if 3 <= n[c] < len(y)}
+        chosen = sorted(sorted(chi, key=lambda c: (-chi[c], c))[:toxicity_chain.SELECTED])
+        matrix = lambda who, e: np.array([[float(c in bags[i]) for c in chosen] + list(f) + [1.0] for i, f in zip(who, e)])
+        x = matrix(use, earlier)
+        ridge = np.full(x.shape[1], toxicity_chain.L2)
+        ridge[-1] = 1e-4
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            q = sigmoid(x @ w)
+            w = w - np.linalg.solve((x.T * (q * (1 - q) + 1e-9)) @ x + np.diag(ridge), x.T @ (q - y) + ridge * w)
+        return lambda who, e: sigmoid(matrix(who, e) @ w)
+
+    oof = np.zeros((len(texts), 0))
+    final = np.zeros((len(texts), 0))
+    for c in range(labels.shape[1]):
+        known = ~np.isnan(labels[:, c])
+        col = np.zeros(len(texts))
+        for f in range(toxicity_chain.FOLDS):
+            use, hold = np.flatnonzero(known & (folds != f)), np.flatnonzero(folds == f)
+            col[hold] = fit(use, labels[use, c], oof[use])(hold, oof[hold])
+        use = np.flatnonzero(known)
+        model = fit(use, labels[use, c], oof[use])
+        final = np.column_stack([final, model(range(len(texts)), final)])
+        oof = np.column_stack([oof, col])
+    return final
+
+
+def test_toxicity_query_is_the_plain_chain(spark, sf_dir):
+    docs = dict(_docs(spark, sf_dir))
+    low, tox = collections.defaultdict(list), collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
+        low[r.doc_id].append(None if r.quality is None else 1 - r.quality)
+        tox[r.doc_id].append(r.toxic)
+    ids = sorted(i for i in low if i in docs)
+    top = lambda v: max((x for x in v if x is not None), default=np.nan)
+    y = np.array([[top(low[i]), top(tox[i])] for i in ids], float)
+    folds = np.array([zlib.crc32(str(i).encode()) % toxicity_chain.FOLDS for i in ids])
+    want = plain_chain([docs[i] for i in ids], y, folds)
+    got = {r.doc_id: r for r in QUERIES["op3_toxicity_chain"](spark, sf_dir).collect()}
+    assert set(got) == set(docs)
+    diff = np.abs(np.array([[got[i].low_quality_score, got[i].toxic_score] for i in ids]) - want)
+    assert diff.max() < 0.03 and diff.mean() < 0.005
+
+
+# ------------------------------------------------------------------ 5
+def test_bpe_query_is_tiktoken(spark, folders):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                            mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    for folder in folders:
+        want = collections.Counter()
+        for i, t in _docs(spark, folder):
+            ids = enc.encode_ordinary(t or "")
+            want[i, len(ids), _sha(",".join(map(str, ids))), _sha((t or "").encode())] += 1
+        rows = QUERIES["op5_bpe_matrix"](spark, folder).collect()
+        assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+
+
+# ------------------------------------------------------------------ 8
+def plain_base(text):
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+                          ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m.group() if c in "0123456789"]
+            luhn = sum(sum(divmod(2 * x, 10)) if k % 2 else x for k, x in enumerate(reversed(d))) % 10 == 0
+            if kind == "email" or kind == "ip" and all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split(".")) or \
+                    kind == "card" and 13 <= len(d) <= 19 and luhn or kind == "phone" and 9 <= len(d) <= 15:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_query_against_the_plain_patterns(spark, folders):
+    for folder in folders:
+        want = collections.Counter()
+        for i, t in _docs(spark, folder):
+            base = plain_base(t or "")
+            n = collections.Counter(k for k, _, _ in base)
+            want[i, n["email"], n["ip"], n["card"], n["phone"], _sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))] += 1
+        rows = QUERIES["op8_pii_semicrf"](spark, folder).collect()
+        assert collections.Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows) == want
+        texts = collections.defaultdict(list)
+        for i, t in _docs(spark, folder):
+            texts[i].append({f"{k}:{a}:{b}" for k, a, b in plain_base(t or "")})
+        order = {k: n for n, k in enumerate(("email", "ip", "card", "phone"))}
+        for r in rows:
+            spans = r.spans.split(",") if r.spans else []
+            assert any(base <= set(spans) for base in texts[r.doc_id])  # base spans stay
+            keys = [(order[s.split(":")[0]], int(s.split(":")[1])) for s in spans]
+            assert keys == sorted(keys)
+
+
+# ------------------------------------------------------------------ 10
+def test_shuffle_query_keeps_its_law(spark, folders):
+    for folder in folders:
+        rows = QUERIES["op10_external_shuffle"](spark, folder).collect()
+        want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in _docs(spark, folder))
+        assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+        assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+        slots = collections.defaultdict(list)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+        assert set(slots) <= set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        sizes = [len(slots.get(s, ())) for s in range(16)]
+        assert max(sizes) - min(sizes) <= 1
+        by_id = [r.doc_id or 0 for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+        rises = sum(a <= b for a, b in zip(by_id, by_id[1:]))
+        assert len(rows) < 100 or 0.35 < rises / len(rows) < 0.65  # no order by id is left
