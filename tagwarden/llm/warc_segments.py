@@ -4,10 +4,11 @@ Writing: a page is a ``response`` record whose block is an HTTP message in chunk
 of pages with equal payloads the one with the smallest id is the response and the others are
 ``revisit`` records that refer to it. A block of over ``SEGMENT_BYTES`` is cut: the first
 segment keeps the record's id (WARC-Segment-Number 1), the others are ``continuation`` records that
-name it as their origin, and the last one has the total length. The files are written by Spark's own
-writer (gzip), each with a bounded number of records.
+name it as their origin, and the last one has the total length. Every record is a gzip member of its own, so one can be read at
+its offset alone; the files are written by Spark's own writer, each with a bounded number of records. (A record of under 16 MB ends
+its member with a zero byte, which the writer puts there as its line end.)
 
-Reading: files are parsed by Content-Length; continuation records are grouped by origin id,
+Reading: files are inflated and parsed by Content-Length as a stream, so beside a file's bytes one record is in memory; continuation records are grouped by origin id,
 ordered by segment number, their total length verified; the chunked framing is decoded and the
 payload's digest verified. A record that lacks a segment or fails a check comes back with an ``error``, and so does
 what cannot be read at all: a cut or damaged gzip member (what it held up to there is read), a record cut short, a
@@ -15,7 +16,7 @@ number in a head that is none. Zero bytes after a member are padding.
 
 Nulls and odd inputs: a null html is an empty payload, and empty payloads are equal like others; a
 null url is left out of the record; a row that repeats page_id and html gets a record of its own (a
-revisit of the first); a null page_id is read back as null; of ties for the first the row with the smallest url is the
+revisit of the first), and where rows repeat as a whole they are counted and written from their counts, in runs dealt to all tasks; a null page_id is read back as null; of ties for the first the row with the smallest url is the
 response; very long payloads are segmented whole; an empty table gives archives without records and no rows; only the
 three named columns are read, so none can clash.
 """
@@ -36,6 +37,7 @@ from pyspark.sql import Window as W
 from tagwarden.llm.common import new_folder, table
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 16 << 10, 4 << 10, 2_000
+RUN = 1_000  # copies of one row that a task writes at a time
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that a task that runs again writes the same bytes
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -69,6 +71,15 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
+def member(record: bytes) -> bytes:
+    """A record and the empty lines after it as a gzip member, without its last byte, which is zero."""
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = c.compress(record + b"\r\n\r\n") + c.flush()
+    if data[-1]:
+        raise ValueError("a record of 16 MB or more; take smaller segments")
+    return data[:-1]
+
+
 def _record(headers: dict[str, object], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in headers.items() if v is not None)
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"Content-Length: %d\r\n\r\n" % len(block) + block
@@ -104,8 +115,11 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES)
     """Writes ``pages (page_id, url, html)`` as WARC files under ``folder``.
 
     Equal payloads are found on (digest, id) rows, pre-aggregated, so a payload that a third of
-    all pages share moves as one row a task; the pages themselves are shuffled once, by id.
+    all pages share moves as one row a task; the pages themselves are shuffled once, by id. Rows that repeat id, url and html
+    are folded into one with their count before that.
     """
+    spark = pages.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     # a key without nulls: the join and the window below then share one shuffle of the pages
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
@@ -114,23 +128,30 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES)
     keys = keys.where("n > 1").select("sha", "first_id")
     # only pages whose payload repeats need to know the first of them
     firsts = p.select("key", "sha").distinct().join(keys, "sha").select("key", "sha", "first_id", F.lit(True).alias("more"))
-    same = W.partitionBy("key", "sha").orderBy("url")
-    rows = p.join(firsts, ["key", "sha"], "left").select(
-        "page_id", "url", "payload", "first_id", F.col("more").isNotNull().alias("repeats"),
-        F.row_number().over(same).alias("ordinal"))
+    first_id = [F.col("first_id"), F.col("more").isNotNull().alias("repeats")]
+    if p.groupBy("key", "sha").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        rows = p.join(firsts, ["key", "sha"], "left").select("page_id", "url", "payload", *first_id, F.lit(1).cast("long").alias("ordinal"))
+    else:  # rows of one id and payload are numbered by url: those of one url at once, by their count
+        d = p.groupBy("page_id", "key", "sha", "url").agg(F.min("payload").alias("payload"), F.count("*").alias("n"))
+        same = W.partitionBy("key", "sha").orderBy("url")
+        d = d.join(firsts, ["key", "sha"], "left").select("page_id", "url", "payload", *first_id, "n", (F.sum("n").over(same) - F.col("n")).alias("before"))
+        runs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("run")
+        d = d.select("*", runs).repartition(n, F.xxhash64("page_id", "url", "run"))
+        copies = F.sequence(F.col("run"), F.least("n", F.col("run") + RUN) - 1)
+        rows = d.select("page_id", "url", "payload", "first_id", "repeats", "before", F.explode(copies).alias("copy")) \
+            .select("page_id", "url", "payload", "first_id", "repeats", (F.col("before") + F.col("copy") + 1).alias("ordinal"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
                 first = not r["repeats"] or (r["page_id"] == r["first_id"] and r["ordinal"] == 1)
-                out += records(r["page_id"], r["url"], r["payload"], r["ordinal"], r["first_id"],
-                               None if first else 1, segment)
+                out += map(member, records(r["page_id"], r["url"], r["payload"], r["ordinal"], r["first_id"],
+                                           None if first else 1, segment))
             yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
     (rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
-     .text(folder))
+     .write.option("lineSep", "\u0000").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder))
 
 
 _PARSED = ("type string, id string, uri string, digest string, refers string, origin string, number int, total long, "
@@ -147,20 +168,41 @@ def _number(text: str | None) -> int | None:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one uncompressed archive; ``error`` tells what is wrong with one. After a record whose length
-    cannot be read, the next line that begins a record is looked for."""
-    at = 0
-    while at < len(data):
-        if data[at:at + 5] != b"WARC/":
-            at = data.find(b"WARC/", at)  # stray bytes between records
-            if at < 0:
+    """The records of one uncompressed archive."""
+    return parse_stream(iter([data]))
+
+
+def parse_stream(chunks: Iterator[bytes]) -> Iterator[dict]:
+    """The records of an archive that comes in chunks; ``error`` tells what is wrong with one. Only what is not yet parsed
+    is held. After a record whose length cannot be read, the next line that begins a record is looked for."""
+    held = bytearray()
+
+    def more() -> bool:
+        chunk = next(chunks, None)
+        if chunk is None:
+            return False
+        held.extend(chunk)
+        return True
+
+    def find(what: bytes, at: int = 0) -> int:
+        while (found := held.find(what, at)) < 0:
+            at = max(at, len(held) - len(what) + 1)
+            if not more():
+                return -1
+        return found
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:  # stray bytes between records
+            del held[:max(0, len(held) - 4)]
+            if not more():
                 return
-        end = data.find(b"\r\n\r\n", at)
+        del held[:at]
+        end = find(b"\r\n\r\n")
         if end < 0:
             yield {"block": b"", "digest": "", "error": "record head cut short"}
             return
         head = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in bytes(held[:end]).split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             head[k.strip().lower()] = v.strip().decode("utf-8", "replace")
         get = head.get
@@ -171,12 +213,14 @@ def parse(data: bytes) -> Iterator[dict]:
             number = None if number is None else min(number, 2 ** 31 - 1)
         except ValueError as e:
             error = str(e)
+        block = b""
         if size is None:
-            after = data.find(b"\r\n\r\nWARC/", end)
-            block = b""
+            after = find(b"\r\n\r\nWARC/", end)
         else:
             after = end + 4 + size
-            block = data[end + 4:after]
+            while len(held) < after and more():
+                pass
+            block = bytes(held[end + 4:after])
             if len(block) < size:
                 error = error or "record cut short"
         yield {"type": get(b"warc-type"), "id": get(b"warc-record-id"), "uri": get(b"warc-target-uri"),
@@ -185,7 +229,7 @@ def parse(data: bytes) -> Iterator[dict]:
                "number": number, "total": total, "block": block, "error": error}
         if after < 0:
             return
-        at = after + 4
+        del held[:after]
 
 
 def read_archives(spark, folder: str) -> DataFrame:
@@ -202,9 +246,11 @@ def read_archives(spark, folder: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.column("content"):
-                raw, broken = _gunzip(c.as_py())
+                broken: list[str] = []
                 held, size = [], 0
-                for r in itertools.chain(parse(raw), [{"block": b"", "digest": "", "error": broken}] if broken else []):
+                # the stream ends before ``broken`` is asked for
+                for r in itertools.chain(parse_stream(inflated(c.as_py(), broken)), (
+                        {"block": b"", "digest": "", "error": e} for e in broken)):
                     held.append(r)
                     size += len(r["block"])
                     if size > 4 << 20:
@@ -223,27 +269,33 @@ def read_archives(spark, folder: str) -> DataFrame:
                                            "refers string, payload binary, error string")
 
 
-def _gunzip(raw: bytes) -> tuple[bytes, str | None]:
-    """What all members of a gzip file hold, and what is wrong with the last one read; other files as they are."""
+def inflated(raw: bytes, broken: list[str]) -> Iterator[bytes]:
+    """What the members of a gzip file hold, in steps; other files as they are. What is wrong with the last member
+    read goes to ``broken``, after all that stands before the damage."""
     if raw[:2] != b"\x1f\x8b":
-        return raw, None
-    out, error, at = [], None, 0
-    view = memoryview(raw)
-    while error is None:
+        yield raw
+        return
+    view, at = memoryview(raw), 0
+    while True:
         while at < len(raw) and raw[at] == 0:  # padding
             at += 1
         if at >= len(raw):
-            break
+            return
         d = zlib.decompressobj(31)
         try:
-            while not d.eof and at < len(raw):  # in steps, so that what stands before the damage is kept
-                out.append(d.decompress(view[at:at + (1 << 16)]))
-                at = min(at + (1 << 16), len(raw)) - len(d.unused_data)
-            if not d.eof:
-                error = "gzip member cut short"
+            while not d.eof and at < len(raw):
+                step = view[at:at + (1 << 16)]
+                part = d.decompress(step, 4 << 20)
+                yield part
+                while not d.eof and d.unconsumed_tail:  # a member may inflate to very much
+                    yield d.decompress(d.unconsumed_tail, 4 << 20)
+                at += len(step) - len(d.unused_data)
         except zlib.error as e:
-            error = f"gzip member damaged: {e}"
-    return b"".join(out), error
+            broken.append(f"gzip member damaged: {e}")
+            return
+        if not d.eof:
+            broken.append("gzip member cut short")
+            return
 
 
 def reassembled(parts: list[dict]) -> tuple[bytes, str | None]:
