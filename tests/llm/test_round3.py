@@ -521,3 +521,48 @@ def test_added_spans_on_held_out_rewritten_forms(spark, pii_weights):
     print(f"recall {right / (right + missed):.3f} ({right + missed} forms), precision {right / (right + wrong + alarms):.3f}, "
           f"alarms {alarms} of {clean} plain numbers")
     assert right + missed > 50 and right / (right + missed) >= 0.9 and right / (right + wrong + alarms) >= 0.9
+
+
+# ------------------------------------------------------------------ op7
+def test_every_record_is_a_gzip_member(spark, tmp_path):
+    import zlib as z
+    from tagwarden.llm import warc_segments as W
+
+    html = ["<p>%d</p>" % i * (i % 7 * 200) for i in range(60)] + [None, "\r\n\r\nWARC/1.1\r\n" * 30]
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    W.write_archives(pages.repartition(3), f"{tmp_path}/w", segment=1000)
+    members = 0
+    for name in os.listdir(tmp_path / "w"):
+        data = (tmp_path / "w" / name).read_bytes()
+        while name.startswith("part-") and data:
+            d = z.decompressobj(31)
+            record = d.decompress(data)
+            assert d.eof and record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            assert len(list(W.parse(record))) == 1  # a whole record, read at its offset
+            data, members = d.unused_data, members + 1
+    back = W.read_archives(spark, f"{tmp_path}/w").collect()
+    assert members > 100 and not [r for r in back if r.error]
+    assert collections.Counter(bytes(r.payload).decode() for r in back if r.type == "response") == collections.Counter({h or "" for h in html})
+
+
+def test_a_stream_of_any_steps_is_parsed_alike():
+    from tagwarden.llm import warc_segments as W
+
+    rng = random.Random(31)
+    data = b"junk" + b"\r\n\r\n".join(r for i in range(9) for r in W.records(i, "u", b"x%d" % i * 200, 1, None, None, 300)) + b"\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\nabc"
+    want = list(W.parse(data))
+    assert want[-1]["error"] == "record cut short" and len(want) > 9
+    for _ in range(30):
+        cuts = sorted(rng.sample(range(len(data)), 40))
+        assert list(W.parse_stream(iter([data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]))) == want
+
+
+def test_a_hot_repeated_page(spark, tmp_path, monkeypatch):
+    from tagwarden.llm import warc_segments as W
+
+    monkeypatch.setattr(W, "RUN", 10)
+    rows = [(3, "a", "<p>x</p>")] * 70 + [(3, "b", "<p>x</p>")] * 5 + [(3, None, "<p>x</p>"), (1, "c", "<p>x</p>"), (3, "a", "other"), (None, None, None), (None, None, None)]
+    fx.save(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), tmp_path, "pages")
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in W.op7_warc_segments(spark, str(tmp_path)).collect())
+    assert got == collections.Counter({(1, 8, "response", None): 1, (3, 8, "revisit", 1): 76, (3, 5, "response", None): 1,
+                                       (None, 0, "response", None): 1, (None, 0, "revisit", None): 1})
