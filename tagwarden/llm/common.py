@@ -67,16 +67,22 @@ def smallest_hashes(rows: DataFrame, group: str, by: list[str], k: int, seed: st
     found = d.groupBy(group).agg(F.approx_count_distinct("_h", 0.02).alias("n")).collect()
     share = {r[group]: min(1.0, 4 * k / max(1, r["n"])) for r in found}
     w = Window.partitionBy(group).orderBy("_h")
+
+    def of(values: dict, default) -> Column:
+        out = F.lit(default)
+        for value, x in values.items():
+            out = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(x)).otherwise(out)
+        return out
+
     while True:
-        limit = F.lit(0.0)
-        for value, s in share.items():
-            limit = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(s)).otherwise(limit)
-        near = d.where(place <= limit).groupBy(group, "_h").agg(F.min(F.struct(*cols)).alias("row"))
-        out = written(near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select("row.*"), "sample")
-        got = {r[group]: r["n"] for r in out.groupBy(group).agg(F.count("*").alias("n")).collect()}
-        short = [g for g, s in share.items() if s < 1 and got.get(g, 0) < k]
+        near = written(d.where(place <= of(share, -1.0)).groupBy(group, "_h").agg(F.min(F.struct(*cols)).alias("row")), "sample")
+        # the k-th hash of every group, from the hashes alone
+        got = near.select(group, "_h").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k) \
+            .groupBy(group).agg(F.max("_h").alias("last"), F.count("*").alias("n")).collect()
+        n = {r[group]: r["n"] for r in got}
+        short = [g for g, s in share.items() if s < 1 and n.get(g, 0) < k]
         if not short:
-            return out
+            return near.where(F.col("_h") <= of({r[group]: r["last"] for r in got}, -1)).select("row.*")
         share.update({g: min(1.0, 256 * share[g]) for g in short})
 
 
