@@ -9,7 +9,9 @@ pairs), merges it and closes the gap, and rows without a mergeable pair leave. P
 text and the decoded bytes are gathered from flat arrays.
 
 Nulls and odd inputs: a null text is empty: no ids, empty bytes. A lone surrogate cannot occur in a Spark
-string. A text of any length is encoded whole.
+string. A text of any length is encoded whole; its digests are taken in blocks, so beside its ids only a block is held. Equal
+ranks merge at the leftmost pair; repeated rows stay repeated and get equal ids; an empty table gives no rows; columns other
+than the text pass through, and the query reads id and text only, so none can clash.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,7 @@ from tagwarden.llm.common import table
 
 MATRIX_BYTES = 256
 MATRIX_CELLS = 1 << 20  # rows times width of one matrix
+BLOCK_IDS = 1 << 18  # ids decoded or written out at a time
 KEPT_PIECES = 400_000  # pieces a worker remembers between batches; beyond it starts anew
 NONE = np.int32(2**31 - 1)
 
@@ -245,12 +249,41 @@ class Codec:
         ids, starts = gather(self.ids, self.at, self.len, flat)
         return ids, starts[np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))])]
 
+    def decoded(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of the ids, a block at a time."""
+        r = self.ranks
+        for lo in range(0, len(ids), BLOCK_IDS):
+            yield gather(r.blob, r.at, r.len, ids[lo:lo + BLOCK_IDS])[0].tobytes()
+
+    def written(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The ids in decimal, joined by commas, a block at a time."""
+        r = self.ranks
+        for lo in range(0, len(ids), BLOCK_IDS):
+            part = gather(r.text_blob, r.text_at, r.text_len, ids[lo:lo + BLOCK_IDS])[0].tobytes()
+            yield part if lo + BLOCK_IDS < len(ids) else part[:-1]
+
     def decode(self, ids: np.ndarray) -> bytes:
-        return gather(self.ranks.blob, self.ranks.at, self.ranks.len, ids)[0].tobytes()
+        return b"".join(self.decoded(ids))
 
     def decimals(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by commas."""
-        return gather(self.ranks.text_blob, self.ranks.text_at, self.ranks.text_len, ids)[0].tobytes()[:-1]
+        return b"".join(self.written(ids))
+
+
+def sha256(blocks: Iterator[bytes]) -> str:
+    h = hashlib.sha256()
+    for b in blocks:
+        h.update(b)
+    return h.hexdigest()
+
+
+def rank_file(path: str) -> str:
+    """``path``, or the place of the public tokenizer file of that name on the machine that asks."""
+    if os.path.sep in path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
 
 
 @functools.cache
@@ -271,12 +304,12 @@ def _runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, i
 
 def tokenize(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
     """The columns of ``df`` without ``text`` plus ``n_tokens, ids_sha256, decoded_sha256`` and, on
-    request, the ids themselves (``array<int>``). Narrow: Arrow batches, about a megabyte of text at a time."""
+    request, the ids themselves (``array<int>``). Narrow: Arrow batches, about a megabyte of text at a time. ``path`` is the
+    rank file, or its name among the public tokenizers, which each worker looks up."""
     keep = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        sha = hashlib.sha256
+        c = codec(rank_file(path), pattern)
         for b in batches:
             texts = b.column(text).to_pylist()
             n, a, d, lists = [], [], [], []
@@ -285,8 +318,8 @@ def tokenize(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
                 for i in range(hi - lo):
                     own = got[starts[i]:starts[i + 1]]
                     n.append(own.size)
-                    a.append(sha(c.decimals(own)).hexdigest())
-                    d.append(sha(c.decode(own)).hexdigest())
+                    a.append(sha256(c.written(own)))
+                    d.append(sha256(c.decoded(own)))
                     if ids:
                         lists.append(own)
             cols = {k: b.column(k) for k in keep}
@@ -305,4 +338,4 @@ def op5_bpe_matrix(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"),
-                    public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+                    "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagwarden.llm.bpe_matrix import codec
+from tagwarden.llm.bpe_matrix import codec, rank_file
 from tagwarden.llm.common import new_folder, shared_folder, table, written
 from tagwarden.llm.quality_rules import SPACE, TRIM
 from tagwarden.plans.ranks import with_positions
@@ -109,7 +109,7 @@ def token_ids(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        c = codec(public_tokenizers.path(ranks), public_tokenizers.PATTERN)
+        c = codec(rank_file(ranks), public_tokenizers.PATTERN)
         for b in batches:
             texts = b.column("text").to_pylist()
             lo = size = 0

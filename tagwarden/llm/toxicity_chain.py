@@ -13,7 +13,9 @@ sample); every text is scored whole. The model sent to the executors is ``CELLS`
 Nulls and odd inputs: a null or empty text is scored by the intercepts; a category without labels, or
 with one value only, gets its smoothed rate and (below one half) no positive; labels repeated
 for an id count as positive if any is; a null label is left out of that category's training; of the
-texts that share an id, the one with the smallest hash is trained with, and all are scored.
+texts that share an id, the one with the smallest hash is trained with, and all are scored; very long texts are scored whole;
+of equal chi-squares the smaller cell is selected, of equal F1 the stricter cut; repeated rows are scored alike; an empty table gives no
+rows; columns other than the text pass through, and the query reads id and text only, so none can clash.
 """
 
 from __future__ import annotations
