@@ -3,6 +3,7 @@ import collections
 import hashlib
 import math
 import os
+import random
 import re
 import sys
 import zlib
@@ -250,3 +251,31 @@ def test_shuffle_query_keeps_its_law(spark, folders):
         by_id = [r.doc_id or 0 for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
         rises = sum(a <= b for a, b in zip(by_id, by_id[1:]))
         assert len(rows) < 100 or 0.35 < rises / len(rows) < 0.65  # no order by id is left
+
+
+# ------------------------------------------------------------------ very long texts
+def test_every_operator_takes_a_very_long_text(spark, tmp_path):
+    """A megabyte of prose, of one word, of numbers, and without any white space, beside short texts."""
+    rng = random.Random(41)
+    texts = [fx.sentence(rng, "en", 170_000), "spam " * 200_000, " ".join(str(rng.randint(0, 999)) for _ in range(60_000)), "é" * 300_000,
+             "a\n" * 200_000, "short", None]
+    df = spark.createDataFrame([(i, t, "en", f"src{i}", len(t or "")) for i, t in enumerate(texts)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    folder = fx.save(df.repartition(4), tmp_path, "documents")
+    fx.save(spark.createDataFrame([(0, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    fx.save(df.select(F_col("doc_id", "page_id"), F_col("source", "url"), F_col("text", "html")), tmp_path, "pages")
+    for name, query in QUERIES.items():
+        if name == "op11_bond_scan":  # reads no text
+            continue
+        rows = query(spark, folder).collect()
+        assert len({getattr(r, "doc_id", None) if "doc_id" in r else r.page_id for r in rows}) == len(texts), name
+    runs = {r.doc_id: r for r in QUERIES["op12_periodic_runs"](spark, folder).collect()}
+    assert runs[1].n_runs == 1 and (runs[1].start, runs[1].length, runs[1].period) == (0, 200_000, 1)
+    packed = [r for r in QUERIES["op1_length_buckets"](spark, folder).collect() if r.doc_id == 1]
+    assert sum(r.n_tokens for r in packed) == 200_000
+
+
+def F_col(name, alias):
+    from pyspark.sql import functions as F
+
+    return F.col(name).alias(alias)
