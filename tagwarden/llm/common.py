@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,8 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
         return spark.sparkContext.getCheckpointDir()
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(folder)
+    return folder
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders that ``new_folder`` names inside are deleted at the end, but those taken off the list that it yields. After an
+    error they stay."""
+    folders: list[str] = []
+    _SCRATCH.append(folders)
+    try:
+        yield folders
+    finally:
+        _SCRATCH.remove(folders)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

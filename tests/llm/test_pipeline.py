@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, against plain versions over the whole smallest table."""
 import os
+import re
 import sys
 
 import duckdb
@@ -85,3 +86,14 @@ def test_every_stage_against_a_plain_version(spark, sf_dir):
         full.setdefault((r.bucket, r.batch), []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) and len(s) * ends[b] <= max(length_buckets.BUDGET, ends[b])
                for (b, _), s in full.items())
+
+
+def test_a_run_leaves_its_last_table_only(spark, sf_dir):
+    from tagwarden.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = [f for f in os.listdir(folder) if f not in before and not re.match("rdd-", f)]
+    assert len(left) == 1 and left[0].startswith("pipeline-packing")
+    assert out.count() > 0
