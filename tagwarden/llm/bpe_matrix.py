@@ -226,16 +226,17 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.split = Ranks(path), regex.compile(pattern).findall
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drops the pieces remembered so far."""
         self.numbers = _Numbers()
         self.ids, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts, starts)``; text i has ``ids[starts[i]:starts[i + 1]]``."""
         if len(self.numbers) > KEPT_PIECES:
-            self._reset()
+            self.forget()
         number, split = self.numbers.__getitem__, self.split
         codes = [np.fromiter(map(number, split(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         if self.numbers.new:

@@ -25,8 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagwarden.llm.bpe_matrix import codec, rank_file
 from tagwarden.llm.common import new_folder, shared_folder, table, written
@@ -70,58 +72,83 @@ def word_count(text: str = "text"):
 
 
 def pack(lengths: DataFrame, id_col: str = "doc_id", length: str = "length", max_tokens: int = MAX_TOKENS,
-         buckets: int = BUCKETS, budget: int = BUDGET, ids: str | None = None, pad: int = PAD) -> DataFrame:
+         buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``(doc_id, piece, first_token, n_tokens, bucket, bucket_tokens, batch, slot, padding)`` for
-    every piece of every row ``(id, length)``. ``batch`` and ``slot`` count from 0 within the bucket.
-
-    ``ids`` names an array of the row's token ids; then ``ids`` of the result are the piece's, padded to its bucket.
-    """
-    spark = lengths.sparkSession
+    every piece of every row ``(id, length)``. ``batch`` and ``slot`` count from 0 within the bucket."""
     n = F.col(length)
     last = F.greatest(F.ceil(n / max_tokens) - 1, F.lit(0)).cast("int")
-    own = lambda p: F.struct(p.alias("piece"), *([] if ids is None else [
-        F.slice(ids, p * max_tokens + 1, F.lit(max_tokens)).alias("ids")]))
-    d = lengths.select(F.col(id_col).alias("doc_id"), n.alias("_n"), F.explode(F.transform(F.sequence(F.lit(0), last), own)).alias("_p"))
-    first = F.col("_p.piece").cast("long") * max_tokens
-    d = d.select("doc_id", F.col("_p.piece").alias("piece"), first.alias("first_token"),
-                 F.least(F.lit(max_tokens), F.col("_n") - first).cast("int").alias("n_tokens"),
-                 *([] if ids is None else [F.col("_p.ids").alias("ids")]))
-    hist = {r["n_tokens"]: r["count"] for r in d.groupBy("n_tokens").count().collect()}  # at most max_tokens + 1 rows
+    d = lengths.select(F.col(id_col).alias("doc_id"), n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    first = F.col("piece").cast("long") * max_tokens
+    return place(d.select("doc_id", "piece", first.alias("first_token"),
+                          F.least(F.lit(max_tokens), F.col("_n") - first).cast("int").alias("n_tokens")), buckets, budget)
+
+
+def place(pieces: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """``pieces (doc_id, piece, first_token, n_tokens, ...)`` with their bucket, batch, slot and padding."""
+    hist = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # one row a length
     ends = boundaries(list(hist), list(hist.values()), buckets) or [0]
     size = [sum(c for k, c in hist.items() if (lo is None or k > lo) and k <= hi) for lo, hi in zip([None, *ends], ends)]
     before = [sum(size[:b]) for b in range(len(ends))]
     bucket = sum((F.col("n_tokens") > b).cast("int") for b in ends[:-1]) if len(ends) > 1 else F.lit(0)
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1)
-    d = d.withColumn("bucket", bucket).withColumn("bucket_tokens", of(ends))
+    d = pieces.withColumn("bucket", bucket).withColumn("bucket_tokens", of(ends))
     order = ["bucket", F.floor(F.col("piece") / PIECE_BLOCK), "doc_id", "piece", "n_tokens"]
-    d = with_positions(d, order, "_pos", new_folder(spark, "packing"))
+    d = with_positions(d, order, "_pos", new_folder(pieces.sparkSession, "packing"))
     rank = F.col("_pos") - 1 - of([F.lit(b).cast("long") for b in before])
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1))))
-    padding = F.col("bucket_tokens") - F.col("n_tokens")
+    more = [c for c in pieces.columns if c not in ("doc_id", "piece", "first_token", "n_tokens")]
     return d.select("doc_id", "piece", "first_token", "n_tokens", "bucket", "bucket_tokens",
-                    F.floor(rank / rows).alias("batch"), (rank % rows).alias("slot"), padding.alias("padding"),
-                    *([] if ids is None else [F.concat("ids", F.array_repeat(F.lit(pad), padding)).alias("ids")]))
+                    F.floor(rank / rows).alias("batch"), (rank % rows).alias("slot"),
+                    (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"), *more)
 
 
-def token_ids(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, ids)``: the byte-level BPE ids of every whole text (null: none). Workers look the rank file up by its name."""
+def token_pieces(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``(doc_id, piece, first_token, n_tokens, ids)``: the byte-level BPE ids of every whole text (null: none) in pieces, as bytes
+    of 32-bit numbers, which move as they are. Workers look the rank file up by its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         c = codec(rank_file(ranks), public_tokenizers.PATTERN)
         for b in batches:
-            texts = b.column("text").to_pylist()
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             lo = size = 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= 1 << 20 or i == len(texts) - 1:  # about a megabyte of text at a time
-                    got, starts = c.encode(texts[lo:i + 1])
-                    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(got, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, i + 1 - lo), lists], names=["doc_id", "ids"])
+            for i in range(len(ids)):
+                size += lengths[i]
+                if size >= 1 << 20 or i == len(ids) - 1:  # about a megabyte of text at a time
+                    got, starts = c.encode(texts.slice(lo, i + 1 - lo).to_pylist())
+                    rows = [(ids[lo + k], at // max_tokens, at, min(max_tokens, e - s - at), got[s + at:min(e, s + at + max_tokens)].tobytes())
+                            for k, (s, e) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist()))
+                            for at in range(0, max(1, e - s), max_tokens)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (
+                        pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "piece", "first_token", "n_tokens", "ids"])
                     lo, size = i + 1, 0
+        c.forget()  # the worker lives on
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        run, "doc_id long, piece int, first_token long, n_tokens int, ids binary")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+
+def padded(placed: DataFrame, pad: int = PAD, rows: int = 256) -> DataFrame:
+    """``placed`` with ``ids`` as numbers, padded to the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                n, size = (part.column(c).to_numpy() for c in ("n_tokens", "bucket_tokens"))
+                flat = np.full(int(size.sum()), pad, np.int32)
+                starts = np.concatenate([[0], np.cumsum(size)])
+                for at, k, ids in zip(starts, n, part.column("ids")):
+                    flat[at:at + k] = np.frombuffer(ids.as_py(), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "ids"), lists],
+                                                 names=[*(c for c in part.schema.names if c != "ids"), "ids"])
+
+    rest = [f for f in placed.schema.fields if f.name != "ids"]
+    return placed.select(*[f.name for f in rest], "ids").mapInArrow(
+        run, T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def op1_length_buckets(spark, sf_dir: str) -> DataFrame:
@@ -132,8 +159,7 @@ def op1_length_buckets(spark, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the padded token ids of every piece of every document, by bucket, batch and slot."""
-    tokens = written(token_ids(docs).withColumn("length", F.size("ids").cast("long")), "tokens")
-    return pack(tokens, ids="ids")
+    return padded(place(written(token_pieces(docs), "tokens")))
 
 
 def oracle() -> str:
