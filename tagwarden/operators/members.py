@@ -66,12 +66,12 @@ def read_listing(spark, path: str, folder: str | None = None) -> DataFrame:
     return parse_user_listing(numbered_lines(spark, path, folder), "value", pos_col="pos", keep=["file", "pos"])
 
 
-def first_lines(listing: DataFrame) -> DataFrame:
+def first_lines(listing: DataFrame, order: Sequence[str] = ("file", "pos")) -> DataFrame:
     """``(username, line)``: of several lines of one user the first counts, by file, then place.
 
     A partial aggregate: a user with a third of all lines sends one line a task.
     """
-    return listing.groupBy("username").agg(F.min_by("line", F.struct("file", "pos")).alias("line"))
+    return listing.groupBy("username").agg(F.min_by("line", F.struct(*order)).alias("line"))
 
 
 # --------------------------------------------------------------------------- D2

@@ -230,8 +230,8 @@ def group_roles(spark, sf_dir):
 
 @query("user_listing")
 def user_listing(spark, sf_dir):
-    parsed = D.parse_user_listing(fx.user_listing_lines(spark, sf_dir), "value", pos_col="pos")
-    return D.parse_role_list(parsed, "line", keep=["username"])
+    parsed = D.parse_user_listing(fx.user_listing_lines(spark, sf_dir), "value", pos_col="pos", keep=["pos"])
+    return D.parse_role_list(D.first_lines(parsed, ["pos"]), "line", keep=["username"])
 
 
 @query("role_list_parse")
