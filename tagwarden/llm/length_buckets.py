@@ -104,12 +104,13 @@ def place(pieces: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
 
 def token_pieces(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``(doc_id, piece, first_token, n_tokens, ids)``: the byte-level BPE ids of every whole text (null: none) in pieces, as bytes
-    of 32-bit numbers, which move as they are. Workers look the rank file up by its name."""
+    of 16-bit numbers where the vocabulary has no larger ones, else of 32-bit numbers. Workers look the rank file up by its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         c = codec(rank_file(ranks), public_tokenizers.PATTERN)
+        kind = np.uint16 if len(c.ranks.tokens) <= 1 << 16 else np.int32
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
@@ -118,6 +119,7 @@ def token_pieces(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", te
                 size += lengths[i]
                 if size >= 1 << 20 or i == len(ids) - 1:  # about a megabyte of text at a time
                     got, starts = c.encode(texts.slice(lo, i + 1 - lo).to_pylist())
+                    got = got.astype(kind)
                     rows = [(ids[lo + k], at // max_tokens, at, min(max_tokens, e - s - at), got[s + at:min(e, s + at + max_tokens)].tobytes())
                             for k, (s, e) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist()))
                             for at in range(0, max(1, e - s), max_tokens)]
@@ -140,8 +142,8 @@ def padded(placed: DataFrame, pad: int = PAD, rows: int = 256) -> DataFrame:
                 n, size = (part.column(c).to_numpy() for c in ("n_tokens", "bucket_tokens"))
                 flat = np.full(int(size.sum()), pad, np.int32)
                 starts = np.concatenate([[0], np.cumsum(size)])
-                for at, k, ids in zip(starts, n, part.column("ids")):
-                    flat[at:at + k] = np.frombuffer(ids.as_py(), np.int32)
+                for at, k, ids in zip(starts.tolist(), n.tolist(), part.column("ids").to_pylist()):
+                    flat[at:at + k] = np.frombuffer(ids, np.uint16 if len(ids) == 2 * k else np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "ids"), lists],
                                                  names=[*(c for c in part.schema.names if c != "ids"), "ids"])
