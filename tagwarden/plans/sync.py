@@ -2,14 +2,14 @@
 
 All tables are bucketed on (scope, entity_id), so desired, state and diff meet without a shuffle; only what comes in
 (the classification, the first extraction) is shuffled into the buckets, each computed once. Writing the
-diff first gives the audit trail (the rows C4 renders), and the counts that the job reports are those of that write.
+diff first gives the audit trail (the rows C4 renders), and the counts that the job reports are those of the written rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwarden.operators import grants as C
@@ -34,8 +34,9 @@ def sync_grants(spark: SparkSession, desired: DataFrame, existing: DataFrame | N
     """Diff ``desired`` against the stored state (C2), write the diff, apply it (C5), write the new state.
 
     ``existing`` (an extraction, C1) replaces the stored state first; with None the state that an earlier sync
-    left is what the diff is made against. The added and removed counts come from the job that writes the diff; if that fails, the
-    error is raised and there is no report.
+    left is what the diff is made against. The added and removed counts are read from the written diff (one aggregate, no
+    shuffle of its rows), not from an observation, whose metrics come as listener events that Spark may drop. If a write
+    fails, the error is raised and there is no report.
     """
     desired_table = desired_table or f"{state_table}_desired"
     if desired_location is None and state_location is not None:
@@ -50,11 +51,10 @@ def sync_grants(spark: SparkSession, desired: DataFrame, existing: DataFrame | N
     if existing is not None:
         A.reload_rows(spark, state_table, existing.select(*KEYS).distinct(), schema_name)
     A.reload_rows(spark, desired_table, desired.select(*KEYS).distinct(), schema_name)
-    counts = Observation("grant diff")
-    A.reload_rows(spark, diff_table, C.diff_stored(table(desired_table), table(state_table)), schema_name, (counts, [
-        F.count_if(F.col("op") == "add").alias("added"), F.count_if(F.col("op") == "remove").alias("removed")]))
+    A.reload_rows(spark, diff_table, C.diff_stored(table(desired_table), table(state_table)), schema_name)
+    seen = table(diff_table).agg(F.count_if(F.col("op") == "add").alias("added"),
+                                 F.count_if(F.col("op") == "remove").alias("removed")).first()
     A.reload_rows(spark, state_table, C.apply_stored(table(state_table), table(diff_table)), schema_name)
-    seen = counts.get
     return SyncReport(int(seen["added"]), int(seen["removed"]), table(state_table).select(*KEYS),
                       C.diff_stored(table(desired_table), table(state_table)))
 

@@ -2,9 +2,11 @@
 import os
 import random
 import re
+import threading
 import uuid
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tagwarden.operators import classify as B
@@ -75,6 +77,25 @@ def test_a_failed_write_reports_nothing_and_keeps_the_state(spark):
     assert rows(spark.table(f"default.{state_t}"), "scope", "entity_id") == [("us", "a"), ("us", "b")]
 
 
+def test_counts_need_no_listener_events(spark):
+    """Spark may drop listener events; the report neither waits for one nor fails without it."""
+    deaf = spark.newSession()
+    deaf.range(1).observe(Observation(), F.count("*")).collect()  # from now on this session has its own listener ...
+    deaf._jsparkSession.listenerManager().clear()  # ... which hears nothing more
+    reports = []
+
+    def run():
+        for existing in (deaf.createDataFrame([("us", "a"), ("us", "x")], PAIR), None):
+            done = S.sync_grants(deaf, deaf.createDataFrame([("us", "a"), ("us", "b"), ("mx", "c")], PAIR), existing, *names, "default")
+            reports.append((done.added, done.removed))
+
+    names = (_name("diff"), _name("state"))
+    sync = threading.Thread(target=run, daemon=True)
+    sync.start()
+    sync.join(60)
+    assert reports == [(2, 1), (0, 0)]
+
+
 def test_desired_is_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
